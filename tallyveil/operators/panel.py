@@ -153,11 +153,11 @@ def nearest_distance(cells: DataFrame, facilities: DataFrame, cell_block: int =
     cb, fb = blocks_for(cells, cell_block), blocks_for(sites, facility_block)
     left = cells.select(
         "cell", "lat", "lon", F.pmod(F.xxhash64("cell"), F.lit(cb)).alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(fb - 1))).cast("bigint").alias("fb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(fb - 1).cast("bigint"))).alias("fb"),
     )
     right = sites.select(
         "lat", "lon", F.pmod(F.xxhash64("lat", "lon"), F.lit(fb)).alias("fb"),
-        F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).cast("bigint").alias("cb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cb - 1).cast("bigint"))).alias("cb"),
     )
     kind = dict(cells.dtypes)["cell"]
 
@@ -209,7 +209,7 @@ def seeded_folds(units: DataFrame, key: str, folds: int, seed: int) -> DataFrame
 def membership(units: DataFrame, folds: DataFrame, key: str, count: int) -> DataFrame:
     """S-04: each unit as test in its own fold and train in every other fold."""
     spread = units.join(folds.withColumnRenamed("fold", "_own"), key).withColumn(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("bigint")
+        "fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
     )
     return spread.withColumn("part", F.when(F.col("_own") == F.col("fold"), "test").otherwise("train")).drop("_own")
 

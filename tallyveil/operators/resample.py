@@ -29,7 +29,7 @@ def resampled_means(stats: DataFrame, group: str, unit: str, values: Sequence[st
         group,
         F.col("position").alias("_slot"),
         F.col("group_rows").alias("_size"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("bigint").alias("replicate"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate"),
     )
     key = F.col("replicate") * F.lit(1000003) + F.col("_slot")
     drawn = draws.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("rates",)
+FAMILIES = ("io", "cleaning", "rates", "panels")
 
 
 def _load():

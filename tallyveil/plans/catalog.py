@@ -172,7 +172,7 @@ ROLE_SQL: dict[str, tuple[str, str]] = {
           CAST((c_custkey * 104729) % 10009 AS DOUBLE) / 100.0 AS y, c_nationkey AS nation, c_mktsegment AS segment, c_acctbal AS value
         FROM customer"""),
     "hexed": ("points", """
-        SELECT * EXCLUDE (fq, fr, fs, rq, rr, rs), q::BIGINT AS q, r::BIGINT AS r, CAST(q::BIGINT AS VARCHAR) || ':' || CAST(r::BIGINT AS VARCHAR) AS cell FROM (
+        SELECT * EXCLUDE (fq, fr, fs, rq, rr, rs, q, r), q::BIGINT AS q, r::BIGINT AS r, CAST(q::BIGINT AS VARCHAR) || ':' || CAST(r::BIGINT AS VARCHAR) AS cell FROM (
           SELECT *, CASE WHEN abs(rq - fq) > abs(rr - fr) AND abs(rq - fq) > abs(rs - fs) THEN -rr - rs ELSE rq END AS q,
             CASE WHEN abs(rq - fq) > abs(rr - fr) AND abs(rq - fq) > abs(rs - fs) THEN rr
               WHEN abs(rr - fr) > abs(rs - fs) THEN -rq - rs ELSE rr END AS r FROM (
