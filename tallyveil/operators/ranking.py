@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyveil.functions import special
 from tallyveil.functions.codes import finite_pair
 from tallyveil.operators.ordering import average_ranks, positions
+from tallyveil.session import cut_lineage
 
 MIN_CELLS = 5  # fixed value: smallest district that is scored
 
@@ -23,9 +24,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int =
     """
     keys = list(keys)
     kept = df.filter(finite_pair(F.col(x), F.col(y)))
-    pairs = kept.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(
-        F.count("*").alias("_n")
-    )
+    # Written once: the pairs feed both rankings and the final join.
+    pairs = cut_lineage(kept.groupBy(
+        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+    ).agg(F.count("*").alias("_n")))
     rank_x = average_ranks(pairs, keys, "_x", "_n").select(*keys, "_x", F.col("rank").alias("_rx"), "group_rows")
     rank_y = average_ranks(pairs, keys, "_y", "_n").select(*keys, "_y", F.col("rank").alias("_ry"))
     centre = (F.col("group_rows") + 1) / 2.0
@@ -151,7 +153,7 @@ def metric_pack(df: DataFrame, pred: str, target: str = "target", category: str
     Categories without events are skipped (P-11).
     """
     live = df.groupBy(category).agg(F.sum(target).alias("_s")).filter("_s > 0").select(category)
-    d = df.join(live, category, "left_semi").select(category, district, tie, pred, target)
+    d = cut_lineage(df.join(live, category, "left_semi").select(category, district, tie, pred, target))
     base = nmae(d, [category], pred, target)
     overall = spearman(d, [category], pred, target).select(category, F.col("rho").alias("spearman_global"))
     recall = top_share(d, [category], pred, target, tie, "ceil").select(category, F.col("capture").alias("recall10"))

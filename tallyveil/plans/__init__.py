@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("io", "cleaning", "rates", "panels")
+FAMILIES = ("io", "cleaning", "rates", "panels", "metrics", "graphs", "published", "learning")
 
 
 def _load():

@@ -169,11 +169,12 @@ def _(t):
 
 
 def _hex_districts(t: Tables):
-    return P.first_per_key(t.hexed().select("cell", "point", F.col("nation").alias("district")), "cell", ["point"]).select("cell", "district")
+    tile = (F.floor(F.col("x") / 20) * 5 + F.floor(F.col("y") / 20)).cast("bigint")
+    return P.first_per_key(t.hexed().select("cell", "point", tile.alias("district")), "cell", ["point"]).select("cell", "district")
 
 
 HEX_DISTRICTS = """
-hex_district AS (SELECT cell, nation AS district FROM (SELECT cell, nation, row_number() OVER (PARTITION BY cell ORDER BY point) AS rn FROM hexed) AS h WHERE rn = 1),
+hex_district AS (SELECT cell, district FROM (SELECT cell, CAST(floor(x / 20) * 5 + floor(y / 20) AS BIGINT) AS district, row_number() OVER (PARTITION BY cell ORDER BY point) AS rn FROM hexed) AS h WHERE rn = 1),
 adjacency AS (SELECT DISTINCT x AS a, y AS b FROM (
   SELECT a.district AS x, b.district AS y FROM ring JOIN hex_district a ON a.cell = src JOIN hex_district b ON b.cell = dst WHERE a.district <> b.district UNION
   SELECT b.district, a.district FROM ring JOIN hex_district a ON a.cell = src JOIN hex_district b ON b.cell = dst WHERE a.district <> b.district) AS p)"""
