@@ -40,7 +40,8 @@ def mark_members(df: DataFrame, accepted: DataFrame, key: str, name: str = "sele
 def document_terms(docs: DataFrame, doc: str, text: str, keep: Sequence[str] = (), markup: bool = True) -> DataFrame:
     """One row per distinct token of a document with its count.
 
-    Tokens of one text are counted inside the row, so a long text is not exploded raw.
+    The tokens of a text come from one row, so the partial aggregation before the shuffle
+    already collapses repetitions.
     """
     array = docs.select(doc, *keep, tokens(F.col(text), markup).alias("_t"))
     return array.select(doc, *keep, F.explode("_t").alias("term")).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))

@@ -77,6 +77,25 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked.withColumnsRenamed({"run_rows": "position", "all_rows": "group_rows"})
 
 
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str) -> DataFrame:
+    """Quantile with linear interpolation per group: (keys, name).
+
+    ``percentile`` keeps all distinct values of a group in one buffer; here they are
+    counted, ordered over many slices and only the two neighbours of the quantile kept.
+    """
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranked = running_totals(values, keys, [F.col(value)], {"n": F.col("_c")})
+    place = F.lit(p) * (F.col("all_n") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    start = F.col("run_n") - F.col("_c")
+
+    def at(i: Column) -> Column:
+        return F.max(F.when((start <= i) & (i < F.col("run_n")), F.col(value).cast("double")))
+
+    ends = ranked.groupBy(*keys).agg(at(low).alias("_lo"), at(high).alias("_hi"), F.max(place - low).alias("_w"))
+    return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias(name))
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, count: str | None = None) -> DataFrame:
     """Average rank per distinct value: (keys, value, ties, rank, group_rows).
 

@@ -100,6 +100,15 @@ def macro(stats: DataFrame, value: str, category: str = "category", by: Sequence
     return per_category.groupBy(*by).agg(F.avg("_m").alias(f"macro_{value}"), F.count("_m").alias("categories"))
 
 
+def _decile(rows: Column, rule: str, share: float = 0.10) -> Column:
+    size = F.lit(share) * rows
+    return F.greatest(F.lit(1), (F.bround(size) if rule == "round" else F.ceil(F.round(size, 9))).cast("bigint"))
+
+
+def _gain(target: str) -> Column:
+    return F.sum(F.col(target) / F.log2(F.col("position") + 1))
+
+
 def top_share(df: DataFrame, keys: Sequence[str], pred: str, target: str, tie: str, rule: str = "round",
               share: float = 0.10) -> DataFrame:
     """M-06 / M-07 / M-11: share of the target in the top decile of predictions.
@@ -108,8 +117,7 @@ def top_share(df: DataFrame, keys: Sequence[str], pred: str, target: str, tie: s
     Ties are broken by the ``tie`` column.
     """
     ranked = positions(df, keys, [F.col(pred).desc(), F.col(tie)])
-    size = F.lit(share) * F.col("group_rows")
-    k = F.greatest(F.lit(1), (F.bround(size) if rule == "round" else F.ceil(F.round(size, 9))).cast("bigint"))
+    k = _decile(F.col("group_rows"), rule, share)
     taken = F.sum(F.when(F.col("position") <= k, F.col(target)).otherwise(0.0))
     total = F.sum(target)
     return ranked.groupBy(*keys).agg(
@@ -130,7 +138,7 @@ def ndcg(df: DataFrame, keys: Sequence[str], pred: str, target: str, tie: str) -
 
     def gain(order: list[Column], name: str) -> DataFrame:
         ranked = positions(df.select(*keys, pred, target, tie), keys, order)
-        return ranked.groupBy(*keys).agg(F.sum(F.col(target) / F.log2(F.col("position") + 1)).alias(name))
+        return ranked.groupBy(*keys).agg(_gain(target).alias(name))
 
     got = gain([F.col(pred).desc(), F.col(tie)], "_dcg")
     best = gain([F.col(target).desc(), F.col(tie)], "_best")
@@ -156,8 +164,13 @@ def metric_pack(df: DataFrame, pred: str, target: str = "target", category: str
     d = cut_lineage(df.join(live, category, "left_semi").select(category, district, tie, pred, target))
     base = nmae(d, [category], pred, target)
     overall = spearman(d, [category], pred, target).select(category, F.col("rho").alias("spearman_global"))
-    recall = top_share(d, [category], pred, target, tie, "ceil").select(category, F.col("capture").alias("recall10"))
-    gains = ndcg(d, [category], pred, target, tie)
+    # One ranking by prediction serves the global recall and the discounted gain.
+    ranked = positions(d, [category], [F.col(pred).desc(), F.col(tie)])
+    taken = F.sum(F.when(F.col("position") <= _decile(F.col("group_rows"), "ceil"), F.col(target)).otherwise(0.0))
+    by_pred = ranked.groupBy(category).agg((taken / F.sum(target)).alias("recall10"), _gain(target).alias("_dcg"))
+    by_target = positions(d.select(category, target, tie), [category], [F.col(target).desc(), F.col(tie)])
+    best = by_target.groupBy(category).agg(_gain(target).alias("_best"))
+    gains = by_pred.join(best, category).select(category, "recall10", (F.col("_dcg") / F.col("_best")).alias("ndcg"))
     inside = within_district(d, pred, target, (category, district)).groupBy(category).agg(
         F.avg("rho").alias("intra_spearman"), F.count("*").alias("intra_districts")
     )
@@ -165,7 +178,7 @@ def metric_pack(df: DataFrame, pred: str, target: str = "target", category: str
         F.avg("capture").alias("intra_recall10")
     )
     out = base
-    for part in (overall, recall, gains, inside, local):
+    for part in (overall, gains, inside, local):
         out = out.join(part, category, "left")
     return out.withColumn("intra_pai", F.col("intra_recall10") / F.lit(0.10))
 

@@ -231,13 +231,11 @@ def fit_shrinkage(cells: DataFrame, by: Sequence[str] = ("category",), rounds: i
     )
 
 
-def on_area_list(cells: DataFrame, areas: DataFrame, keys: DataFrame) -> DataFrame:
-    """J-22: every listed area appears for every key, without survey rows as zero sums.
-
-    ``keys`` is the category list, exploded onto the area list (both are dimensions).
-    """
-    frame = areas.select("area").distinct().crossJoin(keys)
-    joined = frame.join(cells, [*keys.columns, "area"], "left")
+def on_area_list(cells: DataFrame, areas: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """J-22: every listed area appears in every category, without survey rows as zero sums."""
+    listed = F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
+    frame = areas.select("area").distinct().select("area", listed)
+    joined = frame.join(cells, ["category", "area"], "left")
     return joined.fillna(0.0, ["n_eff", "y_eff", "p"])
 
 

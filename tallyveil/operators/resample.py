@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyveil.functions.hashing import drawn_index, mixed_hash, string_code
-from tallyveil.operators.ordering import positions
+from tallyveil.operators.ordering import exact_quantile, positions
 
 REPLICATES = 2000  # fixed value: bootstrap size of the published intervals
 
@@ -104,7 +104,7 @@ def replication(df: DataFrame, expected: Column, low: str = "ci_low", high: str
 
 def median_split(stats: DataFrame, quality: DataFrame, district: str = "district", ratio: str = "ratio") -> DataFrame:
     """M-23: mark every district as high or low quality relative to the median district."""
-    middle = quality.agg(F.median(ratio).alias("_median"))
+    middle = exact_quantile(quality, [], ratio, 0.5, "_median")  # a single row
     halves = quality.crossJoin(middle).select(
         district, F.when(F.col(ratio) >= F.col("_median"), "high").otherwise("low").alias("half")
     )
@@ -151,7 +151,8 @@ def bootstrap_pairs(deltas: DataFrame, name: str, seed_col: str, replicates: int
 def weight_contrast(df: DataFrame, by: Sequence[str], unit: str, weight: str, total: str) -> DataFrame:
     """M-28: mean weight of units at or above the median positive total minus the rest."""
     totals = df.groupBy(unit).agg(F.max(total).alias("_total"))
-    cut = totals.agg(F.coalesce(F.median(F.when(F.col("_total") > 0, F.col("_total"))), F.lit(0.0)).alias("_cut"))
+    middle = exact_quantile(totals.filter("_total > 0"), [], "_total", 0.5, "_median")
+    cut = middle.agg(F.coalesce(F.max("_median"), F.lit(0.0)).alias("_cut"))  # a single row, also without positives
     marked = totals.crossJoin(cut).select(
         unit, F.when(F.col("_cut") > 0, F.col("_total") >= F.col("_cut")).otherwise(F.col("_total") > 0).alias("_high")
     )

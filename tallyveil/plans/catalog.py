@@ -187,8 +187,8 @@ ROLE_SQL: dict[str, tuple[str, str]] = {
         JOIN cells_hex d ON d.q = s.q + dq AND d.r = s.r + dr"""),
     "papers": ("", """
         SELECT s_suppkey AS paper, count(l_partkey) AS citations, CAST(sum(l_linenumber) AS BIGINT) AS influential,
-          s_suppkey % 10 = 0 AS selected, 'c' || CAST(s_nationkey % 5 AS VARCHAR) AS cluster
-        FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey"""),
+          s_acctbal < 1000 AS selected, 'c' || CAST(s_nationkey % 5 AS VARCHAR) AS cluster
+        FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey, s_acctbal"""),
     "refs": ("", "SELECT DISTINCT l_suppkey AS paper, l_partkey AS other FROM lineitem"),
     "citers": ("", "SELECT DISTINCT l_suppkey AS paper, l_orderkey AS other FROM lineitem"),
     "core": ("papers", "SELECT paper FROM papers ORDER BY citations DESC, paper LIMIT 60"),
@@ -236,7 +236,7 @@ class Tables:
 
     def rated(self) -> DataFrame:
         """Posterior rates under a fixed prior, one row per listed area and category."""
-        frame = R.on_area_list(self.pooled(), self.areas(), self.category_list())
+        frame = R.on_area_list(self.pooled(), self.areas(), CATEGORIES)
         prior = self.category_list().withColumns({"mu": F.lit(PRIOR_MU), "phi": F.lit(PRIOR_PHI)})
         return R.posterior(frame, prior)
 
@@ -307,7 +307,7 @@ class Tables:
         cited = self.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("citations"), F.sum("l_linenumber").alias("influential"))
         return self.supplier.join(cited, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
             F.col("s_suppkey").alias("paper"), F.coalesce("citations", F.lit(0)).alias("citations"), "influential",
-            (F.col("s_suppkey") % 10 == 0).alias("selected"),
+            (F.col("s_acctbal") < 1000).alias("selected"),
             F.concat(F.lit("c"), (F.col("s_nationkey") % 5).cast("string")).alias("cluster"),
         )
 

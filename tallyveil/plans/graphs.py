@@ -57,7 +57,7 @@ unit AS (SELECT vec_id AS id, list_transform(v, lambda x: x / (sqrt(list_dot_pro
 near AS (SELECT id, other, sim, place FROM (
   SELECT a.id, b.id AS other, list_dot_product(a.u, b.u) AS sim, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.id) AS place
   FROM unit a JOIN unit b ON a.id <> b.id) AS p WHERE place <= 5 AND sim >= 0.2),
-edges AS (SELECT least(id, other) AS source, greatest(id, other) AS target, max(sim) AS weight FROM near WHERE id % 9 <> 0 AND other % 9 <> 0 GROUP BY ALL)"""
+edges AS (SELECT least(id, other) AS source, greatest(id, other) AS target, max(sim) AS weight FROM near JOIN (SELECT vec_id AS k1 FROM embeddings WHERE label <> 0) AS a ON k1 = id JOIN (SELECT vec_id AS k2 FROM embeddings WHERE label <> 0) AS b ON k2 = other GROUP BY ALL)"""
 
 
 def _neighbours(t: Tables):
@@ -65,7 +65,7 @@ def _neighbours(t: Tables):
 
 
 def _edges(t: Tables):
-    keys = t.vectors().filter("id % 9 <> 0").select("id", F.col("id").alias("key"))
+    keys = t.vectors().filter("label <> 0").select("id", F.col("id").alias("key"))
     return G.similarity_edges(_neighbours(t), keys)
 
 

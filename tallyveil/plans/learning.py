@@ -63,7 +63,7 @@ def _(t):
 
 def _regions(t: Tables):
     d = _panel(t)
-    source, local = d.filter("cell % 2 = 0"), d.filter("cell % 2 = 1")
+    source, local = d.filter("district <= '000025'"), d.filter("district > '000025'")
     return source.filter(F.col("year") < TEST_YEAR), local.filter(F.col("year") < TEST_YEAR), local.filter(F.col("year") == TEST_YEAR)
 
 

@@ -104,11 +104,11 @@ def _(t):
   SELECT coalesce(s.cell, c.cell) AS cell, coalesce(s.category, c.category) AS category, coalesce(s.district, c.district) AS district,
     coalesce(s.observed, 0.0) AS observed, coalesce(c.points, 0.0) AS points
   FROM (SELECT u.cell, category, district, target AS observed FROM scored u WHERE target > 1) AS s
-  FULL JOIN (SELECT cell, category, count AS points, '000099' AS district FROM counts WHERE year = 2001 AND cell % 3 > 0) AS c ON c.cell = s.cell AND c.category = s.category""",
+  FULL JOIN (SELECT cell, category, count AS points, '000099' AS district FROM counts WHERE year = 2001 AND category <> 'N') AS c ON c.cell = s.cell AND c.category = s.category""",
     "scored counts", dbl="observed points"))
 def _(t):
     s = t.scored().filter("target > 1").select("cell", "category", "district", F.col("target").alias("observed"))
-    c = t.counts().filter("year = 2001 AND cell % 3 > 0").select("cell", "category", F.lit("000099").alias("district"), F.col("count").alias("points"))
+    c = t.counts().filter("year = 2001 AND category <> 'N'").select("cell", "category", F.lit("000099").alias("district"), F.col("count").alias("points"))
     return P.merge_surfaces(s, c, ["cell", "category"], ["observed", "points"])
 
 
@@ -136,11 +136,11 @@ def _(t):
 
 @query("j11_fill_vectors", oracle("""
   SELECT vec_id AS id, 'main' AS origin, embedding[1]::DOUBLE AS first FROM embeddings WHERE label < 8 UNION ALL
-  SELECT vec_id, 'local', embedding[1]::DOUBLE FROM embeddings WHERE label >= 8 AND vec_id % 2 = 0""", dbl="first"))
+  SELECT vec_id, 'local', embedding[1]::DOUBLE FROM embeddings WHERE label = 8""", dbl="first"))
 def _(t):
     v = t.vectors()
     main = v.filter("label < 8").select("id", F.lit("main").alias("origin"), "vec")
-    local = v.filter("id % 2 = 0").select("id", F.lit("local").alias("origin"), "vec")
+    local = v.filter("label IN (3, 8)").select("id", F.lit("local").alias("origin"), "vec")
     return C.extend_with_missing(main, local, "id").select("id", "origin", F.col("vec")[0].alias("first"))
 
 
@@ -253,7 +253,7 @@ def _(t):
   LEFT JOIN (SELECT * FROM pooled WHERE NOT starts_with(area, '03')) AS p ON p.area = a.area AND p.category = c.category""", "areas pooled", dbl="n_eff"))
 def _(t):
     seen = t.pooled().filter("NOT startswith(area, '03')")
-    return R.on_area_list(seen, t.areas(), t.category_list()).select("area", "category", "n_eff")
+    return R.on_area_list(seen, t.areas(), CATEGORIES).select("area", "category", "n_eff")
 
 
 # ---- windows ------------------------------------------------------------------------

@@ -23,7 +23,7 @@ figures AS (SELECT o_orderpriority AS family, o_orderstatus AS variant, round(su
 entries AS (
   SELECT f.family, f.variant, f.value, f.value AS raw, coalesce(p.canonical_variant = f.variant, FALSE) AS canonical, p.family IS NULL AS needs_policy,
     CASE coalesce(p.round_mode, 'half_up') WHEN 'half_even' THEN round_even(CAST(f.value AS DECIMAL(18, 6)), 1) WHEN 'floor' THEN floor(f.value)
-      ELSE round(CAST(f.value AS DECIMAL(18, 6)), coalesce(p.decimals, 4)) END AS display
+      ELSE CASE p.decimals WHEN 2 THEN round(CAST(f.value AS DECIMAL(18, 6)), 2) ELSE round(CAST(f.value AS DECIMAL(18, 6)), 4) END END AS display
   FROM figures f LEFT JOIN policy p ON p.family = f.family)"""
 
 
@@ -52,10 +52,10 @@ def _(t):
 
 
 @query("r02_stale_entries", oracle("""
-  SELECT doc_id AS script, CASE WHEN doc_id % 7 = 0 THEN 'producer missing' ELSE 'producer changed' END AS reason FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0"""))
+  SELECT doc_id AS script, CASE WHEN lang = 'de' THEN 'producer missing' ELSE 'producer changed' END AS reason FROM documents WHERE lang = 'de' OR source = 'src1'"""))
 def _(t):
-    entries = t.documents.select(F.col("doc_id").alias("script"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")).cast("binary"), 256).alias("script_sha"))
-    current = t.documents.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("script"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    entries = t.documents.select(F.col("doc_id").alias("script"), F.sha2(F.concat("text", F.when(F.col("source") == "src1", "x").otherwise("")).cast("binary"), 256).alias("script_sha"))
+    current = t.documents.filter("lang <> 'de'").select(F.col("doc_id").alias("script"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return RG.stale_entries(entries, current).select("script", "reason")
 
 
@@ -72,7 +72,7 @@ lines AS (SELECT o_custkey AS file, o_orderkey AS line, CASE o_orderkey % 8
   ELSE 'no figure here' END AS text FROM (SELECT *, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'lo' END AS fam FROM orders) AS o),
 hits AS (SELECT file, line, unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 1)) AS key,
   trim(unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 2))) AS cited,
-  unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 3)) <> '' AS variant_ok FROM lines),
+  coalesce(unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 3)), '') <> '' AS variant_ok FROM lines),
 bad AS (SELECT file, line, text FROM lines WHERE regexp_matches(text, '(?i)\\bcanon\\b') AND contains(text, '=')
   AND NOT regexp_matches(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?')),
 reg AS (SELECT * FROM (VALUES ('urgent', 'F', 12.5), ('urgent', 'O', 13.25), ('high', 'F', 12.5), ('high', 'P', 4.0), ('medium', 'F', 1.1), ('lo', 'P', 7.0)) AS r(family, variant, value)),
