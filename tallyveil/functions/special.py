@@ -21,19 +21,16 @@ def with_lgamma(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     The argument and x (x + 7) are columns of their own, so each is computed once and the
     generated code stays small: x (x+1) ... (x+7) = t (t+6) (t+10) (t+12) with t = x (x+7).
     """
-    out = df.withColumns({f"_x_{n}": c for n, c in columns.items()})
-    out = out.withColumns({f"_t_{n}": F.col(f"_x_{n}") * (F.col(f"_x_{n}") + 7.0) for n in columns})
-    out = out.withColumns({f"_i_{n}": F.lit(1.0) / (F.col(f"_x_{n}") + float(SHIFT)) for n in columns})
-
-    def value(n: str) -> Column:
-        z, t, inv = F.col(f"_x_{n}") + float(SHIFT), F.col(f"_t_{n}"), F.col(f"_i_{n}")
-        i2 = inv * inv
-        series = inv * (F.lit(1 / 12.0) - i2 * (F.lit(1 / 360.0) - i2 * (F.lit(1 / 1260.0) - i2 * F.lit(1 / 1680.0))))
-        product = t * (t + 6.0) * (t + 10.0) * (t + 12.0)
-        return (z - 0.5) * F.ln(z) - z + F.lit(HALF_LOG_2PI) + series - F.ln(product)
-
-    out = out.withColumns({n: value(n) for n in columns})
-    return out.drop(*[f"_{k}_{n}" for k in "xti" for n in columns])
+    x = df.withColumns({f"_x_{n}": c for n, c in columns.items()})
+    t = x.selectExpr("*", *[f"_x_{n} * (_x_{n} + 7D) AS _t_{n}" for n in columns], *[f"1D / (_x_{n} + 8D) AS _i_{n}" for n in columns])
+    t = t.selectExpr("*", *[f"_i_{n} * _i_{n} AS _q_{n}" for n in columns])
+    # Coefficients of the Stirling series.
+    value = (
+        "(_x_{0} + 7.5D) * ln(_x_{0} + 8D) - (_x_{0} + 8D) + {1!r}D"
+        " + _i_{0} * (1D / 12D - _q_{0} * (1D / 360D - _q_{0} * (1D / 1260D - _q_{0} / 1680D)))"
+        " - ln(_t_{0} * (_t_{0} + 6D) * (_t_{0} + 10D) * (_t_{0} + 12D)) AS {0}"
+    )
+    return t.selectExpr(*df.columns, *[value.format(n, HALF_LOG_2PI) for n in columns])
 
 
 def _np_lgamma(x: np.ndarray) -> np.ndarray:

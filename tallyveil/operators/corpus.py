@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.functions.text import tokens
+from tallyveil.functions.text import is_term, raw_tokens
 from tallyveil.operators.ordering import positions
 
 
@@ -43,8 +43,8 @@ def document_terms(docs: DataFrame, doc: str, text: str, keep: Sequence[str] = (
     The tokens of a text come from one row, so the partial aggregation before the shuffle
     already collapses repetitions.
     """
-    array = docs.select(doc, *keep, tokens(F.col(text), markup).alias("_t"))
-    return array.select(doc, *keep, F.explode("_t").alias("term")).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))
+    found = docs.select(doc, *keep, F.explode(raw_tokens(F.col(text), markup)).alias("term"))
+    return found.filter(is_term(F.col("term"), markup)).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def cluster_terms(docs: DataFrame, doc: str, text: str, cluster: str, n: int, markup: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,25 +44,43 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int =
     return sums.select(*keys, rho.alias("rho"), "n")
 
 
-def spearman_of_areas(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
-    """The same statistic for tables with one row per area: a group is bounded by the
-    area list, so plain windows are enough and nothing is checkpointed."""
+def area_correlations(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]], min_rows: int = 3) -> DataFrame:
+    """Several Spearman correlations at once for tables with one row per area: (keys, names, n).
+
+    A group is bounded by the area list, so plain windows are enough. Rows are placed by the
+    keys once; every window and the final aggregation reuse that placement. ``n`` counts the
+    finite pairs of the first correlation.
+    """
     keys = list(keys)
-    kept = df.filter(finite_pair(F.col(x), F.col(y)))
+    placed = df.repartition(*keys)
+    for name, (x, y) in pairs.items():
+        placed = placed.withColumn(f"_ok_{name}", finite_pair(F.col(x), F.col(y)))
 
-    def avg_rank(c: str) -> Column:
-        ties = F.count("*").over(W.partitionBy(*keys, c))
-        return F.rank().over(W.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2.0
+    def avg_rank(c: str, ok: str) -> Column:
+        ties = F.count("*").over(W.partitionBy(*keys, ok, c))
+        rank = F.rank().over(W.partitionBy(*keys, ok).orderBy(c)) + (ties - 1) / 2.0
+        return F.when(F.col(ok), rank)
 
-    ranked = kept.select(*keys, avg_rank(x).alias("_rx"), avg_rank(y).alias("_ry"))
-    grouped = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.stddev_pop("_rx").alias("_sx"),
-        F.stddev_pop("_ry").alias("_sy"),
-        F.covar_pop("_rx", "_ry").alias("_cov"),
-    )
-    usable = (F.col("n") >= min_rows) & (F.col("_sx") > 0) & (F.col("_sy") > 0)
-    return grouped.select(*keys, F.when(usable, F.col("_cov") / (F.col("_sx") * F.col("_sy"))).alias("rho"), "n")
+    ranked = placed.select(*keys, *[
+        avg_rank(c, f"_ok_{name}").alias(f"_{side}_{name}") for name, xy in pairs.items() for side, c in zip("xy", xy)
+    ])
+    sums = []
+    for name in pairs:
+        x, y = f"_x_{name}", f"_y_{name}"
+        sums += [F.count(x).alias(f"_n_{name}"), F.stddev_pop(x).alias(f"_sx_{name}"), F.stddev_pop(y).alias(f"_sy_{name}"),
+                 F.covar_pop(x, y).alias(f"_cov_{name}")]
+    grouped = ranked.groupBy(*keys).agg(*sums)
+
+    def rho(name: str) -> Column:
+        usable = (F.col(f"_n_{name}") >= min_rows) & (F.col(f"_sx_{name}") > 0) & (F.col(f"_sy_{name}") > 0)
+        return F.when(usable, F.col(f"_cov_{name}") / (F.col(f"_sx_{name}") * F.col(f"_sy_{name}"))).alias(name)
+
+    return grouped.select(*keys, *[rho(n) for n in pairs], F.col(f"_n_{next(iter(pairs))}").alias("n"))
+
+
+def spearman_of_areas(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
+    """M-01 / M-02 for tables with one row per area."""
+    return area_correlations(df, keys, {"rho": (x, y)}, min_rows)
 
 
 def with_p_value(correlations: DataFrame) -> DataFrame:

@@ -161,15 +161,14 @@ def sparsity_rule(cells: DataFrame, at_least: int = 30, percent: float = 70.0) -
 
 def with_loglik(df: DataFrame, y: str = "y_eff", n: str = "n_eff", mu: str = "mu", phi: str = "phi") -> DataFrame:
     """A-09: add ``value``, the log-likelihood of one cell; NULL for a mean outside (1e-4, 1 - 1e-4)."""
-    a = F.col(mu) * F.col(phi)
-    b = F.col(phi) - a
     out = special.with_lgamma(df, {
-        "_g1": a + F.col(y), "_g2": b + F.greatest(F.col(n) - F.col(y), F.lit(0.0)), "_g3": F.col(phi) + F.col(n),
-        "_g4": a, "_g5": b, "_g6": F.col(phi),
+        name: F.expr(text) for name, text in {
+            "_g1": f"{mu} * {phi} + {y}", "_g2": f"(1D - {mu}) * {phi} + greatest({n} - {y}, 0D)", "_g3": f"{phi} + {n}",
+            "_g4": f"{mu} * {phi}", "_g5": f"(1D - {mu}) * {phi}", "_g6": phi,
+        }.items()
     })
-    value = (F.col("_g1") - F.col("_g4")) + (F.col("_g2") - F.col("_g5")) - (F.col("_g3") - F.col("_g6"))
-    inside = (F.col(mu) > 1e-4) & (F.col(mu) < 1 - 1e-4)
-    return out.withColumn("value", F.when(inside, value)).drop(*[f"_g{i}" for i in range(1, 7)])
+    value = f"CASE WHEN {mu} > 1e-4D AND {mu} < 0.9999D THEN (_g1 - _g4) + (_g2 - _g5) - (_g3 - _g6) END AS value"
+    return out.selectExpr(*df.columns, value)
 
 
 def likelihood_grid(cells: DataFrame, grid: Column, by: Sequence[str]) -> DataFrame:
@@ -185,12 +184,12 @@ def likelihood_grid(cells: DataFrame, grid: Column, by: Sequence[str]) -> DataFr
     ).filter("loglik IS NOT NULL")
 
 
-def _around(centre: Column, half: float, steps: int) -> Column:
-    width = 2.0 * half / (steps - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: centre - F.lit(half) + i * F.lit(width))
+def _around(centre: Column, half: Column, steps: int) -> Column:
+    """Evenly spaced values; the half width is a column, so rounds share their generated code."""
+    return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: centre - half + i * (half * F.lit(2.0 / (steps - 1))))
 
 
-def _grid(mu_logit: Column, mu_half: float, phi_log: Column, phi_half: float, steps: int) -> Column:
+def _grid(mu_logit: Column, mu_half: Column, phi_log: Column, phi_half: Column, steps: int) -> Column:
     """Array of (mu, phi) around a centre; the mean moves on the logit scale."""
     mus = F.transform(_around(mu_logit, mu_half, steps), lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v)))
     phis = F.transform(_around(phi_log, phi_half, steps), lambda v: F.exp(v))
@@ -210,17 +209,18 @@ def fit_shrinkage(cells: DataFrame, by: Sequence[str] = ("category",), rounds: i
         (F.sum("y_eff") / F.sum("n_eff")).alias("pooled"), F.sum("y_eff").alias("_y"), F.count("*").alias("cells")
     ))
     start = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("pooled")))
-    best = pooled.select(*by, F.ln(start / (1 - start)).alias("_mu"), F.lit(math.log(30.0)).alias("_phi"))
-    mu_half, phi_half = 2.0, 8.0
+    best = pooled.select(*by, F.ln(start / (1 - start)).alias("_mu"), F.lit(math.log(30.0)).alias("_phi"),
+                         F.lit(2.0).alias("_mh"), F.lit(8.0).alias("_ph"))
     for _ in range(rounds):
-        spread = base.join(best, by).withColumn("grid", _grid(F.col("_mu"), mu_half, F.col("_phi"), phi_half, steps))
+        spread = base.join(best, by).withColumn("grid", _grid(F.col("_mu"), F.col("_mh"), F.col("_phi"), F.col("_ph"), steps))
         scored = likelihood_grid(spread, F.col("grid"), by)
-        top = scored.groupBy(*by).agg(F.max_by(F.struct("mu", "phi", "loglik"), "loglik").alias("b"))
+        top = scored.groupBy(*by).agg(F.max_by(F.struct("mu", "phi", "loglik"), "loglik").alias("b")).join(
+            best.select(*by, "_mh", "_ph"), by
+        )
         best = cut_lineage(top.select(
             *by, F.ln(F.col("b.mu") / (1 - F.col("b.mu"))).alias("_mu"), F.ln("b.phi").alias("_phi"),
-            F.col("b.loglik").alias("loglik"),
+            (F.col("_mh") / 6.0).alias("_mh"), (F.col("_ph") / 6.0).alias("_ph"), F.col("b.loglik").alias("loglik"),
         ))
-        mu_half, phi_half = mu_half / 6.0, phi_half / 6.0
     weak = (F.col("cells") < 3) | (F.col("_y") <= 0)
     phi = F.exp("_phi") if cap is None else F.least(F.exp("_phi"), F.lit(cap))
     return pooled.join(best, by, "left").select(
@@ -291,20 +291,18 @@ def profile_likelihood(cells: DataFrame, by: Sequence[str], phis: Sequence[float
     start = base.groupBy(*by).agg((F.sum("y_eff") / F.sum("n_eff")).alias("m"))
     clipped = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("m")))
     best = cut_lineage(start.select(*by, F.ln(clipped / (1 - clipped)).alias("_mu"),
-                                    F.explode(F.array(*[F.lit(float(p)) for p in phis])).alias("phi")))
+                                    F.explode(F.array(*[F.lit(float(p)) for p in phis])).alias("phi"), F.lit(1.5).alias("_half")))
     base = cut_lineage(base)
-    half = 1.5
     top = None
     for _ in range(rounds):
-        mus = F.transform(_around(F.col("_mu"), half, steps), lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v)))
-        spread = base.join(best, by).select(*by, "phi", "y_eff", "n_eff", F.explode(mus).alias("mu"))
-        scored = with_loglik(spread).groupBy(*by, "phi", "mu").agg(F.sum("value").alias("loglik")).filter("loglik IS NOT NULL")
-        top = cut_lineage(scored.groupBy(*by, "phi").agg(
+        mus = F.transform(_around(F.col("_mu"), F.col("_half"), steps), lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(-v)))
+        spread = base.join(best, by).select(*by, "phi", "_half", "y_eff", "n_eff", F.explode(mus).alias("mu"))
+        scored = with_loglik(spread).groupBy(*by, "phi", "_half", "mu").agg(F.sum("value").alias("loglik")).filter("loglik IS NOT NULL")
+        top = cut_lineage(scored.groupBy(*by, "phi", "_half").agg(
             F.max_by("mu", "loglik").alias("mu"), F.max("loglik").alias("loglik")
         ))
-        best = top.select(*by, F.ln(F.col("mu") / (1 - F.col("mu"))).alias("_mu"), "phi")
-        half /= 4.0
-    return top
+        best = top.select(*by, F.ln(F.col("mu") / (1 - F.col("mu"))).alias("_mu"), "phi", (F.col("_half") / 4.0).alias("_half"))
+    return top.drop("_half")
 
 
 INTERIOR = tuple(float(v) for v in np.exp(np.linspace(math.log(10.0), math.log(5000.0), 25)))

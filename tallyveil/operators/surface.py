@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions.codes import per_100k
+from tallyveil.session import cut_lineage
 
 UNSTABLE_RATE = 0.05  # fixed value: rates below are flagged as unstable
 
@@ -95,9 +96,9 @@ def monte_carlo_interval(rates: DataFrame, by: Sequence[str] = ("category",), dr
     values out, already summed per Arrow batch, so the shuffle carries (draw, partial sum).
     """
     by = list(by)
-    base = rates.filter("r_hat > 0 AND observed > 0").select(
+    base = cut_lineage(rates.filter("r_hat > 0 AND observed > 0").select(
         *by, "area", F.col("observed").cast("double").alias("observed"), "alpha", "beta", "r_hat"
-    )
+    ))
     chunks = -(-draws // chunk)
     spread = base.select("*", F.xxhash64(*by, "area").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
     spread = spread.repartition(*by, "_c")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.codes import per_100k, weight_or_zero, zero_pad
 from tallyveil.functions.hashing import mixed_hash
-from tallyveil.operators.ranking import spearman_of_areas
+from tallyveil.operators.ranking import area_correlations
 from tallyveil.session import literal_rows
 
 
@@ -85,10 +85,7 @@ def concordance_audit(table: DataFrame, by: Sequence[str] = ("category",)) -> Da
         "rho_counts": ("observed", "survey"), "rho_observed": ("_o", "_v"), "rho_latent": ("_l", "_v"),
         "rho_population": ("person_years", "observed"),
     }
-    out = None
-    for name, (x, y) in pairs.items():
-        rho = spearman_of_areas(d, by, x, y).select(*by, F.col("rho").alias(name))
-        out = rho if out is None else out.join(rho, by)
+    out = area_correlations(d, by, pairs).drop("n")
     return out.withColumn("delta", F.col("rho_latent") - F.col("rho_observed"))
 
 
@@ -117,11 +114,7 @@ def anchor_grid(panel: DataFrame) -> DataFrame:
         "rho_observed_counts": ("anchor_rate", "observed"), "rho_population": ("population", "observed"),
         "rho_countcount": ("anchor_count", "observed"),
     }
-    out = None
-    for name, (x, y) in pairs.items():
-        rho = spearman_of_areas(d, by, x, y).select(*by, F.col("rho").alias(name), *([F.col("n")] if out is None else []))
-        out = rho if out is None else out.join(rho, by, "left")
-    return out.withColumn("delta", F.col("rho_latent") - F.col("rho_observed"))
+    return area_correlations(d, by, pairs).withColumn("delta", F.col("rho_latent") - F.col("rho_observed"))
 
 
 def wins(grid: DataFrame, by: Sequence[str] = ("category",)) -> DataFrame:
@@ -220,9 +213,8 @@ def zone_distances(zones: DataFrame, table: DataFrame) -> DataFrame:
 def zone_correlations(zones: DataFrame, table: DataFrame) -> DataFrame:
     """A-45: rank correlation of zone totals with the survey, at least three zones."""
     totals = zones.join(table, "area").groupBy("k", "rep", "zone").agg(*[F.sum(c).alias(c) for c in ("observed", "latent", "annual")])
-    o = spearman_of_areas(totals, ["k", "rep"], "observed", "annual").select("k", "rep", F.col("rho").alias("rho_observed"))
-    latent = spearman_of_areas(totals, ["k", "rep"], "latent", "annual").select("k", "rep", F.col("rho").alias("rho_latent"))
-    return o.join(latent, ["k", "rep"])
+    pairs = {"rho_observed": ("observed", "annual"), "rho_latent": ("latent", "annual")}
+    return area_correlations(totals, ["k", "rep"], pairs).drop("n")
 
 
 def scale_sweep(distances: DataFrame, correlations: DataFrame, min_scale: int = 12) -> DataFrame:

@@ -11,7 +11,7 @@ from tallyveil.operators import surface as S
 from tallyveil.operators import validation as V
 from tallyveil.operators.ranking import spearman_of_areas, with_p_value
 from tallyveil.plans.catalog import AREA, CATEGORIES, YEARS, Tables, oracle, query
-from tallyveil.session import literal_rows
+from tallyveil.session import cut_lineage, literal_rows
 
 SUM_COLUMNS = "sw sw2 swd w_times w_times2 w_pnp w_any"
 WILSON = """
@@ -498,14 +498,11 @@ def _(t):
     return V.zone_distances(_zones(t), _mass(t))
 
 
-def _zone_rho(t: Tables):
-    rounded = _mass(t)
-    return V.zone_correlations(_zones(t), rounded)
 
 
 @query("a45_zone_correlation", oracle("SELECT * FROM zone_rho", "areas surface pooled", ZONES, ints="k rep", dbl="rho_observed rho_latent"))
 def _(t):
-    return _zone_rho(t)
+    return V.zone_correlations(_zones(t), _mass(t))
 
 
 @query("a46_scale_sweep", oracle("""
@@ -516,7 +513,8 @@ def _(t):
     "areas surface pooled", ZONES, ints="k reps",
     dbl="l1_observed_mean l1_latent_mean l1_observed_sd l1_latent_sd rho_observed rho_latent share_latent_closer"))
 def _(t):
-    return V.scale_sweep(V.zone_distances(_zones(t), _mass(t)), _zone_rho(t))
+    mass = cut_lineage(_mass(t))  # areas x categories, used by both parts
+    return V.scale_sweep(V.zone_distances(_zones(t), mass), V.zone_correlations(_zones(t), mass))
 
 
 @query("a47_availability_profile", oracle("""
