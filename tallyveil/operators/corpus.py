@@ -72,7 +72,11 @@ def flag_clusters(terms: DataFrame, cluster: str, keywords: Sequence[str]) -> Da
 
 def most_cited(papers: DataFrame, by: Sequence[str], citations: str, key: str, n: int) -> DataFrame:
     """L-02 / G-10: the n most cited per group; missing counts as zero, ties by key."""
-    ranked = positions(papers.withColumn("_c", F.coalesce(citations, F.lit(0))), list(by), [F.col("_c").desc(), F.col(key)])
+    counted = papers.withColumn("_c", F.coalesce(citations, F.lit(0)))
+    if not by:
+        # A global list needs no ranking of all rows: each task keeps its best n.
+        counted = counted.orderBy(F.col("_c").desc(), key).limit(n)
+    ranked = positions(counted, list(by), [F.col("_c").desc(), F.col(key)])
     return ranked.filter(F.col("position") <= n).drop("group_rows").withColumn(citations, F.col("_c")).drop("_c")
 
 

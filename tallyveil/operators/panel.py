@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyveil.functions import geo
 from tallyveil.functions.hashing import mixed_hash, uniform
 from tallyveil.operators.ordering import positions
+from tallyveil.session import cut_lineage
 
 
 # ---- grids --------------------------------------------------------------------------
@@ -142,36 +143,72 @@ def blocks_for(df: DataFrame, size: int) -> int:
     return max(1, -(-df.count() // size))
 
 
-def nearest_distance(cells: DataFrame, facilities: DataFrame, cell_block: int = 8192, facility_block: int = 8192) -> DataFrame:
-    """F-28: great-circle distance to the nearest facility.
+def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Great-circle distances of every first to every second point (radians in, km out)."""
+    h = np.sin((lat2 - lat1[:, None]) / 2) ** 2 + np.cos(lat1[:, None]) * np.cos(lat2) * np.sin((lon2 - lon1[:, None]) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def site_blocks(facilities: DataFrame, size: int, max_blocks: int = 10_000) -> tuple[DataFrame, int]:
+    """Distinct sites cut into compact blocks: bands by latitude, then runs by longitude.
 
-    Both sides are cut into bounded blocks; each pair of blocks is one numpy minimum inside
-    a task and returns one row per cell, so pair rows are never produced and no side is
-    broadcast. ``cells``: cell, lat, lon; ``facilities``: lat, lon.
+    Both cuts use distributed positions. Blocks grow when there would be more than
+    ``max_blocks``, which bounds the block summary a caller collects.
     """
     sites = facilities.select("lat", "lon").distinct()
-    cb, fb = blocks_for(cells, cell_block), blocks_for(sites, facility_block)
-    left = cells.select(
-        "cell", "lat", "lon", F.pmod(F.xxhash64("cell"), F.lit(cb)).alias("cb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(fb - 1).cast("bigint"))).alias("fb"),
-    )
-    right = sites.select(
-        "lat", "lon", F.pmod(F.xxhash64("lat", "lon"), F.lit(fb)).alias("fb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cb - 1).cast("bigint"))).alias("cb"),
+    n = sites.count()
+    size = max(size, -(-n // max_blocks))
+    blocks = max(1, -(-n // size))
+    bands = max(1, int(blocks**0.5))
+    banded = positions(sites, [], [F.col("lat"), F.col("lon")]).select(
+        "lat", "lon", F.floor((F.col("position") - 1) * bands / F.col("group_rows")).cast("bigint").alias("band")
     )
+    placed = positions(banded, [], [F.col("band"), F.col("lon"), F.col("lat")])
+    return placed.select("lat", "lon", F.floor((F.col("position") - 1) / size).cast("bigint").alias("fb")), blocks
+
+
+def nearest_distance(cells: DataFrame, facilities: DataFrame, cell_block: int = 8192, facility_block: int = 2048) -> DataFrame:
+    """F-28: great-circle distance to the nearest facility.
+
+    Facilities are cut into compact blocks. A cell visits only blocks that can hold its
+    nearest site: centre distance minus radius must not exceed the smallest centre distance
+    plus radius. Each visited block is a numpy minimum inside a task with one row per cell,
+    so pair rows never exist. ``cells``: cell, lat, lon; ``facilities``: lat, lon.
+    """
+    placed, _ = site_blocks(facilities, facility_block)
+    sites = cut_lineage(placed)
+    centre = sites.groupBy("fb").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    reach = F.max(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
+    # At most ``max_blocks`` rows, by construction of the blocks.
+    summary = sites.join(centre, "fb").groupBy("fb", "clat", "clon").agg(reach.alias("radius")).orderBy("fb").collect()
+    ids = np.array([r["fb"] for r in summary], dtype=np.int64)
+    clat, clon = (np.radians(np.array([r[c] for r in summary], dtype=float)) for c in ("clat", "clon"))
+    radius = np.array([r["radius"] for r in summary], dtype=float)
+
+    @F.pandas_udf("array<bigint>")
+    def visits(lat: pd.Series, lon: pd.Series) -> pd.Series:
+        out = []
+        la, lo = np.radians(lat.to_numpy(float)), np.radians(lon.to_numpy(float))
+        for s in range(0, len(la), 256):
+            km = _km(la[s : s + 256], lo[s : s + 256], clat, clon)
+            best = (km + radius).min(axis=1, keepdims=True) + 1e-6
+            out += [ids[row] for row in (km - radius <= best)]
+        return pd.Series(out)
+
+    if not summary:
+        return cells.select("cell", F.lit(None).cast("double").alias("km"))
+    cb = blocks_for(cells, cell_block)
+    left = cells.select("cell", "lat", "lon", F.pmod(F.xxhash64("cell"), F.lit(cb)).alias("cb"), F.explode(visits("lat", "lon")).alias("fb"))
+    right = sites.select("lat", "lon", "fb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cb - 1).cast("bigint"))).alias("cb"))
     kind = dict(cells.dtypes)["cell"]
 
     def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"cell": a["cell"][:0], "km": np.empty(0)})
-        lat2, lon2 = np.radians(b["lat"].to_numpy(float)), np.radians(b["lon"].to_numpy(float))
-        best = np.empty(len(a))
-        lat1, lon1 = np.radians(a["lat"].to_numpy(float)), np.radians(a["lon"].to_numpy(float))
-        for s in range(0, len(a), 512):
-            la, lo = lat1[s : s + 512, None], lon1[s : s + 512, None]
-            h = np.sin((lat2 - la) / 2) ** 2 + np.cos(la) * np.cos(lat2) * np.sin((lon2 - lo) / 2) ** 2
-            best[s : s + 512] = h.min(axis=1)
-        return pd.DataFrame({"cell": a["cell"], "km": 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(best)))})
+        la, lo = np.radians(a["lat"].to_numpy(float)), np.radians(a["lon"].to_numpy(float))
+        lb, ob = np.radians(b["lat"].to_numpy(float)), np.radians(b["lon"].to_numpy(float))
+        best = [_km(la[s : s + 512], lo[s : s + 512], lb, ob).min(axis=1) for s in range(0, len(a), 512)]
+        return pd.DataFrame({"cell": a["cell"], "km": np.concatenate(best)})
 
     partial = left.groupBy("cb", "fb").cogroup(right.groupBy("cb", "fb")).applyInPandas(closest, f"cell {kind}, km double")
     return partial.groupBy("cell").agg(F.min("km").alias("km"))
@@ -229,19 +266,29 @@ def district_hold_out(units: DataFrame, key: str, seed: int, share: float = 0.25
     return placed.select(key, F.when(F.col("position") <= size, "test").otherwise("train").alias("part"))
 
 
-def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int) -> DataFrame:
+def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> DataFrame:
     """ML-17: keep every counted event with probability min(1, rate / base).
 
-    Each event draws from its own key, so the result does not depend on partitioning.
+    Each event draws from its own key, so the result does not depend on partitioning. A row
+    that stands for very many events is split into chunks that are drawn in parallel.
     """
     p = min(1.0, rate / base)
     draw_seed = 1000 * seed + int(round(100 * rate))
     if p >= 1.0:
         return df.withColumn(name, F.col(value))
-    n = F.col(value).cast("int")
-    events = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    kept = F.size(F.filter(events, lambda i: uniform(key * F.lit(1009) + i, draw_seed) < F.lit(p)))
-    return df.withColumn(name, kept.cast("double"))
+
+    def kept(first: Column, last: Column) -> Column:
+        events = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.size(F.filter(events, lambda i: uniform(F.col("_key") * F.lit(1009) + i, draw_seed) < F.lit(p)))
+
+    n = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
+    keyed = df.withColumn("_key", key)
+    small = keyed.filter(n <= chunk).withColumn(name, kept(F.lit(1).cast("bigint"), n).cast("double"))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / chunk))).alias("_c")
+    large = keyed.filter(n > chunk).select("*", parts).repartition("_key", "_c")
+    drawn = large.withColumn("_k", kept(F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, n)))
+    summed = drawn.groupBy(*df.columns, "_key").agg(F.sum("_k").cast("double").alias(name))
+    return small.unionByName(summed).drop("_key")
 
 
 def fold_summary(scores: DataFrame, values: Sequence[str]) -> DataFrame:

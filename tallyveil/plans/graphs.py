@@ -193,3 +193,11 @@ def _(t):
   SELECT 'toxic', CAST(sum(toxic) AS BIGINT), avg(toxic), count(*) FROM labels""", ints="papers total", dbl="share"))
 def _(t):
     return SC.protocol_shares(t.labels, ["quality", "toxic"])
+
+
+@query("g09_label_summary", oracle("""
+  SELECT count(*) FILTER (WHERE label IS NOT NULL AND n >= 3) AS large, count(*) FILTER (WHERE label IS NOT NULL AND n = 2) AS pairs, coalesce(sum(CASE WHEN label IS NULL THEN n END), 0) AS isolated
+  FROM (SELECT CASE WHEN s_acctbal > 0 THEN s_nationkey END AS label, count(*) AS n FROM supplier GROUP BY ALL) AS c""", ints="large pairs isolated"))
+def _(t):
+    d = t.supplier.select(F.col("s_suppkey").alias("paper"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("community"))
+    return G.community_sizes(d)

@@ -145,6 +145,8 @@ def test_thinning_is_binomial_and_keeps_full_rate(spark):
     mean, sd, top = half.agg(F.avg("t"), F.stddev_pop("t"), F.max("t")).first()
     assert mean == pytest.approx(5.0, abs=0.1) and sd == pytest.approx(np.sqrt(2.5), abs=0.1) and top <= 10
     assert P.thin_counts(d, F.col("id"), "n", "t", 0.9, 0.8, 3).filter("t <> n").isEmpty()
+    split = P.thin_counts(d, F.col("id"), "n", "t", 0.4, 0.8, 3, chunk=3)
+    assert {tuple(r) for r in split.collect()} == {tuple(r) for r in half.collect()}
 
 
 def test_cluster_terms_need_two_documents(spark):
