@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,18 @@ def lagged(panel: DataFrame, counts: DataFrame, keys: Sequence[str], value: str,
     return zero_filled(panel, counts.withColumn("year", F.col("year") + years), keys, value, name)
 
 
+def lag_features(panel: DataFrame, counts: DataFrame, keys: Sequence[str], value: str, lags: Mapping[str, int]) -> DataFrame:
+    """J-04 and J-05 together: several lags (0 is the target itself) with one join.
+
+    Counts are spread to the years they serve and gathered per key, so the panel is shuffled
+    once instead of once per lag.
+    """
+    shifts = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("by")) for n, k in lags.items()])).alias("_l")
+    spread = counts.select(*keys, F.col(value).cast("double").alias("_v"), shifts).withColumn("year", F.col("year") + F.col("_l.by"))
+    wide = spread.groupBy(*keys).agg(*[F.sum(F.when(F.col("_l.name") == n, F.col("_v"))).alias(n) for n in lags])
+    return panel.join(wide, list(keys), "left").fillna(0.0, list(lags))
+
+
 def neighbour_mean(panel: DataFrame, edges: DataFrame, value: str, name: str, by: Sequence[str] = ("year", "category"),
                    cell: str = "cell") -> DataFrame:
     """J-06: mean over existing neighbours (cell degree is at most six)."""
@@ -92,7 +104,7 @@ def city_panel(points: DataFrame, units: DataFrame, years: Sequence[int], catego
     counts = points.groupBy("cell", "year", "category").agg(F.sum("count").alias("count"))
     keys = ["cell", "year", "category"]
     base = dense_panel(units.drop("district").join(district, "cell", "left"), years, categories)
-    full = lagged(zero_filled(base, counts, keys, "count", "target"), counts, keys, "count", "persist")
+    full = lag_features(base, counts, keys, "count", {"target": 0, "persist": 1})
     return with_known_district(full, fallback)
 
 

@@ -167,9 +167,13 @@ def hybrid_surface(weights: DataFrame, surface: DataFrame, points: DataFrame, va
     Points are summed per cell *and* district first, so a border cell is never duplicated.
     """
     keys = ["cell", "district", "year", "category"]
-    counts = points.groupBy(*keys).agg(F.sum("count").alias("_c"))
-    joined = weights.join(surface, "district").join(counts, keys, "left").withColumn("_c", F.coalesce("_c", F.lit(0.0)))
-    shared = dirichlet_share(joined, ["district", "year", "category"], "_c", "weight", smooth)
+    counts = points.groupBy(*keys).agg(F.sum("count").cast("double").alias("_c"))
+    # District totals come from the small count table, not from a second pass over the joined surface.
+    group = ["district", "year", "category"]
+    totals = counts.join(weights.select("cell", "district"), ["cell", "district"], "left_semi").groupBy(*group).agg(F.sum("_c").alias("_g"))
+    joined = weights.join(surface, "district").join(counts, keys, "left").join(totals, group, "left").fillna(0.0, ["_c", "_g"])
+    share = (F.col("_c") + F.lit(smooth) * F.col("weight")) / (F.col("_g") + F.lit(smooth))
+    shared = joined.withColumn("share", share).drop("_g")
     return shared.withColumns({v: F.col(v) * F.col("share") for v in values}).drop("_c", "weight").withColumnRenamed("share", "weight")
 
 

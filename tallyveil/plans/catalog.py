@@ -281,8 +281,7 @@ class Tables:
     def panel(self) -> DataFrame:
         keys = ["cell", "year", "category"]
         counts = self.counts()
-        d = P.zero_filled(P.dense_panel(self.units(), YEARS, CATEGORIES), counts, keys, "count", "target")
-        d = P.lagged(P.lagged(d, counts, keys, "count", "persist"), counts, keys, "count", "lag2", 2)
+        d = P.lag_features(P.dense_panel(self.units(), YEARS, CATEGORIES), counts, keys, "count", {"target": 0, "persist": 1, "lag2": 2})
         blend = 0.6 * F.col("persist") + 0.3 * F.col("lag2") + F.col("price") / 100000.0
         return d.withColumn("blend", F.round(blend, 6))
 

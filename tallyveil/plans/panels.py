@@ -79,7 +79,14 @@ def _(t):
 
 @query("j05_temporal_lag", oracle("SELECT cell, year, category, persist, lag2 FROM panel", "panel", ints="year", dbl="persist lag2"))
 def _(t):
-    return t.panel().select("cell", "year", "category", "persist", "lag2")
+    keys = ["cell", "year", "category"]
+    d = P.lagged(P.dense_panel(t.units(), YEARS, CATEGORIES), t.counts(), keys, "count", "persist")
+    return P.lagged(d, t.counts(), keys, "count", "lag2", 2).select("cell", "year", "category", "persist", "lag2")
+
+
+@query("j05_lag_features", oracle("SELECT cell, year, category, target, persist, lag2 FROM panel", "panel", ints="year", dbl="target persist lag2"))
+def _(t):
+    return t.panel().select("cell", "year", "category", "target", "persist", "lag2")
 
 
 HEX_COUNTS = """
