@@ -164,6 +164,14 @@ def community_sizes(members: DataFrame) -> DataFrame:
     )
 
 
+def community_leaders(members: DataFrame, papers: DataFrame, n: int = 5, least: int = 3) -> DataFrame:
+    """G-09: the n most cited members of every community of at least ``least`` papers."""
+    big = members.filter("community IS NOT NULL").groupBy("community").agg(F.count("*").alias("members")).filter(F.col("members") >= least)
+    listed = members.join(papers.select("paper", "citations"), "paper").join(big, "community")
+    ranked = positions(listed, ["community"], [F.coalesce("citations", F.lit(0)).desc(), F.col("paper")])
+    return ranked.filter(F.col("position") <= n).select("community", "members", "position", "paper")
+
+
 def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: int = 2048, max_pivots: int = 256) -> DataFrame:
     """J-15, first part: the k most similar vectors of every vector: (id, other, sim, place).
 

@@ -398,6 +398,25 @@ def definition_scan(cells: DataFrame, observed: DataFrame, definitions: Mapping[
     return prior.select("definition", "mu", "phi").join(total, "definition").join(mult, "definition")
 
 
+def definition_gates(table: DataFrame, base: str, wider: str, mu: float, multiplier: float, tolerance: float = 0.02,
+                     growth: float = 1.05) -> DataFrame:
+    """A-28, acceptance: the base definition must reproduce the published figures and the
+    wider one must enlarge the sample. Returns the broken gates; empty means accepted."""
+    row = table.agg(
+        F.max(F.when(F.col("definition") == base, F.col("mu"))).alias("mu"),
+        F.max(F.when(F.col("definition") == base, F.col("multiplier"))).alias("multiplier"),
+        F.max(F.when(F.col("definition") == base, F.col("total_n_eff"))).alias("n_base"),
+        F.max(F.when(F.col("definition") == wider, F.col("total_n_eff"))).alias("n_wide"),
+    )
+    off = (F.abs(F.col("mu") - mu) > tolerance) | (F.abs(F.col("multiplier") - multiplier) > 2 * tolerance)
+    gates = F.array(
+        F.struct(F.lit("figures not reproduced").alias("gate"), F.coalesce(off, F.lit(True)).alias("broken")),
+        F.struct(F.lit("wider definition adds nothing").alias("gate"),
+                 F.coalesce(F.col("n_wide") <= F.col("n_base") * growth, F.lit(True)).alias("broken")),
+    )
+    return row.select(F.explode(gates).alias("g")).filter("g.broken").select("g.gate")
+
+
 def scope_scan(cells: DataFrame, years: Sequence[int]) -> DataFrame:
     """A-29: change of the pooled mean, in percentage points, when only some years are kept."""
     def mean_of(scope: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.hashing import drawn_index, mixed_hash, string_code
 from tallyveil.operators.ordering import exact_quantile, positions
+from tallyveil.session import cut_lineage
 
 REPLICATES = 2000  # fixed value: bootstrap size of the published intervals
 
@@ -55,7 +56,7 @@ def percentile_interval(draws: DataFrame, value: str, by: Sequence[str] = (), lo
 def bootstrap_macro(stats: DataFrame, value: str, category: str = "category", district: str = "district",
                     replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """M-18: point and interval of the macro mean, districts resampled inside categories."""
-    kept = stats.filter(F.col(value).isNotNull())
+    kept = cut_lineage(stats.filter(F.col(value).isNotNull()).select(category, district, value))
     point = kept.groupBy(category).agg(F.avg(value).alias("_m")).agg(F.avg("_m").alias("point"))
     means = resampled_means(kept, category, district, [value], replicates, seed)
     per_draw = means.groupBy("replicate").agg(F.avg(value).alias("_draw"))
@@ -80,6 +81,7 @@ def bootstrap_by_category(paired: DataFrame, value: str, category: str = "catego
                           replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """M-20: one paired interval per category, NULL with fewer than two districts."""
     d = paired.withColumn("delta", F.col(f"{value}_b") - F.col(f"{value}_a")).filter("delta IS NOT NULL")
+    d = cut_lineage(d.select(category, district, "delta"))
     point = d.groupBy(category).agg(F.avg("delta").alias("point"), F.count("*").alias("districts"))
     draws = resampled_means(d, category, district, ["delta"], replicates, seed)
     out = point.join(percentile_interval(draws, "delta", [category]), category)

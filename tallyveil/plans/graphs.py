@@ -195,6 +195,15 @@ def _(t):
     return SC.protocol_shares(t.labels, ["quality", "toxic"])
 
 
+@query("g09_community_leaders", oracle("""
+  SELECT community, members, position, paper FROM (SELECT s_nationkey AS community, count(*) OVER (PARTITION BY s_nationkey) AS members, s_suppkey AS paper,
+      row_number() OVER (PARTITION BY s_nationkey ORDER BY citations DESC, s_suppkey) AS position FROM supplier JOIN papers ON paper = s_suppkey) AS r WHERE members >= 3 AND position <= 5""",
+    "papers", ints="community members position"))
+def _(t):
+    d = t.supplier.select(F.col("s_suppkey").alias("paper"), F.col("s_nationkey").alias("community"))
+    return G.community_leaders(d, t.papers())
+
+
 @query("g09_label_summary", oracle("""
   SELECT count(*) FILTER (WHERE label IS NOT NULL AND n >= 3) AS large, count(*) FILTER (WHERE label IS NOT NULL AND n = 2) AS pairs, coalesce(sum(CASE WHEN label IS NULL THEN n END), 0) AS isolated
   FROM (SELECT CASE WHEN s_acctbal > 0 THEN s_nationkey END AS label, count(*) AS n FROM supplier GROUP BY ALL) AS c""", ints="large pairs isolated"))

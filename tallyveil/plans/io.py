@@ -42,8 +42,8 @@ def _archives(t: Tables):
 def _(t):
     from tallyveil.functions.codes import weight_or_null
 
-    rows = RD.complete_rows(RD.survey_rows(_archives(t)))
-    d = rows.select(RD.field("l_returnflag").alias("flag"), weight_or_null(RD.field("l_quantity")).alias("w"))
+    rows = RD.survey_columns(_archives(t), ["L_RETURNFLAG", "l_quantity"])
+    d = rows.select(F.col("L_RETURNFLAG").alias("flag"), weight_or_null("l_quantity").alias("w"))
     return d.groupBy("flag").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
 
 

@@ -6,6 +6,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,29 +30,52 @@ def _member(archive: zipfile.ZipFile, wanted: str) -> tuple[zipfile.ZipFile, str
     return None
 
 
-def survey_rows(archives: DataFrame, wanted: str = "CAP_600", batch: int = 5000) -> DataFrame:
-    """IO-01: rows of the survey member inside (nested) zip archives.
+def _batches(content: bytes, wanted: str, batch: int) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """Header and row batches of the wanted member; nothing when the archive has none."""
+    found = _member(zipfile.ZipFile(io.BytesIO(content)), wanted)
+    if not found:
+        return
+    text = io.TextIOWrapper(found[0].open(found[1]), encoding="latin-1", newline="")
+    head = text.readline().replace("\x00", "")
+    sep = max(DELIMITERS, key=head.count)
+    header = next(csv.reader([head], delimiter=sep), [])
+    lines = csv.reader((line.replace("\x00", "") for line in text), delimiter=sep)
+    while rows := list(islice(lines, batch)):
+        yield header, rows
+
+
+def survey_columns(archives: DataFrame, columns: Sequence[str], wanted: str = "CAP_600", batch: int = 5000) -> DataFrame:
+    """IO-01: named columns of the survey member inside (nested) zip archives.
 
     ``archives`` has ``path`` and ``content``, as ``spark.read.format("binaryFile")`` gives.
-    One archive is one task; its rows are streamed out in batches as (path, header, fields).
+    One archive is one task; rows are streamed out in batches and cut down to the wanted
+    columns before they leave the task. A column the wave does not have is NULL; short rows
+    are dropped (IO-02). Column names are matched without regard to case.
     """
+    names = list(columns)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                for header, rows in _batches(content, wanted, batch):
+                    place = {c.upper(): i for i, c in enumerate(header)}
+                    whole = [r for r in rows if len(r) >= len(header)]
+                    picked = {"path": [path] * len(whole)}
+                    for n in names:
+                        i = place.get(n.upper())
+                        picked[n] = [None if i is None else r[i] for r in whole]
+                    yield pd.DataFrame(picked, dtype=object)
+
+    schema = ", ".join(["path string", *[f"`{n}` string" for n in names]])
+    return archives.select("path", "content").mapInPandas(read, schema)
+
+
+def survey_rows(archives: DataFrame, wanted: str = "CAP_600", batch: int = 5000) -> DataFrame:
+    """IO-01 for exploring a wave: every field as (path, header, fields), short rows included."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                found = _member(zipfile.ZipFile(io.BytesIO(content)), wanted)
-                if not found:
-                    continue
-                text = io.TextIOWrapper(found[0].open(found[1]), encoding="latin-1", newline="")
-                head = text.readline().replace("\x00", "")
-                sep = max(DELIMITERS, key=head.count)
-                header = next(csv.reader([head], delimiter=sep))
-                rows = []
-                for fields in csv.reader((line.replace("\x00", "") for line in text), delimiter=sep):
-                    rows.append(fields)
-                    if len(rows) >= batch:
-                        yield pd.DataFrame({"path": path, "header": [header] * len(rows), "fields": rows})
-                        rows = []
-                if rows:
+                for header, rows in _batches(content, wanted, batch):
                     yield pd.DataFrame({"path": path, "header": [header] * len(rows), "fields": rows})
 
     return archives.select("path", "content").mapInPandas(read, "path string, header array<string>, fields array<string>")

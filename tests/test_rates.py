@@ -136,6 +136,13 @@ def test_composition_distances(spark):
     assert got["l1_observed_raw"] == pytest.approx(2 * abs(0.6 - 600 / 1100))
 
 
+def test_definition_gates(spark):
+    table = spark.createDataFrame([("base", 0.224, 4.63, 100.0), ("wide", 0.15, 6.0, 104.0)], "definition string, mu double, multiplier double, total_n_eff double")
+    broken = lambda mu: [r["gate"] for r in R.definition_gates(table, "base", "wide", mu, 4.627).collect()]
+    assert broken(0.224) == ["wider definition adds nothing"]
+    assert broken(0.3) == ["figures not reproduced", "wider definition adds nothing"]
+
+
 def test_rezoning_is_balanced(spark):
     areas = spark.range(43).select(F.col("id").alias("area_key"), F.format_string("%06d", "id").alias("area"))
     sizes = V.rezone(areas, [12], 5).groupBy("rep", "zone").count().collect()

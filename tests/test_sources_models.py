@@ -34,6 +34,14 @@ def test_survey_archives(spark, tmp_path):
     assert got == {("15", "32,5", "1;x", None), ("07", "2,0", "2", None), ("15", "3,5", None, "é")}
 
 
+def test_survey_columns_are_pruned_and_complete(spark, tmp_path):
+    archive(tmp_path / "a.zip", 'CCDD;FACTOR;P601_1\n15;32,5;"1;x"\n15;1\n07;2,0;2\n')
+    archive(tmp_path / "b.zip", "factor|CCDD\n3,5|15\n", nested=False)
+    binary = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {tuple(r)[1:] for r in RD.survey_columns(binary, ["FACTOR", "P601_1"], batch=1).collect()}
+    assert got == {("32,5", "1;x"), ("2,0", "2"), ("3,5", None)}
+
+
 def test_simple_survey_and_typed_scan(spark, tmp_path):
     f = tmp_path / "s.csv"
     f.write_bytes("ubigeo;FACTOR;año\n000101;1,5;2020\n".encode("latin-1"))
