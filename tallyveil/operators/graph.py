@@ -108,7 +108,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return labels
 
 
-def communities(core: DataFrame, similarity: DataFrame, threshold: float = 0.1, max_core: int = 5000) -> DataFrame:
+def communities(core: DataFrame, similarity: DataFrame, threshold: float = 0.1, max_core: int = 2000) -> DataFrame:
     """G-08: average-linkage communities cut at distance 1 - threshold: (paper, community).
 
     With a positive threshold two components never merge (their distance is 1), so linkage

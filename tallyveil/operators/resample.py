@@ -19,30 +19,25 @@ def resampled_means(stats: DataFrame, group: str, unit: str, values: Sequence[st
                     seed: int = 0) -> DataFrame:
     """Mean of ``values`` per (group, replicate) over units drawn with replacement.
 
-    Every replicate draws as many units as the group has. How often a unit was drawn is
-    counted first, so the join carries one row per distinct (replicate, unit).
+    Every replicate draws as many units as the group has. Slots are exploded over the
+    replicates and look up the drawn unit; partial sums per (group, replicate) are combined
+    before the shuffle.
     """
     kept = stats.select(group, unit, *values)
     for v in values:
         kept = kept.filter(F.col(v).isNotNull() & ~F.isnan(v))
     placed = positions(kept, [group], [F.col(unit)])
-    draws = placed.select(
-        group,
-        F.col("position").alias("_slot"),
-        F.col("group_rows").alias("_size"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate"),
+    slots = placed.select(
+        group, F.col("position").alias("_slot"), F.col("group_rows").alias("_size"),
+        (string_code(F.col(group)) + F.lit(seed)).alias("_seed"),
     )
-    key = F.col("replicate") * F.lit(1000003) + F.col("_slot")
-    drawn = draws.select(
-        group, "replicate",
-        (drawn_index(key, string_code(F.col(group)) + F.lit(seed), F.col("_size")) + 1).alias("position"),
-    )
-    picked = drawn.groupBy(group, "replicate", "position").agg(F.count("*").alias("_times"))
-    joined = picked.join(placed.drop("group_rows", unit), [group, "position"])
-    total = F.sum("_times")
-    return joined.groupBy(group, "replicate").agg(
-        *[(F.sum(F.col(v) * F.col("_times")) / total).alias(v) for v in values]
+    draws = slots.withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
     )
+    key = F.col("replicate") * F.lit(1000003) + F.col("_slot")
+    drawn = draws.select(group, "replicate", (drawn_index(key, F.col("_seed"), F.col("_size")) + 1).alias("position"))
+    joined = drawn.join(placed.drop("group_rows", unit), [group, "position"])
+    return joined.groupBy(group, "replicate").agg(*[F.avg(v).alias(v) for v in values])
 
 
 def percentile_interval(draws: DataFrame, value: str, by: Sequence[str] = (), low: float = 0.025, high: float = 0.975) -> DataFrame:
