@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions import geo
+from tallyveil.functions.geo import EARTH_RADIUS_KM
 from tallyveil.functions.hashing import mixed_hash, uniform
 from tallyveil.operators.ordering import positions
 from tallyveil.session import cut_lineage
@@ -158,7 +159,7 @@ def blocks_for(df: DataFrame, size: int) -> int:
 def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
     """Great-circle distances of every first to every second point (radians in, km out)."""
     h = np.sin((lat2 - lat1[:, None]) / 2) ** 2 + np.cos(lat1[:, None]) * np.cos(lat2) * np.sin((lon2 - lon1[:, None]) / 2) ** 2
-    return 2 * geo.EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+    return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
 def site_blocks(facilities: DataFrame, size: int, max_blocks: int = 10_000) -> tuple[DataFrame, int]:
