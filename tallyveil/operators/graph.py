@@ -82,18 +82,19 @@ def isolated_nodes(core: DataFrame, similarity: DataFrame) -> DataFrame:
     return core.select("paper").join(ends.distinct(), "paper", "left_anti")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by repeated minimum labels: (node, component).
 
     Each round also follows the label of the label, so long chains shrink quickly. Rounds
-    are checkpointed; the loop ends when no label moved.
+    are checkpointed; the loop ends only when no label moved.
     """
     both = cut_lineage(edges.select(F.explode(F.array(
         F.struct(F.col("source").alias("node"), F.col("target").alias("other")),
         F.struct(F.col("target").alias("node"), F.col("source").alias("other")),
     )).alias("e")).select("e.node", "e.other"))
     labels = cut_lineage(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
-    for _ in range(max_rounds):
+    moving = not labels.isEmpty()
+    while moving:
         seen = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(
             F.min("component").alias("_near")
         )
@@ -103,8 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             "node", F.least("component", F.coalesce("_far", F.col("component"))).alias("component"), "_old"
         ))
         labels = moved.select("node", "component")
-        if moved.filter("component <> _old").isEmpty():
-            break
+        moving = not moved.filter("component <> _old").isEmpty()
     return labels
 
 
