@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 OPERATORS = (
-    "url_filter", "token_counts",
+    "near_dedup", "url_filter", "token_counts",
 )
 
 
