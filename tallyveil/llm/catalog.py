@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 OPERATORS = (
-    "near_dedup", "url_filter", "decontaminate", "token_counts",
+    "near_dedup", "url_filter", "decontaminate", "token_counts", "warc_archive", "language",
 )
 
 
