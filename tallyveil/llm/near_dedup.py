@@ -11,10 +11,11 @@ Groups. Texts with equal shingle sets form one class, represented by one row. Th
 
 1. Each bucket's most connected member leads, and every other member is compared with it. This settles groups
    of copies of any size with one comparison per member.
-2. Buckets that still hold several components are cut into blocks of at most ``BLOCK`` members, and every two
-   blocks of a bucket are matched on their signatures, members of one component aside. Pairs whose signatures
-   agree on less than ``floor`` of their values are ruled out (0.6 lies five standard deviations below the
-   estimate of a pair at 0.75); the others are compared. A pair is taken up in the first bucket it shares.
+2. Buckets that still hold several components are cut into blocks of about ``BLOCK`` members, and every two
+   blocks of a bucket meet in one task with their texts. Members of one component are passed over, pairs whose
+   signatures agree on less than ``floor`` of their values are ruled out (0.6 lies five standard deviations
+   below the estimate of a pair at 0.75), and the others are compared where they are, so only links leave the
+   task. A pair is taken up in the first bucket it shares.
 
 A comparison reads both whole texts and is exact for the given similarity (on 64-bit hashes of shingles).
 Comparisons with one leader are dealt out in blocks, so a leader of millions of copies is not one task.
@@ -129,14 +130,14 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return rows.mapInArrow(compare, "source string, target string")
 
 
-def matched(members: DataFrame, percent: int, floor: float, band: int) -> DataFrame:
-    """(node, leader) pairs of different components whose signatures agree, from buckets cut into blocks.
+def matched(members: DataFrame, width: int, percent: int, floor: float) -> DataFrame:
+    """(source, target) links between different components, from buckets cut into blocks.
 
-    ``members`` has band, key, node, component, size, signature, bands and the bucket's number of blocks.
+    ``members`` has band, key, node, component, size, signature, bands, text and the bucket's number of blocks.
     """
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "component", "size", "signature", "bands")
+    units = units.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "node", "component", "size", "signature", "bands", "text")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(block: pa.RecordBatch) -> tuple[list, list]:
@@ -149,14 +150,25 @@ def matched(members: DataFrame, percent: int, floor: float, band: int) -> DataFr
         sizes = np.asarray(block.column("size"))
         keys = np.asarray(block.column("bands").flatten()).reshape(len(sides), -1)
         here, need = block.column("band")[0].as_py(), floor * marks.shape[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                ((_, _, data, offsets),) = text_pieces(block.column("text").slice(i, 1), PIECE_BYTES)
+                sets[i] = shingle_sets(data, offsets, width)[0]
+            return sets[i]
+
         a_out, b_out = [], []
         for x in left:
             y = right[(groups[right] != groups[x]) & (names[right] > names[x] if len(right) == len(left) and right[0] == left[0] else True)]
             y = y[100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])]
             y = y[(marks[y] == marks[x]).sum(axis=1) >= need] if len(y) else y
             y = y[(keys[y] == keys[x]).argmax(axis=1) == here] if len(y) else y
-            a_out += [names[x]] * len(y)
-            b_out += names[y].tolist()
+            for other in y.tolist():
+                common = len(np.intersect1d(shingles(x), shingles(other), assume_unique=True))
+                if 100 * common >= percent * (sizes[x] + sizes[other] - common):
+                    a_out.append(names[x])
+                    b_out.append(names[other])
         return a_out, b_out
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +183,17 @@ def matched(members: DataFrame, percent: int, floor: float, band: int) -> DataFr
             unit = [np.asarray(whole.column(c)) for c in ("key", "i", "j")]
             cuts = [0, *(np.flatnonzero(np.any([np.diff(u) != 0 for u in unit], axis=0)) + 1), whole.num_rows]
             last = len(cuts) - (1 if batch is None else 2)
-            nodes, leaders = [], []
+            sources, targets = [], []
             for a, b in zip(cuts[:last], cuts[1 : last + 1]):
                 if b - a > 1:
                     x, y = pairs_of(whole.slice(a, b - a))
-                    nodes += x
-                    leaders += y
+                    sources += x
+                    targets += y
             rest = whole.slice(cuts[last]) if batch is not None else None
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(leaders)], names=["node", "leader"])
+            if sources:
+                yield pa.RecordBatch.from_arrays([pa.array(sources), pa.array(targets)], names=["source", "target"])
 
-    return units.mapInArrow(match, "node string, leader string")
+    return units.mapInArrow(match, "source string, target string")
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -205,7 +217,7 @@ def near_groups(
     if members.isEmpty():
         groups = docs.sparkSession.createDataFrame([], "node string, component string")
     else:
-        groups = _link(docs, sketched, classes, members, percent, width, floor, band, text, doc_id)
+        groups = _link(docs, sketched, classes, members, percent, width, floor, text, doc_id)
     placed = sketched.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.filter("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(names, "component", "left")
@@ -213,7 +225,7 @@ def near_groups(
     return named.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
 
 
-def _link(docs, sketched, classes, members, percent, width, floor, band, text, doc_id) -> DataFrame:
+def _link(docs, sketched, classes, members, percent, width, floor, text, doc_id) -> DataFrame:
     """(node, component) of all nodes with a confirmed link."""
     weights = members.groupBy("node").agg(F.sum("members").alias("weight"))
     # Whole text of one row of every class that shares a bucket.
@@ -230,10 +242,8 @@ def _link(docs, sketched, classes, members, percent, width, floor, band, text, d
     inside = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     inside = inside.join(mixed, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members")
-    inside = inside.join(classes.select("node", "size", "signature", "bands"), "node")
-    second = written(matched(inside, percent, floor, band), "matched").join(first, ["node", "leader"], "left_anti").distinct()
-    more = linked(second, texts, width, percent)
-    return components(written(links.unionByName(more), "links"))
+    inside = inside.join(classes.select("node", "size", "signature", "bands"), "node").join(texts, "node")
+    return components(written(links.unionByName(matched(inside, width, percent, floor)), "links"))
 
 
 def op1_near_duplicates(spark, folder: str) -> DataFrame:
