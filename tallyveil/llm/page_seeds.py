@@ -17,7 +17,7 @@ WRAPPERS = [
     "article", "main", "div class='content'", "div class='post'", "div id='article-body'", "section class='entry-content'", "div class='story text'",
     "div role='main'", "td class='main-text'", "div class='article'", "div",
 ]
-#: Page parts that are no article text; LINKS becomes a list of links, TEXT a sentence, LONG a paragraph.
+#: Page parts that are no article text; LINKS becomes a list of links, TINY a word or three, TEXT a sentence, LONG a paragraph.
 PARTS = [
     "<nav>LINKS</nav>", "<div class='menu'>LINKS</div>", "<ul id='navigation'>LINKS</ul>", "<header><div class='logo'>TEXT</div>LINKS</header>", "<div class='header'>TEXT</div>",
     "<div class='breadcrumb'>LINKS</div>", "<aside><h3>TEXT</h3>LINKS</aside>", "<div class='sidebar'><p>LONG</p>LINKS</div>", "<div id='sidebar-right'><h4>TEXT</h4><p>TEXT</p></div>",
@@ -26,13 +26,14 @@ PARTS = [
     "<form action='/s'><label>TEXT</label><input><button>Go</button></form>", "<div class='newsletter subscribe'><p>LONG</p><form><input></form></div>", "<form class='login'><p>TEXT</p></form>", "<div class='search'><form><input></form></div>",
     "<div class='comments'><h3>TEXT</h3><div class='comment'><p>LONG</p></div><div class='comment'><p>LONG</p></div></div>", "<section id='comments'><ol><li class='comment-body'><p>LONG</p></li><li class='reply'>TEXT</li></ol></section>",
     "<ul class='discussion replies'><li>LONG</li><li>TEXT</li></ul>", "<div class='share social'>LINKS</div>", "<div class='related'><h4>TEXT</h4>LINKS</div>", "<div class='recommended more-stories'><p>LONG</p>LINKS</div>",
-    "<div class='tags'>LINKS</div>", "<div class='pagination'>LINKS</div>", "<div class='widget'>TEXT</div>", "<footer>TEXT</footer>", "<footer><p>LONG</p>LINKS</footer>", "<div class='footer'>TEXT LINKS</div>", "<div id='copyright'>TEXT</div>",
+    "<div class='tags'>LINKS</div>", "<div class='pagination'>LINKS</div>", "<div class='widget'>TEXT</div>", "<div class='toolbar'>TINY TINY</div>", "<aside><p>TINY</p><p>TINY</p></aside>", "<footer>TEXT</footer>", "<footer><p>LONG</p>LINKS</footer>", "<div class='footer'>TEXT LINKS</div>", "<div id='copyright'>TEXT</div>",
     "<noscript>TEXT</noscript>", "<dialog><p>TEXT</p></dialog>", "<div class='disclaimer legal'>LONG</div>", "<select><option>TEXT</option><option>TEXT</option></select>",
 ]
 #: Shapes of an article's own text.
 BODIES = [
     "<h1>HEAD</h1><p>LONG</p><p>LONG</p><p>TEXT</p>", "<header><h1>HEAD</h1></header><p>TEXT</p><h2>HEAD</h2><p>LONG</p><ul><li>TEXT</li><li>LONG</li></ul>", "<h1>HEAD</h1><div>LONG</div><div>TEXT</div><blockquote><p>LONG</p></blockquote>",
     "<h2>HEAD</h2><section><p>LONG</p><p>TEXT</p></section><section><h3>HEAD</h3><p>LONG</p></section>", "LONG<br><br>LONG", "<h1>HEAD</h1><p>TEXT</p>", "<p>LONG</p><pre>LONG</pre><table><tr><td>TEXT</td><td>TEXT</td></tr></table><p>TEXT</p>",
+    "<h1>HEAD</h1><p>LONG</p>" + "<p>TINY</p>" * 14, "<h1>TINY</h1><p>TINY</p><p>TEXT</p><p>TINY</p><p>TINY</p>", "<h1>HEAD</h1>" + "<p>TEXT</p><p>TINY</p>" * 9,
     "<h1>HEAD</h1><figure><img src='x'><figcaption>TEXT</figcaption></figure><p>LONG</p><p>HEAD</p><p>LONG</p>",
 ]
 
@@ -47,7 +48,7 @@ def seed_pages(pages: int = 160) -> list[str]:
         return " ".join(islice(cycle(_FILLER), at % len(_FILLER), at % len(_FILLER) + n))
 
     def fill(part: str) -> str:
-        for name, sizes in (("LONG", (60, 35, 110, 24)), ("TEXT", (7, 12, 4, 9)), ("HEAD", (6, 9, 4, 11))):
+        for name, sizes in (("LONG", (60, 35, 110, 24)), ("TEXT", (7, 12, 4, 9)), ("TINY", (2, 1, 3, 2)), ("HEAD", (6, 9, 4, 11))):
             while name in part:
                 part = part.replace(name, words(sizes[at % len(sizes)]), 1)
         while "LINKS" in part:

@@ -142,7 +142,7 @@ def features(nodes: list[list]) -> list[list[str]]:
     out = []
     for (_, tag, words, _, _, _), n, l, s in zip(nodes, size, link, stops):
         kind = "t" if tag == "#text" else "e"
-        seen = [f"tag {tag}", f"{kind} size {min(n, 4000).bit_length()}", f"{kind} link {0 if not l else 1 + 4 * l // max(n, 1)}", f"{kind} stops {min(s, 4).bit_length()}"]
+        seen = [f"tag {tag}", f"{kind} size {min(n, 4000).bit_length() // 2}", f"{kind} link {0 if not l else 1 + 4 * l // max(n, 1)}", f"{kind} stops {min(s, 4).bit_length()}"]
         out.append(seen + [f"word {w}" for w in words])
     return out
 
