@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 OPERATORS = (
-    "near_dedup", "url_filter", "decontaminate", "token_counts", "syncmers", "page_text", "word_lexicon", "warc_archive", "language",
+    "near_dedup", "url_filter", "pair_grammar", "decontaminate", "token_counts", "syncmers", "page_text", "word_lexicon", "warc_archive", "language",
 )
 
 

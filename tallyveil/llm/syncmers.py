@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.llm.common import by_bytes, table
+from tallyveil.llm.ranges import range_numbers
 from tallyveil.llm.shingles import mix
 
 K, S = 16, 8
@@ -123,15 +123,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def _ordered(docs: DataFrame, buckets: int, text: str, doc_id: str) -> DataFrame:
     """Rows with bucket and head: sorted by descending id inside each bucket, heads of the next bucket last."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    edges = rows.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
-    splits = [-float("inf"), *sorted(set(edges)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_id", outputCol="bucket", handleInvalid="keep")
-
-    def placed(df: DataFrame) -> DataFrame:
-        # Larger ids come first, so ranges are numbered from the end; rows without id form the last one.
-        number = F.when(F.col("doc_id").isNull(), F.lit(len(splits))).otherwise(F.lit(len(splits)) - 2 - F.col("bucket")).cast("int")
-        return cut.transform(df.withColumn("_id", F.col("doc_id").cast("double"))).withColumn("bucket", number).drop("_id")
-
+    placed = range_numbers(rows, "doc_id", buckets, descending=True)
     # One row for each range comes to the driver: its number and its first id.
     firsts = sorted((r["bucket"], r["top"]) for r in placed(rows.select("doc_id")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     everything = placed(rows)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.llm.common import by_bytes, table
+from tallyveil.llm.pieces import byte_alphabet
 
 #: The pre-tokenizer pattern of the published byte-level BPE vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,13 +34,6 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Printable stand-ins of bytes in byte-level vocabularies: themselves where printable, else from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def _plain_byte_level(spec: dict) -> bool:
     """True for a byte-level BPE whose ids follow the order of its merges, with no other step around it."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}

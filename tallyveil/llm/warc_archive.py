@@ -26,12 +26,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import table, written
+from tallyveil.llm.common import open_store, table, written
 from tallyveil.session import scratch_path
 
 #: Fixed value: the magic number of the skippable frame that holds the dictionary.
@@ -46,15 +45,6 @@ class ArchiveError(ValueError):
     """A record that does not keep to the format."""
 
 
-def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path of a folder named as Spark names it."""
-    if uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    if "://" not in uri:
-        return pyarrow.fs.LocalFileSystem(), uri
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

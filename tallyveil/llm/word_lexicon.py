@@ -22,9 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import tempfile
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -37,47 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.llm.common import by_bytes, table
-from tallyveil.llm.token_counts import byte_alphabet
+from tallyveil.llm.pieces import REMEMBERED, Cutter, PieceMemory, byte_alphabet
 
-#: Distinct words that a worker remembers, or counts before it passes counts on.
-REMEMBERED = 400_000
 NO_RANK = np.iinfo(np.int32).max
-#: Characters of the plain way: up to U+017F, whose lower case stays there or is a mark, and punctuation and currency signs without letters, digits or spaces.
-PLAIN = re.compile("[^\x00-ſ‐-‧‰-⁞₠-₿]")
-#: White space below U+0180 as the library's pattern engine sees it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0"
-
-
-def _category(first: str) -> str:
-    return "".join(map(re.escape, filter(lambda c: unicodedata.category(c)[0] == first, map(chr, range(0x180)))))
-
-
-#: The pre-tokenizer pattern of the published vocabulary, with its classes written out.
-PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_category('L')}]+|[{_category('N')}]|[^{SPACE}{_category('L')}{_category('N')}]+")
-
-
-class WordCutter:
-    """Texts to words as the tokenizer file cuts them; special strings come out as they are."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes_of = byte_alphabet()
-
-    def __call__(self, text: str) -> list[str]:
-        if self.cut and self.cut.search(text):
-            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words(part))]
-        return self.words(text)
-
-    def words(self, text: str) -> list[str]:
-        if text.isascii() or not PLAIN.search(text):
-            return PLAIN_WORDS.findall(text.lower())
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(self.bytes_of[c] for c in w).decode() for w, _ in found]
 
 
 class Merges:
@@ -255,44 +215,21 @@ class Lexicon:
 
 
 class WordCodec:
-    """Texts to token ids and back, with a lexicon, a memory of words seen, and exact merges for the rest."""
+    """Texts to token ids and back: a memory of words seen, the lexicon for new ones, and exact merges for the rest."""
 
     def __init__(self, path: str, lexicon: Lexicon | None):
-        self.cut, self.merges, self.lexicon = WordCutter(path), Merges(path), lexicon
-        self.forget()
-
-    def forget(self) -> None:
-        self.index = {word: k for k, word in enumerate(self.cut.special)}
-        parts = [np.array([i], np.int64) for i in self.cut.special.values()]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.flat = np.concatenate([np.zeros(0, np.int64), *parts])
+        self.merges, self.lexicon = Merges(path), lexicon
+        self.encode = PieceMemory(Cutter(path), self.ids_of_words).encode
 
-    def _learn(self, words: list[str]) -> None:
+    def ids_of_words(self, words: list[str]) -> list[np.ndarray]:
         numbers = self.lexicon(words) if self.lexicon else np.full(len(words), -1)
-        new = np.flatnonzero(numbers < 0)
         parts: list = [None] * len(words)
         for i in np.flatnonzero(numbers >= 0):
             parts[i] = self.lexicon.ids_of(int(numbers[i]))
-        for i, ids in zip(new, self.merges([words[i] for i in new])):
+        unseen = np.flatnonzero(numbers < 0)
+        for i, ids in zip(unseen, self.merges([words[i] for i in unseen])):
             parts[i] = ids
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, parts), np.int64, len(parts))])
-        self.flat = np.concatenate([self.flat, *parts])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        rows = [self.cut(t) for t in texts]
-        before = len(self.index)
-        words = np.fromiter((self.index.setdefault(w, len(self.index)) for row in rows for w in row), np.int64, sum(map(len, rows)))
-        if len(self.index) > before:
-            self._learn(list(self.index)[before:])
-        starts = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[words]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts[words] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return parts
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.merges.tokens.__getitem__, ids.tolist()))
@@ -302,7 +239,7 @@ def frequent_words(docs: DataFrame, path: str, size: int, text: str = "text") ->
     """The ``size`` most frequent words over all whole texts, counted in the tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, found = WordCutter(path), Counter()
+        cut, found = Cutter(path), Counter()
 
         def passed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
@@ -326,7 +263,7 @@ def frequent_words(docs: DataFrame, path: str, size: int, text: str = "text") ->
 
 def build_lexicon(docs: DataFrame, path: str, size: int = 50_000, text: str = "text") -> str:
     """Compiles the lexicon of the corpus and hands it to Spark's file distribution; returns its name there."""
-    cutter = WordCutter(path)
+    cutter = Cutter(path)
     words = [w for w in frequent_words(docs, path, size, text) if w not in cutter.special]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     place = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
