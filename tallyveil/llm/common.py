@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyveil.session import scratch_path
 
@@ -42,9 +41,12 @@ def by_bytes(sizes, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def utf8_bytes(text):
-    """Length of a text column in UTF-8 bytes, null as 0."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

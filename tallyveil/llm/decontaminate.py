@@ -25,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import table
+from tallyveil.llm.common import fits_broadcast, fresh_name, table, written
 
 BITS, BLOCKS = 64, 7
 #: Words of benchmark items that one pass broadcasts (some 40 MB with the fingerprint index).
 PASS_WORDS = 200_000
+#: Contaminated rows that are broadcast, as 8-byte keys, to be left out; more are left out by a shuffle join.
+BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -159,6 +161,16 @@ def contaminated(docs: DataFrame, items: DataFrame, *, width: int = 5, percent:
     return result.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.s")).alias("start"), "best.similarity", (-F.col("best.d")).alias("distance"))
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no passage like a benchmark item."""
+    key = fresh_name(docs, "contaminated_key")
+    # A row is known by its id and text together, so that rows without id are judged one by one.
+    keyed = docs.withColumn(key, F.xxhash64(doc_id, text))
+    found = contaminated(keyed.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), items, **settings)
+    bad = written(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(F.broadcast(bad) if fits_broadcast(bad, BROADCAST_KEYS) else bad, key, "left_anti").drop(key)
+
+
 def op4_contaminated_documents(spark, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 

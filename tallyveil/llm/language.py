@@ -202,42 +202,74 @@ def fit_languages(docs: DataFrame, pieces: list[str], *, docs_per_language: int
     return languages, model
 
 
+class Judge:
+    """Texts to (language, score) in a worker, with a memory of words scored."""
+
+    def __init__(self, languages: list[str], model: np.ndarray, pieces: list[str]):
+        self.languages, self.model, self.lattice = languages, model, Lattice(pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, self.model.shape[1]))
+
+    def _likelihoods(self, texts: list) -> np.ndarray:
+        if len(self.index) > REMEMBERED:
+            self.forget()
+        rows = [WORD.findall(t.lower()) if t else [] for t in texts]
+        index, before = self.index, len(self.index)
+        ids = [index.setdefault(w, len(index)) for row in rows for w in row]
+        if len(index) > before:
+            self.scores = np.concatenate([self.scores, word_scores(self.lattice, self.model, list(index)[before:])])
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        lettered = np.fromiter((any(any(map(str.isalpha, w)) for w in row) for row in rows), bool, len(rows))
+        filled = np.flatnonzero(counts)
+        likely = np.full((len(texts), self.model.shape[1]), -np.inf)
+        if len(filled):
+            starts = np.cumsum(counts) - counts
+            likely[filled] = np.add.reduceat(self.scores[ids], starts[filled], axis=0)
+        likely[~lettered] = -np.inf
+        return likely
+
+    def __call__(self, texts: list) -> tuple[list[str], np.ndarray]:
+        parts = [self._likelihoods(texts[a:b]) for a, b in by_bytes([len(t) if t else 0 for t in texts])]
+        if not parts or not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        likely = np.concatenate(parts)
+        known = np.isfinite(likely[:, 0])
+        best = likely.argmax(axis=1)
+        share = np.exp(likely - np.where(known, likely.max(axis=1), 0.0)[:, None]).sum(axis=1)
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, known)], np.where(known, 1.0 / np.maximum(share, 1.0), 0.0)
+
+
 def predict_languages(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The ``keep`` columns with ``lang_pred`` and ``score`` of every whole text."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
-        index: dict[str, int] = {}
-        scores = np.zeros((0, model.shape[1]))
+        judge = Judge(languages, model, pieces)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            likely = np.full((len(texts), model.shape[1]), -np.inf)
-            for a, b in by_bytes([len(t) if t else 0 for t in texts]):
-                if len(index) > REMEMBERED:
-                    index, scores = {}, scores[:0]
-                rows = [WORD.findall(t.lower()) if t else [] for t in texts[a:b]]
-                before = len(index)
-                ids = [index.setdefault(w, len(index)) for row in rows for w in row]
-                if len(index) > before:
-                    scores = np.concatenate([scores, word_scores(lattice, model, list(index)[before:])])
-                counts = np.fromiter(map(len, rows), np.int64, b - a)
-                lettered = np.fromiter((any(any(map(str.isalpha, w)) for w in row) for row in rows), bool, b - a)
-                filled = np.flatnonzero(counts)
-                starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-                if len(filled):
-                    likely[a + filled] = np.add.reduceat(scores[ids], starts[filled], axis=0)
-                likely[a:b][~lettered] = -np.inf
-            known = np.isfinite(likely[:, 0])
-            best = likely.argmax(axis=1)
-            share = np.exp(likely - np.where(known, likely.max(axis=1), 0.0)[:, None]).sum(axis=1)
-            score = np.where(known, 1.0 / np.maximum(share, 1.0), 0.0)
-            names = [languages[k] if ok and languages else "und" for k, ok in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score if languages else np.zeros(len(names)))], names=[*keep, "lang_pred", "score"])
+            names, scores = judge(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(predict, schema)
 
 
+def accept_documents(docs: DataFrame, vocabulary: str, min_score: float = 0.5, **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language with at least that score."""
+    pieces = public_pieces(vocabulary)
+    languages, model = fit_languages(docs.select("doc_id", "text", "lang"), pieces, **settings)
+    at = docs.columns.index("text")
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(languages, model, pieces)
+        for batch in batches:
+            names, scores = judge(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(accept, docs.schema)
+
+
 def identify_languages(docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",), **settings) -> DataFrame:
     """Fit on the table's own labelled rows that are not held out, and predict every row."""
     pieces = public_pieces(vocabulary)

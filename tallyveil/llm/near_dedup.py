@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import PIECE_BYTES, table, written
+from tallyveil.llm.common import PIECE_BYTES, fresh_name, table, written
 from tallyveil.llm.shingles import draws, mix, shingle_hashes, shingle_sets, text_pieces
 from tallyveil.operators.graph import components
 
@@ -201,10 +201,8 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_groups(
-    docs: DataFrame, *, percent: int = 75, width: int = 5, permutations: int = 112, band: int = 5, floor: float = 0.6, text: str = "text", doc_id: str = "doc_id",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; links have 100 * intersection >= percent * union."""
+def _placed(docs: DataFrame, *, percent: int = 75, width: int = 5, permutations: int = 112, band: int = 5, floor: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, mark, n_shingles, node, component) of every row; node and component are null without shingles."""
     node = F.concat_ws(":", "n_shingles", F.hex("class_a"), F.hex("class_b"))
     sketched = written(sketches(docs, width, permutations, band, text, doc_id).withColumn("node", F.when(F.col("n_shingles") > 0, node)), "sketches")
     # One row stands for all texts with the same set; ordinary copies end here.
@@ -218,11 +216,37 @@ def near_groups(
         groups = docs.sparkSession.createDataFrame([], "node string, component string")
     else:
         groups = _link(docs, sketched, classes, members, percent, width, floor, text, doc_id)
-    placed = sketched.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = sketched.select("doc_id", "mark", "n_shingles", "node").join(groups, "node", "left")
+    return placed.withColumn("component", F.coalesce("component", "node"))
+
+
+def near_groups(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; links have 100 * intersection >= percent * union."""
+    placed = _placed(docs, **settings)
     names = placed.filter("node IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(names, "component", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component_id, F.lit(False))
+    return placed.join(names, "component", "left").select("doc_id", "n_shingles", component_id.alias("component_id"), kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with one row of every group: that of the smallest doc_id.
+
+    Rows without shingles all stay; rows without doc_id stay only in groups of such rows.
+    """
+    placed = written(_placed(docs, text=text, doc_id=doc_id, **settings), "placed")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    first = placed.filter("node IS NOT NULL").groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.mark")
+    stay = first.withColumn("alone", F.lit(True)).unionByName(placed.filter("node IS NULL").select("doc_id", "mark").distinct().withColumn("alone", F.lit(False)))
+    # Only rows that stand several times in the table, id and text alike, need a second look.
+    repeated = placed.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"))
+    stay = stay.join(repeated, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark")), "left")
+    number, mark, once = (fresh_name(docs, n) for n in ("stay_id", "stay_mark", "stay_once"))
+    stay = stay.select(F.col("doc_id").alias(number), F.col("mark").alias(mark), (F.col("alone") & F.col("r_mark").isNotNull()).alias(once))
+    own = docs[doc_id].cast("bigint"), F.xxhash64(docs[text].cast("string"))
+    found = docs.join(stay, own[0].eqNullSafe(stay[number]) & (own[1] == stay[mark]))
+    single = found.filter(~F.col(once)).select(*docs.columns)
+    return single.unionByName(found.filter(once).dropDuplicates([number, mark]).select(*docs.columns))
 
 
 def _link(docs, sketched, classes, members, percent, width, floor, text, doc_id) -> DataFrame:

@@ -272,8 +272,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 50_000, text: str = "t
     return name
 
 
-def coded(docs: DataFrame, path: str, lexicon: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ids: bool = False) -> DataFrame:
-    """The ``keep`` columns with n_tokens and the digests of the ids and of the text decoded from them; with ``ids`` also both in full."""
+def coded(docs: DataFrame, path: str, lexicon: str, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ids: bool = False, decoded: bool = False) -> DataFrame:
+    """The ``keep`` columns with n_tokens and the digests of the ids and of the text decoded from them; on demand also both in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = WordCodec(path, Lexicon(SparkFiles.get(lexicon)))
@@ -281,18 +281,22 @@ def coded(docs: DataFrame, path: str, lexicon: str, *, keep: tuple[str, ...] = (
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in by_bytes(list(map(len, texts))):
                 found = codec.encode(texts[a:b])
-                decoded = [codec.decode(x) for x in found]
+                texts_again = [codec.decode(x) for x in found]
                 columns = [
                     *(c.slice(a, b - a) for c in batch.columns[1:]), pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts_again]),
                 ]
                 if ids:
-                    columns += [pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array(decoded)]
+                    columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+                if decoded:
+                    columns.append(pa.array(texts_again))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    if decoded:
+        fields.append(T.StructField("decoded", T.StringType()))
     names = [f.name for f in fields]
     return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(run, T.StructType(fields))
 
