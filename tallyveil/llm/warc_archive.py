@@ -1,6 +1,6 @@
 """WARC archives with Zstandard: a dictionary in the leading skippable frame, then one frame for each record.
 
-Writing. Rows are dealt out by id; each task trains a dictionary on the first records of its own archive (a bounded
+Writing. Each task trains a dictionary on the first records of its own archive (a bounded
 number of bytes), writes it into a skippable frame, and compresses every record on its own with it, so a reader
 can start at any frame. Records whose payload is at least ``min_revisit_bytes`` long and equal to another's are
 ``revisit`` records: the one with the largest id carries the payload, the others name it. An archive is
@@ -121,14 +121,14 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
     slim = rows.filter(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit_bytes)).select("sha", "page_id")
     copies = slim.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisits = slim.join(copies, "sha").filter("page_id <> refers_to").distinct()
-    ready = rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    ready = rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to", "sha")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         def records() -> Iterator[bytes]:
             for batch in batches:
-                for number, address, text, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                for number, address, text, refers_to in zip(*(c.to_pylist() for c in batch.columns[:4])):
                     body = text.encode()
                     yield record_bytes("response" if refers_to is None else "revisit", number, address, body, base32_sha1(body), refers_to)
 
@@ -160,8 +160,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit_bytes: int = 0,
         store.move(draft, f"{base}/{final}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{final}"]), pa.array([count], pa.int64())], names=["path", "records"])
 
-    spread = ready.repartition(F.col("page_id")).sortWithinPartitions("page_id")
-    return written(spread.mapInArrow(write, "path string, records bigint"), "archives")
+    # The join has dealt out the rows already.
+    return written(ready.sortWithinPartitions("page_id", "sha").mapInArrow(write, "path string, records bigint"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -202,8 +202,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     yield packed(rows)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, html string"
-    # One task for each archive.
-    return archives.select("path", "records").repartition("path").mapInArrow(read, schema)
+    # One task for each archive or two; without the number, small lists of archives would be read by a single task.
+    return archives.select("path", "records").repartition(max(1, archives.count()), "path").mapInArrow(read, schema)
 
 
 def op9_warc_round_trip(spark, folder: str) -> DataFrame:
