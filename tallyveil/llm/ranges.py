@@ -14,10 +14,12 @@ def range_numbers(df: DataFrame, doc_id: str, ranges: int, descending: bool = Fa
     """
     edges = df.select(F.col(doc_id).alias("_id")).approxQuantile("_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     splits = [-float("inf"), *sorted(set(edges)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_id", outputCol="bucket", handleInvalid="keep")
     last = len(splits) - 2
+    cut = Bucketizer(splits=splits, inputCol="_id", outputCol="bucket", handleInvalid="keep") if last else None
 
     def place(rows: DataFrame) -> DataFrame:
+        if not last:  # a single range
+            return rows.withColumn("bucket", F.when(F.col(doc_id).isNull(), 1).otherwise(0).cast("int"))
         number: Column = F.lit(last) - F.col("bucket") if descending else F.col("bucket")
         placed = cut.transform(rows.withColumn("_id", F.col(doc_id).cast("double")))
         return placed.withColumn("bucket", F.when(F.col(doc_id).isNull(), last + 1).otherwise(number).cast("int")).drop("_id")

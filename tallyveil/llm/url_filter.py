@@ -60,7 +60,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
     targets = F.concat(
         F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)),
+        F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
     )
     # A page without either word has no such link; most pages need no pattern at all.
     likely = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
@@ -130,7 +130,7 @@ found AS (
     list_transform(list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')),
       lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
     list_transform(list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-      lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)))) AS t
+      lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t
   FROM pages),
 links AS (SELECT s, replace(t, '&amp;', '&') AS t FROM found WHERE t LIKE '%://%'),
 urls AS (SELECT DISTINCT u FROM (SELECT url AS u FROM pages UNION ALL SELECT s FROM links UNION ALL SELECT t FROM links)),
