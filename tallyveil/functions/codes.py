@@ -78,18 +78,17 @@ def normalise_doi(c: Column | str) -> Column:
 
 
 def canonical_round(c: Column | str, decimals: int, mode: str = "half_up") -> Column:
-    """Round the decimal text of a number: ``half_up``, ``half_even`` or ``floor``."""
-    exact = _col(c).cast("string").cast("decimal(38,12)")
+    """Round the decimal text of a number to at most 18 decimals: ``half_up``, ``half_even`` or ``floor``."""
+    exact = _col(c).cast("string").cast("decimal(38,18)")
     if mode == "half_up":
         rounded = F.round(exact, decimals)
     elif mode == "half_even":
         rounded = F.bround(exact, decimals)
     elif mode == "floor":
-        scale = F.lit(10**decimals).cast("decimal(12,0)")
-        rounded = F.floor(exact * scale).cast("decimal(26,0)") / scale
+        rounded = F.floor(exact, F.lit(decimals))
     else:
         raise ValueError(f"unknown rounding mode {mode!r}")
-    return rounded.cast(f"decimal(28,{decimals})")
+    return rounded.cast(f"decimal({20 + decimals},{decimals})")
 
 
 def canonical_display(c: Column | str, decimals: int, mode: str = "half_up") -> Column:
@@ -103,7 +102,7 @@ def parse_cited(c: Column | str) -> Column:
     text = F.replace(text, F.lit(" "), F.lit(""))
     both = F.contains(text, F.lit(",")) & F.contains(text, F.lit("."))
     text = F.when(both, F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
-    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("decimal(28,10)"))
+    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("decimal(38,18)"))
 
 
 def cited_decimals(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Integer hash draws: the same value in every engine with 64-bit integers.
+"""Hash draws: the same value in every engine that has MD5.
 
 ``rand()`` depends on the partition a row lands in, so a retried task would draw
 again. These draws depend on the key and the seed only.
@@ -12,34 +12,29 @@ from pyspark.sql import functions as F
 SPAN = 1 << 32
 
 
-def _mix(h: Column) -> Column:
-    for _ in range(2):
-        h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(73244475)) % F.lit(SPAN)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+def mixed_hash(key: Column, seed: int | Column = 0, *words: Column) -> Column:
+    """32-bit hash of a key of any type, further words and a seed, as BIGINT in [0, 2^32).
 
-
-def mixed_hash(key: Column, seed: int | Column = 0) -> Column:
-    """32-bit mixed hash of an integer key, as BIGINT in [0, 2^32)."""
+    Key, words and seed stay apart as text, so that no two draws share one by arithmetic.
+    """
     seed_col = F.lit(seed) if isinstance(seed, int) else seed
-    start = (F.pmod(key.cast("bigint"), F.lit(1 << 31)) * F.lit(2654435761) + seed_col.cast("bigint") * F.lit(40503)) % F.lit(SPAN)
-    return _mix(start)
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (key, *words, seed_col)])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
-def mixed_hash_sql(key: str, seed: str | int = 0) -> str:
-    """The same hash as an SQL expression (64-bit integers, ``xor`` and ``>>``)."""
-    h = f"((((({key})::BIGINT % 2147483648) * 2654435761) + ({seed})::BIGINT * 40503) % 4294967296)"
-    for _ in range(2):
-        h = f"((xor({h}, ({h}) >> 16) * 73244475) % 4294967296)"
-    return f"xor({h}, ({h}) >> 16)"
+def mixed_hash_sql(key: str, seed: str | int = 0, *words: str) -> str:
+    """The same hash as an SQL expression."""
+    parts = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in (key, *words, seed))
+    return f"CAST('0x' || substr(md5({parts}), 1, 8) AS BIGINT)"
 
 
-def uniform(key: Column, seed: int | Column = 0) -> Column:
-    return mixed_hash(key, seed) / F.lit(float(SPAN))
+def uniform(key: Column, seed: int | Column = 0, *words: Column) -> Column:
+    return mixed_hash(key, seed, *words) / F.lit(float(SPAN))
 
 
-def drawn_index(key: Column, seed: int | Column, size: Column) -> Column:
+def drawn_index(key: Column, seed: int | Column, size: Column, *words: Column) -> Column:
     """Index in [0, size) drawn with replacement."""
-    return F.floor(mixed_hash(key, seed) * size / F.lit(float(SPAN))).cast("bigint")
+    return F.floor(mixed_hash(key, seed, *words) * size / F.lit(float(SPAN))).cast("bigint")
 
 
 def string_code(c: Column) -> Column:

@@ -12,7 +12,7 @@ from tallyveil.operators.rates import wilson
 NU_GRID = (1.0, 0.995, 0.99, 0.975, 0.95, 0.90)  # fixed values: assumed sensitivity of the survey
 
 
-def scope_rows(df: DataFrame, area: Column, prefixes: Sequence[str], local: str = "lima") -> DataFrame:
+def scope_rows(df: DataFrame, area: Column, prefixes: Sequence[str], local: str = "local") -> DataFrame:
     """P-03: every row in the national scope, rows of the listed areas also in the local one."""
     inside = F.lit(False)
     for p in prefixes:

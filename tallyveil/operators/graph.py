@@ -24,8 +24,8 @@ def select_seeds(papers: DataFrame, size: int, marked: str | None = None, citati
     return papers.orderBy(F.coalesce(citations, F.lit(0)).desc(), key).limit(size).select(key)
 
 
-def snowball(refs: DataFrame, citers: DataFrame, seeds: DataFrame, size: int, n_seeds: int, least: int = 2) -> DataFrame:
-    """G-05: papers cited by or citing the seeds, seeds excluded, score >= 2, filled up to ``size``.
+def snowball(refs: DataFrame, citers: DataFrame, seeds: DataFrame, size: int, least: int = 2) -> DataFrame:
+    """G-05: papers cited by or citing the seeds, seeds excluded, score >= 2; seeds and they make up to ``size``.
 
     ``refs`` and ``citers`` are (paper, other) edges with ``paper`` on the seed side.
     """
@@ -33,7 +33,7 @@ def snowball(refs: DataFrame, citers: DataFrame, seeds: DataFrame, size: int, n_
     forward = citers.join(seeds, "paper", "left_semi").select("other")
     scored = back.unionByName(forward).groupBy(F.col("other").alias("paper")).agg(F.count("*").alias("score"))
     kept = scored.join(seeds, "paper", "left_anti").filter(F.col("score") >= least)
-    return kept.orderBy(F.desc("score"), "paper").limit(max(0, size - n_seeds))
+    return kept.orderBy(F.desc("score"), "paper").limit(max(0, size - seeds.count()))
 
 
 def shared_counts(links: DataFrame, core: DataFrame) -> DataFrame:
@@ -108,49 +108,41 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def communities(core: DataFrame, similarity: DataFrame, threshold: float = 0.1, max_core: int = 2000) -> DataFrame:
+def communities(core: DataFrame, similarity: DataFrame, threshold: float = 0.1) -> DataFrame:
     """G-08: average-linkage communities cut at distance 1 - threshold: (paper, community).
 
-    With a positive threshold two components never merge (their distance is 1), so linkage
-    runs inside each component. The core, and with it a component, is bounded by the size
-    parameter of the core selection. Isolated papers get a NULL community; with fewer than
-    three connected papers all are isolated.
+    Average linkage is reducible: merging two clusters never brings a third one nearer than the
+    nearer of the two. So all pairs of mutual nearest clusters are merged in one round, which gives
+    the same tree as one merge at a time, and a round is a handful of joins and sums on (a, b, sum
+    of similarities). Equal similarities are taken by the smaller pair of ids. A community is
+    named by its smallest paper. Isolated papers get a NULL community; with fewer than three
+    connected papers all are isolated.
     """
     if threshold <= 0:
         raise ValueError("the similarity threshold must be positive")
-    if core.limit(max_core + 1).count() > max_core:
-        raise ValueError(f"a core of more than {max_core} papers cannot be linked; lower the core size")
-    live = cut_lineage(similarity.filter("weight > 1e-9"))
-    parts = components(live)
-    kind = dict(live.dtypes)["source"]
-    labelled = live.join(parts.withColumnRenamed("node", "source"), "source")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.array(sorted(set(pdf["source"]) | set(pdf["target"])))
-        place = {v: i for i, v in enumerate(nodes)}
-        n = len(nodes)
-        dist = np.ones((n, n))
-        i = pdf["source"].map(place).to_numpy()
-        j = pdf["target"].map(place).to_numpy()
-        dist[i, j] = dist[j, i] = 1.0 - pdf["weight"].to_numpy()
-        np.fill_diagonal(dist, np.inf)
-        label, size = np.arange(n), np.ones(n)
-        while True:
-            a, b = divmod(int(np.argmin(dist)), n)
-            if not np.isfinite(dist[a, b]) or dist[a, b] > 1.0 - threshold + 1e-12:
-                break
-            a, b = min(a, b), max(a, b)
-            merged = (size[a] * dist[a] + size[b] * dist[b]) / (size[a] + size[b])
-            dist[a], dist[:, a] = merged, merged
-            dist[a, a] = np.inf
-            dist[b], dist[:, b] = np.inf, np.inf
-            size[a] += size[b]
-            label[label == b] = a
-        return pd.DataFrame({"paper": nodes, "community": nodes[label]})
-
-    linked = labelled.groupBy("component").applyInPandas(link, f"paper {kind}, community {kind}")
-    enough = parts.agg((F.count("*") >= 3).alias("_enough"))
-    out = core.select("paper").join(linked, "paper", "left").crossJoin(enough)
+    live = cut_lineage(similarity.filter("weight > 1e-9").select("source", "target", "weight"))
+    # Every pair stands in both directions, so that each cluster sees all its neighbours.
+    total = cut_lineage(live.unionByName(live.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+                        .groupBy(F.col("source").alias("a"), F.col("target").alias("b")).agg(F.sum("weight").alias("total")).filter("a <> b"))
+    label = cut_lineage(total.select(F.col("a").alias("paper")).distinct().withColumn("community", F.col("paper")))
+    while True:
+        size = label.groupBy("community").agg(F.count("*").alias("n"))
+        pairs = total.join(size.select(F.col("community").alias("a"), F.col("n").alias("n_a")), "a").join(
+            size.select(F.col("community").alias("b"), F.col("n").alias("n_b")), "b"
+        ).withColumn("link", F.col("total") / (F.col("n_a") * F.col("n_b")))
+        # One order of all pairs, the same from both sides: the first pair of all is always mutual.
+        rank = F.struct(-F.round("link", 12), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        best = pairs.filter(F.col("link") >= threshold - 1e-12).groupBy("a").agg(F.min_by("b", rank).alias("b"))
+        mutual = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).filter("a < b")
+        merged = cut_lineage(mutual.select(F.col("b").alias("community"), F.col("a").alias("into")))
+        if merged.isEmpty():
+            break
+        label = cut_lineage(label.join(merged, "community", "left").select("paper", F.coalesce("into", "community").alias("community")))
+        for end in ("a", "b"):
+            total = total.join(merged.withColumnRenamed("community", end), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+        total = cut_lineage(total.filter("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total")))
+    enough = label.agg((F.count("*") >= 3).alias("_enough"))
+    out = core.select("paper").join(label, "paper", "left").crossJoin(enough)
     return out.select("paper", F.when(F.col("_enough"), F.col("community")).alias("community"))
 
 

@@ -282,26 +282,24 @@ def district_hold_out(units: DataFrame, key: str, seed: int, share: float = 0.25
 def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> DataFrame:
     """ML-17: keep every counted event with probability min(1, rate / base).
 
-    Each event draws from its own key, so the result does not depend on partitioning. A row
-    that stands for very many events is split into chunks that are drawn in parallel.
+    Each event draws from its row's key and its own number, so the result does not depend on
+    partitioning. The events of a row are drawn ``chunk`` at a time inside one expression:
+    rows of any size take the same way, and repeated rows stay apart.
     """
     p = min(1.0, rate / base)
     draw_seed = 1000 * seed + int(round(100 * rate))
     if p >= 1.0:
         return df.withColumn(name, F.col(value))
+    n = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
+    none = F.lit(0).cast("bigint")
 
-    def kept(first: Column, last: Column) -> Column:
-        events = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        return F.size(F.filter(events, lambda i: uniform(F.col("_key") * F.lit(1009) + i, draw_seed) < F.lit(p)))
+    def kept(c: Column) -> Column:
+        events = F.sequence(c * chunk + 1, F.least((c + 1) * chunk, n))
+        return F.size(F.filter(events, lambda i: uniform(key, draw_seed, i) < F.lit(p))).cast("bigint")
 
-    n = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
-    keyed = df.withColumn("_key", key)
-    small = keyed.filter(n <= chunk).withColumn(name, kept(F.lit(1).cast("bigint"), n).cast("double"))
-    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / chunk))).alias("_c")
-    large = keyed.filter(n > chunk).select("*", parts).repartition("_key", "_c")
-    drawn = large.withColumn("_k", kept(F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, n)))
-    summed = drawn.groupBy(*df.columns, "_key").agg(F.sum("_k").cast("double").alias(name))
-    return small.unionByName(summed).drop("_key")
+    chunks = F.sequence(none, F.floor((n - 1) / chunk).cast("bigint"))
+    drawn = F.aggregate(chunks, none, lambda total, c: total + kept(c))
+    return df.withColumn(name, F.when(n > 0, drawn).otherwise(none).cast("double"))
 
 
 def fold_summary(scores: DataFrame, values: Sequence[str]) -> DataFrame:

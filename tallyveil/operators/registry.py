@@ -11,7 +11,7 @@ from tallyveil.functions.codes import canonical_round, cited_decimals, parse_cit
 
 DEFAULT_DECIMALS = 4  # fixed value
 DEFAULT_MODE = "half_up"  # fixed value
-MAX_DECIMALS = 6
+EXACT_DECIMALS = 18  # the decimal text of a double has no more that could be rounded away
 MODES = ("half_up", "half_even", "floor")
 
 # Anchor syntax and what counts as a numeral in a text.
@@ -21,11 +21,16 @@ NUMERAL = r"(^|[^\w.])[×xX~]?\s*[0-9]+\.[0-9]+"
 
 
 def rounded_by_policy(value: Column, decimals: Column, mode: Column) -> Column:
-    """Rounding whose precision and mode are columns, as decimal(28,6)."""
-    out = F.lit(None).cast("decimal(28,6)")
+    """Rounding whose precision and mode are columns, as decimal(38,18).
+
+    NULL for an unknown mode or a negative precision: such a policy has no official value.
+    """
+    kind = f"decimal(38,{EXACT_DECIMALS})"
+    known = mode.isin(*MODES) & (decimals >= 0)
+    out = F.when(known & (decimals >= EXACT_DECIMALS), value.cast("string").cast(kind))
     for m in MODES:
-        for d in range(MAX_DECIMALS + 1):
-            out = F.when((mode == m) & (decimals == d), canonical_round(value, d, m).cast("decimal(28,6)")).otherwise(out)
+        for d in range(EXACT_DECIMALS):
+            out = out.when((mode == m) & (decimals == d), canonical_round(value, d, m).cast(kind))
     return out
 
 
@@ -111,6 +116,7 @@ def check(lines: DataFrame, entries: DataFrame, policy: DataFrame, stale: DataFr
         .when(~F.col("by_family") & ~F.col("canonical") & ~F.col("variant_ok"), "variant not canonical")
         .when(cited.isNull(), "unreadable value")
         .when(cited_decimals("cited") > decimals, "too many decimals")
+        .when(official.isNull(), "no official value")
         .when(cited != official, "value differs")
         .when(F.col("_stale"), "stale")
     )

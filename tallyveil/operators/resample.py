@@ -34,8 +34,8 @@ def resampled_means(stats: DataFrame, group: str, unit: str, values: Sequence[st
     draws = slots.withColumn(
         "replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint")))
     )
-    key = F.col("replicate") * F.lit(1000003) + F.col("_slot")
-    drawn = draws.select(group, "replicate", (drawn_index(key, F.col("_seed"), F.col("_size")) + 1).alias("position"))
+    pick = drawn_index(F.col("replicate"), F.col("_seed"), F.col("_size"), F.col("_slot")) + 1
+    drawn = draws.select(group, "replicate", pick.alias("position"))
     joined = drawn.join(placed.drop("group_rows", unit), [group, "position"])
     return joined.groupBy(group, "replicate").agg(*[F.avg(v).alias(v) for v in values])
 

@@ -145,9 +145,26 @@ def _(t):
     return SC.near_misses(t.documents, "text", GROUPS, t.labels, "doc_id", "source")
 
 
-@query("f13_marker_extraction")
-def _(t):
-    found = X.between_markers(F.col("text"), r"\b(?:the|les|und|los)\b", r"\b(?:of|des|der|del)\b", min_chars=20)
+# Spaces, not word borders: engines differ in what a border next to an accented letter is.
+OPENING, CLOSING = " (?:the|les|und|los) ", " (?:of|des|der|del) "
+MARKED = f"""
+marked AS (
+  SELECT doc_id, regexp_matches(text, '(?i){OPENING}') AS hit, text, regexp_extract(text, '(?is)^(.*?){OPENING}', 1) AS pre, regexp_extract(text, '(?i){OPENING}', 0) AS m FROM documents),
+beside AS (
+  SELECT doc_id, hit, substr(text, length(pre) + 1) AS marked, substr(text, length(pre) + length(m) + 1) AS rest, regexp_extract(pre, '[^\n]*$', 0) AS before FROM marked),
+below AS (
+  SELECT *, list_transform(string_split(marked, chr(10))[2:], lambda l: trim(substr(l, length(before) - 6 + 1), ' ')) AS cut FROM beside),
+cuts AS (SELECT *, list_position(list_transform(cut, lambda l: regexp_matches(l, '(?im){CLOSING}')), TRUE) AS last FROM below),
+found AS (
+  SELECT doc_id, trim(regexp_replace(CASE WHEN NOT hit THEN '' WHEN length(before) > 25 AND trim(before, ' ') <> ''
+      THEN array_to_string(list_filter(CASE WHEN last > 0 THEN cut[:last - 1] ELSE cut END, lambda l: l <> ''), ' ')
+    WHEN regexp_matches(rest, '(?im){CLOSING}') THEN regexp_extract(rest, '(?ims)^(.*?){CLOSING}', 1) ELSE rest END, '\\s+', ' ', 'g'), ' ') AS found FROM cuts)"""
+
+
+@query("f13_marker_extraction", oracle("""
+  SELECT doc_id, CASE WHEN length(found) >= 20 THEN found ELSE '' END AS found, CASE WHEN length(found) >= 20 THEN length(found) ELSE 0 END AS chars FROM found""", "", MARKED, ints="chars"))
+def _(t):
+    found = X.between_markers(F.col("text"), OPENING, CLOSING, min_chars=20)
     return t.documents.select("doc_id", found.alias("found")).withColumn("chars", F.length("found"))
 
 
@@ -308,7 +325,7 @@ def _(t):
   SELECT 'nacional' AS scope, count(*) AS records, sum(weight) AS weight FROM records UNION ALL
   SELECT 'lima', count(*), sum(weight) FROM records WHERE starts_with(area, '0101') OR starts_with(area, '0202')""", "records", ints="records", dbl="weight"))
 def _(t):
-    d = B.scope_rows(t.records(), F.col("area"), ["0101", "0202"])
+    d = B.scope_rows(t.records(), F.col("area"), ["0101", "0202"], "lima")
     return d.groupBy("scope").agg(F.count("*").alias("records"), F.sum("weight").alias("weight"))
 
 

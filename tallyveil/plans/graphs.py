@@ -144,9 +144,10 @@ def _(t):
 @query("g05_snowball", oracle("""
   SELECT other AS paper, count(*) AS score FROM (
     SELECT other FROM refs WHERE paper IN (SELECT paper FROM papers WHERE selected) UNION ALL SELECT other FROM citers WHERE paper IN (SELECT paper FROM papers WHERE selected)) AS s
-  WHERE other NOT IN (SELECT paper FROM papers WHERE selected) GROUP BY other HAVING count(*) >= 2 ORDER BY score DESC, paper LIMIT 80""", "papers refs citers", ints="score"))
+  WHERE other NOT IN (SELECT paper FROM papers WHERE selected) GROUP BY other HAVING count(*) >= 2
+  QUALIFY row_number() OVER (ORDER BY count(*) DESC, other) <= 90 - (SELECT count(*) FROM papers WHERE selected)""", "papers refs citers", ints="score"))
 def _(t):
-    return G.snowball(t.refs(), t.citers(), G.select_seeds(t.papers(), 0, "selected"), 90, 10)
+    return G.snowball(t.refs(), t.citers(), G.select_seeds(t.papers(), 0, "selected"), 90)
 
 
 @query("g06_coupling_matrices", oracle(

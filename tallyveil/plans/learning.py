@@ -18,7 +18,7 @@ FEATURES = ["persist", "lag2", "population", "price"]
 
 
 def _panel(t: Tables):
-    return cut_lineage(t.panel().filter(F.col("year") >= 1997))
+    return cut_lineage(t.panel())
 
 
 def _split(d, test_year: int = TEST_YEAR):
@@ -58,7 +58,7 @@ def _cell_members(d, folds: int):
 
 @query("ml11_fold_evaluation")
 def _(t):
-    return M.evaluate_folds(_cell_members(_panel(t), 2), CATEGORIES, FEATURES, 2, QUICK)
+    return M.evaluate_folds(_cell_members(_panel(t), 5), CATEGORIES, FEATURES, 5, QUICK)
 
 
 def _regions(t: Tables):
@@ -76,12 +76,12 @@ def _(t):
 @query("ml14_learning_curve")
 def _(t):
     source, local, test = _regions(t)
-    return M.learning_curve(source, local, test, [1998, 1999], CATEGORIES, FEATURES, QUICK, 200)
+    return M.learning_curve(source, local, test, [1998, 1999], CATEGORIES, FEATURES, QUICK)
 
 
 @query("ml15_year_replication")
 def _(t):
-    return M.year_replication(_panel(t), [1999, 2000], 1997, CATEGORIES, ["population"], FEATURES, "positive", QUICK, 200)
+    return M.year_replication(_panel(t), [1999, 2000], 1997, CATEGORIES, ["population"], FEATURES, "positive", QUICK)
 
 
 @query("ml16_grid_tuning")
@@ -93,9 +93,9 @@ def _(t):
 @query("ml18_degradation")
 def _(t):
     def key(d):
-        return (F.col("cell") * 7 + F.col("year")) * 3 + F.ascii("category") % 3
+        return F.concat_ws(":", "cell", "year", "category")
 
-    return M.degradation(_panel(t), [0.83, 0.25], 0.83, [0], [1998, 1999], TEST_YEAR, CATEGORIES, FEATURES, key, QUICK)
+    return M.degradation(_panel(t), [0.83, 0.5, 0.25, 0.1, 0.05], 0.83, [0], [1998, 1999], TEST_YEAR, CATEGORIES, FEATURES, key, QUICK)
 
 
 @query("ml22_vector_clusters")
@@ -112,7 +112,7 @@ def _(t):
         docs = members.join(texts, "id").select("id", "text", "cluster")
         return C.flag_clusters(C.cluster_terms(docs, "id", "text", "cluster", 8), "cluster", ["ouen", "aux", "ung"]).select("cluster", "flagged")
 
-    return M.sweep_clusters(t.vectors(), [7, 10], describe, t.labels.filter("quality = 1").select(F.col("doc_id").alias("id")))
+    return M.sweep_clusters(t.vectors(), [7, 10, 12, 15], describe, t.labels.filter("quality = 1").select(F.col("doc_id").alias("id")))
 
 
 @query("ml24_plane_coordinates")

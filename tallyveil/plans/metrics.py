@@ -15,7 +15,7 @@ from tallyveil.operators.models import baselines
 from tallyveil.plans.catalog import CATEGORIES, TEST_YEAR, Tables, oracle, query
 from tallyveil.session import literal_rows
 
-REPS = 500
+REPS = 2000
 
 
 def rank_sql(c: str, by: str, desc: bool = False) -> str:
@@ -181,7 +181,7 @@ def boot_sql(stats: str, group: str, unit: str, value: str, reps: int, seed: int
     return f"""
   placed AS (SELECT {group} AS grp, {value} AS v, row_number() OVER (PARTITION BY {group} ORDER BY {unit}) AS pos, count(*) OVER (PARTITION BY {group}) AS n FROM {stats} WHERE {value} IS NOT NULL),
   coded AS (SELECT *, {string_code_sql('grp')} AS code FROM placed),
-  drawn AS (SELECT c.grp, r.rep, CAST(floor({mixed_hash_sql('(r.rep * 1000003 + c.pos)', f'(c.code + {seed})')} * c.n / 4294967296.0) AS BIGINT) + 1 AS pick
+  drawn AS (SELECT c.grp, r.rep, CAST(floor({mixed_hash_sql('r.rep', f'(c.code + {seed})', 'c.pos')} * c.n / 4294967296.0) AS BIGINT) + 1 AS pick
     FROM coded c CROSS JOIN (SELECT unnest(range(0, {reps})) AS rep) AS r),
   means AS (SELECT d.grp, d.rep, avg(p.v) AS m FROM drawn d JOIN placed p ON p.grp = d.grp AND p.pos = d.pick GROUP BY d.grp, d.rep)"""
 

@@ -423,7 +423,7 @@ THIN_KEY = "((cell * 7 + year) * 3 + (ascii(category) % 3))"
 
 
 @query("ml17_binomial_thinning", oracle(f"""
-  SELECT cell, year, category, target, CAST(len(list_filter(range(1, CAST(target AS BIGINT) + 1), lambda i: ({mixed_hash_sql(f'({THIN_KEY} * 1009 + i)', 2025)}) / 4294967296.0 < 0.25 / 0.83)) AS DOUBLE) AS thin FROM panel""",
+  SELECT cell, year, category, target, CAST(len(list_filter(range(1, CAST(target AS BIGINT) + 1), lambda i: ({mixed_hash_sql(THIN_KEY, 2025, 'i')}) / 4294967296.0 < 0.25 / 0.83)) AS DOUBLE) AS thin FROM panel""",
     "panel", ints="year", dbl="target thin"))
 def _(t):
     key = (F.col("cell") * 7 + F.col("year")) * 3 + F.ascii("category") % 3

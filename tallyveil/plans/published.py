@@ -35,7 +35,7 @@ def _figures(t: Tables):
 
 def _entries(t: Tables):
     new = _figures(t).withColumns({"script_sha": F.lit("s1"), "emitted_at": F.lit("2024-01-02")})
-    empty = RG.emit(new.limit(0).select("family", "variant", "value", F.lit(0).cast("decimal(28,6)").alias("display"), F.lit(False).alias("canonical"),
+    empty = RG.emit(new.limit(0).select("family", "variant", "value", F.lit(0).cast("decimal(38,18)").alias("display"), F.lit(False).alias("canonical"),
                                         F.lit(False).alias("needs_policy"), "script_sha", "emitted_at"), new, _policy(t))
     return empty
 
@@ -61,7 +61,7 @@ def _(t):
 
 # Text lines derived from orders: each order is one line of a document per customer.
 LINE_SQL = """
-lines AS (SELECT o_custkey AS file, o_orderkey AS line, CASE o_orderkey % 8
+lines AS (SELECT o_custkey AS file, o_orderkey AS line, CASE o_orderkey % 10
   WHEN 0 THEN 'mean CANON: ' || fam || '.' || o_orderstatus || ' = ' || CAST(round(o_totalprice / 1000.0, 1) AS VARCHAR)
   WHEN 1 THEN 'mean canon ' || fam || ' = 4.6'
   WHEN 2 THEN 'two CANON: ' || fam || '.F = 12.5 variant-ok and CANON: other.x = ~3'
@@ -69,36 +69,39 @@ lines AS (SELECT o_custkey AS file, o_orderkey AS line, CASE o_orderkey % 8
   WHEN 4 THEN 'CANON: ' || fam || ' = × 1.123456'
   WHEN 5 THEN 'CANON: lo.P = 7'
   WHEN 6 THEN 'CANON: ' || fam || '.P = ,, variant-ok'
+  WHEN 8 THEN 'CANON: fine.P = 9.99 and CANON: fine = 1.25'
+  WHEN 9 THEN 'CANON: odd.P = 9.99'
   ELSE 'no figure here' END AS text FROM (SELECT *, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' ELSE 'lo' END AS fam FROM orders) AS o),
 hits AS (SELECT file, line, unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 1)) AS key,
   trim(unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 2))) AS cited,
   coalesce(unnest(regexp_extract_all(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?', 3)), '') <> '' AS variant_ok FROM lines),
 bad AS (SELECT file, line, text FROM lines WHERE regexp_matches(text, '(?i)\\bcanon\\b') AND contains(text, '=')
   AND NOT regexp_matches(text, 'CANON:\\s*([\\w.\\-]+)\\s*=\\s*([~×xX]?\\s*[-0-9.,]+)(\\s+variant-ok)?')),
-reg AS (SELECT * FROM (VALUES ('urgent', 'F', 12.5), ('urgent', 'O', 13.25), ('high', 'F', 12.5), ('high', 'P', 4.0), ('medium', 'F', 1.1), ('lo', 'P', 7.0)) AS r(family, variant, value)),
-pol AS (SELECT * FROM (VALUES ('urgent', 'F', 1), ('high', 'P', 2), ('lo', 'P', 0)) AS p(family, canonical_variant, decimals)),
+reg AS (SELECT * FROM (VALUES ('urgent', 'F', 12.5), ('urgent', 'O', 13.25), ('high', 'F', 12.5), ('high', 'P', 4.0), ('medium', 'F', 1.1), ('lo', 'P', 7.0), ('fine', 'P', 1.25), ('odd', 'P', 1.25)) AS r(family, variant, value)),
+pol AS (SELECT * FROM (VALUES ('urgent', 'F', 1, 'half_up'), ('high', 'P', 2, 'half_up'), ('lo', 'P', 0, 'half_up'), ('fine', 'P', 8, 'half_up'), ('odd', 'P', 2, 'ceil')) AS p(family, canonical_variant, decimals, mode)),
 resolved AS (
   SELECT h.*, coalesce(f.family, c.family) AS family, coalesce(f.variant, c.variant) AS variant, coalesce(f.value, c.value)::DOUBLE AS value, f.family IS NULL AND c.family IS NOT NULL AS by_family FROM hits h
   LEFT JOIN reg f ON f.family || '.' || f.variant = h.key LEFT JOIN (SELECT r.* FROM reg r JOIN pol p ON p.family = r.family AND p.canonical_variant = r.variant) AS c ON c.family = h.key),
 parsed AS (
-  SELECT r.*, p.canonical_variant, p.decimals, try_cast(CASE WHEN contains(s, ',') AND contains(s, '.') THEN replace(s, ',', '') ELSE s END AS DOUBLE) AS num,
+  SELECT r.*, p.canonical_variant, p.decimals, p.mode, try_cast(CASE WHEN contains(s, ',') AND contains(s, '.') THEN replace(s, ',', '') ELSE s END AS DOUBLE) AS num,
     length(regexp_extract(cited, '\\.([0-9]+)\\s*$', 1)) AS cited_decimals
   FROM (SELECT *, replace(regexp_replace(trim(cited), '^[×xX~]+', ''), ' ', '') AS s FROM resolved) AS r LEFT JOIN pol p ON p.family = r.family)"""
 
-REG = [("urgent", "F", 12.5), ("urgent", "O", 13.25), ("high", "F", 12.5), ("high", "P", 4.0), ("medium", "F", 1.1), ("lo", "P", 7.0)]
-POL = [("urgent", "F", 1, "half_up"), ("high", "P", 2, "half_up"), ("lo", "P", 0, "half_up")]
+REG = [("urgent", "F", 12.5), ("urgent", "O", 13.25), ("high", "F", 12.5), ("high", "P", 4.0), ("medium", "F", 1.1), ("lo", "P", 7.0), ("fine", "P", 1.25), ("odd", "P", 1.25)]
+POL = [("urgent", "F", 1, "half_up"), ("high", "P", 2, "half_up"), ("lo", "P", 0, "half_up"), ("fine", "P", 8, "half_up"), ("odd", "P", 2, "ceil")]
 
 
 def _lines(t: Tables):
     first = F.substring("o_orderpriority", 1, 1)
     fam = F.when(first == "1", "urgent").when(first == "2", "high").when(first == "3", "medium").otherwise("lo")
-    k = F.col("o_orderkey") % 8
+    k = F.col("o_orderkey") % 10
     text = (
         F.when(k == 0, F.concat(F.lit("mean CANON: "), fam, F.lit("."), "o_orderstatus", F.lit(" = "), F.round(F.col("o_totalprice") / 1000.0, 1).cast("string")))
         .when(k == 1, F.concat(F.lit("mean canon "), fam, F.lit(" = 4.6")))
         .when(k == 2, F.concat(F.lit("two CANON: "), fam, F.lit(".F = 12.5 variant-ok and CANON: other.x = ~3")))
         .when(k == 3, "plain text with 3.25 inside").when(k == 4, F.concat(F.lit("CANON: "), fam, F.lit(" = × 1.123456")))
-        .when(k == 5, "CANON: lo.P = 7").when(k == 6, F.concat(F.lit("CANON: "), fam, F.lit(".P = ,, variant-ok"))).otherwise("no figure here"))
+        .when(k == 5, "CANON: lo.P = 7").when(k == 6, F.concat(F.lit("CANON: "), fam, F.lit(".P = ,, variant-ok")))
+        .when(k == 8, "CANON: fine.P = 9.99 and CANON: fine = 1.25").when(k == 9, "CANON: odd.P = 9.99").otherwise("no figure here"))
     return t.orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line"), text.alias("text"))
 
 
@@ -126,7 +129,7 @@ def _(t):
   SELECT file, line, key, violation, violation <> 'stale' AS blocking FROM (
     SELECT file, line, key, CASE WHEN family IS NULL THEN 'unknown key' WHEN canonical_variant IS NULL THEN 'no policy'
       WHEN NOT by_family AND canonical_variant <> variant AND NOT variant_ok THEN 'variant not canonical' WHEN num IS NULL THEN 'unreadable value'
-      WHEN cited_decimals > decimals THEN 'too many decimals' WHEN num <> round(value, decimals) THEN 'value differs' WHEN family = 'lo' THEN 'stale' END AS violation FROM parsed
+      WHEN cited_decimals > decimals THEN 'too many decimals' WHEN mode = 'ceil' THEN 'no official value' WHEN num <> round(value, decimals) THEN 'value differs' WHEN family = 'lo' THEN 'stale' END AS violation FROM parsed
     UNION ALL SELECT file, line, NULL, 'malformed' FROM bad) AS v WHERE violation IS NOT NULL""", "", LINE_SQL))
 def _(t):
     reg, pol = _registry(t)

@@ -234,15 +234,17 @@ def _(t):
 
 
 FLAGS = f"""
-flags AS (
-  SELECT person, year, category, area, max(weight) AS weight, bool_or(victim) AS victim, bool_or(victim AND reported) AS reported
-  FROM (SELECT l_orderkey AS person, year(l_shipdate) AS year, l_returnflag AS category, {AREA} AS area, l_quantity AS weight,
+raw AS (
+  SELECT l_orderkey AS person, year(l_shipdate) AS year, l_returnflag AS category, {AREA} AS area, l_quantity AS weight,
       l_discount >= 0.04 AS victim, l_linestatus = 'F' AS reported
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) AS r GROUP BY ALL),
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+records AS (
+  SELECT *, 'nacional' AS scope FROM raw UNION ALL SELECT *, 'lima' AS scope FROM raw WHERE starts_with(area, '0101') OR starts_with(area, '0202')),
 scoped AS (
-  SELECT *, 'nacional' AS scope FROM flags UNION ALL SELECT *, 'lima' AS scope FROM flags WHERE starts_with(area, '0101') OR starts_with(area, '0202')),
+  SELECT scope, person, year, category, max(weight) AS weight, bool_or(victim) AS victim, bool_or(victim AND reported) AS reported FROM records GROUP BY ALL),
+people AS (SELECT scope, person, year, max(weight) AS weight FROM records GROUP BY ALL),
 base AS (
-  SELECT scope, d.category AS category, sum(weight) AS w_base FROM scoped s
+  SELECT scope, d.category AS category, sum(weight) AS w_base FROM people s
   JOIN (SELECT 'A' AS category, unnest(range(1995, 2002)) AS year UNION ALL SELECT 'N', unnest(range(1995, 2002)) UNION ALL SELECT 'R', 2001) AS d
     ON d.year = s.year GROUP BY ALL),
 prev AS (
@@ -263,12 +265,14 @@ def _flags(t: Tables):
         F.col("l_orderkey").alias("person"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("category"), "area",
         F.col("l_quantity").alias("weight"), (F.col("l_discount") >= 0.04).alias("victim"), (F.col("l_linestatus") == "F").alias("reported"),
     )
-    return B.scope_rows(B.person_flags(rows, ["person", "year", "area"]), F.col("area"), ["0101", "0202"])
+    return B.scope_rows(rows, F.col("area"), ["0101", "0202"], "lima")
 
 
 def _prevalence(t: Tables):
-    flags = _flags(t)
-    return B.prevalence(flags, flags, {"A": YEARS, "N": YEARS, "R": [2001]})
+    records = _flags(t)
+    # The base counts a person once in each scope and year, whatever was reported.
+    people = records.groupBy("scope", "person", "year").agg(F.max("weight").alias("weight"))
+    return B.prevalence(B.person_flags(records, ["scope", "person", "year"]), people, {"A": YEARS, "N": YEARS, "R": [2001]})
 
 
 @query("a30_person_prevalence", oracle(

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import shutil
+import tempfile
 import zipfile
+from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import islice
+from itertools import chain, islice, repeat
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,30 +21,39 @@ from tallyveil.functions.codes import normalise_doi
 DELIMITERS = (",", ";", "|")  # fixed values: tried in this order
 
 
-def _member(archive: zipfile.ZipFile, wanted: str) -> tuple[zipfile.ZipFile, str] | None:
-    names = archive.namelist()
-    for name in names:
-        if wanted in name.upper() and name.lower().endswith(".csv"):
-            return archive, name
-    for name in names:
-        if name.lower().endswith(".zip"):
-            found = _member(zipfile.ZipFile(io.BytesIO(archive.read(name))), wanted)
-            if found:
-                return found
+def _spooled(stream: IO[bytes]) -> IO[bytes]:
+    """A stream that can be searched: in memory while small, on the task's disk beyond."""
+    copy = tempfile.SpooledTemporaryFile(max_size=1 << 26)
+    shutil.copyfileobj(stream, copy)
+    copy.seek(0)
+    return copy
+
+
+def survey_stream(content: bytes, wanted: str) -> IO[bytes] | None:
+    """The survey member of an archive or of archives inside it, the shallowest first; None without one."""
+    waiting: deque[IO[bytes]] = deque([io.BytesIO(content)])
+    while waiting:
+        archive = zipfile.ZipFile(waiting.popleft())
+        kinds = {entry: entry.filename.rsplit(".", 1)[-1].lower() for entry in archive.infolist()}
+        tables = [e for e, kind in kinds.items() if kind == "csv" and wanted in e.filename.upper()]
+        if tables:
+            return archive.open(tables[0])
+        waiting.extend(_spooled(archive.open(e)) for e, kind in kinds.items() if kind == "zip")
     return None
 
 
-def _batches(content: bytes, wanted: str, batch: int) -> Iterator[tuple[list[str], list[list[str]]]]:
+def survey_batches(content: bytes, wanted: str, batch: int) -> Iterator[tuple[list[str], list[list[str]]]]:
     """Header and row batches of the wanted member; nothing when the archive has none."""
-    found = _member(zipfile.ZipFile(io.BytesIO(content)), wanted)
-    if not found:
+    stream = survey_stream(content, wanted)
+    if stream is None:
         return
-    text = io.TextIOWrapper(found[0].open(found[1]), encoding="latin-1", newline="")
-    head = text.readline().replace("\x00", "")
-    sep = max(DELIMITERS, key=head.count)
-    header = next(csv.reader([head], delimiter=sep), [])
-    lines = csv.reader((line.replace("\x00", "") for line in text), delimiter=sep)
-    while rows := list(islice(lines, batch)):
+    # Zero bytes stand between values in some waves and mean nothing.
+    lines = map(str.translate, io.TextIOWrapper(stream, "latin-1", newline=""), repeat({0: None}))
+    first = next(lines, "")
+    counts = Counter(c for c in first if c in DELIMITERS)
+    table = csv.reader(chain([first], lines), delimiter=max(DELIMITERS, key=counts.__getitem__))
+    header = next(table, [])
+    while rows := list(islice(table, batch)):
         yield header, rows
 
 
@@ -57,7 +70,7 @@ def survey_columns(archives: DataFrame, columns: Sequence[str], wanted: str = "C
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                for header, rows in _batches(content, wanted, batch):
+                for header, rows in survey_batches(content, wanted, batch):
                     place = {c.upper(): i for i, c in enumerate(header)}
                     whole = [r for r in rows if len(r) >= len(header)]
                     picked = {"path": [path] * len(whole)}
@@ -75,14 +88,15 @@ def survey_rows(archives: DataFrame, wanted: str = "CAP_600", batch: int = 5000)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                for header, rows in _batches(content, wanted, batch):
+                for header, rows in survey_batches(content, wanted, batch):
                     yield pd.DataFrame({"path": path, "header": [header] * len(rows), "fields": rows})
 
     return archives.select("path", "content").mapInPandas(read, "path string, header array<string>, fields array<string>")
 
 
-def read_survey_archives(spark: SparkSession, path: str, wanted: str = "CAP_600") -> DataFrame:
-    return survey_rows(spark.read.format("binaryFile").load(path), wanted)
+def read_survey_archives(spark: SparkSession, path: str, columns: Sequence[str], wanted: str = "CAP_600") -> DataFrame:
+    """IO-01 from a folder of archives: the named columns only."""
+    return survey_columns(spark.read.format("binaryFile").load(path), columns, wanted)
 
 
 def complete_rows(rows: DataFrame, header: str = "header", fields: str = "fields") -> DataFrame:

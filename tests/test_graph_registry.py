@@ -99,8 +99,8 @@ def test_snowball_rules(spark):
     refs = spark.createDataFrame([("s1", "a"), ("s2", "a"), ("s1", "b"), ("s1", "s2"), ("z", "a")], "paper string, other string")
     citers = spark.createDataFrame([("s1", "b"), ("s2", "c")], "paper string, other string")
     seeds = spark.createDataFrame([("s1",), ("s2",)], "paper string")
-    assert [tuple(r) for r in G.snowball(refs, citers, seeds, 10, 2).collect()] == [("a", 2), ("b", 2)]
-    assert G.snowball(refs, citers, seeds, 3, 2).count() == 1
+    assert [tuple(r) for r in G.snowball(refs, citers, seeds, 10).collect()] == [("a", 2), ("b", 2)]
+    assert G.snowball(refs, citers, seeds, 3).count() == 1
 
 
 def test_nearest_distance_over_blocks(spark):
@@ -206,3 +206,29 @@ def test_reproduction_gate_raises(spark):
     assert [r["family"] for r in off.collect()] == ["gone"]
     with pytest.raises(ValueError, match="gone"):
         RG.require_empty(off, "figures not reproduced")
+
+
+def test_thinning_keeps_repeated_rows(spark):
+    d = spark.createDataFrame([(1, 25000.0)] * 2 + [(2, 300.0)] * 2, "id long, n double")
+    for chunk in (100, 10_000):
+        rows = P.thin_counts(d, F.col("id"), "n", "t", 0.4, 0.8, 3, chunk=chunk).orderBy("id").collect()
+        assert len(rows) == 4 and rows[0]["t"] == rows[1]["t"] and 12_000 < rows[0]["t"] < 13_000 and rows[2]["t"] == rows[3]["t"]
+
+
+def test_folds_and_placebo_take_text_keys(spark):
+    from tallyveil.operators import resample as RS
+
+    units = spark.createDataFrame([(f"{q}:{r}", "d", float(q * r)) for q in range(5) for r in range(4)], "cell string, district string, v double")
+    folds = P.seeded_folds(units, "cell", 4, 7).groupBy("fold").count().collect()
+    assert sorted(r["count"] for r in folds) == [5, 5, 5, 5]
+    assert P.district_hold_out(units, "cell", 7).filter("part = 'test'").count() == 5
+    moved = RS.placebo_permutation(units, ["district"], "cell", "v", 11).collect()
+    assert sorted(r["placebo"] for r in moved) == sorted(float(q * r) for q in range(5) for r in range(4))
+
+
+def test_policy_without_official_value_blocks(spark):
+    lines = spark.createDataFrame([("f", 1, "CANON: a.x = 9.99"), ("f", 2, "CANON: b.x = 9.99"), ("f", 3, "CANON: a = 1.12345679")], "file string, line long, text string")
+    policy = spark.createDataFrame([("a", "x", 8, "half_up"), ("b", "x", 2, "ceil")], "family string, canonical_variant string, decimals int, round_mode string")
+    entries = spark.createDataFrame([("a", "x", 1.123456785, True, False), ("b", "x", 1.25, True, False)], "family string, variant string, value double, canonical boolean, needs_policy boolean")
+    broken = {r["line"]: (r["violation"], r["blocking"]) for r in RG.check(lines, entries, policy, entries.limit(0)).collect()}
+    assert broken == {1: ("value differs", True), 2: ("no official value", True)}

@@ -137,3 +137,18 @@ def test_keyword_groups(spark):
     groups = [["deep learning"], ["crime", "criminal"], ["under-report"]]
     assert apply(d, X.all_groups(F.col("v"), groups)) == [True, False, False]
     assert apply(d, X.groups_hit(F.col("v"), groups)) == [3, 1, 0]
+
+
+def test_draws_of_neighbouring_keys_differ(spark):
+    # Keys and event numbers stay apart: no event of one key draws like one of the next, nor do large keys repeat.
+    rows = spark.range(4).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(2500)))).select(mixed_hash(F.col("id"), 3, F.col("i")).alias("h"))
+    assert rows.distinct().count() > 9_990
+    large = spark.range(2).select(mixed_hash(F.col("id") * (1 << 31), 3).alias("h"))
+    assert large.distinct().count() == 2
+    assert spark.sql("SELECT 'q' AS q").select(mixed_hash(F.lit("1:2"), 1) >= 0).first()[0]
+
+
+def test_rounding_beyond_six_decimals(spark):
+    d = spark.sql("SELECT CAST(1.123456785 AS DOUBLE) AS v")
+    assert str(d.select(K.canonical_round("v", 8)).first()[0]) == "1.12345679"
+    assert str(d.select(K.canonical_round("v", 7, "floor")).first()[0]) == "1.1234567"

@@ -29,8 +29,10 @@ def test_survey_archives(spark, tmp_path):
     archive(tmp_path / "a.zip", 'CCDD;FACTOR;P601_1\n15;32,5;"1;x"\n15;1\n07;2,0;2\x00\n')
     archive(tmp_path / "b.zip", "FACTOR|ÑU|CCDD\n3,5|é|15\n", nested=False)
     archive(tmp_path / "c.zip", "A,B\n1,2\n", name="other.csv")
-    rows = RD.complete_rows(RD.read_survey_archives(spark, str(tmp_path)))
-    got = {tuple(r) for r in rows.select(RD.field("CCDD"), RD.field("FACTOR"), RD.field("P601_1"), RD.field("ÑU")).collect()}
+    rows = RD.read_survey_archives(spark, str(tmp_path), ["CCDD", "FACTOR", "P601_1", "ÑU"])
+    got = {tuple(r)[1:] for r in rows.collect()}
+    explored = RD.complete_rows(RD.survey_rows(spark.read.format("binaryFile").load(str(tmp_path))))
+    assert got == {tuple(r) for r in explored.select(*[RD.field(c) for c in rows.columns[1:]]).collect()}
     assert got == {("15", "32,5", "1;x", None), ("07", "2,0", "2", None), ("15", "3,5", None, "é")}
 
 
