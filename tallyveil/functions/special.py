@@ -102,6 +102,20 @@ def beta_quantile(p: float, a: Column, b: Column) -> Column:
     return F.nullif(_beta_quantile(F.lit(p), a.cast("double"), b.cast("double")), F.lit(float("nan")))
 
 
+def binomial_quantile(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Smallest k with P(X <= k) >= u for X binomial with n trials, by bisection on the Beta distribution."""
+    low, high = np.full(len(u), -1, np.int64), np.asarray(n, np.int64).copy()
+    while (high - low > 1).any():
+        middle = (low + high) // 2
+        inside = np.clip(middle, 0, high - 1)
+        below = beta_cdf(1.0 - p, (n - inside).astype(float), (inside + 1).astype(float))
+        open_ = high - low > 1
+        reached = open_ & (below >= u)
+        high = np.where(reached, middle, high)
+        low = np.where(open_ & ~reached, middle, low)
+    return high
+
+
 @F.pandas_udf(T.DoubleType())
 def _t_two_sided(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for rho, n in batches:

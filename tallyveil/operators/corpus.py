@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions.text import is_term, raw_tokens
-from tallyveil.operators.ordering import positions
+from tallyveil.operators.ordering import top_rows
 
 
 def first_filled(df: DataFrame, sources: Sequence[tuple[str, str]], name: str, last_label: str = "title_only") -> DataFrame:
@@ -57,8 +57,7 @@ def cluster_terms(docs: DataFrame, doc: str, text: str, cluster: str, n: int, ma
         cluster, "term", "tf", "df", (F.col("tf") * F.ln(F.col("_docs") / (1 + F.col("df")))).alias("score")
     )
     # Scores are rounded before ranking so that ties fall to the term, not to float noise.
-    ranked = positions(scored.withColumn("_s", F.round("score", 9)), [cluster], [F.col("_s").desc(), F.col("term")])
-    return ranked.filter(F.col("position") <= n).drop("_s", "group_rows")
+    return top_rows(scored.withColumn("_s", F.round("score", 9)), [cluster], [F.col("_s").desc(), F.col("term")], n).drop("_s")
 
 
 def flag_clusters(terms: DataFrame, cluster: str, keywords: Sequence[str]) -> DataFrame:
@@ -76,8 +75,7 @@ def most_cited(papers: DataFrame, by: Sequence[str], citations: str, key: str, n
     if not by:
         # A global list needs no ranking of all rows: each task keeps its best n.
         counted = counted.orderBy(F.col("_c").desc(), key).limit(n)
-    ranked = positions(counted, list(by), [F.col("_c").desc(), F.col(key)])
-    return ranked.filter(F.col("position") <= n).drop("group_rows").withColumn(citations, F.col("_c")).drop("_c")
+    return top_rows(counted, by, [F.col("_c").desc(), F.col(key)], n).withColumn(citations, F.col("_c")).drop("_c")
 
 
 def cluster_report(papers: DataFrame, cluster: str, key: str, marked: str, citations: str, terms: DataFrame, n_cited: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.codes import salton
 from tallyveil.functions.vectors import l2_normalise
-from tallyveil.operators.ordering import positions
+from tallyveil.operators.ordering import positions, top_rows
 from tallyveil.operators.panel import blocks_for
 from tallyveil.session import cut_lineage
 
@@ -160,8 +160,8 @@ def community_leaders(members: DataFrame, papers: DataFrame, n: int = 5, least:
     """G-09: the n most cited members of every community of at least ``least`` papers."""
     big = members.filter("community IS NOT NULL").groupBy("community").agg(F.count("*").alias("members")).filter(F.col("members") >= least)
     listed = members.join(papers.select("paper", "citations"), "paper").join(big, "community")
-    ranked = positions(listed, ["community"], [F.coalesce("citations", F.lit(0)).desc(), F.col("paper")])
-    return ranked.filter(F.col("position") <= n).select("community", "members", "position", "paper")
+    ranked = top_rows(listed, ["community"], [F.coalesce("citations", F.lit(0)).desc(), F.col("paper")], n)
+    return ranked.select("community", "members", "position", "paper")
 
 
 def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: int = 2048, max_pivots: int = 256) -> DataFrame:

@@ -112,3 +112,13 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, count: str | N
         (F.col("run_n") - (F.col("ties") - 1) / 2.0).alias("rank"),
         F.col("all_n").alias("group_rows"),
     )
+
+
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of every group, with their ``position``.
+
+    Each task keeps n rows per group before the shuffle, so a heavy group does not meet in
+    one task; no ranking of all rows and no stored copy is needed.
+    """
+    place = F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
+    return df.withColumn("position", place.cast("bigint")).filter(F.col("position") <= n)

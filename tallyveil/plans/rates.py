@@ -208,7 +208,7 @@ def _(t):
 
 @query("a25_dispersion_bootstrap")
 def _(t):
-    return R.dispersion_bootstrap(t.pooled(), sims=100)
+    return R.dispersion_bootstrap(t.pooled(), sims=400)
 
 
 @query("a26_design_effect_scan")
@@ -455,13 +455,13 @@ def _(t):
     return V.yearly_summary(t.surface(), ["observed", "latent"])
 
 
-SCALES, REPS = [24, 12, 6, 3, 1], 40
+SCALES, REPS = [25, 24, 12, 6, 3, 1], 200
 from tallyveil.functions.hashing import mixed_hash_sql  # noqa: E402
 
 ZONES = f"""
 zones AS (
   SELECT area, k, rep, (row_number() OVER (PARTITION BY k, rep ORDER BY {mixed_hash_sql('area_key', 'rep * 1009 + k')}, area_key) - 1) % k AS zone
-  FROM areas CROSS JOIN (VALUES (24), (12), (6), (3), (1)) AS s(k) CROSS JOIN (SELECT unnest(range(0, {REPS})) AS rep) AS r),
+  FROM areas CROSS JOIN (VALUES (25), (24), (12), (6), (3), (1)) AS s(k) CROSS JOIN (SELECT unnest(range(0, {REPS})) AS rep) AS r),
 mass AS (
   SELECT s.area, s.category, CAST(s.observed AS DOUBLE) AS observed, s.latent, p.sw / w.waves AS annual
   FROM (SELECT category, area, sum(observed) AS observed, sum(latent) AS latent FROM surface GROUP BY ALL) AS s JOIN pooled p USING (category, area)
