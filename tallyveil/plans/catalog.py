@@ -191,7 +191,12 @@ ROLE_SQL: dict[str, tuple[str, str]] = {
         FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey, s_acctbal"""),
     "refs": ("", "SELECT DISTINCT l_suppkey AS paper, l_partkey AS other FROM lineitem"),
     "citers": ("", "SELECT DISTINCT l_suppkey AS paper, l_orderkey AS other FROM lineitem"),
-    "core": ("papers", "SELECT paper FROM papers ORDER BY citations DESC, paper LIMIT 60"),
+    "core": ("papers refs citers", """
+        SELECT paper FROM papers WHERE selected UNION ALL SELECT paper FROM (
+          SELECT other AS paper FROM (
+            SELECT other FROM refs WHERE paper IN (SELECT paper FROM papers WHERE selected) UNION ALL SELECT other FROM citers WHERE paper IN (SELECT paper FROM papers WHERE selected)) AS s
+          WHERE other NOT IN (SELECT paper FROM papers WHERE selected) GROUP BY other HAVING count(*) >= 2
+          QUALIFY row_number() OVER (ORDER BY count(*) DESC, other) <= 90 - (SELECT count(*) FROM papers WHERE selected)) AS grown"""),
 }
 
 

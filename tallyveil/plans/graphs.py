@@ -9,8 +9,9 @@ from tallyveil.operators import graph as G
 from tallyveil.operators import screening as SC
 from tallyveil.plans.catalog import Tables, oracle, query
 from tallyveil.plans.cleaning import tokens_sql
+from tallyveil.session import cut_lineage
 
-CORE = 60
+CORE = 90  # papers of the extended core, seeds included
 SALTON = "shared / (sqrt(CAST(na AS DOUBLE) * nb) + 1e-9)"
 
 
@@ -29,7 +30,8 @@ BOTH = shared_sql("coupling", "refs") + "," + shared_sql("cocite", "citers") + f
 
 
 def _core(t: Tables):
-    return G.select_seeds(t.papers(), CORE)
+    seeds = G.select_seeds(t.papers(), 0, "selected")
+    return cut_lineage(seeds.unionByName(G.snowball(t.refs(), t.citers(), seeds, CORE).select("paper")))
 
 
 def _similarity(t: Tables):
@@ -147,7 +149,7 @@ def _(t):
   WHERE other NOT IN (SELECT paper FROM papers WHERE selected) GROUP BY other HAVING count(*) >= 2
   QUALIFY row_number() OVER (ORDER BY count(*) DESC, other) <= 90 - (SELECT count(*) FROM papers WHERE selected)""", "papers refs citers", ints="score"))
 def _(t):
-    return G.snowball(t.refs(), t.citers(), G.select_seeds(t.papers(), 0, "selected"), 90)
+    return G.snowball(t.refs(), t.citers(), G.select_seeds(t.papers(), 0, "selected"), CORE)
 
 
 @query("g06_coupling_matrices", oracle(
