@@ -214,14 +214,14 @@ def fit_shrinkage(cells: DataFrame, by: Sequence[str] = ("category",), rounds: i
                          F.lit(2.0).alias("_mh"), F.lit(8.0).alias("_ph"))
     for _ in range(rounds):
         spread = base.join(best, by).withColumn("grid", _grid(F.col("_mu"), F.col("_mh"), F.col("_phi"), F.col("_ph"), steps))
-        scored = likelihood_grid(spread, F.col("grid"), by)
-        top = scored.groupBy(*by).agg(F.max_by(F.struct("mu", "phi", "loglik"), "loglik").alias("b")).join(
-            best.select(*by, "_mh", "_ph"), by
-        )
-        best = cut_lineage(top.select(
+        # The half widths travel as keys, so a round reads the one before once and nothing is stored.
+        widths = ["_mh", "_ph"]
+        scored = likelihood_grid(spread, F.col("grid"), [*by, *widths])
+        top = scored.groupBy(*by, *widths).agg(F.max_by(F.struct("mu", "phi", "loglik"), "loglik").alias("b"))
+        best = top.select(
             *by, F.ln(F.col("b.mu") / (1 - F.col("b.mu"))).alias("_mu"), F.ln("b.phi").alias("_phi"),
             (F.col("_mh") / 6.0).alias("_mh"), (F.col("_ph") / 6.0).alias("_ph"), F.col("b.loglik").alias("loglik"),
-        ))
+        )
     weak = (F.col("cells") < 3) | (F.col("_y") <= 0)
     phi = F.exp("_phi") if cap is None else F.least(F.exp("_phi"), F.lit(cap))
     return pooled.join(best, by, "left").select(
