@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyveil.session import scratch_path
 
 #: Rows per Arrow batch are Spark's setting; work inside a batch goes in pieces of about so many bytes of text.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +43,15 @@ def by_bytes(sizes, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def worker_kept(kind: str, key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for its later tasks; one of each kind, the last."""
+    store = sys.modules.setdefault("tallyveil_worker_store", types.ModuleType("tallyveil_worker_store")).__dict__
+    if store.get(kind, (None,))[0] != key:
+        store.pop(kind, None)
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """The name, with underscores added until the table has no such column."""
     taken = {c.lower() for c in df.columns}

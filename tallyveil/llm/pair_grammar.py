@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import by_bytes, open_store, table, written
+from tallyveil.llm.common import by_bytes, open_store, table, worker_kept, written
 from tallyveil.llm.pieces import Cutter, PieceMemory, library_ids
 from tallyveil.llm.ranges import range_numbers
 from tallyveil.session import scratch_path
@@ -192,6 +192,11 @@ def make_shard(doc_ids: list, ids: list[np.ndarray], base: int, end: int, **sett
     )
 
 
+def _encoder(path: str) -> PieceMemory:
+    cut = Cutter(path)
+    return PieceMemory(cut, library_ids(cut))
+
+
 def write_shards(
     docs: DataFrame, folder: str, path: str, *, end: int = 2, shard_tokens: int = 1 << 20, ranges: int | None = None, text: str = "text", doc_id: str = "doc_id", **settings,
 ) -> DataFrame:
@@ -201,8 +206,8 @@ def write_shards(
     spread = range_numbers(rows, "doc_id", ranges)(rows).repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Cutter(path)
-        memory = PieceMemory(cut, library_ids(cut))
+        memory = worker_kept("byte pieces", path, lambda: _encoder(path))
+        cut = memory.cut
         base = max(cut.library.get_vocab(with_added_tokens=True).values()) + 1
         store, place = open_store(folder)
         store.create_dir(place, recursive=True)

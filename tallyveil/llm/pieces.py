@@ -10,7 +10,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters of the plain way: up to U+017F, whose lower case stays there or is a mark, and punctuation and currency signs without letters, digits or spaces.
 PLAIN = re.compile("[^\x00-ſ‐-‧‰-⁞₠-₿]")
 #: White space below U+0180 as the library's pattern engine sees it.
@@ -99,4 +99,11 @@ class PieceMemory:
 
 def library_ids(cut: Cutter) -> Callable[[list[str]], list[np.ndarray]]:
     """Ids of pieces by the tokenizers library."""
-    return lambda words: [np.array(e.ids, np.int64) for e in cut.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(words: list[str]) -> list[np.ndarray]:
+        # A few thousand at a time: the library's own results take far more room than ids.
+        return [
+            np.array(e.ids, np.int64) for a in range(0, len(words), 4096) for e in cut.library.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)
+        ]
+
+    return learn

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import by_bytes, table
+from tallyveil.llm.common import by_bytes, table, worker_kept
 from tallyveil.llm.pieces import byte_alphabet
 
 #: The pre-tokenizer pattern of the published byte-level BPE vocabularies.
@@ -92,7 +92,7 @@ def count_tokens(
     splits = path.endswith(".json") and _plain_byte_level(json.load(open(path, encoding="utf-8")))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = piece_counter(path)
+        count = worker_kept("token counter", path, lambda: piece_counter(path))
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             sizes = [len(t.encode()) for t in texts]
