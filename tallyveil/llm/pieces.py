@@ -98,12 +98,13 @@ class PieceMemory:
 
 
 def library_ids(cut: Cutter) -> Callable[[list[str]], list[np.ndarray]]:
-    """Ids of pieces by the tokenizers library."""
+    """Ids of pieces by the tokenizers library: its model alone, since pieces are cut already."""
+    tokenize = cut.library.model.tokenize
+    letters = {b: c for c, b in cut.bytes_of.items()}
 
     def learn(words: list[str]) -> list[np.ndarray]:
-        # A few thousand at a time: the library's own results take far more room than ids.
-        return [
-            np.array(e.ids, np.int64) for a in range(0, len(words), 4096) for e in cut.library.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)
-        ]
+        # Each byte of a piece as the letter that stands for it in the vocabulary.
+        spelled = (w.encode().decode("latin-1").translate(letters) for w in words)
+        return [np.array([t.id for t in tokenize(w)], np.int64) for w in spelled]
 
     return learn
