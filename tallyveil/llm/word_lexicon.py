@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import by_bytes, table
+from tallyveil.llm.common import by_bytes, table, worker_kept, written
 from tallyveil.llm.pieces import REMEMBERED, Cutter, PieceMemory, byte_alphabet
 
 NO_RANK = np.iinfo(np.int32).max
+#: Grades of word counts to a doubling.
+GRADES = 64
 
 
 class Merges:
@@ -236,10 +238,13 @@ class WordCodec:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int, text: str = "text") -> list[str]:
-    """The ``size`` most frequent words over all whole texts, counted in the tasks first."""
+    """The most frequent words over all whole texts, at most ``size``, counted in the tasks first.
+
+    Words of like count are taken all or none, so fewer than ``size`` words may come.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, found = Cutter(path), Counter()
+        cut, found = worker_kept("word cutter", path, lambda: Cutter(path)), Counter()
 
         def passed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
@@ -257,8 +262,14 @@ def frequent_words(docs: DataFrame, path: str, size: int, text: str = "text") ->
             yield passed()
 
     words = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # A top list: at most ``size`` words come to the driver.
-    return [r[0] for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = written(words.withColumn("grade", F.floor(F.log2("n") * GRADES)), "words")
+    # Words by the logarithm of their count, some thousand rows at most, give the least grade that fits.
+    left, least = size, None
+    for grade, n in sorted(((r[0], r[1]) for r in words.groupBy("grade").count().collect()), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, grade
+    return sorted(r[0] for r in words.filter(F.col("grade") >= least).select("word").collect()) if least is not None else []
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = 50_000, text: str = "text") -> str:
@@ -276,7 +287,7 @@ def coded(docs: DataFrame, path: str, lexicon: str, *, keep: tuple[str, ...] = (
     """The ``keep`` columns with n_tokens and the digests of the ids and of the text decoded from them; on demand also both in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path, Lexicon(SparkFiles.get(lexicon)))
+        codec = worker_kept("word codec", (path, lexicon), lambda: WordCodec(path, Lexicon(SparkFiles.get(lexicon))))
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in by_bytes(list(map(len, texts))):
