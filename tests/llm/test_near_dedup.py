@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -50,6 +51,10 @@ def test_query_equals_all_pairs(spark):
     names, sizes, roots = brute_groups(rows)
     expected = sorted(((d, n, c, d == c) for (d, _), n, c in zip(rows, sizes, names)), key=str)
     assert collected(near_dedup.op1_near_duplicates(spark, FOLDER)) == expected
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    found = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({near_dedup.ORACLES['op1_near_duplicates']})").fetchall()
+    assert sorted(found, key=str) == expected
 
 
 def edited(words, rng, n):
