@@ -37,7 +37,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Words scored together, and words remembered by a worker with their scores.
-CHUNK, REMEMBERED = 20_000, 400_000
+CHUNK, REMEMBERED = 20_000, 250_000
 #: Scores are rescaled every so many positions, so that words of any length keep a likelihood above zero.
 RESCALE = 16
 
@@ -158,8 +158,12 @@ def training_words(docs: DataFrame, docs_per_language: int) -> DataFrame:
     """(lang, word, n) over a bounded number of labelled documents of each language."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     labelled = docs.filter(F.col("lang").isNotNull() & ~held).select("doc_id", "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= docs_per_language).select("doc_id", "lang").distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    # A language's rows beyond twice its share of places are left out before they are ranked, so no language is ranked whole.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    near = labelled.join(F.broadcast(sizes), "lang").withColumn("place", place).filter(F.col("place") * F.col("n") <= 2 * docs_per_language + 100)
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
+    ranked = ranked.filter(F.col("k") <= docs_per_language).select("doc_id", "lang").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
