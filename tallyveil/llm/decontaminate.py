@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 Texts are lower-cased and cut into words at white space. A benchmark item of n words is looked for in windows of
-n words. Windows start where a run of words shared with some item says the item would start, because a window
-that has no shingle of any item in common cannot reach the similarity; one window is taken for each such run, so
-a passage with words put in or left out is tried from both of its sides. Windows are moved inside the text.
+n words. Of all windows only those are left out that cannot be the result: a window whose places with a shingle of
+items of n words are too few for the similarity, and a window that does not end with such a shingle, because the
+window one word before it (which is inside the text, or the window is the first) then has at least as many in common.
 
 Every window and item gets a 64-bit SimHash of its words (each word as often as it stands there). The fingerprints are
 cut into ``BLOCKS`` blocks. Of two fingerprints within ``radius`` bits, at least one block differs in at most
@@ -30,6 +30,8 @@ from tallyveil.llm.common import fits_broadcast, fresh_name, table, written
 BITS, BLOCKS = 64, 7
 #: Words of benchmark items that one pass broadcasts (some 40 MB with the fingerprint index).
 PASS_WORDS = 200_000
+#: Window starts that are broadcast, as (key, length, starts); more are joined by shuffle.
+BROADCAST_STARTS = 100_000
 #: Contaminated rows that are broadcast, as 8-byte keys, to be left out; more are left out by a shuffle join.
 BROADCAST_KEYS = 500_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -94,10 +96,14 @@ def item_index(items: DataFrame, radius: int) -> DataFrame:
     return spelled.select("item_key", "n_words", "item_bits", "e.block", "e.value").distinct()
 
 
-def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """Distinct (doc_id, n_words, start, window) where a run of words shared with an item begins."""
-    at = F.transform("item_shingles", lambda h, j: F.struct(h.alias("h"), j.alias("j"), F.xxhash64(F.get("item_words", j - 1)).alias("before")))
-    posted = items.select("n_words", F.explode(at).alias("p")).select("n_words", "p.h", "p.j", "p.before").distinct()
+def _starts(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """(row_key, n_words, starts): where windows begin that end with a shared shingle and hold enough of them.
+
+    Of a window of ``most`` shingles and an item of as many, ``least`` shared places are needed for the similarity.
+    In the ascending places the one ``least - 1`` before the window's last must be inside the window. Shared means
+    with any item of n words, so groups and windows do not grow with the number of items that hold one shingle.
+    """
+    posted = items.select("n_words", F.explode("item_shingles").alias("h")).distinct()
     sizes = [r[0] for r in items.select(F.least("n_words", F.lit(width))).distinct().collect()]  # width values at most
     found = None
     for size in sizes:
@@ -105,19 +111,42 @@ def _windows(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
         places = F.when(last >= 0, F.sequence(F.lit(0), last))
         shingle = F.xxhash64(F.array(*[F.get("words", F.col("i") + k) for k in range(size)]))
         mine = posted.filter(F.least("n_words", F.lit(width)) == size)
-        start = F.greatest(F.least(F.col("i") - F.col("j"), F.size("words") - F.col("n_words")), F.lit(0))
-        runs = (
-            docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.explode(places).alias("i"))
-            .select("doc_id", "words", "i", shingle.alias("h")).join(F.broadcast(mine), "h")
-            .filter("j = 0 OR i = 0 OR xxhash64(get(words, i - 1)) <> before")
-            .select("doc_id", "n_words", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n_words")), " ").alias("window"))
+        shared = (
+            docs.select(_row_key(), words_of(F.col("text")).alias("words")).select("row_key", "words", F.explode(places).alias("i"))
+            .select("row_key", (last + 1).alias("held"), "i", shingle.alias("h")).join(F.broadcast(mine), "h")
+            .select("row_key", "n_words", (F.col("n_words") - size + 1).alias("most"), "held", "i")
         )
-        found = runs if found is None else found.unionByName(runs)
-    return found.distinct() if found is not None else None
+        found = shared if found is None else found.unionByName(shared)
+    if found is None:
+        return None
+    groups = found.groupBy("row_key", "n_words", "most", "held").agg(F.array_sort(F.collect_set("i")).alias("places"))
+    # least * 100 >= (shingles of both - least) * percent, in whole numbers; at least one place.
+    both = (F.least("most", "held") + F.col("most")) * percent
+    groups = groups.withColumn("least", F.greatest(F.ceil(both / (100 + percent) - F.lit(1e-9)).cast("int"), F.lit(1)))
+    inside = F.transform("places", lambda p, k: F.when(
+        (k >= F.col("least") - 1) & (p - F.get("places", F.greatest(k - F.col("least") + 1, F.lit(0))) < F.col("most")), F.greatest(p - F.col("most") + 1, F.lit(0))
+    ))
+    return groups.select("row_key", "n_words", F.array_distinct(F.array_compact(inside)).alias("starts")).filter("size(starts) > 0")
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
+def _windows(docs: DataFrame, items: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Distinct (doc_id, n_words, start, window) of all windows that can reach the similarity."""
+    starts = _starts(docs, items, width, percent)
+    if starts is None:
+        return None
+    starts = written(starts, "window-starts")
+    # Texts are read again and only those with starts are cut, so no text travels with every place.
+    keyed = docs.select("doc_id", "text", _row_key()).join(F.broadcast(starts) if fits_broadcast(starts, BROADCAST_STARTS) else starts, "row_key")
+    found = keyed.select("doc_id", "n_words", words_of(F.col("text")).alias("words"), F.explode("starts").alias("start"))
+    return found.select("doc_id", "n_words", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("n_words")), " ").alias("window")).distinct()
 
 
 def _matches(docs: DataFrame, items: DataFrame, width: int, percent: int, radius: int) -> DataFrame | None:
-    windows = _windows(docs, items, width)
+    windows = _windows(docs, items, width, percent)
     if windows is None:
         return None
     looked = windows.withColumn("bits", simhash(F.split("window", " ")))

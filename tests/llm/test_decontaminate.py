@@ -76,6 +76,22 @@ def test_edits_edges_and_rows(spark, monkeypatch):
     assert decontaminate.clean_documents(df, bench.limit(0)).count() == len(rows)
 
 
+def test_best_window_between_two_alignments(spark):
+    w, x = [f"w{i}" for i in range(60)], [f"x{i}" for i in range(4)]
+    texts = {
+        1: ["y", "y", *w[2:30], *x, *w[30:58], "z", "z"],  # the window at 2 has 48 of 56 shingles, those at 0 and 4 have 46
+        2: ["y"] * 50 + w[2:30] + x + w[30:58] + ["z"] * 50, 3: w[3:29] + x[:3] + w[30:57], 4: w[4:32] + x + w[32:60], 5: (w[1:30] + x[:2] + w[30:59]) * 2,
+        6: ["y"] * 9 + w[5:55] + ["z"] * 9, 7: w[:20] + x + w[20:40] + x[:1] + w[40:60],
+    }
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    expected = {d: s for d, t in texts.items() if (s := best_similarity(" ".join(t), " ".join(w))) >= 0.75}
+    assert expected[1] == expected[2] == 0.75
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[d].similarity - expected[d]) < 1e-9 for d in got)
+    assert got[1].start == 2 and got[2].start == 50
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**63), 2**63, 40)
