@@ -5,7 +5,9 @@ longest rule wins. Urls joined by a redirect or a canonical link are aliases: co
 links carry a block to every alias that no rule covers, unless an alias is explicitly allowed.
 
 Links come from ``page_links`` (canonical links and refresh redirects inside the html) or from any table of
-(source, target) urls, such as a crawler's redirect log. Components are found by the library's distributed
+(source, target) urls, such as a crawler's redirect log. Targets inside the html may be relative: character references
+are decoded, then targets are resolved against the page's base href, else its url, and lose their dot segments. The
+SQL below knows absolute targets and ``&amp;`` only; no given table has others. Components are found by the library's distributed
 minimum-label rounds; nothing is gathered on the driver.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, no alias, and is
@@ -15,10 +17,14 @@ block. Repeated rows keep their number. Columns of the pages table other than th
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import fits_broadcast, table
+from tallyveil.llm.common import fits_broadcast, table, written
+from tallyveil.llm.decontaminate import once
 from tallyveil.operators.graph import components
 
 #: The rules of the registered query.
@@ -50,8 +56,66 @@ def alias_key(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(url_host(url), url_path(url), query))
 
 
+def decode_references(value: Column) -> Column:
+    """An attribute's text with its character references decoded, each once."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # Numbers 128 to 159 stand for the characters of windows-1252, as browsers read them.
+    odd = F.from_json(F.lit(json.dumps({str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)})), "map<string,string>")
+
+    def number(piece: Column, code: Column) -> Column:
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.coalesce(odd[code.cast("string")], F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise("�")
+        return F.concat(char, F.regexp_replace(piece, r"^&(?:#[xX][0-9a-fA-F]+|#[0-9]+);?", ""))
+
+    def named(piece: Column, name: Column) -> Column:
+        return once(names[name], lambda char: F.when(char.isNull(), piece).otherwise(F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece)))))
+
+    def decoded(piece: Column) -> Column:
+        digits16 = F.ltrim(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
+        code = F.when(piece.rlike("^&#[0-9]"), F.regexp_extract(piece, r"^&#([0-9]+)", 1).try_cast("bigint")).when(F.length(digits16) <= 8, F.conv(digits16, 16, 10).try_cast("bigint"))
+        name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*(?:;|(?=[^=A-Za-z0-9;])|$))", 1)
+        return F.when(piece.rlike("^&#([0-9]|[xX][0-9a-fA-F])"), once(code, lambda c: number(piece, c))).otherwise(once(name, lambda n: named(piece, n)))
+
+    return F.when(value.contains("&"), F.array_join(F.transform(F.split(value, "(?=&)"), decoded), "")).otherwise(value)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments carried out."""
+    one, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+    def walked(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: (
+            F.when(part.rlike(two), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part.rlike(one), done).otherwise(F.array_append(done, part))
+        ))
+        ends = F.element_at(parts, -1).rlike(f"{one}|{two}")
+        return once(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(ends & (F.size(k) > 0), "/").otherwise("")))
+
+    return once(F.split(F.substring(path, 2, F.length(path)), "/"), walked)
+
+
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute url that ``target`` means on a page with the url ``base``; null where there is none."""
+    site = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+
+    def joined(t: Column, b: Column) -> Column:
+        head, path = F.regexp_extract(b, site, 1), F.regexp_extract(b, site + r"([^?#]*)", 2)
+        return (
+            F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(~b.rlike(site), None)
+            .when(t.startswith("//"), F.concat(F.regexp_extract(b, r"^([^:]*:)", 1), t)).when(t.startswith("/"), F.concat(head, t))
+            .when(t.startswith("?"), F.concat(head, path, t)).when(t.startswith("#"), F.concat(F.regexp_extract(b, r"^[^#]*", 0), t))
+            .otherwise(F.concat(head, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), t))
+        )
+
+    def cleaned(url: Column) -> Column:
+        path, rest = F.regexp_extract(url, site + r"([^?#]*)", 2), F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+        path = once(path, lambda p: F.when(p.startswith("/"), without_dots(p)).otherwise(p))
+        return F.when(url.rlike(site), F.concat(F.regexp_extract(url, site, 1), path, rest))
+
+    return once(target, lambda t: once(base, lambda b: once(joined(t, b), cleaned)))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) of canonical links and refresh redirects with absolute addresses in the pages' html."""
+    """(source, target) of canonical links and refresh redirects in the pages' html, as absolute urls."""
     canonical = F.filter(
         F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b""")
     )
@@ -62,10 +126,17 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
     )
+    named = F.filter(
+        F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<base\b[^>]*>"), F.lit(0)), lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
+        lambda t: t != "",
+    )
     # A page without either word has no such link; most pages need no pattern at all.
     likely = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    found = pages.filter(likely).select(F.col(url).alias("source"), F.explode(targets).alias("target"))
-    return found.select("source", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target")).filter(F.col("target").contains("://"))
+    found = pages.filter(likely).select(F.col(url).alias("source"), F.get(named, 0).alias("base"), F.explode(targets).alias("target")).filter("target <> ''")
+    base = F.coalesce(resolve(decode_references(F.col("base")), F.col("source")), F.col("source"))
+    found = found.withColumn("base", base).withColumn("target", decode_references(F.col("target")))
+    # Written, or every later use of a target would repeat the whole expression in the plan.
+    return written(found.select("source", resolve(F.col("target"), F.coalesce("base", F.lit(""))).alias("target")), "page-links").filter("target IS NOT NULL")
 
 
 def fit_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

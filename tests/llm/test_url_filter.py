@@ -1,6 +1,10 @@
 """Rules, aliases and their precedence."""
 
+from html import unescape
+from urllib.parse import urljoin
+
 import duckdb
+from pyspark.sql import functions as F
 
 from tallyveil.llm import url_filter
 
@@ -47,3 +51,38 @@ def test_rules_aliases_and_edge_cases(spark, tmp_path):
         assert sorted(expected, key=str) == sorted(map(tuple, mine), key=str)
     empty = df.limit(0)
     assert url_filter.judge_urls(empty, rules, url_filter.page_links(empty)).collect() == []
+
+
+def test_targets_are_resolved_as_urllib_does(spark):
+    bases = ["http://a.net/b/c/d;p?q=1#f", "https://a.net", "http://a.net/b/"]
+    targets = ["/en/page", "page.html", "//host.org/path", "?x=1", "#top", "../e", "./e/../g", "../../../g", "..", ".", "g/.", "g/..", "/a/./b/../c?d=../e", "https://z.org/u/../v", "x?y=http://z.org/", "/login?next=http://z.org/"]
+    # urllib leaves the dots of a target with a scheme of its own, browsers do not.
+    other = {"https://z.org/u/../v": "https://z.org/v"}
+    df = spark.createDataFrame([(b, t, other.get(t, urljoin(b, t))) for b in bases for t in targets], "base string, target string, expected string")
+    for r in df.select("*", url_filter.resolve(F.col("target"), F.col("base")).alias("got")).collect():
+        assert r.got == r.expected, r
+    # The fragment-only target of a url without path, and what leads nowhere.
+    odd = spark.createDataFrame([("mailto:a@b.c", "http://a.net/"), ("javascript:x", "http://a.net/"), ("/en/", "no scheme"), ("/en/", "")], "target string, base string")
+    assert all(r[0] is None for r in odd.select(url_filter.resolve(F.col("target"), F.col("base"))).collect())
+
+
+def test_character_references(spark):
+    texts = ["a&amp;b", "a&amp;#47;b&#47;c", "&#x2F;en&sol;x", "?a=1&copy=2&b=3", "&copy;&copy", "&#233;&#x1F600;&#128;&#0;&#xD800;&#99999999999999999999;", "&nosuch;&", "plain", "&amp", "&#47en"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.got for r in df.select("t", url_filter.decode_references(F.col("t")).alias("got")).collect()}
+    # In attributes a name without semicolon before an equals sign is none.
+    expected = {t: unescape(t) for t in texts} | {"?a=1&copy=2&b=3": "?a=1&copy=2&b=3"}
+    assert got == expected
+
+
+def test_relative_links_carry_blocks(spark):
+    link, refresh = "<link rel='canonical' href='{}'>", "<meta http-equiv=refresh content='0;url={}'>"
+    pages = [
+        (1, "http://x.net/en/1", link.format("/fr/1")), (2, "http://x.net/a/2", refresh.format("../fr/2")), (3, "http://y.org/3", link.format("//x.net/fr/3")),
+        (4, "http://y.org/4", "<base href='http://x.net/fr/'>" + link.format("page.html")), (5, "http://y.org/5", "<base target=_top><base href='//x.net'>" + refresh.format("&#47;fr&sol;5")),
+        (6, "http://x.net/en/6", link.format("/en/66")), (7, "http://x.net/en/7", link.format("mailto:a@x.net/fr/")), (8, None, link.format("/fr/8")), (9, "http://x.net/en/9", link.format("?next=http://x.net/fr/9")),
+    ]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules, url_filter.page_links(df)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow"}
