@@ -189,7 +189,7 @@ def _pooled_surface(t: Tables):
 
 @query("a22_monte_carlo_interval")
 def _(t):
-    return S.monte_carlo_interval(_pooled_surface(t), draws=20_000)
+    return S.monte_carlo_interval(_pooled_surface(t))
 
 
 @query("a23_near_floor_flag", oracle("""

@@ -1,5 +1,6 @@
 """Rates, shrinkage, bounds and surfaces: published values and brute force."""
 
+import inspect
 import math
 
 import numpy as np
@@ -160,3 +161,19 @@ def test_questionnaire_edge_cases(spark):
     assert (got[1]["area"], got[1]["times"], got[1]["pnp"], got[1]["pnp_count"], got[1]["any_count"], got[1]["weight"]) == ("150107", 1, 1, 1, 1, 2.5)
     assert (got[4]["area"], got[4]["times"], got[4]["pnp"], got[4]["pnp_count"], got[4]["any_count"]) == (None, 3, 0, 0, 1)
     assert R.detect_questionnaire(["a", "p615_2"]) == "new" and R.detect_questionnaire(["P601_1"]) == "classic"
+
+
+def test_registered_interval_draws_the_published_number(spark, monkeypatch):
+    from tallyveil.plans import all_queries
+
+    run, seen = S.monte_carlo_interval, []
+
+    def noted(*args, **settings):
+        call = inspect.signature(run).bind(*args, **settings)
+        call.apply_defaults()
+        seen.append(call.arguments["draws"])
+        return args[0]
+
+    monkeypatch.setattr(S, "monte_carlo_interval", noted)
+    all_queries()["a22_monte_carlo_interval"](spark, "/root/testdata/sf0.001")
+    assert seen == [200_000]
