@@ -6,7 +6,7 @@ from importlib import import_module
 
 OPERATORS = (
     "near_dedup", "url_filter", "pair_grammar", "decontaminate", "token_counts", "syncmers", "page_text", "word_lexicon", "warc_archive", "language",
-    "tree_scores", "merkle_manifest",
+    "tree_scores", "merkle_manifest", "prefix_trie",
 )
 
 
