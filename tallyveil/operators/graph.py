@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyveil.functions.codes import salton
 from tallyveil.functions.vectors import l2_normalise
-from tallyveil.operators.ordering import positions, top_rows
-from tallyveil.operators.panel import blocks_for
+from tallyveil.operators.metric_tree import nearest
+from tallyveil.operators.ordering import top_rows
 from tallyveil.session import cut_lineage
 
 
@@ -164,75 +165,50 @@ def community_leaders(members: DataFrame, papers: DataFrame, n: int = 5, least:
     return ranked.select("community", "members", "position", "paper")
 
 
-def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: int = 2048, max_pivots: int = 256) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: int = 2048) -> DataFrame:
     """J-15, first part: the k most similar vectors of every vector: (id, other, sim, place).
 
-    Exact. Equal vectors are searched once: of a group of copies only the first k + 1 ids can
-    ever be listed. Distinct vectors are cut into bounded blocks around pivots; a query
-    visits a block unless the triangle inequality on angles proves that no member reaches
-    ``min_sim``. Blocks are multiplied inside tasks and return k + 1 rows per query, so pair
-    rows never exist.
+    Exact, by the pivot tree of ``metric_tree``: a vector's own leaf first, then the leaves that can hold something as similar as
+    its k-th there. Equal vectors are searched once; of a group of copies only the first k + 1 ids can ever be listed. Ties
+    at the border go to the smaller ids, so a query keeps k + 1 rows per visited leaf.
     """
     unit = vectors.select("id", l2_normalise(F.col("vec")).alias("vec"))
     unit = unit.withColumn("key", F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>")), 256))
-    placed = cut_lineage(positions(unit, ["key"], [F.col("id")]))
-    first = placed.filter("position = 1").select("key", "vec")
-    members = placed.filter(F.col("position") <= k + 1).select(F.col("key").alias("other_key"), F.col("id").alias("other"))
-    blocks = blocks_for(first, block)
-    # Pivots are a bounded list of reference directions; any choice gives the same result.
-    chosen = first.orderBy("key").limit(min(max_pivots, blocks)).collect()
-    pivots = np.array([r["vec"] for r in chosen]) if chosen else np.zeros((0, 1))
-
-    @F.pandas_udf("struct<pivot int, angle double>")
-    def assign(vec: pd.Series) -> pd.DataFrame:
-        cos = np.clip(np.stack(vec.to_numpy()) @ pivots.T, -1.0, 1.0)
-        best = cos.argmax(axis=1)
-        return pd.DataFrame({"pivot": best, "angle": np.arccos(cos[np.arange(len(best)), best])})
-
-    if not chosen:
-        return placed.select("id", F.col("id").alias("other"), F.lit(0.0).alias("sim"), F.lit(0).alias("place")).limit(0)
-    homes = cut_lineage(first.withColumn("h", assign("vec")).select("key", "vec", "h.pivot", "h.angle"))
-    radius = homes.groupBy("pivot").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()  # one row per pivot
-    reach = np.full(len(pivots), -10.0)
-    parts = np.zeros(len(pivots), dtype=int)
-    for row in radius:
-        reach[row["pivot"]], parts[row["pivot"]] = row["r"], -(-row["n"] // block)
-    limit = math.acos(max(-1.0, min(1.0, min_sim))) + 1e-6
-
-    @F.pandas_udf("array<int>")
-    def visits(vec: pd.Series) -> pd.Series:
-        angle = np.arccos(np.clip(np.stack(vec.to_numpy()) @ pivots.T, -1.0, 1.0))
-        return pd.Series([np.flatnonzero(a - reach <= limit) for a in angle])
-
-    counts = F.array(*[F.lit(int(p)) for p in parts])
-    # Queries travel in chunks of four blocks, so every target block is copied less often.
-    chunks = -(-blocks // 4)
-    part_of = F.pmod(F.xxhash64("key"), counts[F.col("pivot")]).cast("int")
-    target = homes.select(
-        F.col("key").alias("other_key"), F.col("vec").alias("other_vec"), "pivot", part_of.alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-    )
-    query = homes.select("key", "vec", F.explode(visits("vec")).alias("pivot")).select(
-        "key", "vec", "pivot", F.explode(F.sequence(F.lit(0), counts[F.col("pivot")] - 1)).alias("part"),
-        F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"),
-    )
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "other_key": [], "sim": []})
-        sims = np.stack(a["vec"].to_numpy()) @ np.stack(b["other_vec"].to_numpy()).T
-        if sims.shape[1] > k + 1:
-            cut = np.partition(sims, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+    ids = cut_lineage(unit.select("id", "key", "vec"))
+    first = ids.groupBy("key").agg(F.first("vec").alias("vec"), F.min("id").alias("tie"), F.count("*").alias("copies"))
+    members = top_rows(ids.select(F.col("key").alias("other_key"), F.col("id").alias("other")), ["other_key"], [F.col("other")], k + 1).drop("position")
+    kind = dict(vectors.dtypes)["id"]
+
+    def search(q: np.ndarray, t: np.ndarray, limit: np.ndarray, asked: pa.StructArray, held: pa.StructArray) -> dict[str, pa.Array]:
+        # Columns in the order of their smallest ids, so that equal similarities are told apart by place.
+        order = pc.sort_indices(held.field("tie")).to_numpy()
+        sims = q @ t[order].T
+        least = np.maximum(np.cos(limit), min_sim)[:, None] - 2e-9
+        graded = np.rint(sims * 1e9).astype(np.int64) * len(order) - np.arange(len(order))
+        if len(order) > k + 1:
+            top = np.argpartition(-graded, k, axis=1)[:, : k + 1]
         else:
-            cut = np.full((len(sims), 1), -2.0)
-        i, j = np.nonzero((sims >= cut) & (sims >= min_sim))
-        return pd.DataFrame({"key": a["key"].to_numpy()[i], "other_key": b["other_key"].to_numpy()[j], "sim": sims[i, j]})
-
-    by = ["pivot", "part", "chunk"]
-    found = query.groupBy(*by).cogroup(target.groupBy(*by)).applyInPandas(best, "key string, other_key string, sim double")
-    # k + 1 rows per visited block and query; ties at the border are all kept.
-    kept = found.withColumn("_r", F.rank().over(W.partitionBy("key").orderBy(F.desc("sim")))).filter(F.col("_r") <= k + 1).drop("_r")
-    listed = placed.select("id", "key").join(kept, "key").join(members, "other_key").filter("id <> other")
+            top = np.broadcast_to(np.arange(len(order)), sims.shape)
+        kept = np.take_along_axis(sims, top, axis=1)
+        i, j = np.nonzero((kept >= least) & (kept >= min_sim))
+        other = held.take(pa.array(order[top[i, j]]))
+        return {"key": asked.field("key").take(pa.array(i)), "other_key": other.field("key"), "tie": other.field("tie"), "sim": pa.array(kept[i, j])}
+
+    def limits(found: DataFrame) -> DataFrame:
+        # With its own key a vector has k + 1 rows; the smallest of them bounds what else can be listed.
+        worst = top_rows(found.select("key", "sim", "tie"), ["key"], [F.desc("sim"), F.col("tie")], k + 1).groupBy("key").agg(F.count("*").alias("n"), F.min("sim").alias("sim"))
+        return worst.filter(F.col("n") > k).select("key", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sim") - 2e-9))).alias("found"))
+
+    both = {"target": F.lit(True), "query": F.lit(True)}
+    start = F.lit(math.acos(max(-1.0, min(1.0, min_sim - 2e-9))) + 1e-7)
+    found = nearest(first.select("key", "vec", "tie").withColumns(both), search, f"key string, other_key string, tie {kind}, sim double", limits, block=block, start=start, carry=["tie"])
+    kept = top_rows(found, ["key"], [F.round("sim", 9).desc(), F.col("tie")], k + 1).select("key", "other_key", "sim")
+    # A vector with very many copies meets its list in stretches of them.
+    spread = 1 << 16
+    lists = kept.join(first.select("key", F.explode(F.expr(f"sequence(0L, (copies - 1) div {spread})")).alias("stretch")), "key")
+    ask = ids.select("id", "key").join(first.select("key", "copies").filter(F.col("copies") > spread), "key", "left")
+    ask = ask.select("id", "key", F.pmod(F.xxhash64("id"), F.coalesce(F.expr(f"(copies - 1) div {spread} + 1"), F.lit(1).cast("bigint"))).alias("stretch"))
+    listed = ask.join(lists, ["key", "stretch"]).join(members, "other_key").filter("id <> other")
     near = W.partitionBy("id").orderBy(F.round("sim", 9).desc(), "other")
     return listed.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= k).select("id", "other", "sim", "place")
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions import geo
 from tallyveil.functions.geo import EARTH_RADIUS_KM
 from tallyveil.functions.hashing import mixed_hash, uniform
+from tallyveil.operators.metric_tree import nearest
 from tallyveil.operators.ordering import positions
-from tallyveil.session import cut_lineage
 
 
 # ---- grids --------------------------------------------------------------------------
@@ -162,69 +163,37 @@ def _km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray)
     return 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def site_blocks(facilities: DataFrame, size: int, max_blocks: int = 10_000) -> tuple[DataFrame, int]:
-    """Distinct sites cut into compact blocks: bands by latitude, then runs by longitude.
-
-    Both cuts use distributed positions. Blocks grow when there would be more than
-    ``max_blocks``, which bounds the block summary a caller collects.
-    """
-    sites = facilities.select("lat", "lon").distinct()
-    n = sites.count()
-    size = max(size, -(-n // max_blocks))
-    blocks = max(1, -(-n // size))
-    bands = max(1, int(blocks**0.5))
-    banded = positions(sites, [], [F.col("lat"), F.col("lon")]).select(
-        "lat", "lon", F.floor((F.col("position") - 1) * bands / F.col("group_rows")).cast("bigint").alias("band")
-    )
-    placed = positions(banded, [], [F.col("band"), F.col("lon"), F.col("lat")])
-    return placed.select("lat", "lon", F.floor((F.col("position") - 1) / size).cast("bigint").alias("fb")), blocks
+def _on_sphere(points: DataFrame, key: Column, cell: Column, asks: bool) -> DataFrame:
+    """Places as unit vectors, with their coordinates carried along."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    vec = F.array(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    return points.select(key.alias("key"), vec.alias("vec"), F.lit(not asks).alias("target"), F.lit(asks).alias("query"), cell.alias("cell"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
 
 
-def nearest_distance(cells: DataFrame, facilities: DataFrame, cell_block: int = 8192, facility_block: int = 2048) -> DataFrame:
-    """F-28: great-circle distance to the nearest facility.
+def nearest_distance(cells: DataFrame, facilities: DataFrame, block: int = 2048) -> DataFrame:
+    """F-28: great-circle distance to the nearest facility: (cell, km), one row per cell with coordinates.
 
-    Facilities are cut into compact blocks. A cell visits only blocks that can hold its
-    nearest site: centre distance minus radius must not exceed the smallest centre distance
-    plus radius. Each visited block is a numpy minimum inside a task with one row per cell,
-    so pair rows never exist. ``cells``: cell, lat, lon; ``facilities``: lat, lon.
+    Both sides lie in the same tree of pivots (``metric_tree``): a cell searches the sites of its own leaf, and then the leaves that can
+    hold a nearer one. A leaf of sites is shipped only to leaves of cells that visit it; each visit returns one row per cell.
+    ``cells``: cell, lat, lon; ``facilities``: lat, lon. Without facilities every distance is null.
     """
-    placed, _ = site_blocks(facilities, facility_block)
-    sites = cut_lineage(placed)
-    centre = sites.groupBy("fb").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
-    reach = F.max(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
-    # At most ``max_blocks`` rows, by construction of the blocks.
-    summary = sites.join(centre, "fb").groupBy("fb", "clat", "clon").agg(reach.alias("radius")).orderBy("fb").collect()
-    ids = np.array([r["fb"] for r in summary], dtype=np.int64)
-    clat, clon = (np.radians(np.array([r[c] for r in summary], dtype=float)) for c in ("clat", "clon"))
-    radius = np.array([r["radius"] for r in summary], dtype=float)
-
-    @F.pandas_udf("array<bigint>")
-    def visits(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        out = []
-        la, lo = np.radians(lat.to_numpy(float)), np.radians(lon.to_numpy(float))
-        for s in range(0, len(la), 256):
-            km = _km(la[s : s + 256], lo[s : s + 256], clat, clon)
-            best = (km + radius).min(axis=1, keepdims=True) + 1e-6
-            out += [ids[row] for row in (km - radius <= best)]
-        return pd.Series(out)
-
-    if not summary:
-        return cells.select("cell", F.lit(None).cast("double").alias("km"))
-    cb = blocks_for(cells, cell_block)
-    left = cells.select("cell", "lat", "lon", F.pmod(F.xxhash64("cell"), F.lit(cb)).alias("cb"), F.explode(visits("lat", "lon")).alias("fb"))
-    right = sites.select("lat", "lon", "fb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cb - 1).cast("bigint"))).alias("cb"))
     kind = dict(cells.dtypes)["cell"]
-
-    def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"cell": a["cell"][:0], "km": np.empty(0)})
-        la, lo = np.radians(a["lat"].to_numpy(float)), np.radians(a["lon"].to_numpy(float))
-        lb, ob = np.radians(b["lat"].to_numpy(float)), np.radians(b["lon"].to_numpy(float))
-        best = [_km(la[s : s + 512], lo[s : s + 512], lb, ob).min(axis=1) for s in range(0, len(a), 512)]
-        return pd.DataFrame({"cell": a["cell"], "km": np.concatenate(best)})
-
-    partial = left.groupBy("cb", "fb").cogroup(right.groupBy("cb", "fb")).applyInPandas(closest, f"cell {kind}, km double")
-    return partial.groupBy("cell").agg(F.min("km").alias("km"))
+    here, there = (d.filter("lat IS NOT NULL AND lon IS NOT NULL").select(*c).distinct() for d, c in ((cells, ("cell", "lat", "lon")), (facilities, ("lat", "lon"))))
+    if not there.limit(1).count():
+        return cells.select("cell", F.lit(None).cast("double").alias("km")).distinct()
+    asking = _on_sphere(here, F.to_json(F.struct("cell", "lat", "lon")), F.col("cell"), True)
+    points = asking.unionByName(_on_sphere(there, F.to_json(F.struct("lat", "lon")), F.lit(None).cast(kind), False))
+
+    def search(q: np.ndarray, t: np.ndarray, limit: np.ndarray, asked: pa.StructArray, held: pa.StructArray) -> dict[str, pa.Array]:
+        la, lo, lb, ob = (np.radians(np.asarray(side.field(c), float)) for side in (asked, held) for c in ("lat", "lon"))
+        best = [_km(la[s : s + 512], lo[s : s + 512], lb, ob).min(axis=1) for s in range(0, len(la), 512)]
+        return {"key": asked.field("key"), "cell": asked.field("cell"), "km": pa.array(np.concatenate(best))}
+
+    def limits(found: DataFrame) -> DataFrame:
+        return found.groupBy("key").agg((F.min("km") / geo.EARTH_RADIUS_KM).alias("found"))
+
+    found = nearest(points, search, f"key string, cell {kind}, km double", limits, block=block, start=F.lit(math.pi), carry=["cell", "lat", "lon"])
+    return found.groupBy("cell").agg(F.min("km").alias("km"))
 
 
 def district_adjacency(edges: DataFrame, districts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import corpus as C
 from tallyveil.operators import graph as G
+from tallyveil.operators import metric_tree as MT
 from tallyveil.operators import panel as P
 from tallyveil.operators import registry as RG
 
@@ -34,6 +35,36 @@ def test_vector_neighbours_with_many_copies(spark, min_sim):
     assert {i: [p[k] for k in sorted(p)] for i, p in got.items()} == want
 
 
+def test_equal_similarities_go_to_smaller_ids(spark):
+    d = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(40)]) for i in range(40)], "id long, vec array<double>")
+    got = {}
+    for r in G.nearest_vectors(d, 3, block=8).collect():
+        got.setdefault(r["id"], []).append((r["place"], r["other"], r["sim"]))
+    assert all(sorted(v) == [(p + 1, o, 0.0) for p, o in enumerate([o for o in range(4) if o != i][:3])] for i, v in got.items()) and len(got) == 40
+
+
+def test_only_visited_leaves_are_shipped(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6))
+    vecs = np.repeat(centres, 30, axis=0) + 0.01 * rng.normal(size=(360, 6))
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    seen = []
+    plain = MT.visits
+
+    def counted(chunks, levels):
+        pairs = plain(chunks, levels)
+        seen.append((chunks.count(), levels and sum(l.count() for l in levels), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(MT, "visits", counted)
+    got = {}
+    for r in G.nearest_vectors(d, 4, block=45).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["other"]
+    assert {i: [p[k] for k in sorted(p)] for i, p in got.items()} == brute_neighbours(vecs, 4, -1.0)
+    chunks, leaves, shipped = seen[0]
+    assert leaves > 10 and shipped < chunks * leaves / 3
+
+
 def test_similarity_edges_skip_unkeyed_nodes(spark):
     n = spark.createDataFrame([(1, 2, 0.9, 1), (2, 1, 0.9, 1), (1, 3, 0.8, 2), (3, 4, 0.7, 1)], "id long, other long, sim double, place int")
     keys = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d"), (3, "a")], "id long, key string")
@@ -110,13 +141,21 @@ def test_nearest_distance_over_blocks(spark):
     b[10:30] = b[0]
     cells = spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(a)], "cell long, lat double, lon double")
     sites = spark.createDataFrame([(float(p[0]), float(p[1])) for p in b], "lat double, lon double")
-    got = {r["cell"]: r["km"] for r in P.nearest_distance(cells, sites, cell_block=16, facility_block=8).collect()}
+    got = {r["cell"]: r["km"] for r in P.nearest_distance(cells, sites, block=8).collect()}
     ra, rb = np.radians(a)[:, None, :], np.radians(b)[None, :, :]
     h = np.sin((rb[..., 0] - ra[..., 0]) / 2) ** 2 + np.cos(ra[..., 0]) * np.cos(rb[..., 0]) * np.sin((rb[..., 1] - ra[..., 1]) / 2) ** 2
     want = (2 * 6371.0088 * np.arcsin(np.sqrt(h))).min(axis=1)
     assert np.allclose([got[i] for i in range(60)], want)
 
 
+def test_nearest_distance_of_odd_inputs(spark):
+    cells = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.0, 0.0), ("a", 0.0, 1.0), ("b", None, 1.0), ("c", 89.9, 0.0)], "cell string, lat double, lon double")
+    sites = spark.createDataFrame([(0.0, 1.5), (None, 2.0), (90.0, 0.0)], "lat double, lon double")
+    got = {r["cell"]: r["km"] for r in P.nearest_distance(cells, sites).collect()}
+    assert got == {"a": pytest.approx(6371.0088 * np.pi / 360), "c": pytest.approx(6371.0088 * np.pi / 1800)}
+    assert {r["km"] for r in P.nearest_distance(cells, sites.limit(0)).collect()} == {None}
+
+
 def test_folds_are_balanced_and_disjoint(spark):
     units = spark.range(23).select(F.col("id").alias("district"))
     folds = P.seeded_folds(units, "district", 5, 42)
