@@ -1,37 +1,25 @@
-"""Per-category models on MLlib and the experiments built on them."""
+"""Per-category models and the experiments built on them; all models of an experiment are fitted together."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions.codes import back_transform, log_target
 from tallyveil.functions.vectors import l2_normalise
-from tallyveil.operators.panel import thin_counts
-from tallyveil.operators.ranking import macro, metric_pack, within_district
-from tallyveil.operators.resample import bootstrap_delta, pair_models, replication, significance
+from tallyveil.operators.boosting import TreeSettings, fit_models, predict_models
+from tallyveil.operators.panel import seeded_folds, thin_counts
+from tallyveil.operators.ranking import macro, metric_pack, top_share, within_district
+from tallyveil.operators.resample import bootstrap_by_category, bootstrap_delta, pair_models, replication, significance
 from tallyveil.session import cut_lineage
 
 
-@dataclass(frozen=True)
-class TreeSettings:
-    """Boosted-tree settings; the defaults mirror the published ones as far as MLlib allows."""
-
-    rounds: int = 140
-    depth: int = 4
-    step: float = 0.06
-    min_leaf: int = 20
-    seed: int = 42
-
-
 def impute_from_train(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> tuple[DataFrame, list[DataFrame]]:
     """ML-01: medians of the train rows fill every part."""
     model = Imputer(strategy="median", relativeError=1e-4, inputCols=list(columns), outputCols=list(columns)).fit(train)
@@ -48,37 +36,38 @@ def impute_all(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return Imputer(strategy="median", relativeError=1e-4, inputCols=filled, outputCols=filled).fit(out).transform(out)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], settings: TreeSettings = TreeSettings(),
-                target: str = "target", name: str = "pred") -> DataFrame:
-    """ML-03: boosted trees on log1p of the target; predictions back on the count scale."""
-    train, (test,) = impute_from_train(train, [test], features)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    model = GBTRegressor(
-        featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=settings.rounds, maxDepth=settings.depth,
-        stepSize=settings.step, minInstancesPerNode=settings.min_leaf, seed=settings.seed,
-    ).fit(assembler.transform(train).select("_x", log_target(target).alias("_y")))
-    scored = model.transform(assembler.transform(test))
-    return scored.withColumn(name, back_transform("_p")).drop("_x", "_p")
+def fit_keyed(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str] | Column, settings: Sequence[TreeSettings] = (TreeSettings(),),
+              target: str = "target", name: str = "pred") -> DataFrame:
+    """ML-03: boosted trees on log1p of the target, one model per key; predictions back on the count scale.
+
+    Missing features take the medians of the model's own train rows. Test rows of keys without train rows are left out.
+    ``features`` may be an array column, where a feature that a key's model must not see is null.
+    """
+    x = features if isinstance(features, Column) else F.array(*[F.col(f).cast("double") for f in features])
+    models = cut_lineage(fit_models(train.select(*keys, x.alias("x"), log_target(target).alias("y")), keys, settings))
+    scored = predict_models(models, test.withColumn("_x", x), keys, "_x", "_p")
+    return scored.withColumn(name, back_transform("_p")).drop("_p")
 
 
 def fit_categories(train: DataFrame, test: DataFrame, categories: Sequence[str], features: Sequence[str],
                    settings: TreeSettings = TreeSettings(), target: str = "target", name: str = "pred") -> DataFrame:
     """One model per category; predictions of all categories as one table."""
-    parts = []
-    for c in categories:
-        here = F.col("category") == c
-        parts.append(fit_predict(train.filter(here), test.filter(here), features, settings, target, name))
-    return reduce(DataFrame.unionByName, parts)
+    here = F.col("category").isin(list(categories))
+    return fit_keyed(train.filter(here), test.filter(here), ["category"], features, [settings], target, name)
+
+
+def _for_each(df: DataFrame, name: str, values: Sequence) -> DataFrame:
+    """Every row once for each value of a short list."""
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
 def ladder(train: DataFrame, test: DataFrame, categories: Sequence[str], steps: Mapping[str, Sequence[str]],
            settings: TreeSettings = TreeSettings()) -> DataFrame:
     """ML-04: nested feature sets, metric pack per step and category."""
-    rows = []
-    for model, features in steps.items():
-        scored = cut_lineage(fit_categories(train, test, categories, features, settings))
-        rows.append(metric_pack(scored, "pred").withColumn("model", F.lit(model)))
-    return reduce(DataFrame.unionByName, rows)
+    every = list(dict.fromkeys(f for features in steps.values() for f in features))
+    x = F.array(*[F.when(F.col("model").isin([m for m, own in steps.items() if f in own]), F.col(f).cast("double")) for f in every])
+    train, test = (_for_each(d.filter(F.col("category").isin(list(categories))), "model", list(steps)) for d in (train, test))
+    return metric_pack(cut_lineage(fit_keyed(train, test, ["model", "category"], x, [settings])), "pred", by=["model"])
 
 
 def baselines(test: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -87,18 +76,51 @@ def baselines(test: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def evaluate_folds(members: DataFrame, categories: Sequence[str], features: Sequence[str], folds: int,
-                   settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """ML-11: fit and score every fold: (fold, macro_rho, train_rows, test_rows)."""
-    rows = []
-    for f in range(folds):
-        own = members.filter(F.col("fold") == f)
-        train, test = own.filter("part = 'train'"), own.filter("part = 'test'")
-        scored = cut_lineage(fit_categories(train, test, categories, features, settings))
-        score = macro(within_district(scored, "pred"), "rho").select("macro_rho")
-        sizes = own.agg(F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows"))
-        rows.append(score.crossJoin(sizes).withColumn("fold", F.lit(f)))
-    return reduce(DataFrame.unionByName, rows)
+SPLITS = ("temporal_holdout", "random_cell_cv", "spatial_grouped_cv", "buffered_spatial_cv")
+MACRO = "__macro__"
+
+
+def split_members(panel: DataFrame, adjacency: DataFrame, train_years: Sequence[int], test_year: int, folds: int, seed: int = 42) -> DataFrame:
+    """ML-11: rows of the panel with split, fold and part for all four kinds of splits; folds count from 1, the temporal one is 0.
+
+    Test rows are those of the test year in a fold's own cells or districts, train rows those of the train years in the others; the
+    buffered kind also takes districts next to a test district (``adjacency``: a, b) out of the train rows.
+    """
+    part = F.when(F.col("year").isin(list(train_years)), "train").when(F.col("year") == test_year, "test")
+    rows = panel.withColumn("part", part).filter("part IS NOT NULL")
+    temporal = rows.withColumns({"split": F.lit(SPLITS[0]), "fold": F.lit(0).cast("bigint")})
+    out = [temporal]
+
+    def spread(d: DataFrame, own: DataFrame, key: str) -> DataFrame:
+        other = F.sequence(F.lit(1).cast("bigint"), F.lit(folds).cast("bigint"))
+        each = d.join(own.withColumn("_own", F.col("fold") + 1).drop("fold"), key)
+        trained = F.filter(other, lambda f: f != F.col("_own"))
+        return each.withColumn("fold", F.explode(F.when(F.col("part") == "test", F.array("_own")).otherwise(trained))).drop("_own")
+
+    for name, key in ((SPLITS[1], "cell"), (SPLITS[2], "district")):
+        own = cut_lineage(seeded_folds(panel, key, folds, seed))
+        out.append(spread(rows, own, key).withColumn("split", F.lit(name)))
+    grouped = out[-1]
+    tested = own.select((F.col("fold") + 1).alias("fold"), F.col("district").alias("b"))
+    near = adjacency.join(tested, "b").select(F.col("a").alias("district"), "fold", F.lit("train").alias("part")).distinct()
+    out.append(grouped.join(near, ["district", "fold", "part"], "left_anti").withColumn("split", F.lit(SPLITS[3])))
+    return reduce(DataFrame.unionByName, out)
+
+
+def evaluate_folds(members: DataFrame, categories: Sequence[str], features: Sequence[str], settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """ML-11: metric pack per (split, fold, category), and the mean over categories as category ``__macro__``.
+
+    All models of all splits and folds are fitted together. ``members``: panel rows with split, fold and part.
+    """
+    keys = ["split", "fold", "category"]
+    members = members.filter(F.col("category").isin(list(categories)))
+    scored = cut_lineage(fit_keyed(members.filter("part = 'train'"), members.filter("part = 'test'"), keys, features, [settings]))
+    pack = cut_lineage(metric_pack(scored, "pred", by=["split", "fold"]))
+    values = [c for c in pack.columns if c not in keys]
+    mean = pack.groupBy("split", "fold").agg(*[F.avg(v).alias(v) for v in values]).withColumn("category", F.lit(MACRO))
+    sizes = members.groupBy("split", "fold").agg(*[F.count_distinct(F.when(F.col("part") == p, F.col("district"))).alias(f"{p}_districts") for p in ("train", "test")])
+    both = pack.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unionByName(mean.select(*keys, *values))
+    return both.join(sizes, ["split", "fold"])
 
 
 def transfer(source: DataFrame, local_train: DataFrame, test: DataFrame, categories: Sequence[str], features: Sequence[str],
@@ -109,20 +131,40 @@ def transfer(source: DataFrame, local_train: DataFrame, test: DataFrame, categor
     return cut_lineage(b)
 
 
-def transfer_scores(scored: DataFrame, models: Sequence[str] = ("transfer", "local", "persist", "population")) -> DataFrame:
-    rows = [macro(within_district(scored, m), "rho").withColumn("model", F.lit(m)) for m in models]
+def transfer_scores(scored: DataFrame, models: Sequence[str] = ("transfer", "local", "persist", "population"), replicates: int = 2000) -> DataFrame:
+    """ML-13: macro rho per model, with the paired interval of the first model's difference to it (null for itself)."""
+    stats = {m: cut_lineage(within_district(scored, m)) for m in models}
+    rows = []
+    for m in models:
+        row = macro(stats[m], "rho").withColumn("model", F.lit(m))
+        delta = significance(bootstrap_delta(pair_models(stats[m], stats[models[0]], "rho"), "rho", replicates=replicates))
+        delta = delta.select(*[F.when(F.lit(m != models[0]), F.col(c)).alias(n) for c, n in (("point", "lead"), ("ci_low", "lead_low"), ("ci_high", "lead_high"), ("significant", "significant"))])
+        rows.append(row.crossJoin(delta))  # single rows
     return reduce(DataFrame.unionByName, rows)
 
 
+def rare_capture(scored: DataFrame, category: str, models: Sequence[str] = ("transfer", "local", "persist", "population"), replicates: int = 2000) -> DataFrame:
+    """ML-13: a rare category's events in each model's top tenth, and the paired interval of the first model against the second."""
+    rare = cut_lineage(scored.filter(F.col("category") == category))
+    paired = pair_models(within_district(rare, models[1]), within_district(rare, models[0]), "rho")
+    delta = significance(bootstrap_by_category(paired, "rho", replicates=replicates)).withColumnsRenamed({"point": "lead", "ci_low": "lead_low", "ci_high": "lead_high"})
+    rows = [top_share(rare, ["category"], m, "target", "cell", "ceil").withColumn("model", F.lit(m)) for m in models]
+    shares = reduce(DataFrame.unionByName, rows).join(rare.groupBy("category").agg(F.sum("target").alias("events")), "category")
+    return shares.join(delta, "category", "left")
+
+
 def learning_curve(source: DataFrame, local: DataFrame, test: DataFrame, years: Sequence[int], categories: Sequence[str],
                    features: Sequence[str], settings: TreeSettings = TreeSettings(), replicates: int = 2000) -> DataFrame:
     """ML-14: local models on growing windows against the fixed transfer model."""
-    moved = within_district(cut_lineage(fit_categories(source, test, categories, features, settings, name="transfer")), "transfer")
+    moved = cut_lineage(within_district(fit_categories(source, test, categories, features, settings, name="transfer"), "transfer"))
+    sizes = list(range(1, len(years) + 1))
+    own = _for_each(local.filter(F.col("category").isin(list(categories))), "years", sizes)
+    window = reduce(lambda a, n: a | ((F.col("years") == n) & F.col("year").isin(list(years)[-n:])), sizes, F.lit(False))
+    fitted = cut_lineage(fit_keyed(own.filter(window), _for_each(test.filter(F.col("category").isin(list(categories))), "years", sizes), ["years", "category"], features, [settings], name="local"))
+    stats = cut_lineage(within_district(fitted, "local", keys=("years", "category", "district")))
     rows = []
-    for n in range(1, len(years) + 1):
-        window = list(years)[-n:]
-        own = cut_lineage(fit_categories(local.filter(F.col("year").isin(window)), test, categories, features, settings, name="local"))
-        delta = bootstrap_delta(pair_models(moved, within_district(own, "local"), "rho"), "rho", replicates=replicates)
+    for n in sizes:
+        delta = bootstrap_delta(pair_models(moved, stats.filter(F.col("years") == n), "rho"), "rho", replicates=replicates)
         rows.append(significance(delta).withColumn("years", F.lit(n)))
     return reduce(DataFrame.unionByName, rows)
 
@@ -131,65 +173,64 @@ def year_replication(panel: DataFrame, test_years: Sequence[int], first_year: in
                      small: Sequence[str], large: Sequence[str], expected: str = "positive",
                      settings: TreeSettings = TreeSettings(), replicates: int = 2000) -> DataFrame:
     """ML-15: the same model comparison repeated for several test years."""
+    each = _for_each(_for_each(panel.filter(F.col("category").isin(list(categories))), "test_year", list(test_years)), "size", [0, 1])
+    every = list(dict.fromkeys([*small, *large]))
+    x = F.array(*[F.when(F.col("size").isin([i for i, own in enumerate((small, large)) if f in own]), F.col(f).cast("double")) for f in every])
+    train = each.filter((F.col("year") >= first_year) & (F.col("year") < F.col("test_year")))
+    scored = fit_keyed(train, each.filter("year = test_year"), ["test_year", "size", "category"], x, [settings])
+    stats = cut_lineage(within_district(scored, "pred", keys=("test_year", "size", "category", "district")))
     rows = []
     for year in test_years:
-        train = panel.filter((F.col("year") >= first_year) & (F.col("year") < year))
-        test = panel.filter(F.col("year") == year)
-        stats = [within_district(cut_lineage(fit_categories(train, test, categories, f, settings)), "pred") for f in (small, large)]
-        delta = bootstrap_delta(pair_models(stats[0], stats[1], "rho"), "rho", replicates=replicates)
+        pair = [stats.filter((F.col("test_year") == year) & (F.col("size") == i)) for i in (0, 1)]
+        delta = bootstrap_delta(pair_models(*pair, "rho"), "rho", replicates=replicates)
         rows.append(replication(significance(delta), F.lit(expected)).withColumn("test_year", F.lit(year)))
     return reduce(DataFrame.unionByName, rows)
 
 
+#: 18 settings around the defaults: rounds, leaves, step sizes.
+GRID = tuple(TreeSettings(rounds=r, leaves=n, step=s) for r in (140, 300) for n in (15, 31, 63) for s in (0.03, 0.06, 0.1))
+
+
 def tune(panel: DataFrame, train_years: Sequence[int], validation_year: int, test_year: int, categories: Sequence[str],
-         features: Sequence[str], grid: Sequence[TreeSettings]) -> DataFrame:
-    """ML-16: settings chosen per category on a later year, then one final test.
+         features: Sequence[str], grid: Sequence[TreeSettings] = GRID) -> DataFrame:
+    """ML-16: settings chosen per category on a later year, then one final test: (category, rho, setting).
 
-    The validation scores are one row per category and setting; only they reach the driver.
+    Ties go to the setting named first. All settings are fitted together.
     """
-    train = panel.filter(F.col("year").isin(list(train_years)))
-    valid = panel.filter(F.col("year") == validation_year)
-    scores = []
-    for i, s in enumerate(grid):
-        scored = cut_lineage(fit_categories(train, valid, categories, features, s))
-        rho = within_district(scored, "pred").groupBy("category").agg(F.avg("rho").alias("rho"))
-        scores.append(rho.withColumn("setting", F.lit(i)))
-    table = reduce(DataFrame.unionByName, scores)
-    best = {r["category"]: r["setting"] for r in table.groupBy("category").agg(F.max_by("setting", F.struct("rho", -F.col("setting"))).alias("setting")).collect()}
-    full = panel.filter(F.col("year").isin([*train_years, validation_year]))
-    test = panel.filter(F.col("year") == test_year)
-    parts = []
-    for c in categories:
-        here = F.col("category") == c
-        chosen = best.get(c, 0)
-        scored = fit_predict(full.filter(here), test.filter(here), features, grid[chosen])
-        parts.append(scored.withColumn("setting", F.lit(chosen)))
-    final = cut_lineage(reduce(DataFrame.unionByName, parts))
-    rho = within_district(final, "pred").groupBy("category").agg(F.avg("rho").alias("rho"))
-    return rho.join(final.groupBy("category").agg(F.max("setting").alias("setting")), "category")
+    panel = panel.filter(F.col("category").isin(list(categories)))
+    each = _for_each(panel, "setting", list(range(len(grid))))
+    keys = ["setting", "category"]
+    tried = fit_keyed(each.filter(F.col("year").isin(list(train_years))), each.filter(F.col("year") == validation_year), keys, features, grid)
+    rho = within_district(tried, "pred", keys=(*keys, "district")).groupBy(*keys).agg(F.avg("rho").alias("rho"))
+    chosen = cut_lineage(rho.groupBy("category").agg(F.max_by("setting", F.struct("rho", -F.col("setting"))).alias("setting")))
+    # A category without a score keeps the first setting; one row per category.
+    final = panel.join(F.broadcast(chosen), "category", "left").fillna({"setting": 0})
+    scored = fit_keyed(final.filter(F.col("year").isin([*train_years, validation_year])), final.filter(F.col("year") == test_year), keys, features, grid)
+    return within_district(scored, "pred", keys=(*keys, "district")).groupBy("category", "setting").agg(F.avg("rho").alias("rho"))
 
 
 def degradation(panel: DataFrame, rates: Sequence[float], base: float, seeds: Sequence[int], train_years: Sequence[int],
                 test_year: int, categories: Sequence[str], features: Sequence[str], key: Callable,
                 settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """ML-18: refit on thinned counts; skill against thinned and full targets, and persistence."""
-    rows = []
+    """ML-18: refit on thinned counts; skill against thinned and full targets, and persistence: one row per rate and seed."""
+    panel = panel.filter(F.col("category").isin(list(categories)) & F.col("year").isin([*train_years, test_year]))
+    copies = []
     for rate in rates:
         for seed in seeds:
             d = thin_counts(panel, key(panel), "target", "thin_target", rate, base, seed)
             d = thin_counts(d, key(panel), "persist", "thin_persist", rate, base, seed + 7)
-            train, test = d.filter(F.col("year").isin(list(train_years))), d.filter(F.col("year") == test_year)
-            scored = cut_lineage(fit_categories(train, test, categories, features, settings, "thin_target"))
-            parts = {
-                "measurable": within_district(scored, "pred", "thin_target"), "actual": within_district(scored, "pred", "target"),
-                "persist": within_district(scored, "thin_persist", "thin_target"),
-            }
-            row = None
-            for name, stats in parts.items():
-                m = macro(stats, "rho").select(F.col("macro_rho").alias(name))
-                row = m if row is None else row.crossJoin(m)  # single rows
-            rows.append(row.withColumns({"rate": F.lit(float(rate)), "seed": F.lit(seed)}))
-    out = reduce(DataFrame.unionByName, rows)
+            copies.append(d.withColumns({"rate": F.lit(float(rate)), "seed": F.lit(seed)}))
+    each = cut_lineage(reduce(DataFrame.unionByName, copies))
+    by = ["rate", "seed"]
+    scored = cut_lineage(fit_keyed(each.filter(F.col("year").isin(list(train_years))), each.filter(F.col("year") == test_year), [*by, "category"], features, [settings], "thin_target"))
+    keys = (*by, "category", "district")
+    parts = {
+        "measurable": within_district(scored, "pred", "thin_target", keys), "actual": within_district(scored, "pred", "target", keys),
+        "persist": within_district(scored, "thin_persist", "thin_target", keys),
+    }
+    out = each.select(*by).distinct()
+    for name, stats in parts.items():
+        out = out.join(macro(stats, "rho", by=by).select(*by, F.col("macro_rho").alias(name)), by, "left")
     return out.withColumn("features_win", F.col("measurable") > F.col("persist"))
 
 

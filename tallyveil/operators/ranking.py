@@ -173,31 +173,32 @@ def nmae(df: DataFrame, keys: Sequence[str], pred: str, target: str) -> DataFram
 
 
 def metric_pack(df: DataFrame, pred: str, target: str = "target", category: str = "category",
-                district: str = "district", tie: str = "cell") -> DataFrame:
-    """M-10: one row per category with global and within-district metrics.
+                district: str = "district", tie: str = "cell", by: Sequence[str] = ()) -> DataFrame:
+    """M-10: one row per category with global and within-district metrics; ``by`` keeps models or folds apart.
 
     Categories without events are skipped (P-11).
     """
-    live = df.groupBy(category).agg(F.sum(target).alias("_s")).filter("_s > 0").select(category)
-    d = cut_lineage(df.join(live, category, "left_semi").select(category, district, tie, pred, target))
-    base = nmae(d, [category], pred, target)
-    overall = spearman(d, [category], pred, target).select(category, F.col("rho").alias("spearman_global"))
+    keys = [*by, category]
+    live = df.groupBy(*keys).agg(F.sum(target).alias("_s")).filter("_s > 0").select(*keys)
+    d = cut_lineage(df.join(live, keys, "left_semi").select(*keys, district, tie, pred, target))
+    base = nmae(d, keys, pred, target)
+    overall = spearman(d, keys, pred, target).select(*keys, F.col("rho").alias("spearman_global"))
     # One ranking by prediction serves the global recall and the discounted gain.
-    ranked = positions(d, [category], [F.col(pred).desc(), F.col(tie)])
+    ranked = positions(d, keys, [F.col(pred).desc(), F.col(tie)])
     taken = F.sum(F.when(F.col("position") <= _decile(F.col("group_rows"), "ceil"), F.col(target)).otherwise(0.0))
-    by_pred = ranked.groupBy(category).agg((taken / F.sum(target)).alias("recall10"), _gain(target).alias("_dcg"))
-    by_target = positions(d.select(category, target, tie), [category], [F.col(target).desc(), F.col(tie)])
-    best = by_target.groupBy(category).agg(_gain(target).alias("_best"))
-    gains = by_pred.join(best, category).select(category, "recall10", (F.col("_dcg") / F.col("_best")).alias("ndcg"))
-    inside = within_district(d, pred, target, (category, district)).groupBy(category).agg(
+    by_pred = ranked.groupBy(*keys).agg((taken / F.sum(target)).alias("recall10"), _gain(target).alias("_dcg"))
+    by_target = positions(d.select(*keys, target, tie), keys, [F.col(target).desc(), F.col(tie)])
+    best = by_target.groupBy(*keys).agg(_gain(target).alias("_best"))
+    gains = by_pred.join(best, keys).select(*keys, "recall10", (F.col("_dcg") / F.col("_best")).alias("ndcg"))
+    inside = within_district(d, pred, target, (*keys, district)).groupBy(*keys).agg(
         F.avg("rho").alias("intra_spearman"), F.count("*").alias("intra_districts")
     )
-    local = top_share(d, [category, district], pred, target, tie, "round").groupBy(category).agg(
+    local = top_share(d, [*keys, district], pred, target, tie, "round").groupBy(*keys).agg(
         F.avg("capture").alias("intra_recall10")
     )
     out = base
     for part in (overall, gains, inside, local):
-        out = out.join(part, category, "left")
+        out = out.join(part, keys, "left")
     return out.withColumn("intra_pai", F.col("intra_recall10") / F.lit(0.10))
 
 

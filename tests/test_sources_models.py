@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil.operators import boosting as B
 from tallyveil.operators import models as M
 from tallyveil.sources import readers as RD
 from tallyveil.sources import writers as WR
@@ -127,6 +128,81 @@ def test_boosted_trees_rank_the_target(toy):
     assert out.agg(F.corr("pred", "target")).first()[0] > 0.7
 
 
+def greedy(x, y, rounds, leaves, step, least):
+    """Boosting by exhaustive search over all cuts, leaf by leaf."""
+    f = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        groups = [np.arange(len(y))]
+        while len(groups) < leaves:
+            options = []
+            for g, rows in enumerate(groups):
+                r = y[rows] - f[rows]
+                for j in range(x.shape[1]):
+                    for v in np.unique(x[rows, j])[:-1]:
+                        low = x[rows, j] <= v
+                        if min(low.sum(), (~low).sum()) >= least:
+                            gain = sum(p.sum() ** 2 / len(p) for p in (r[low], r[~low])) - r.sum() ** 2 / len(r)
+                            options.append((round(gain, 9), -g, rows[low], rows[~low], g))
+            options = [o for o in options if o[0] > 1e-9]
+            if not options:
+                break
+            _, _, a, b, g = max(options, key=lambda o: (o[0], o[1]))
+            groups[g : g + 1] = [a]
+            groups.append(b)
+        change = np.zeros(len(y))
+        for rows in groups:
+            change[rows] = step * (y[rows] - f[rows]).mean()
+        f += change
+    return f
+
+
+def test_histogram_trees_match_exhaustive_search():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (150, 3)).astype(float)
+    y = np.sin(x[:, 0]) * 3 + x[:, 1] * 0.3 + rng.normal(size=150)
+    settings = B.TreeSettings(rounds=8, leaves=5, step=0.3, min_leaf=9)
+    model = B.fit(x, y.copy(), settings)
+    assert np.allclose(B.predict(model, x), greedy(x, y, 8, 5, 0.3, 9))
+    assert np.isclose(B.predict(B.fit(x[:5], y[:5].copy(), settings), x).std(), 0)
+    gaps = np.where(rng.random(x.shape) < 0.2, np.nan, x)
+    gaps[:, 2] = np.nan
+    again = B.fit(gaps, y.copy(), settings)
+    filled = np.where(np.isnan(gaps), np.append(np.nanmedian(gaps[:, :2], axis=0), 0.0), gaps)
+    assert np.allclose(B.predict(again, gaps), B.predict(B.fit(filled, y.copy(), settings), filled))
+
+
+def test_models_of_all_keys_are_fitted_alike(toy):
+    rows = toy.filter("NOT isnan(target)").withColumn("setting", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("x", F.array("a", "b"))
+    grid = [B.TreeSettings(rounds=4), B.TreeSettings(rounds=7, leaves=4)]
+    models = B.fit_models(rows.select("category", "setting", "x", F.col("target").alias("y")), ["category", "setting"], grid)
+    got = {(r["setting"], r["cell"]): r["p"] for r in B.predict_models(models, rows, ["category", "setting"], "x", "p").collect()}
+    local = rows.filter("setting = 0").toPandas()
+    x, y = np.stack(local["x"].to_numpy()).astype(float), local["target"].to_numpy()
+    for i, s in enumerate(grid):
+        want = B.predict(B.fit(x, y.copy(), s), x)
+        assert np.allclose([got[i, c] for c in local["cell"]], want)
+    # Rows beyond the bound leave the fit, never the prediction.
+    few = B.fit_models(rows.filter("setting = 0").select("category", "x", "cell", F.col("target").alias("y")), ["category"], fit_rows=100)
+    assert B.predict_models(few, rows.filter("setting = 0"), ["category"], "x", "p").count() == 600
+
+
+def test_split_members(spark):
+    panel = spark.range(40).select(F.col("id").alias("cell"), F.concat(F.lit("d"), (F.col("id") % 8).cast("string")).alias("district"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("year"))
+    near = spark.createDataFrame([(f"d{i}", f"d{j}") for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], "a string, b string")
+    rows = M.split_members(panel, near, [1, 2], 3, 4).collect()
+    for split in M.SPLITS:
+        own = [r for r in rows if r["split"] == split]
+        assert sorted(r["cell"] for r in own if r["part"] == "test") == list(range(40))
+        for fold in {r["fold"] for r in own}:
+            parts = {p: [r for r in own if r["fold"] == fold and r["part"] == p] for p in ("train", "test")}
+            assert all(r["year"] == 3 for r in parts["test"]) and all(r["year"] < 3 for r in parts["train"])
+            key = {M.SPLITS[0]: "year", M.SPLITS[1]: "cell"}.get(split, "district")
+            assert not {r[key] for r in parts["train"]} & {r[key] for r in parts["test"]}
+            if split == M.SPLITS[3]:
+                tested, trained = ({int(r["district"][1]) for r in parts[p]} for p in ("test", "train"))
+                assert not any(abs(a - b) == 1 for a in tested for b in trained)
+
+
 def test_clusters_and_plane(spark):
     rng = np.random.default_rng(0)
     centres = np.eye(6)[:3]
