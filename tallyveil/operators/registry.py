@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.functions.codes import canonical_round, cited_decimals, parse_cited
+from tallyveil.functions.codes import cited_decimals, parse_cited
 
 DEFAULT_DECIMALS = 4  # fixed value
 DEFAULT_MODE = "half_up"  # fixed value
@@ -23,30 +24,71 @@ NUMERAL = r"(^|[^\w.])[×xX~]?\s*[0-9]+\.[0-9]+"
 def rounded_by_policy(value: Column, decimals: Column, mode: Column) -> Column:
     """Rounding whose precision and mode are columns, as decimal(38,18).
 
-    NULL for an unknown mode or a negative precision: such a policy has no official value.
+    NULL for an unknown mode or a negative precision: such a policy has no official value. The unit of the last place comes from a
+    list by precision, so the expression is as long for one precision as for all; remainders of decimals are exact.
     """
     kind = f"decimal(38,{EXACT_DECIMALS})"
+    exact = value.cast("string").cast(kind)
+    unit, half = (F.get(F.array(*[F.lit(f"{n}e-{d + (n == 5)}").cast(kind) for d in range(EXACT_DECIMALS)]), decimals) for n in (1, 5))
+    size = F.abs(exact)
+    over = (size % unit).cast(kind)
+    below = (size - over).cast(kind)
+    odd = (below % (unit + unit)) != 0
+    up = (
+        F.when(mode == "half_up", over >= half)
+        .when(mode == "half_even", (over > half) | ((over == half) & odd))
+        .when(mode == "floor", (exact < 0) & (over > 0))
+    )
+    rounded = F.when(up, below + unit).otherwise(below).cast(kind)
     known = mode.isin(*MODES) & (decimals >= 0)
-    out = F.when(known & (decimals >= EXACT_DECIMALS), value.cast("string").cast(kind))
-    for m in MODES:
-        for d in range(EXACT_DECIMALS):
-            out = out.when((mode == m) & (decimals == d), canonical_round(value, d, m).cast(kind))
-    return out
+    return F.when(known, F.when(decimals >= EXACT_DECIMALS, exact).otherwise(F.when(exact < 0, -rounded).otherwise(rounded)).cast(kind))
+
+
+def content_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """R-01: SHA-256 of files, and of folders over the names and digests of their files: (name, sha). Computed in the tasks, a file each."""
+    parts = []
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        own = F.substring_index("path", path.rstrip("/"), -1)
+        each = files.select(own.alias("file"), F.sha2("content", 256).alias("sha"))
+        listed = F.sort_array(F.collect_list(F.struct("file", "sha")))
+        whole = F.sha2(F.array_join(F.transform(listed, lambda f: F.concat(f["file"], F.lit(":"), f["sha"])), "\n").cast("binary"), 256)
+        parts.append(each.agg(F.when(F.count("*") == 1, F.max("sha")).otherwise(whole).alias("sha"), F.count("*").alias("_n")).filter("_n > 0").select(F.lit(path).alias("name"), "sha"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_provenance(figures: DataFrame, scripts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """R-01: figures (family, variant, script, input_names, ...) with ``script_sha`` and ``inputs``, sorted (name, sha) pairs of all inputs.
+
+    ``scripts`` and ``manifest``: name, sha. What is not in them has a null digest.
+    """
+    made = figures.join(scripts.select(F.col("name").alias("script"), F.col("sha").alias("script_sha")), "script", "left")
+    used = figures.select("family", "variant", F.explode("input_names").alias("name")).join(manifest, "name", "left")
+    pairs = used.groupBy("family", "variant").agg(F.sort_array(F.collect_list(F.struct("name", "sha"))).alias("inputs"))
+    none = F.expr("cast(array() AS array<struct<name:string,sha:string>>)")
+    return made.drop("input_names").join(pairs, ["family", "variant"], "left").withColumn("inputs", F.coalesce("inputs", none))
+
+
+PROVENANCE = ("unit", "estimator", "script", "script_sha", "inputs", "emitted_at")
+ENTRY = (
+    "family string, variant string, value double, display decimal(38,18), canonical boolean, needs_policy boolean, unit string, estimator string, "
+    "script string, script_sha string, inputs array<struct<name:string,sha:string>>, emitted_at string"
+)
 
 
 def emit(existing: DataFrame, new: DataFrame, policy: DataFrame) -> DataFrame:
-    """R-01: upsert by family and variant.
+    """R-01: upsert by family and variant, rows as in ``ENTRY``.
 
-    ``new``: family, variant, value, script_sha, emitted_at. ``policy``: family,
-    canonical_variant, decimals, round_mode. Entries that did not change keep their
-    emission time; families without a policy are marked ``needs_policy``.
+    ``new``: family, variant, value and the columns of ``PROVENANCE``. ``policy``: family, canonical_variant, decimals,
+    round_mode. Entries whose value, display, flags, script and inputs did not change keep their emission time; families
+    without a policy are marked ``needs_policy``.
     """
     fresh = new.join(policy, "family", "left").select(
         "family", "variant", F.round("value", 6).alias("value"),
         rounded_by_policy(F.col("value"), F.coalesce("decimals", F.lit(DEFAULT_DECIMALS)),
                           F.coalesce("round_mode", F.lit(DEFAULT_MODE))).alias("display"),
         F.coalesce(F.col("canonical_variant") == F.col("variant"), F.lit(False)).alias("canonical"),
-        F.col("canonical_variant").isNull().alias("needs_policy"), "script_sha", "emitted_at",
+        F.col("canonical_variant").isNull().alias("needs_policy"), *PROVENANCE,
     )
     keys = ["family", "variant"]
     values = [c for c in fresh.columns if c not in keys]
@@ -55,17 +97,27 @@ def emit(existing: DataFrame, new: DataFrame, policy: DataFrame) -> DataFrame:
     joined = a.join(b, keys, "full_outer")
     same = F.lit(True)
     for c in values:
-        if c != "emitted_at":
+        if c not in ("emitted_at", "unit", "estimator", "script"):
             same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
-    keep_old = F.col("n").isNull() | (F.col("o").isNotNull() & same)
-    return joined.select(*keys, F.when(keep_old, F.col("o")).otherwise(F.col("n")).alias("e")).select(*keys, "e.*")
+    unchanged = F.col("o").isNotNull() & same
+    merged = F.when(F.col("n").isNull(), F.col("o")).otherwise(F.col("n").withField("emitted_at", F.when(unchanged, F.col("o.emitted_at")).otherwise(F.col("n.emitted_at"))))
+    return joined.select(*keys, merged.alias("e")).select(*keys, "e.*")
 
 
-def stale_entries(entries: DataFrame, current: DataFrame) -> DataFrame:
-    """R-02: producer hash changed or producer missing. ``current``: script, sha."""
-    joined = entries.join(current, "script", "left")
-    reason = F.when(F.col("sha").isNull(), "producer missing").when(F.col("sha") != F.col("script_sha"), "producer changed")
-    return joined.withColumn("reason", reason).filter("reason IS NOT NULL").drop("sha")
+def stale_entries(entries: DataFrame, scripts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """R-02: entries of ``emit`` whose script or one of whose inputs is gone or has other content now: (family, variant, name, reason).
+
+    ``scripts`` and ``manifest``: name, sha, as they are now.
+    """
+    keys = ["family", "variant"]
+    made = entries.select(*keys, F.col("script").alias("name"), F.col("script_sha").alias("then"), F.lit("producer").alias("what"))
+    used = entries.select(*keys, F.explode("inputs").alias("i")).select(*keys, "i.name", F.col("i.sha").alias("then"), F.lit("input").alias("what"))
+    reasons = []
+    for part, now in ((made, scripts), (used, manifest)):
+        joined = part.join(now, "name", "left")
+        gone = F.when(F.col("sha").isNull(), "missing").when(~F.col("sha").eqNullSafe(F.col("then")), "changed")
+        reasons.append(joined.select(*keys, "name", F.concat_ws(" ", "what", gone).alias("reason"), gone.alias("_gone")).filter("_gone IS NOT NULL").drop("_gone"))
+    return reasons[0].unionByName(reasons[1])
 
 
 def find_anchors(lines: DataFrame) -> DataFrame:

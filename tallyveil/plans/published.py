@@ -33,30 +33,55 @@ def _figures(t: Tables):
         F.round(cents / 100.0 / F.count("*"), 6).alias("value"))
 
 
+# Each family is made by one script and reads two inputs; texts of documents stand in for their contents.
+PROVENANCE_SQL = FIGURES + """,
+made AS (SELECT e.*, 'share' AS unit, 'ratio' AS estimator, CAST(ascii(family) - 48 AS BIGINT) AS script_id, [10 + ascii(family) - 48, 20 + (ascii(family) - 48) % 3] AS input_ids FROM entries e)"""
+
+
+def _contents(t: Tables, text=None):
+    return t.documents.select(F.col("doc_id").cast("string").alias("name"), F.sha2((text if text is not None else F.col("text")).cast("binary"), 256).alias("sha"))
+
+
+def _new_figures(t: Tables):
+    place = F.ascii("family") - 48
+    inputs = F.array((place + 10).cast("string"), (place % 3 + 20).cast("string"))
+    named = _figures(t).withColumns({"script": place.cast("string"), "input_names": inputs, "unit": F.lit("share"), "estimator": F.lit("ratio"), "emitted_at": F.lit("2024-01-02")})
+    return RG.with_provenance(named, _contents(t), _contents(t))
+
+
 def _entries(t: Tables):
-    new = _figures(t).withColumns({"script_sha": F.lit("s1"), "emitted_at": F.lit("2024-01-02")})
-    empty = RG.emit(new.limit(0).select("family", "variant", "value", F.lit(0).cast("decimal(38,18)").alias("display"), F.lit(False).alias("canonical"),
-                                        F.lit(False).alias("needs_policy"), "script_sha", "emitted_at"), new, _policy(t))
-    return empty
+    return RG.emit(t.spark.createDataFrame([], RG.ENTRY), _new_figures(t), _policy(t))
 
 
 @query("r01_emit_figures", oracle("""
-  SELECT family, variant, value, display, canonical, needs_policy, CASE WHEN variant = 'P' THEN '2024-01-01' ELSE '2024-01-02' END AS emitted_at FROM entries UNION ALL
-  SELECT 'gone', variant, value, display, canonical, needs_policy, '2024-01-01' FROM entries WHERE family = '5-LOW' AND variant = 'O'""", "", FIGURES, dbl="value display"))
+  SELECT family, variant, value, display, canonical, needs_policy, unit, estimator, CAST(script_id AS VARCHAR) AS script, s.sha AS script_sha,
+    list_transform(input_ids, lambda i: CAST(i AS VARCHAR)) AS input_names, [a.sha, b.sha] AS input_shas, CASE WHEN variant = 'P' THEN '2024-01-01' ELSE '2024-01-02' END AS emitted_at
+  FROM made JOIN shas s ON s.doc_id = script_id JOIN shas a ON a.doc_id = input_ids[1] JOIN shas b ON b.doc_id = input_ids[2] UNION ALL
+  SELECT 'gone', variant, value, display, canonical, needs_policy, unit, estimator, CAST(script_id AS VARCHAR), s.sha,
+    list_transform(input_ids, lambda i: CAST(i AS VARCHAR)), [a.sha, b.sha], '2024-01-01'
+  FROM made JOIN shas s ON s.doc_id = script_id JOIN shas a ON a.doc_id = input_ids[1] JOIN shas b ON b.doc_id = input_ids[2] WHERE family = '5-LOW' AND variant = 'O'""",
+    "", PROVENANCE_SQL + ", shas AS (SELECT doc_id, sha256(text) AS sha FROM documents)", dbl="value display"))
 def _(t):
     first = _entries(t).withColumn("emitted_at", F.lit("2024-01-01"))
-    old = first.withColumn("script_sha", F.when(F.col("variant") != "P", "s0").otherwise(F.col("script_sha")))
+    # Before, another script had made all but the P figures, or an input had other content.
+    old = first.withColumn("script_sha", F.when(F.col("variant") == "F", "s0").otherwise(F.col("script_sha")))
+    other = F.transform("inputs", lambda i: F.struct(i["name"].alias("name"), F.lit("0").alias("sha")))
+    old = old.withColumn("inputs", F.when(F.col("variant") == "O", other).otherwise(F.col("inputs")))
     gone = first.filter("family = '5-LOW' AND variant = 'O'").withColumn("family", F.lit("gone"))
-    new = _figures(t).withColumns({"script_sha": F.lit("s1"), "emitted_at": F.lit("2024-01-02")})
-    return RG.emit(old.unionByName(gone), new, _policy(t)).drop("script_sha")
+    out = RG.emit(old.unionByName(gone), _new_figures(t), _policy(t))
+    return out.withColumns({"input_names": F.col("inputs.name"), "input_shas": F.col("inputs.sha")}).drop("inputs")
 
 
 @query("r02_stale_entries", oracle("""
-  SELECT doc_id AS script, CASE WHEN lang = 'de' THEN 'producer missing' ELSE 'producer changed' END AS reason FROM documents WHERE lang = 'de' OR source = 'src1'"""))
+  SELECT family, variant, CAST(script_id AS VARCHAR) AS name, CASE WHEN script_id = 4 THEN 'producer missing' ELSE 'producer changed' END AS reason FROM made WHERE script_id % 2 = 0 UNION ALL
+  SELECT family, variant, CAST(i AS VARCHAR), CASE WHEN i % 4 = 0 THEN 'input missing' ELSE 'input changed' END FROM (SELECT family, variant, unnest(input_ids) AS i FROM made) WHERE i % 2 = 0""",
+    "", PROVENANCE_SQL))
 def _(t):
-    entries = t.documents.select(F.col("doc_id").alias("script"), F.sha2(F.concat("text", F.when(F.col("source") == "src1", "x").otherwise("")).cast("binary"), 256).alias("script_sha"))
-    current = t.documents.filter("lang <> 'de'").select(F.col("doc_id").alias("script"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return RG.stale_entries(entries, current).select("script", "reason")
+    entries = _entries(t)
+    number = F.col("doc_id")
+    changed = F.when(number % 2 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    now = _contents(t, changed).filter("CAST(name AS INT) % 4 <> 0")
+    return RG.stale_entries(entries, now, now).select("family", "variant", "name", "reason")
 
 
 # Text lines derived from orders: each order is one line of a document per customer.
@@ -161,11 +186,10 @@ def _(t):
 
 @query("st01_streaming_cells", oracle("""
   SELECT epoch(time_bucket(INTERVAL '1 day', ts))::BIGINT AS start, event_type, sum(w) AS sw, sum(w * w) AS sw2, sum(w * r) AS swd, count(*) AS n FROM (
-    SELECT ts, event_type, floor(value) AS w, event_id % 2 AS r FROM events) AS e
-  WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour' GROUP BY ALL""", ints="start n", dbl="sw sw2 swd"))
+    SELECT ts, event_type, floor(value) AS w, event_id % 2 AS r FROM events) AS e GROUP BY ALL""", ints="start n", dbl="sw sw2 swd"))
 def _(t):
     schema = t.events.schema
     stream = ST.read_events(t.spark, f"{t.folder}/events.parque[t]", schema)
     d = stream.withColumns({"w": F.floor("value").cast("double"), "r": (F.col("event_id") % 2).cast("int")})
-    out = ST.drain(ST.windowed_cells(d, "ts", "event_type", "w", "r", "1 day", "1 hour"))
+    out = ST.drain(ST.windowed_cells(d, "ts", "event_type", "w", "r", "1 day", None), ["start", "end", "event_type"])
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "sw", "sw2", "swd", "n")

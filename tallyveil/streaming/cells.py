@@ -1,11 +1,13 @@
 """ST-01: the weighted cell sums, kept up to date over a stream.
 
 All sums are mergeable, so a tumbling window with a watermark gives the same numbers as
-the batch aggregation over the closed windows.
+the batch aggregation; windows that are still open show what has come in so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +30,28 @@ def read_events(spark: SparkSession, path_glob: str, schema: T.StructType, files
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(result: DataFrame, label: str = "cells") -> DataFrame:
-    """Run a stream over everything that is available and return the written table.
+def drain(result: DataFrame, keys: Sequence[str], label: str = "cells") -> DataFrame:
+    """Run a stream over everything that is available; the table as it stands then, open windows included.
 
-    State and output live in the shared folder, so a lost executor resumes from there.
+    Every batch writes the rows it changed (update mode) under its own number, and a batch that runs again replaces its files; of each key
+    the row of the last batch counts. The watermark still bounds the state, and rows later than it are left out. State and output lie
+    in the shared folder, so a lost executor resumes from there.
     """
     spark = result.sparkSession
     out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = (
-        result.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
+
+    kept = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        kept.append(number)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={number:012d}")
+
+    query = result.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(out)
+    if not kept:
+        return spark.createDataFrame([], result.schema)
+    schema = T.StructType([*result.schema.fields, T.StructField("_batch", T.LongType())])
+    rows = spark.read.schema(schema).option("basePath", out).parquet(f"{out}/_batch=*")
+    values = [c for c in result.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
+    return last.select(*keys, "_v.*").select(*result.columns)

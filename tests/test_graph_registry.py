@@ -1,5 +1,8 @@
 """Neighbours, communities, nearest facilities, registry rules against brute force."""
 
+import decimal
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -203,12 +206,55 @@ def test_marking_replaces_an_old_flag(spark):
 @pytest.fixture(scope="module")
 def registry(spark):
     policy = spark.createDataFrame([("mult", "victim", 1, "half_up"), ("rate", "victim", 3, "half_even")], "family string, canonical_variant string, decimals int, round_mode string")
-    new = spark.createDataFrame(
-        [("mult", "victim", 4.627, "s", "t1"), ("mult", "incident", 6.04, "s", "t1"), ("rate", "victim", 0.2245, "s", "t1"), ("lone", "x", 1.5, "s", "t1")],
-        "family string, variant string, value double, script_sha string, emitted_at string")
-    empty = new.limit(0).select("family", "variant", "value", F.lit(0).cast("decimal(28,6)").alias("display"), F.lit(True).alias("canonical"),
-                                F.lit(True).alias("needs_policy"), "script_sha", "emitted_at")
-    return RG.emit(empty, new, policy), policy, new
+    figures = spark.createDataFrame(
+        [("mult", "victim", 4.627, "s", ["i"]), ("mult", "incident", 6.04, "s", ["i", "j"]), ("rate", "victim", 0.2245, "s", []), ("lone", "x", 1.5, "s", ["lost"])],
+        "family string, variant string, value double, script string, input_names array<string>")
+    figures = figures.withColumns({"unit": F.lit("u"), "estimator": F.lit("e"), "emitted_at": F.lit("t1")})
+    scripts = spark.createDataFrame([("s", "1")], "name string, sha string")
+    inputs = spark.createDataFrame([("i", "a"), ("j", "b")], "name string, sha string")
+    new = RG.with_provenance(figures, scripts, inputs)
+    return RG.emit(spark.createDataFrame([], RG.ENTRY), new, policy), policy, new
+
+
+def test_changed_scripts_and_inputs_are_stale(spark, registry):
+    entries, policy, new = registry
+    now = lambda *rows: spark.createDataFrame(list(rows), "name string, sha string")
+    stale = RG.stale_entries(entries, now(("s", "1")), now(("i", "a"), ("j", "c"), ("lost", "z")))
+    assert {(r["family"], r["variant"], r["name"], r["reason"]) for r in stale.collect()} == {("mult", "incident", "j", "input changed"), ("lone", "x", "lost", "input changed")}
+    gone = RG.stale_entries(entries, now(), now(("i", "a"), ("j", "b")))
+    assert [r["reason"] for r in gone.filter("name = 's'").collect()] == ["producer missing"] * 4
+    assert [r["reason"] for r in gone.filter("name = 'lost'").collect()] == ["input missing"]
+    assert {r["reason"] for r in RG.stale_entries(entries, now(("s", "2")), now()).filter("name = 's'").collect()} == {"producer changed"}
+    # What was stale and is emitted again is fresh, and keeps its time only where nothing changed.
+    moved = new.withColumn("inputs", F.transform("inputs", lambda i: F.struct(i["name"].alias("name"), F.coalesce(F.when(i["name"] == "j", F.lit("c")), i["sha"]).alias("sha")))).withColumn("emitted_at", F.lit("t2"))
+    again = RG.emit(entries, moved, policy)
+    assert {(r["variant"], r["emitted_at"]) for r in again.filter("family = 'mult'").collect()} == {("victim", "t1"), ("incident", "t2")}
+    assert RG.stale_entries(again, now(("s", "1")), now(("i", "a"), ("j", "c"))).filter("name <> 'lost'").isEmpty()
+
+
+def test_manifest_follows_contents(spark, tmp_path):
+    (tmp_path / "one.txt").write_bytes(b"abc")
+    (tmp_path / "many").mkdir()
+    for n in ("x", "y"):
+        (tmp_path / "many" / n).write_bytes(n.encode())
+    paths = [f"file:{tmp_path}/one.txt", f"file:{tmp_path}/many"]
+    before = {r["name"]: r["sha"] for r in RG.content_manifest(spark, paths).collect()}
+    assert before[paths[0]] == hashlib.sha256(b"abc").hexdigest()
+    (tmp_path / "many" / "y").write_bytes(b"z")
+    after = {r["name"]: r["sha"] for r in RG.content_manifest(spark, paths).collect()}
+    assert after[paths[0]] == before[paths[0]] and after[paths[1]] != before[paths[1]]
+
+
+def test_rounding_by_columns(spark):
+    modes = {"half_up": decimal.ROUND_HALF_UP, "half_even": decimal.ROUND_HALF_EVEN, "floor": decimal.ROUND_FLOOR}
+    values = [0.0, 0.5, 1.5, 2.5, -0.5, -1.5, 2.675, -2.675, 0.2245, 1e-7, -1e-7, 123456789.125, 99.995, 1e15]
+    rows = [(v, d, m) for v in values for d in (0, 1, 2, 3, 6, 17, 18, 40, -1) for m in (*modes, "odd")]
+    got = spark.createDataFrame(rows, "v double, d int, m string").select("v", "d", "m", RG.rounded_by_policy(F.col("v"), F.col("d"), F.col("m")).alias("r")).collect()
+    for r in got:
+        if r["m"] == "odd" or r["d"] < 0:
+            assert r["r"] is None
+        else:
+            assert r["r"] == decimal.Decimal(str(r["v"])).quantize(decimal.Decimal(1).scaleb(-min(r["d"], 18)), rounding=modes[r["m"]], context=decimal.Context(prec=60))
 
 
 def test_emit_keeps_time_of_unchanged_entries(spark, registry):

@@ -92,14 +92,17 @@ def test_sinks_round_trip(spark, tmp_path):
     assert {tuple(r) for r in nested.select("area", "values.year", "values.value").collect()} == rows
 
 
-def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
-    rows = [(f"2024-01-0{1 + i // 24} {i % 24:02d}:30:00", "k", float(i), i % 2) for i in range(96)]
+def test_stream_equals_batch_with_open_windows(spark, tmp_path):
+    rows = [(f"2024-01-0{1 + i // 24} {i % 24:02d}:30:00", "k" if i % 3 else "l", float(i), i % 2) for i in range(96)]
     d = spark.createDataFrame(rows, "t string, category string, w double, r int").select(F.to_timestamp("t").alias("ts"), "category", "w", "r")
-    d.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = ST.read_events(spark, str(tmp_path / "in"), d.schema, files_per_trigger=10)
-    got = {tuple(r) for r in ST.drain(ST.windowed_cells(stream, "ts", "category", "w", "r", "1 day", "1 hour")).collect()}
+    d.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = ST.read_events(spark, str(tmp_path / "in"), d.schema, files_per_trigger=1)
+    got = {tuple(r) for r in ST.drain(ST.windowed_cells(stream, "ts", "category", "w", "r", "1 day", "5 days"), ["start", "end", "category"]).collect()}
     batch = {tuple(r) for r in ST.windowed_cells(d, "ts", "category", "w", "r", "1 day", None).collect()}
-    assert len(got) == 3 and got < batch and len(batch) == 4
+    assert got == batch and len(batch) == 8
+    d.limit(0).write.parquet(str(tmp_path / "none"))
+    none = ST.read_events(spark, str(tmp_path / "none"), d.schema)
+    assert ST.drain(ST.windowed_cells(none, "ts", "category", "w", "r", "1 day", "1 hour"), ["start", "end", "category"]).collect() == []
 
 
 @pytest.fixture(scope="module")
