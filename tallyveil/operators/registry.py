@@ -21,27 +21,29 @@ ANCHOR_WORD = r"(?i)\bcanon\b"
 NUMERAL = r"(^|[^\w.])[×xX~]?\s*[0-9]+\.[0-9]+"
 
 
-def rounded_by_policy(value: Column, decimals: Column, mode: Column) -> Column:
-    """Rounding whose precision and mode are columns, as decimal(38,18).
+def with_rounded(df: DataFrame, value: Column, decimals: Column, mode: Column, name: str) -> DataFrame:
+    """The value rounded with precision and mode given per row, as decimal(38,18) in column ``name``.
 
     NULL for an unknown mode or a negative precision: such a policy has no official value. The unit of the last place comes from a
-    list by precision, so the expression is as long for one precision as for all; remainders of decimals are exact.
+    list by precision, remainders of decimals are exact, and the steps are columns of their own, so that none is spelled out twice.
     """
     kind = f"decimal(38,{EXACT_DECIMALS})"
-    exact = value.cast("string").cast(kind)
-    unit, half = (F.get(F.array(*[F.lit(f"{n}e-{d + (n == 5)}").cast(kind) for d in range(EXACT_DECIMALS)]), decimals) for n in (1, 5))
-    size = F.abs(exact)
-    over = (size % unit).cast(kind)
-    below = (size - over).cast(kind)
-    odd = (below % (unit + unit)) != 0
+    unit, half = (F.get(F.array(*[F.lit(f"{n}e-{d + (n == 5)}").cast(kind) for d in range(EXACT_DECIMALS)]), F.col("_decimals")) for n in (1, 5))
+    first = df.withColumns({"_exact": value.cast("string").cast(kind), "_decimals": decimals, "_mode": mode})
+    sized = first.withColumns({"_size": F.abs("_exact"), "_unit": unit, "_half": half})
+    over = sized.withColumn("_over", (F.col("_size") % F.col("_unit")).cast(kind))
+    parts = over.withColumn("_below", (F.col("_size") - F.col("_over")).cast(kind))
+    odd = (F.col("_below") % (F.col("_unit") + F.col("_unit"))) != 0
     up = (
-        F.when(mode == "half_up", over >= half)
-        .when(mode == "half_even", (over > half) | ((over == half) & odd))
-        .when(mode == "floor", (exact < 0) & (over > 0))
+        F.when(F.col("_mode") == "half_up", F.col("_over") >= F.col("_half"))
+        .when(F.col("_mode") == "half_even", (F.col("_over") > F.col("_half")) | ((F.col("_over") == F.col("_half")) & odd))
+        .when(F.col("_mode") == "floor", (F.col("_exact") < 0) & (F.col("_over") > 0))
     )
-    rounded = F.when(up, below + unit).otherwise(below).cast(kind)
-    known = mode.isin(*MODES) & (decimals >= 0)
-    return F.when(known, F.when(decimals >= EXACT_DECIMALS, exact).otherwise(F.when(exact < 0, -rounded).otherwise(rounded)).cast(kind))
+    rounded = parts.withColumn("_rounded", F.when(up, (F.col("_below") + F.col("_unit")).cast(kind)).otherwise(F.col("_below")))
+    signed = F.when(F.col("_exact") < 0, -F.col("_rounded")).otherwise(F.col("_rounded"))
+    out = F.when(F.col("_decimals") >= EXACT_DECIMALS, F.col("_exact")).otherwise(signed)
+    known = F.col("_mode").isin(*MODES) & (F.col("_decimals") >= 0)
+    return rounded.withColumn(name, F.when(known, out.cast(kind))).drop("_exact", "_decimals", "_mode", "_size", "_unit", "_half", "_over", "_below", "_rounded")
 
 
 def content_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -83,10 +85,10 @@ def emit(existing: DataFrame, new: DataFrame, policy: DataFrame) -> DataFrame:
     round_mode. Entries whose value, display, flags, script and inputs did not change keep their emission time; families
     without a policy are marked ``needs_policy``.
     """
-    fresh = new.join(policy, "family", "left").select(
-        "family", "variant", F.round("value", 6).alias("value"),
-        rounded_by_policy(F.col("value"), F.coalesce("decimals", F.lit(DEFAULT_DECIMALS)),
-                          F.coalesce("round_mode", F.lit(DEFAULT_MODE))).alias("display"),
+    joined = new.join(policy, "family", "left")
+    shown = with_rounded(joined, F.col("value"), F.coalesce("decimals", F.lit(DEFAULT_DECIMALS)), F.coalesce("round_mode", F.lit(DEFAULT_MODE)), "display")
+    fresh = shown.select(
+        "family", "variant", F.round("value", 6).alias("value"), "display",
         F.coalesce(F.col("canonical_variant") == F.col("variant"), F.lit(False)).alias("canonical"),
         F.col("canonical_variant").isNull().alias("needs_policy"), *PROVENANCE,
     )
@@ -160,8 +162,8 @@ def check(lines: DataFrame, entries: DataFrame, policy: DataFrame, stale: DataFr
         policy.select("family", "decimals", "round_mode"), "family", "left"
     ).join(stale.select("family", "variant", F.lit(True).alias("_stale")), ["family", "variant"], "left")
     decimals = F.coalesce("decimals", F.lit(DEFAULT_DECIMALS))
-    cited = parse_cited("cited")
-    official = rounded_by_policy(F.col("value"), decimals, F.coalesce("round_mode", F.lit(DEFAULT_MODE)))
+    resolved = with_rounded(resolved, F.col("value"), decimals, F.coalesce("round_mode", F.lit(DEFAULT_MODE)), "_official").withColumn("_cited", parse_cited("cited"))
+    cited, official = F.col("_cited"), F.col("_official")
     rule = (
         F.when(F.col("entry_key").isNull(), "unknown key")
         .when(F.col("needs_policy"), "no policy")

@@ -249,7 +249,7 @@ def test_rounding_by_columns(spark):
     modes = {"half_up": decimal.ROUND_HALF_UP, "half_even": decimal.ROUND_HALF_EVEN, "floor": decimal.ROUND_FLOOR}
     values = [0.0, 0.5, 1.5, 2.5, -0.5, -1.5, 2.675, -2.675, 0.2245, 1e-7, -1e-7, 123456789.125, 99.995, 1e15]
     rows = [(v, d, m) for v in values for d in (0, 1, 2, 3, 6, 17, 18, 40, -1) for m in (*modes, "odd")]
-    got = spark.createDataFrame(rows, "v double, d int, m string").select("v", "d", "m", RG.rounded_by_policy(F.col("v"), F.col("d"), F.col("m")).alias("r")).collect()
+    got = RG.with_rounded(spark.createDataFrame(rows, "v double, d int, m string"), F.col("v"), F.col("d"), F.col("m"), "r").collect()
     for r in got:
         if r["m"] == "odd" or r["d"] < 0:
             assert r["r"] is None
