@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,18 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Arrow batches of about so many bytes for the jobs run inside; the session's own size comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_bytes(sizes, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows that hold about ``limit`` bytes together; a longer row stands alone."""
     start = total = 0

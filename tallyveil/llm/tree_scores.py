@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import table, written
+from tallyveil.llm.common import batches_of, table, written
 from tallyveil.llm.context_trees import MAX_DEPTH, Level, Top, grams, levels, log10_grams, summed, top_of
 
-CHUNK_BYTES = 1 << 24
-SLICE = 1 << 22
+CHUNK_BYTES = 1 << 22
+#: Text per bucket, up to 4,096 buckets.
+BUCKET_BYTES = 1 << 25
+SLICE = 1 << 19
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GRAMS, _WORDS = 0, 1
 #: Fixed value: added to each count of the base score.
@@ -48,17 +50,30 @@ def token_bytes(text: bytes | None) -> bytes:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Eight-byte numbers, compressed with equal places of all numbers side by side."""
+    """Numbers, compressed with equal bytes of all of them side by side."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
     import zstandard
 
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_words(words) -> bytes:
+    """Words in order, so that neighbours share their beginnings."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words))
+
+
+def _unpack_bytes(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -113,13 +128,15 @@ def _chunks(docs: DataFrame, keep: Sequence[str], chunk_bytes: int) -> DataFrame
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         number, rows, bodies, total = TaskContext.get().partitionId() << 32, [], [], 0
 
         def row() -> pa.RecordBatch:
             columns = [pa.concat_arrays(c) for c in zip(*rows)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
             sizes = pa.array([list(map(len, bodies))], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, sizes, pa.array([b"".join(bodies)], pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, sizes, pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))], pa.binary())], names=schema.names)
 
         for batch in batches:
             start = 0
@@ -156,7 +173,7 @@ def _items(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
         for batch in batches:
             for number, held, sizes, body in zip(*(batch.column(c) for c in ("chunk", "held", "sizes", "body"))):
                 number, held = number.as_py(), np.array(held.as_py(), bool)
-                chunk = Chunk(body.as_py(), np.array(sizes.as_py(), np.int64), depth)
+                chunk = Chunk(_unpack_bytes(body.as_py()), np.array(sizes.as_py(), np.int64), depth)
                 keys, times = [], []
                 for a, b in chunk.slices():
                     found, own = chunk.grams(a, b), np.repeat(held[a:b], chunk.sizes[a:b])
@@ -174,9 +191,9 @@ def _items(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
                     if out:
                         learned.update(dict.fromkeys(doc.split(), 0))
                 spread: list[list[bytes]] = [[] for _ in range(buckets)]
-                for w in learned:
+                for w in sorted(learned):
                     spread[zlib.crc32(w) % buckets].append(w)
-                rows += [(_WORDS, i, number, b" ".join(ws), packed(np.fromiter(map(learned.__getitem__, ws), np.int64, len(ws)))) for i, ws in enumerate(spread) if ws]
+                rows += [(_WORDS, i, number, _pack_words(ws), packed(np.fromiter(map(learned.__getitem__, ws), np.int64, len(ws)))) for i, ws in enumerate(spread) if ws]
                 yield from _rows(rows, _ITEM_NAMES, _ITEM_TYPES).to_batches()
 
     return chunks.mapInArrow(count, _ITEM)
@@ -187,7 +204,7 @@ def _merged(kind: int, bodies, counts) -> tuple[np.ndarray | dict, np.ndarray |
     if kind == _WORDS:
         words: Counter = Counter()
         for body, n in zip(bodies, counts):
-            for w, k in zip(body.as_py().split(), unpacked(n.as_py()).tolist()):
+            for w, k in zip(_unpack_bytes(body.as_py()).split(), unpacked(n.as_py()).tolist()):
                 words[w] += k
         return words, None
     return summed(np.concatenate([_unpack_keys(b.as_py()) for b in bodies]), np.concatenate([unpacked(n.as_py()) for n in counts]))
@@ -199,7 +216,11 @@ def _merge_round(items: DataFrame, parts: int) -> DataFrame:
     def merge(key, blobs):
         kind, bucket, part = (k.as_py() for k in key)
         found, n = _merged(kind, blobs["body"], blobs["counts"])
-        row = (b" ".join(found), packed(np.fromiter(found.values(), np.int64, len(found)))) if kind == _WORDS else (_pack_keys(found), packed(n))
+        if kind == _WORDS:
+            words = sorted(found)
+            row = (_pack_words(words), packed(np.fromiter(map(found.__getitem__, words), np.int64, len(words))))
+        else:
+            row = (_pack_keys(found), packed(n))
         return _rows([(kind, bucket, part, *row)], _ITEM_NAMES, _ITEM_TYPES)
 
     return items.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts))).groupBy("kind", "bucket", "part").applyInArrow(merge, _ITEM)
@@ -217,8 +238,9 @@ def _model(items: DataFrame, depth: int) -> DataFrame:
         kind, bucket = (k.as_py() for k in key)
         found, n = _merged(kind, blobs["body"], blobs["counts"])
         if kind == _WORDS:
-            counts = np.fromiter(found.values(), np.int64, len(found))
-            body, tops = b" ".join(found), [(-1, int((counts > 0).sum()), int(counts.sum()), 0.0)]
+            words = sorted(found)
+            counts = np.fromiter(map(found.__getitem__, words), np.int64, len(words))
+            body, tops = _pack_words(words), [(-1, int((counts > 0).sum()), int(counts.sum()), 0.0)]
         else:
             body, counts, second = _pack_keys(found), n, levels(found, n, depth, 2)[0]
             node, nearest = second.keys >> np.uint64(16), (second.keys >> np.uint64(8)) & np.uint64(255)
@@ -231,7 +253,7 @@ def _model(items: DataFrame, depth: int) -> DataFrame:
 
 
 def _answers(items: DataFrame, model: DataFrame, top: Top, depth: int, parts: int) -> DataFrame:
-    """The requests of the chunks with one number per gram (log10 probability) or word (times learned)."""
+    """The requests of the chunks with one number per gram (log10 probability, to seven digits) or word (times learned)."""
     part = F.pmod(F.xxhash64("chunk"), F.lit(parts))
     copies = model.drop("tops").withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
 
@@ -244,10 +266,10 @@ def _answers(items: DataFrame, model: DataFrame, top: Top, depth: int, parts: in
         for number, body in zip(asked["chunk"], asked["body"]):
             body = body.as_py()
             if kind == _WORDS:
-                words = body.split()
+                words = _unpack_bytes(body).split()
                 values = np.fromiter(map(found.__getitem__, words), np.int64, len(words))
             else:
-                values = logs[np.searchsorted(found, _unpack_keys(body))]
+                values = logs[np.searchsorted(found, _unpack_keys(body))].astype(np.float32)
             rows.append((kind, bucket, number.as_py(), body, packed(values)))
         return _rows(rows, _ITEM_NAMES, _ITEM_TYPES)
 
@@ -269,19 +291,19 @@ def _per_document(chunks: DataFrame, answers: DataFrame, docs: DataFrame, keep:
         words, keys, logs = {}, [], []
         for kind, body, values in zip(given["kind"], given["body"], given["counts"]):
             if kind.as_py() == _WORDS:
-                words.update(zip(body.as_py().split(), unpacked(values.as_py()).tolist()))
+                words.update(zip(_unpack_bytes(body.as_py()).split(), unpacked(values.as_py()).tolist()))
             else:
                 keys.append(_unpack_keys(body.as_py()))
-                logs.append(unpacked(values.as_py(), np.float64))
+                logs.append(unpacked(values.as_py(), np.float32))
         key, log = np.concatenate(keys), np.concatenate(logs)
         order = np.argsort(key)
         key, log = key[order], log[order]
         for i in range(texts.num_rows):
             held = np.array(texts["held"][i].as_py(), bool)
-            chunk = Chunk(texts["body"][i].as_py(), np.array(texts["sizes"][i].as_py(), np.int64), depth)
+            chunk = Chunk(_unpack_bytes(texts["body"][i].as_py()), np.array(texts["sizes"][i].as_py(), np.int64), depth)
             scores, base, tokens, known = np.zeros(len(held)), np.zeros(len(held)), np.ones(len(held), np.int64), np.full(len(held), int(ends > 0))
             for a, b in chunk.slices():
-                each = log[np.searchsorted(key, chunk.grams(a, b))]
+                each = log[np.searchsorted(key, chunk.grams(a, b))].astype(np.float64)
                 scores[a:b] = np.add.reduceat(each, np.cumsum(chunk.sizes[a:b]) - chunk.sizes[a:b])
             for d, doc in enumerate(chunk.docs):
                 own = np.fromiter(map(words.__getitem__, doc.split()), np.int64)
@@ -303,12 +325,16 @@ def tree_scores(
     if not 2 < depth <= MAX_DEPTH or fan < 2:
         raise ValueError(f"depth must lie between 3 and {MAX_DEPTH}, fan be 2 or more")
     rows = docs.select(F.col(text).cast("string").cast("binary").alias("_text"), *keep, F.coalesce(held_out, F.lit(True)).alias("_held"))
-    chunks = written(_chunks(rows, keep, chunk_bytes), "tree-chunks")
+    spark = docs.sparkSession
+    # A batch holds one chunk or two, in the JVM and in Python.
+    with batches_of(spark, chunk_bytes):
+        chunks = written(_chunks(rows, keep, chunk_bytes), "tree-chunks")
     held = F.expr("aggregate(held, 0L, (s, h) -> s + if(h, 0L, 1L))")
-    number, ends, size = chunks.agg(F.count("*"), F.sum(held), F.sum(F.octet_length("body"))).first()
-    # A bucket for about a chunk's worth of text: subtrees of two bytes are not split further.
-    buckets = buckets or max(1, min(1 << 14, (size or 0) // chunk_bytes))
-    items = written(_items(chunks, depth, buckets), "tree-items")
+    number, ends, size = chunks.agg(F.count("*"), F.sum(held), F.sum(F.expr("aggregate(sizes, 0L, (s, n) -> s + n)"))).first()
+    # Each chunk has a blob for each bucket; subtrees of two bytes are not split further.
+    buckets = buckets or max(1, min(1 << 12, (size or 0) // BUCKET_BYTES))
+    with batches_of(spark, chunk_bytes):
+        items = written(_items(chunks, depth, buckets), "tree-items")
     merged, left = items, number
     while left > fan:
         left = -(-left // fan)
