@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,28 @@ def unpivot_questionnaire(wide: DataFrame, codes: Sequence[str], names: Mapping[
     )
 
 
+#: Column names of the two questionnaires, up to 2023 and from 2024 on, by role.
+QUESTIONNAIRES = {
+    "classic": {
+        "victim": "P601_{x}", "times": "P602_{x}", "any": "P602E_{x}", "count": "P602F_{x}_1_ENT", "reported": "P606_{x}", "where": "P607_{x}",
+        "dep": "P602B_{x}", "prov": "P602C_{x}", "dist": "P602D_{x}_COD",
+    },
+    "new": {
+        "victim": "P615_{x}", "times": "P616_{x}", "any": "P617_{x}", "count": "P618_{x}_1_ENT", "reported": "P619_{x}", "where": "P620_{x}",
+        "dep": "P623_{x}_COD", "prov": "P624_{x}_COD", "dist": "P625_{x}_COD",
+    },
+}
+
+
+def unpivot_waves(waves: Mapping[int, DataFrame], codes: Mapping[str, Sequence[str]], person: str, weight: str) -> DataFrame:
+    """J-01: records of several years' waves, each read by the questionnaire that its columns show; ``codes``: subtypes per questionnaire."""
+    parts = []
+    for year, wide in waves.items():
+        kind = detect_questionnaire(wide.columns)
+        parts.append(unpivot_questionnaire(wide, codes[kind], QUESTIONNAIRES[kind], person, weight, year))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def attach_category(records: DataFrame, crosswalk: DataFrame, codes: str) -> DataFrame:
     """J-02: subtype code to category through the crosswalk's code array."""
     mapping = crosswalk.select("category", "panel", F.explode(codes).alias("subtype"))

@@ -15,12 +15,6 @@ from tallyveil.operators import validation as V
 from tallyveil.plans.catalog import CATEGORIES, YEARS, Tables, oracle, query
 from tallyveil.session import literal_rows
 
-NAMES = {
-    "victim": "P601_{x}", "times": "P602_{x}", "any": "P602E_{x}", "count": "P602F_{x}_1_ENT", "reported": "P606_{x}", "where": "P607_{x}",
-    "dep": "P602B_{x}", "prov": "P602C_{x}", "dist": "P602D_{x}_COD",
-}
-
-
 def _questionnaire(t: Tables):
     """Orders as respondents of a wide questionnaire with two subtypes."""
     k, s = F.col("o_orderkey"), lambda c: c.cast("string")
@@ -47,7 +41,7 @@ long AS (
 
 
 def _long(t: Tables):
-    return R.unpivot_questionnaire(_questionnaire(t), ["1", "2"], NAMES, "person", "FACTOR", 2019)
+    return R.unpivot_questionnaire(_questionnaire(t), ["1", "2"], R.QUESTIONNAIRES["classic"], "person", "FACTOR", 2019)
 
 
 @query("j01_unpivot_questionnaire", oracle("SELECT * FROM long", "", LONG, ints="times pnp pnp_count any_count", dbl="weight"))
@@ -55,6 +49,33 @@ def _(t):
     return _long(t).drop("year")
 
 
+def _new_questionnaire(t: Tables):
+    """Orders as respondents of the later questionnaire: other columns, a third subtype, counts for two subtypes."""
+    k, s = F.col("o_orderkey"), lambda c: c.cast("string")
+    wide = {"factor": F.when(k % 9 == 0, "x").otherwise(s(k % 30 + 1))}
+    for x in (1, 2, 3):
+        wide |= {
+            f"P615_{x}": F.when((k + x) % 4 == 0, "1").otherwise("2"), f"P616_{x}": s((k * x) % 55), f"P617_{x}": s(k % 5), f"P619_{x}": F.when((k + x) % 8 == 0, "1").otherwise(""),
+            f"P620_{x}": F.when(k % 3 != 0, "1").otherwise("2"), f"P623_{x}_COD": s(k % 25 + 1), f"P624_{x}_COD": s(k % 11 + 1), f"P625_{x}_COD": F.when(k % 7 == 0, "zz").otherwise(s(k % 43 + 1)),
+        }
+    wide |= {"P618_1_1_ENT": s(k % 4), "P618_3_1_ENT": F.when(k % 2 == 0, "?").otherwise(s(k % 6))}
+    return t.orders.select(k.alias("person"), *[c.alias(n) for n, c in wide.items()])
+
+
+@query("j01_unpivot_both_questionnaires", oracle("""
+  SELECT 2019 AS year, * FROM long UNION ALL
+  SELECT 2024, person, x AS subtype, weight, CASE WHEN k % 7 <> 0 THEN lpad(CAST(k % 25 + 1 AS VARCHAR), 2, '0') || lpad(CAST(k % 11 + 1 AS VARCHAR), 2, '0') || lpad(CAST(k % 43 + 1 AS VARCHAR), 2, '0') END AS area,
+    times, pnp, least(CASE x WHEN '1' THEN k % 4 WHEN '3' THEN CASE WHEN k % 2 = 0 THEN 0 ELSE k % 6 END ELSE pnp END, times) AS pnp_count, least(k % 5, times) AS any_count FROM (
+    SELECT o_orderkey AS person, o_orderkey AS k, x, CAST(o_orderkey % 30 + 1 AS DOUBLE) AS weight,
+      CASE WHEN (o_orderkey * CAST(x AS BIGINT)) % 55 BETWEEN 1 AND 50 THEN (o_orderkey * CAST(x AS BIGINT)) % 55 ELSE 1 END AS times,
+      CASE WHEN (o_orderkey + CAST(x AS BIGINT)) % 8 = 0 AND o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS pnp
+    FROM orders CROSS JOIN (VALUES ('1'), ('2'), ('3')) AS v(x) WHERE o_orderkey % 9 <> 0 AND (o_orderkey + CAST(x AS BIGINT)) % 4 = 0) AS r""",
+    "", LONG, ints="year times pnp pnp_count any_count", dbl="weight"))
+def _(t):
+    waves = {2019: _questionnaire(t), 2024: _new_questionnaire(t).withColumnRenamed("factor", "FACTOR")}
+    return R.unpivot_waves(waves, {"classic": ["1", "2"], "new": ["1", "2", "3"]}, "person", "FACTOR").withColumn("year", F.col("year").cast("bigint"))
+
+
 @query("j02_crosswalk_join", oracle(
     "SELECT CASE subtype WHEN '1' THEN 'robo' ELSE 'estafa' END AS category, subtype = '1' AS panel, count(*) AS n, sum(weight) AS weight FROM long GROUP BY ALL",
     "", LONG, ints="n", dbl="weight"))

@@ -110,7 +110,34 @@ def _(t):
     return t.rated().select("category", "area", "n_eff", "alpha", "beta", "r_hat")
 
 
-@query("a12_beta_interval")
+def beta_cdf_sql(x: str, a: str, b: str, terms: int = 1500) -> str:
+    """DuckDB expression of the regularised incomplete beta function, by its series of positive terms on the shorter side."""
+    def side(x: str, a: str, b: str) -> str:
+        term = f"exp(lgamma({a} + {b} + n) - lgamma({a} + 1 + n) - lgamma({b}) + ({a} + n) * ln({x}) + {b} * ln(1 - {x}))"
+        return f"list_sum(list_transform(range({terms}), lambda n: {term}))"
+
+    return f"CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 WHEN {x} <= ({a} + 1) / ({a} + {b} + 2) THEN {side(x, a, b)} ELSE 1 - {side(f'(1 - {x})', b, a)} END"
+
+
+def beta_quantiles_sql(source: str) -> str:
+    """CTE ``quantiles`` (a, b, p, q) for the distinct (a, b, p) of a select, by bisection."""
+    return f"""
+bisected AS (
+  SELECT a, b, p, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM (SELECT DISTINCT a, b, p FROM ({source}) AS s) AS d
+  UNION ALL
+  SELECT a, b, p, CASE WHEN reached < p THEN mid ELSE lo END, CASE WHEN reached < p THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, {beta_cdf_sql('mid', 'a', 'b')} AS reached FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisected WHERE i < 36) AS m) AS r),
+quantiles AS (SELECT a, b, p, (lo + hi) / 2 AS q FROM bisected WHERE i = 36)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("a12_beta_interval", recursive(oracle(
+    "SELECT category, area, a / (a + b) AS r_hat, l.q AS r_low, h.q AS r_high FROM beta JOIN quantiles l USING (a, b) JOIN quantiles h USING (a, b) WHERE l.p = 0.025 AND h.p = 0.975", "pooled",
+    "beta AS (SELECT category, area, 0.5 * 40 + y_eff AS a, 0.5 * 40 + greatest(n_eff - y_eff, 0.0) AS b FROM pooled),"
+    + beta_quantiles_sql("SELECT a, b, unnest([0.025, 0.975]) AS p FROM beta"), dbl="r_hat r_low r_high")))
 def _(t):
     prior = t.category_list().withColumns({"mu": F.lit(0.5), "phi": F.lit(40.0)})
     return R.posterior(t.pooled(), prior, intervals=True).select("category", "area", "r_hat", "r_low", "r_high")
@@ -159,7 +186,10 @@ def _(t):
     return S.multiplier_band(t.surface())
 
 
-@query("a19_jeffreys_interval")
+@query("a19_jeffreys_interval", recursive(oracle(
+    "SELECT category, k / size AS rate, l.q AS ci_low, h.q AS ci_high FROM jeffreys JOIN quantiles l USING (a, b) JOIN quantiles h USING (a, b) WHERE l.p < 0.5 AND h.p > 0.5", "cells",
+    f"{DIRECT}, jeffreys AS (SELECT category, k, size, k + 0.5 AS a, size - k + 0.5 AS b FROM (SELECT category, sum(p * n_eff) AS k, sum(n_eff) AS size FROM direct WHERE scope = 'LIMA' GROUP BY category) AS s),"
+    + beta_quantiles_sql("SELECT a, b, unnest([(1.0 - 0.8) / 2.0, 1.0 - (1.0 - 0.8) / 2.0]) AS p FROM jeffreys"), dbl="rate ci_low ci_high")))
 def _(t):
     direct = R.direct_rates(t.cells(), "01").filter("scope = 'LIMA'")
     return R.jeffreys_pooled(direct, ["category"])
@@ -564,6 +594,11 @@ def _(t):
     return V.linear_trend(t.observed(), ["category"], "year", "observed")
 
 
-@query("m03_spearman_p_value")
+@query("m03_spearman_p_value", oracle(f"""
+  SELECT category, rho, n, CASE WHEN rho IS NULL OR n < 3 THEN NULL WHEN abs(rho) >= 1 THEN 0.0 ELSE {beta_cdf_sql('x', '(dof / 2)', '0.5::DOUBLE')} END AS p_value FROM (
+    SELECT *, dof / (dof + rho * rho * dof / (1 - rho * rho)) AS x FROM (
+      SELECT category, {_rho('ro', 'rs')} AS rho, count(*) AS n, greatest(count(*) - 2, 1)::DOUBLE AS dof FROM (
+        SELECT category, {_rank('observed', 'category')} AS ro, {_rank('survey', 'category')} AS rs FROM area_table) AS k GROUP BY category) AS c) AS d""",
+    "surface pooled population", AREA_TABLE, ints="n", dbl="rho p_value"))
 def _(t):
     return with_p_value(spearman_of_areas(_area_table(t), ["category"], "observed", "survey"))
