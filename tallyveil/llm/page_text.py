@@ -35,71 +35,135 @@ from tallyveil.llm.common import by_bytes, table
 from tallyveil.llm.page_seeds import seed_pages
 
 OTHER, ARTICLE, MIXED = 0, 1, 2
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
-)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+TAG_STOP = re.compile("""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-part)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no markup.
-RAW = frozenset("script style textarea title template svg math iframe".split())
+#: Their content is no markup, up to their end tag or the page's end.
+RAW = frozenset("script style textarea title iframe".split())
+#: Subtrees without text of the page; nested ones are counted, and an open svg ends where an element begins that cannot be in one.
+SKIPPED = frozenset("svg template".split())
+#: Elements that end foreign content.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+    "math annotation maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+#: Elements nested deeper hang on the last of these levels, as in browsers; their text stays.
+DEEPEST = 512
 #: Elements that end where another of the group begins.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements inside a named article that are none of its text.
 NEVER = frozenset("nav aside form footer button select dialog noscript".split())
 
 
+class Tags:
+    """Tags, comments and declarations of a page, one after the other, in time linear in the page's length."""
+
+    def __init__(self, html: str):
+        self.html, self.at, self.balanced = html, 0, True
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag, quoted ones left out; once a tag finds none that way, the first ``>`` counts."""
+        html, pos = self.html, at
+        while self.balanced:
+            stop = TAG_STOP.search(html, pos)
+            if stop and stop[0] == ">":
+                return stop.start()
+            pos = html.find(stop[0], stop.end()) + 1 if stop else 0
+            self.balanced = pos > 0
+        return html.find(">", at)
+
+    def next(self) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, is an end tag, name, what follows the name) of the next one from ``at`` on; name is None for other markup."""
+        html, at = self.html, self.at
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), False, None, ""
+            name = NAME.match(html, start + 1)
+            if not name and html[start + 1 : start + 2] not in ("!", "?"):
+                at = start + 1
+                continue
+            end = self._tag_end(name.end()) if name else html.find(">", start)
+            if end < 0:  # no tag ends any more; what is left is text, or an open comment
+                start = html.find("<!--", start)
+                return (start, len(html), False, None, "") if start >= 0 else None
+            return (start, end + 1, html[start + 1] == "/", name[1], html[name.end() : end]) if name else (start, end + 1, False, None, "")
+
+
 def read_nodes(html: str) -> list[list]:
     """Nodes in page order: [parent, tag, words, label mark, text, linked characters]; text is None for elements."""
     nodes: list[list] = [[-1, "#root", (), None, None, 0]]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and their nodes; inline elements share their block's
+    opened: Counter = Counter()
     run: list[str] = []
     linked = links = 0
-    at = 0
+    skipped, within = "", 0
+    tags = Tags(html)
 
     def end_run() -> None:
         nonlocal linked
         if run:
             text = " ".join(html_module.unescape("".join(run)).split())
             if text:
-                nodes.append([stack[-1][1], "#text", (), None, text, linked])
+                nodes.append([stack[min(len(stack) - 1, DEEPEST)][1], "#text", (), None, text, linked])
             run.clear()
         linked = 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while True:
-        m = TOKEN.search(html, at)
-        if (m.start() if m else len(html)) > at:
-            piece = html[at : m.start() if m else None]
+        found = tags.next()
+        if not skipped and (found[0] if found else len(html)) > tags.at:
+            piece = html[tags.at : found[0] if found else None]
             run.append(piece)
             if links:
                 linked += len(piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        close, name, rest = m[1] or m[4], m[2] or m[5], m[3] or m[6] or ""
+        _, tags.at, close, name, rest = found
         if not name:
             continue
+        if skipped:
+            name = name.lower()
+            if name == skipped:
+                within += -1 if close else not rest.endswith("/")
+                if not within:
+                    skipped = ""
+                continue
+            if skipped == "template" or close or name not in BREAKS_OUT:
+                continue
+            skipped, within = "", 0
         name = name.lower()
         if close:
             if name == "a":
                 links = max(0, links - 1)
             if name in INLINE:
                 continue
-            if any(tag == name for tag, _ in stack):
+            if opened[name] > 0:
                 end_run()
                 links = 0
-                while stack.pop()[0] != name:
+                while pop() != name:
                     pass
             continue
         if name in RAW:
-            if name in ("svg", "math") and rest.endswith("/"):
-                continue
-            ending = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
+            ending = re.compile(f"</{name}", re.I).search(html, tags.at)
             end = html.find(">", ending.start()) if ending else -1
-            at = end + 1 if end >= 0 else len(html)
+            tags.at = end + 1 if end >= 0 else len(html)
+            continue
+        if name in SKIPPED:
+            if not rest.endswith("/"):
+                skipped, within = name, 1
             continue
         if name in INLINE:
             if name == "br":
@@ -112,7 +176,7 @@ def read_nodes(html: str) -> list[list]:
             continue
         # A paragraph ends at the next block; list items, cells and the like at their next sibling.
         while stack[-1][0] == "p" or stack[-1][0] in SIBLINGS.get(name, ()):
-            stack.pop()
+            pop()
         words, mark = set(), None
         if rest:
             for a in ATTRIBUTE.finditer(rest):
@@ -121,8 +185,9 @@ def read_nodes(html: str) -> list[list]:
                     mark = value
                 else:
                     words.update(w.lower() for w in PART.findall(value))
-        nodes.append([stack[-1][1], name, tuple(sorted(words)), mark, None, 0])
+        nodes.append([stack[min(len(stack) - 1, DEEPEST)][1], name, tuple(sorted(words)), mark, None, 0])
         stack.append((name, len(nodes) - 1))
+        opened[name] += 1
     end_run()
     return nodes
 
@@ -195,7 +260,8 @@ class Forest:
         self.starts = np.searchsorted(self.owner, np.arange(len(unary)))
         self.text = np.array([n[4] is not None for nodes in trees for n in nodes])
         level = np.array(depth)
-        self.levels = [np.flatnonzero(level == d) for d in range(level.max() + 1)]
+        order = np.argsort(level, kind="stable")
+        self.levels = np.split(order, np.searchsorted(level[order], np.arange(1, level.max() + 1)))
 
 
 def sum_product(forest: Forest, seen: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

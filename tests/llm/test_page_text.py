@@ -3,6 +3,7 @@
 import html as html_module
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -72,3 +73,41 @@ def test_rows_and_empty_table(spark, model):
     got = page_text.main_text(df, model).collect()
     assert sorted((r.page_id or 0, r.n_chars > 0) for r in got) == [(0, False), (1, True), (1, True), (2, False), (3, False)]
     assert page_text.main_text(df.limit(0), page_text.train(df.limit(0))).collect() == []
+
+
+def texts_of(page):
+    return [n[4] for n in page_text.read_nodes(page) if n[4] is not None]
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<p>energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> as said</p>", ["energy is E=mc as said"]),
+    ("<p>one <svg><path d='M0'/>LEAK<svg>inner</svg>LEAK</svg> two</p>", ["one two"]),
+    ("<p>one <svg><path/>gone<p>two</p><p>three</p>", ["one", "two", "three"]),
+    ("<p>one</p><template><p>no</p><template>no</template>no</template><p>two</p>", ["one", "two"]),
+    ("<p>one</p><svg/><p>two</p><math/><p>three", ["one", "two", "three"]),
+    ("<p>one</p><template><p>inert", ["one"]), ("<title>lost <p>lost", []), ("<script>if (a<b) '</p>'</script><p>one", ["one"]),
+    ("a < b <p title='x>y'>c <!-- no > --> d <!doctype x> e <? f > g <!-- open", ["a < b", "c d e g"]), ("one <b", ["one <b"]), ("one <p title='open> two <p>three", ["one", "two", "three"]),
+])
+def test_foreign_and_open_markup(page, wanted):
+    assert texts_of(page) == wanted
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 300_000, "<a" * 300_000 + ">", "<p " * 100_000 + "'", "<p a=\">" * 100_001, "<p a=\">\" " * 100_000, "<!--" * 200_000, "<!" * 300_000, "<" * 500_000, "</p" * 300_000, "<div>" * 60_000 + "</p>" * 60_000,
+    "<svg>" * 100_000, "<b>x</b>" * 100_000, " " * 1_000_000, "語" * 500_000, "<p>" + "a" * 1_000_000, "&" * 500_000,
+])
+def test_long_pages_end(page):
+    start = time.monotonic()
+    nodes = page_text.read_nodes(page)
+    assert time.monotonic() - start < 20
+    if len(nodes) > 2:
+        depth = [0] * len(nodes)
+        for i, n in enumerate(nodes[1:], 1):
+            depth[i] = depth[n[0]] + 1
+        assert max(depth) <= page_text.DEEPEST + 1
+
+
+def test_deep_pages_keep_their_text(model):
+    page = "<div>" * 3_000 + "<p>Deep words, kept whole.</p>" + "</div>" * 3_000 + "<p>After.</p>"
+    assert texts_of(page) == ["Deep words, kept whole.", "After."]
+    assert len(model.texts([page])) == 1
