@@ -20,6 +20,7 @@ row; extra columns are left out unless named in ``keep``; an empty table gives a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -38,6 +39,8 @@ from tallyveil.llm.common import by_bytes, table, worker_kept, written
 from tallyveil.llm.pieces import REMEMBERED, Cutter, PieceMemory, byte_alphabet
 
 NO_RANK = np.iinfo(np.int32).max
+#: Bytes from which a word is merged by neighbour links instead of rows.
+LONG_WORD = 512
 #: Grades of word counts to a doubling.
 GRADES = 64
 
@@ -74,7 +77,10 @@ class Merges:
         out: list = [None] * len(words)
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(sizes, kind="stable")
-        a = 0
+        a, short = 0, int(np.searchsorted(sizes[order], LONG_WORD))
+        for i in order[short:]:
+            out[i] = self._merge_long(raw[i])
+        order = order[:short]
         while a < len(order):
             # Words of like length go together; about a million symbols at a time.
             size = int(sizes[order[a]])
@@ -84,6 +90,35 @@ class Merges:
             a = b
         return out
 
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one long word: pairs wait in a heap by rank and place, symbols know their neighbours."""
+        start = self.inside[np.frombuffer(word, np.uint8)]
+        start[-1] = self.last[word[-1]]
+        symbols, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, made = self._rank(start[:-1], start[1:])
+        at = np.flatnonzero(rank != NO_RANK)
+        heap = list(zip(rank[at].tolist(), at.tolist(), start[at].tolist(), start[at + 1].tolist(), made[at].tolist()))
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+        while heap:
+            _, i, a, b, new = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j], after[i] = new, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n:
+                    pair = (symbols[left], symbols[right])
+                    if pair not in known:
+                        found = self._rank(np.array([pair[0]]), np.array([pair[1]]))
+                        known[pair] = (int(found[0][0]), int(found[1][0]))
+                    if known[pair][0] != NO_RANK:
+                        heapq.heappush(heap, (known[pair][0], left, *pair, known[pair][1]))
+        return np.array([x for x in symbols if x >= 0], np.int32)
+
     def _merge(self, raw: list[bytes], places: np.ndarray, out: list) -> None:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         width = int(size.max())

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -155,3 +156,32 @@ def test_grammar_round_trip_and_random_access():
     docs = [np.array([5, 2, 6, 2]), np.array([2]), np.array([2, 2])]
     shard = pair_grammar.make_shard([1, 2, 3], docs, 50257, 2)
     assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
+
+
+LONG = {"spaces": " " * 1_000_000, "lines": "\n" * 900_000 + "a", "mixed space": "a" + " \t" * 400_000 + "b c", "one letter": "x" * 200_000, "signs": "語" * 60_000, "letters": "abcdefghij" * 20_000}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_very_long_texts(kind):
+    start = time.monotonic()
+    text = LONG[kind]
+    assert token_counts.piece_counter(BYTE)([text])[0] == len(library_ids(BYTE, [text])[0])
+    merges, cut = word_lexicon.Merges(WORD), pieces.Cutter(WORD)
+    words = cut(text)
+    assert [i for ids in merges(words) for i in ids] == library_ids(WORD, [text])[0]
+    assert time.monotonic() - start < 60
+
+
+def test_long_words_merge_like_short_ones(monkeypatch):
+    merges = word_lexicon.Merges(WORD)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeinrst") for _ in range(rng.randint(1, 400))) for _ in range(300)]
+    rows = [x.tolist() for x in merges(words)]
+    monkeypatch.setattr(word_lexicon, "LONG_WORD", 1)
+    assert [x.tolist() for x in merges(words)] == rows
+
+
+def test_ids_beyond_the_symbols_are_refused():
+    for ids in ([70_000, 5], [-1, 5], [300, 5]):
+        with pytest.raises(ValueError):
+            pair_grammar.build_grammar(np.array(ids), 300, 2)
