@@ -7,7 +7,7 @@ fifth of the time; a file that is not a plain byte-level BPE is encoded by ``tok
 
 Batches are balanced by bytes: rows are gathered until they hold ``batch_bytes`` of text. A text longer than
 ``split_bytes`` is cut where the pre-tokenizer always ends a piece, so the parts' counts add up to the whole
-text's count; a text without such a place stays whole.
+text's count; a text without such a place stays whole. Parts with very long runs of white space are encoded by ``tokenizers``.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows are counted row by row; extra
 columns are left out unless named in ``keep``; an empty table gives an empty result.
@@ -30,6 +30,8 @@ from tallyveil.llm.pieces import byte_alphabet
 
 #: The pre-tokenizer pattern of the published byte-level BPE vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space beyond what the pattern engine of ``tiktoken`` can take; parts that hold one go to the library.
+LONG_SPACE = re.compile(r"\s{50000}")
 #: A space between an ASCII letter and an ASCII letter always starts a piece.
 SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
@@ -57,14 +59,18 @@ def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-    spec = json.load(open(path, encoding="utf-8"))
+    spec, by_library = json.load(open(path, encoding="utf-8")), _library_counter(path)
     if _plain_byte_level(spec):
         import tiktoken
 
         letters, added = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in added}
         own = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        return lambda texts: [len(own.encode(t, allowed_special="all")) for t in texts]
+        return lambda texts: [len(own.encode(t, allowed_special="all")) if len(t) < 50_000 or not LONG_SPACE.search(t) else by_library([t])[0] for t in texts]
+    return by_library
+
+
+def _library_counter(path: str) -> Callable[[list[str]], list[int]]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
