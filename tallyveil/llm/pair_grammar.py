@@ -70,6 +70,8 @@ def _pairs_of_round(symbols: np.ndarray, end: int, least: int, most: int) -> np.
 
 def build_grammar(ids: np.ndarray, base: int, end: int, rounds: int = 10, least: int = 4, per_round: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[k] is the pair that symbol base + k stands for; ids must lie below ``base``."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < min(base, SYMBOLS):
+        raise ValueError(f"ids must lie from 0 to below {min(base, SYMBOLS)}")
     symbols, rules = ids.astype(np.uint16), np.zeros((0, 2), np.uint16)
     for _ in range(rounds):
         room = SYMBOLS - base - len(rules)
@@ -209,6 +211,8 @@ def write_shards(
         memory = worker_kept("byte pieces", path, lambda: _encoder(path))
         cut = memory.cut
         base = max(cut.library.get_vocab(with_added_tokens=True).values()) + 1
+        if max(base, end + 1) > SYMBOLS:
+            raise ValueError(f"ids up to {max(base - 1, end)} do not fit symbols of 16 bits")
         store, place = open_store(folder)
         store.create_dir(place, recursive=True)
 
