@@ -4,11 +4,11 @@ A k-mer of code points is a closed syncmer if its smallest inner substring of le
 equals) stands at its first or last place. That depends on the k-mer alone, so an edit changes only the syncmers it
 touches and all others stay anchors. Places depend on nothing before or after the k-mer, so equal passages have equal anchors.
 
-A fingerprint keeps the ``ANCHORS`` anchors with the smallest hashes, each with the place of its first occurrence, as
-text: base64 of 40 bits of hash and 32 bits of place per anchor. A text with fewer anchors keeps them all. Two
-fingerprints are compared on the smallest hashes of both together: anchors that both have count as matched if their
-places differ by the usual distance (the median over the common anchors) within ``SLACK`` code points. The matched
-share J estimates the share of common anchors among all, and the likeness is 2J / (1 + J), the share of common
+A fingerprint keeps every anchor whose hash lies in the lowest ``SHARE``-th of all hashes, and at least the ``ANCHORS`` smallest, each with
+the place of its first occurrence, as text: base64 of 40 bits of hash and 32 bits of place per anchor. So it grows with long texts,
+and a text with fewer anchors keeps them all. Two fingerprints are compared on the hashes that both cover: anchors that both have
+count as matched if they lie on the longest chain of common anchors in the same order in both texts, whatever is put in between. The
+matched share J estimates the share of common anchors among all, and the likeness is 2J / (1 + J), the share of common
 anchors in an average text.
 
 ``fingerprint_edits`` compares each text with its neighbour in descending order of ids, and with a text whose last
@@ -24,6 +24,7 @@ extra columns are left out.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +38,8 @@ from tallyveil.llm.ranges import range_numbers
 from tallyveil.llm.shingles import mix
 
 K, S = 16, 8
-ANCHORS, SLACK = 64, 64
+ANCHORS, SHARE = 64, 32
+_COVERED = (1 << 40) // SHARE
 #: Code points handled at a time.
 PIECE_CHARS = 1 << 18
 _U = np.uint64
@@ -85,8 +87,9 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
                 found["hash"] = int.from_bytes(hashlib.sha256(texts[a + i].encode()).digest()[:5])
             else:
                 own, first = np.unique(hashes[cuts[i] : cuts[i + 1]], return_index=True)
-                found = np.zeros(min(len(own), ANCHORS), _ANCHOR)
-                found["hash"], found["place"] = own[:ANCHORS], at[cuts[i] : cuts[i + 1]][first[:ANCHORS]] - start
+                kept = max(min(len(own), ANCHORS), int(np.searchsorted(own, _U(_COVERED))))
+                found = np.zeros(kept, _ANCHOR)
+                found["hash"], found["place"] = own[:kept], at[cuts[i] : cuts[i + 1]][first[:kept]] - start
             out.append(found)
     return out
 
@@ -101,22 +104,32 @@ def anchors_of(fingerprint: str) -> np.ndarray:
     return np.concatenate([np.zeros((len(raw), 3), np.uint8), raw], axis=1).reshape(-1).view(_ANCHOR)
 
 
+def _chain(places: np.ndarray) -> int:
+    """Length of the longest increasing run of picks from distinct places."""
+    if (np.diff(places) > 0).all():
+        return len(places)
+    ends: list[int] = []
+    for p in places.tolist():
+        k = bisect.bisect_left(ends, p)
+        ends[k : k + 1] = [p]
+    return len(ends)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Positional likeness of two texts' anchors, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     x, y = a["hash"].astype(_U), b["hash"].astype(_U)
     together = np.union1d(x, y)
-    # A full fingerprint says nothing about hashes beyond its largest.
-    full = [v[-1] for v in (x, y) if len(v) == ANCHORS]
-    together = together[together <= min(full)] if full else together
+    # A fingerprint that does not hold all anchors says nothing about hashes beyond those it covers.
+    covered = [max(int(v[ANCHORS - 1]), _COVERED - 1) for v in (x, y) if len(v) >= ANCHORS]
+    together = together[together <= _U(min(covered))] if covered else together
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    seen = common <= together[-1]
-    if not seen.any():
+    if not len(together) or not len(common):
         return 0.0
-    shift = a["place"][i[seen]].astype(np.int64) - b["place"][j[seen]].astype(np.int64)
-    matched = int((np.abs(shift - np.median(shift)) <= SLACK).sum())
-    share = matched / len(together)
+    seen = common <= together[-1]
+    here, there = a["place"][i[seen]], b["place"][j[seen]]
+    share = _chain(there[np.argsort(here, kind="stable")].astype(np.int64)) / len(together)
     return 2 * share / (1 + share)
 
 

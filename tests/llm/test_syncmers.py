@@ -56,6 +56,51 @@ def test_likeness_and_round_trip():
     assert syncmers.likeness(x, syncmers.fingerprints([swapped])[0]) < 0.8
 
 
+def exact_likeness(a, b):
+    """The same measure on all syncmers of both texts, the chain by dynamic programming over all pairs."""
+    first = []
+    for text in (a, b):
+        at, hashes = syncmers.closed_syncmers(codes(text))
+        found = {}
+        for p, h in zip(at.tolist(), hashes.tolist()):
+            found.setdefault(h, p)
+        first.append(found)
+    common = sorted((first[0][h], first[1][h]) for h in first[0].keys() & first[1].keys())
+    best = []
+    for k, (_, place) in enumerate(common):
+        best.append(1 + max((best[m] for m in range(k) if common[m][1] < place), default=0))
+    share = max(best, default=0) / len(first[0].keys() | first[1].keys())
+    return 2 * share / (1 + share)
+
+
+def test_likeness_follows_all_syncmers():
+    rng = np.random.default_rng(4)
+    for size in (30, 200, 900):
+        words = [f"w{rng.integers(10**6)}" for _ in range(2 * size)]
+        a = words[:size]
+        put_in = a[: size // 2] + [f"new{k}" for k in range(15)] + a[size // 2 :]
+        third = a[: size - size // 3] + words[size : size + size // 3]
+        swapped = a[size // 2 :] + a[: size // 2]
+        for other in (a, put_in, third, swapped, words[size:]):
+            x, y = " ".join(a), " ".join(other)
+            marks = syncmers.fingerprints([x, y])
+            assert abs(syncmers.likeness(*marks) - exact_likeness(x, y)) < (0.17 if size > 50 else 0.02)
+
+
+def test_fingerprints_grow_with_long_texts():
+    rng = np.random.default_rng(5)
+    words = [f"w{rng.integers(10**7)}" for _ in range(40_000)]
+    text = " ".join(words)
+    put_in = " ".join(words[:20_000] + ["one", "more", "sentence", "of", "fifteen", "words", "stands", "here", "now", "and", "moves", "all", "that", "follows", "it"] + words[20_000:])
+    share = " ".join(words[:400] + [f"v{rng.integers(10**7)}" for _ in range(39_600)])
+    marks = syncmers.fingerprints([text, put_in, share])
+    assert len(marks[0]) > 1000 and syncmers.likeness(marks[0], marks[1]) > 0.99
+    assert 0.0 < syncmers.likeness(marks[0], marks[2]) < 0.05
+    for odd in (" " * 1_000_000, "語" * 1_000_000, "<a" * 500_000):
+        mark = syncmers.fingerprints([odd])[0]
+        assert syncmers.likeness(mark, mark) == 1.0
+
+
 def expected_rows(rows):
     """(doc_id, text) rows in their order to (doc_id, n_chars, digest of the edited text)."""
     out = []
