@@ -40,6 +40,8 @@ START = "▁"
 CHUNK, REMEMBERED = 20_000, 250_000
 #: Scores are rescaled every so many positions, so that words of any length keep a likelihood above zero.
 RESCALE = 16
+#: Letters from which training rescales, too.
+LONG_WORD = 64
 
 
 def public_pieces(path: str, longest: int = 8) -> list[str]:
@@ -140,17 +142,33 @@ def expected_counts(lattice: Lattice, table_: np.ndarray, words: list[str], lang
         front = np.zeros((size + 1, n))
         back = np.zeros((size + 1, n))
         front[0] = back[size] = 1.0
+        # Likelihoods of long words leave the range of doubles, so both directions are rescaled on the way.
+        scaled = size > LONG_WORD
+        before, behind = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+
+        def held(scales: np.ndarray, j: int, sums: np.ndarray, on: int) -> None:
+            if scaled and j % RESCALE == 0:
+                top = np.maximum(sums[j], 1e-300)
+                sums[j] /= top
+                scales[j] += np.log(top)
+            if 0 <= j + on <= size:
+                scales[j + on] = scales[j]
+
         for j in range(1, size + 1):
             for s in range(min(lengths, j)):
-                front[j] += front[j - 1 - s] * flat[s, :, j - 1]
-        for j in range(size, 0, -1):
-            for s in range(min(lengths, j)):
-                back[j - 1 - s] += back[j] * flat[s, :, j - 1]
-        # Words too long for plain doubles say nothing about common pieces.
-        weight = np.where(front[size] > 1e-280, counts[at] / np.maximum(front[size], 1e-280), 0.0)
+                shift = np.exp(before[j - 1 - s] - before[j]) if scaled else 1.0
+                front[j] += front[j - 1 - s] * flat[s, :, j - 1] * shift
+            held(before, j, front, 1)
+        for i in range(size - 1, -1, -1):
+            for s in range(min(lengths, size - i)):
+                shift = np.exp(behind[i + 1 + s] - behind[i]) if scaled else 1.0
+                back[i] += back[i + 1 + s] * flat[s, :, i + s] * shift
+            held(behind, i, back, -1)
+        weight = np.where(front[size] > 1e-300, counts[at] / np.maximum(front[size], 1e-300), 0.0)
         for j in range(1, size + 1):
             for s in range(min(lengths, j)):
-                np.add.at(out, (places[s, :, j - 1], own), front[j - 1 - s] * flat[s, :, j - 1] * back[j] * weight)
+                shift = np.exp(before[j - 1 - s] + behind[j] - before[size]) if scaled else 1.0
+                np.add.at(out, (places[s, :, j - 1], own), front[j - 1 - s] * flat[s, :, j - 1] * back[j] * weight * shift)
     return out
 
 

@@ -39,6 +39,21 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language.word_scores(lattice, table, [word])[0], np.log(language.forward(lattice.places([language.START + word]), table)[0][-1]) + language.forward(lattice.places([language.START + word]), table)[1][-1])
 
 
+def test_long_words_are_learned_from(monkeypatch):
+    pieces = sorted(["▁", "▁a", "b", "ab", "a", "bab"])
+    table = np.random.default_rng(3).random((len(pieces) + 2, 2)) * 1e-4
+    table[-1] = 0
+    lattice = language.Lattice(pieces)
+    words, own, counts = ["abab" * 4, "b" * 13, "ababb"], np.array([0, 1, 1]), np.array([2.0, 1.0, 3.0])
+    plain = language.expected_counts(lattice, table, words, own, counts)
+    monkeypatch.setattr(language, "LONG_WORD", 2)
+    monkeypatch.setattr(language, "RESCALE", 3)
+    assert np.allclose(language.expected_counts(lattice, table, words, own, counts), plain)
+    long = language.expected_counts(lattice, table, ["abab" * 300], np.array([1]), np.array([2.0]))
+    # The pieces of every segmentation cover the word and its mark.
+    assert np.isclose(sum(n * len(p) for n, p in zip(long[:, 1], pieces)) + long[-2, 1], 2 * 1201) and long[:, 0].sum() == 0
+
+
 def test_expected_counts_by_enumeration():
     pieces = sorted(["▁", "▁a", "b", "ab", "a"])
     table = np.random.default_rng(2).random((len(pieces) + 2, 2))
