@@ -12,8 +12,8 @@ token lies without expanding what stands before it (``Shard.document``, ``Shard.
 name of their attempt and then moved, and the table of shards stays in the shared folder: a task that runs again
 puts the same files in the same places.
 
-Reading. One task per shard; a document's start is the number of ids in earlier shards (one number per shard comes to the
-driver) and in the shard before it.
+Reading. One task per shard, which expands its symbols once; a document's start is the number of ids in earlier shards, a running
+total over the table of shards, and in the shard before it.
 
 Defined results: null and empty texts are a single end id; special strings inside texts get their ids; rows with
 one doc_id keep their number and stand in the order of their texts' hashes, then texts; rows without doc_id come
@@ -26,6 +26,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from tallyveil.llm.common import by_bytes, open_store, table, worker_kept, written
 from tallyveil.llm.pieces import Cutter, PieceMemory, library_ids
 from tallyveil.llm.ranges import range_numbers
+from tallyveil.operators.ordering import running_totals
 from tallyveil.session import scratch_path
 
 MAGIC = b"RPG1"
@@ -83,11 +86,13 @@ def build_grammar(ids: np.ndarray, base: int, end: int, rounds: int = 10, least:
         left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
         left[chosen >> 16], right[chosen & 0xFFFF] = True, True
         at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
-        pair = symbols[at].astype(np.uint32) << np.uint32(16) | symbols[at + 1]
-        order = np.argsort(chosen)
-        near = np.minimum(np.searchsorted(chosen[order], pair), len(chosen) - 1)
-        hit = chosen[order][near] == pair
-        at, which = at[hit], order[near[hit]]
+        # A table of the round's left and right symbols tells which pair stands at a place.
+        lefts, rights = np.cumsum(left, dtype=np.int32), np.cumsum(right, dtype=np.int32)
+        grid = np.full((int(lefts[-1]) + 1, int(rights[-1]) + 1), -1, np.int16)
+        grid[lefts[chosen >> 16], rights[chosen & 0xFFFF]] = np.arange(len(chosen))
+        which = grid[lefts[symbols[at]], rights[symbols[at + 1]]]
+        hit = which >= 0
+        at, which = at[hit], which[hit].astype(np.int64)
         # In a run of one symbol every second place counts, from the run's beginning.
         twin = symbols[at] == symbols[at + 1]
         if twin.any():
@@ -112,17 +117,15 @@ class Shard:
     def __init__(self, base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, doc_ids: np.ndarray, first_symbol: np.ndarray, first_token: np.ndarray):
         self.base, self.rules, self.lengths, self.symbols = base, rules, lengths, symbols
         self.doc_ids, self.first_symbol, self.first_token = doc_ids, first_symbol, first_token
-        # Expansions of all rules behind each other; a rule refers to earlier rules only.
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.flat = np.zeros(self.starts[-1], np.uint16)
-        for k, (a, b) in enumerate(rules.tolist()):
-            x = self._of(a)
-            self.flat[self.starts[k] : self.starts[k] + len(x)] = x
-            self.flat[self.starts[k] + len(x) : self.starts[k + 1]] = self._of(b)
 
-    def _of(self, symbol: int) -> np.ndarray:
-        k = symbol - self.base
-        return self.flat[self.starts[k] : self.starts[k + 1]] if k >= 0 else np.array([symbol], np.uint16)
+    @cached_property
+    def flat(self) -> np.ndarray:
+        """Expansions of all rules behind each other; a rule refers to earlier rules only."""
+        found: list[tuple] = []
+        for a, b in self.rules.tolist():
+            found.append((found[a - self.base] if a >= self.base else (a,)) + (found[b - self.base] if b >= self.base else (b,)))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(self.starts[-1]))
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """Expansion length of each symbol."""
@@ -146,6 +149,11 @@ class Shard:
         """Token ids of the i-th document of the shard, with its end id."""
         return self.expand(self.symbols[self.first_symbol[i] : self.first_symbol[i + 1]])
 
+    def documents(self) -> list[np.ndarray]:
+        """Token ids of all documents, the symbols expanded once."""
+        whole = self.expand(self.symbols)
+        return [whole[a:b] for a, b in zip(self.first_token.tolist(), self.first_token[1:].tolist())]
+
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Token ids start to stop of the shard; only the symbols that cover them are expanded."""
         ends = np.cumsum(self.sizes(self.symbols))
@@ -180,9 +188,10 @@ def make_shard(doc_ids: list, ids: list[np.ndarray], base: int, end: int, **sett
     """A shard of documents whose ids each close with ``end``."""
     tokens = np.concatenate(ids)
     symbols, rules = build_grammar(tokens, base, end, **settings)
-    lengths = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+    sizes_of: list[int] = []
+    for a, b in rules.tolist():
+        sizes_of.append((sizes_of[a - base] if a >= base else 1) + (sizes_of[b - base] if b >= base else 1))
+    lengths = np.array(sizes_of, np.int64)
     stops = np.flatnonzero(symbols == end) + 1
     if len(stops) != len(ids):  # the end id also stands inside a text: boundaries come from the lengths
         sizes = np.ones(len(symbols), np.int64)
@@ -249,15 +258,10 @@ def write_shards(
 
 def read_shards(shards: DataFrame, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; with ``ids`` also the token ids."""
-    spark = shards.sparkSession
-    # One row for each shard comes to the driver, to add up the ids before it.
-    listed = sorted((r["bucket"], r["part"], r["path"], r["docs"], r["tokens"]) for r in shards.collect())
-    starts = np.cumsum([0, *(x[4] for x in listed)]).tolist()
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
-    if not listed:
-        return spark.createDataFrame([], schema)
-    plan = spark.createDataFrame([(x[2], x[3], s) for x, s in zip(listed, starts)], "path string, docs bigint, start bigint")
+    counted = running_totals(shards.select("path", "bucket", "part", "docs", "tokens"), [], [F.col("bucket"), F.col("part")], {"tokens": F.col("tokens")})
+    plan = counted.select("path", "docs", (F.col("run_tokens") - F.col("tokens")).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +271,7 @@ def read_shards(shards: DataFrame, ids: bool = False) -> DataFrame:
                     shard = Shard.load(source.read())
                 if len(shard.doc_ids) != docs:
                     raise ValueError(f"{path}: {len(shard.doc_ids)} documents, {docs} were written")
-                found = [shard.document(i).astype("<u4") for i in range(docs)]
+                found = [x.astype("<u4") for x in shard.documents()]
                 columns = [
                     pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID), pa.array(start + shard.first_token[:-1].astype(np.int64)),
                     pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),
@@ -276,7 +280,7 @@ def read_shards(shards: DataFrame, ids: bool = False) -> DataFrame:
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return plan.repartition(min(len(listed), 10_000), "path").mapInArrow(read, schema)
+    return plan.repartition(max(1, min(shards.count(), 10_000)), "path").mapInArrow(read, schema)
 
 
 def op3_pair_grammar_shards(spark, folder: str) -> DataFrame:

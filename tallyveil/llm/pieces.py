@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -73,7 +75,9 @@ class PieceMemory:
         self.forget()
 
     def forget(self) -> None:
-        self.index = {word: k for k, word in enumerate(self.cut.special)}
+        self.index = defaultdict(count().__next__)
+        for word in self.cut.special:
+            self.index[word]
         parts = [np.array([i], np.int64) for i in self.cut.special.values()]
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.flat = np.concatenate([np.zeros(0, np.int64), *parts])
@@ -84,9 +88,10 @@ class PieceMemory:
             self.forget()
         rows = [self.cut(t) for t in texts]
         before, index = len(self.index), self.index
-        found = np.fromiter((index.setdefault(w, len(index)) for row in rows for w in row), np.int64, sum(map(len, rows)))
+        # New pieces are numbered in the order of their first place.
+        found = np.fromiter(map(index.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
         if len(index) > before:
-            parts = self.learn(list(index)[before:])
+            parts = self.learn(list(islice(index, before, None)))
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, parts), np.int64, len(parts))])
             self.flat = np.concatenate([self.flat, *parts])
         starts = np.cumsum(self.sizes) - self.sizes
