@@ -90,6 +90,25 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.diff(np.append(starts, len(keys)))
 
 
+class Lookup:
+    """Values of sorted keys, found by a table of hashes; only keys that share a place with another are searched for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(10, (8 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self.place(keys)] = np.arange(len(keys))
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self.place(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.values[at]
+
+
 class Chunk:
     """Documents side by side: each in front of it the line feeds that fill its first contexts."""
 
@@ -297,13 +316,13 @@ def _per_document(chunks: DataFrame, answers: DataFrame, docs: DataFrame, keep:
                 logs.append(unpacked(values.as_py(), np.float32))
         key, log = np.concatenate(keys), np.concatenate(logs)
         order = np.argsort(key)
-        key, log = key[order], log[order]
+        found = Lookup(key[order], log[order].astype(np.float64))
         for i in range(texts.num_rows):
             held = np.array(texts["held"][i].as_py(), bool)
             chunk = Chunk(_unpack_bytes(texts["body"][i].as_py()), np.array(texts["sizes"][i].as_py(), np.int64), depth)
             scores, base, tokens, known = np.zeros(len(held)), np.zeros(len(held)), np.ones(len(held), np.int64), np.full(len(held), int(ends > 0))
             for a, b in chunk.slices():
-                each = log[np.searchsorted(key, chunk.grams(a, b))].astype(np.float64)
+                each = found(chunk.grams(a, b))
                 scores[a:b] = np.add.reduceat(each, np.cumsum(chunk.sizes[a:b]) - chunk.sizes[a:b])
             for d, doc in enumerate(chunk.docs):
                 own = np.fromiter(map(words.__getitem__, doc.split()), np.int64)

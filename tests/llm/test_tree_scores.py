@@ -133,6 +133,14 @@ def test_scores_match_the_recursive_version(spark, options, monkeypatch):
         assert r.bits_per_byte > 0 and r.score < 0
 
 
+def test_lookup():
+    draw = np.random.default_rng(1)
+    keys = np.unique(draw.integers(0, 1 << 48, 5000, dtype=np.uint64))
+    found = S.Lookup(keys, np.arange(len(keys)) * 1.5)
+    asked = draw.integers(0, len(keys), 20_000)
+    assert (found(keys[asked]) == asked * 1.5).all()
+
+
 def test_slices(spark, monkeypatch):
     chunk = S.Chunk(b"ab\n" * 5, np.full(5, 3), 3)
     monkeypatch.setattr(S, "SLICE", 6)
