@@ -68,7 +68,6 @@ def grow(points: DataFrame, block: int, fan: int = 64) -> tuple[DataFrame, list[
         if not splits:
             break
         marked = _spread_join(state, sizes, splits)
-        marked = cut_lineage(marked)
         open_rows = marked.filter("parts IS NOT NULL")
         drawn = top_rows(open_rows.filter("target").select("node", "key", "vec", "want"), ["node"], [F.xxhash64("key"), F.col("key")], fan).filter("position <= want")
         pivots = cut_lineage(drawn.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "vec"))), lambda p: p["vec"]).alias("pivots")))
@@ -104,7 +103,7 @@ def visits(chunks: DataFrame, levels: list[DataFrame]) -> DataFrame:
     nodes = levels[0]
     for level in levels[1:]:
         nodes = nodes.unionByName(level)
-    parents = cut_lineage(nodes.select(F.col("parent").alias("node")).distinct())
+    parents = nodes.select(F.col("parent").alias("node")).distinct()
     open_now, found = chunks.select(F.col("node").alias("home"), "part", F.col("pivot").alias("own"), "reach", "limit", F.lit(0).cast("bigint").alias("at")), None
     for depth, level in enumerate(levels):
         below = level.withColumnRenamed("parent", "at")
@@ -156,7 +155,6 @@ def nearest(points: DataFrame, search: Search, schema: str, limits: Callable[[Da
     ``start`` is that angle before anything is known.
     """
     leaves, levels = grow(points, block)
-    leaves = cut_lineage(leaves)
     held = _packed(leaves.filter("target"), block, ["key", "vec", *carry], "held").select("node", F.col("part").alias("held_part"), "held")
     held = cut_lineage(held)
     asked = leaves.filter("query").withColumn("limit", start)

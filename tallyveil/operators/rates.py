@@ -412,18 +412,22 @@ def design_effect_scan(cells: DataFrame, by: Sequence[str] = ("category",), kapp
 
 
 def shrinkage_sweep(cells: DataFrame, covariate: DataFrame, caps: Sequence[float] = (10.0, 100.0, 1000.0, 1e6)) -> DataFrame:
-    """A-27: multipliers under several concentrations and their rank correlation with a covariate."""
+    """A-27: multipliers under several concentrations and their rank correlation with a covariate.
+
+    Besides the caps, every category is shown under its own fitted, uncapped concentration (``fitted``).
+    """
     from tallyveil.operators.ranking import spearman_of_areas, with_p_value
 
-    prof = profile_likelihood(cells, ["category"], caps).select("category", "phi", "mu")
+    fixed = profile_likelihood(cells, ["category"], caps).select("category", "phi", "mu", F.lit(False).alias("fitted"))
+    prof = fixed.unionByName(fit_shrinkage(cells, cap=None).select("category", "phi", "mu", F.lit(True).alias("fitted")))
     joined = cells.filter("n_eff > 0").join(prof, "category").join(covariate, "area")
     a0 = F.col("mu") * F.col("phi")
     m = joined.withColumn("multiplier", (F.col("n_eff") + F.col("phi")) / (F.col("y_eff") + a0))
-    spread = m.groupBy("category", "phi").agg(
+    spread = m.groupBy("category", "phi", "fitted").agg(
         F.min("multiplier").alias("low"), F.max("multiplier").alias("high"), F.stddev_pop("multiplier").alias("sd")
     )
-    rho = with_p_value(spearman_of_areas(m, ["category", "phi"], "covariate", "multiplier"))
-    return spread.join(rho, ["category", "phi"])
+    rho = with_p_value(spearman_of_areas(m, ["category", "phi", "fitted"], "covariate", "multiplier"))
+    return spread.join(rho, ["category", "phi", "fitted"])
 
 
 def definition_scan(cells: DataFrame, observed: DataFrame, definitions: Mapping[str, Sequence[str]]) -> DataFrame:

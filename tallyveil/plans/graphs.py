@@ -63,7 +63,7 @@ edges AS (SELECT least(id, other) AS source, greatest(id, other) AS target, max(
 
 
 def _neighbours(t: Tables):
-    return G.nearest_vectors(t.vectors(), 5, 0.2, block=128)
+    return G.nearest_vectors(t.vectors(), 5, 0.2, block=256)
 
 
 def _edges(t: Tables):

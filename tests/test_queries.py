@@ -17,6 +17,8 @@ DEFAULT = [
     "f17_canonical_rounding", "f25_point_to_cell", "g01_cluster_terms", "g07_combined_similarity", "io09_nested_corpus", "j01_unpivot_questionnaire",
     "j05_temporal_lag", "m04_within_district_spearman", "m10_metric_pack", "m19_paired_bootstrap", "ml10_buffered_folds", "ml20_hybrid_surface",
     "p07_exclusion_reasons", "r05_check_anchors", "w07_marginal_ladder",
+    "a12_beta_interval", "f28_nearest_facility", "j01_unpivot_both_questionnaires", "j15_vector_neighbours", "m03_spearman_p_value", "r01_emit_figures",
+    "r02_stale_entries", "st01_streaming_cells",
 ]
 QUERIES, ORACLES = all_queries(), all_oracles()
 CHOSEN = sorted(QUERIES) if os.environ.get("ORACLE") == "all" else DEFAULT
