@@ -2,7 +2,7 @@
 
 Writing. Documents are dealt out into ranges of ascending ids, sorted, and encoded; a task cuts its range into shards
 of about ``shard_tokens`` ids. In each shard frequent pairs of symbols are replaced by new symbols (nonterminals), round by
-round, most frequent first, until no pair occurs ``least`` times or all symbols of 16 bits are used. The pairs of one
+round, most frequent first, until no pair occurs ``least`` times, all symbols of 16 bits are used, or ``rounds`` are done. The pairs of one
 round have no symbol that is left in one and right in another, so their places cannot overlap (runs of one symbol are
 paired from their beginning) and a round is a few array operations. Pairs never reach across a document's end.
 
