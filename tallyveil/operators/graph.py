@@ -17,6 +17,9 @@ from tallyveil.operators.metric_tree import nearest
 from tallyveil.operators.ordering import top_rows
 from tallyveil.session import cut_lineage
 
+#: Vector search: leaves of a half to a whole ``1 / COPIES`` of the vectors up to a bound, and queries compared at once.
+COPIES, MOST_BLOCK, SEARCH_ROWS = 16, 32_768, 256
+
 
 def select_seeds(papers: DataFrame, size: int, marked: str | None = None, citations: str = "citations", key: str = "paper") -> DataFrame:
     """G-04: the marked members, or the ``size`` most cited papers."""
@@ -171,10 +174,14 @@ def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: in
     Exact, by the pivot tree of ``metric_tree``: a vector's own leaf first, then the leaves that can hold something as similar as
     its k-th there. Equal vectors are searched once; of a group of copies only the first k + 1 ids can ever be listed. Ties
     at the border go to the smaller ids, so a query keeps k + 1 rows per visited leaf.
+
+    Vectors without structure visit most leaves, and each visit ships a leaf's queries. So leaves grow with the data: there are about
+    ``2 * COPIES`` of them, however many vectors, up to ``MOST_BLOCK`` vectors a block; ``block`` is the least.
     """
     unit = vectors.select("id", l2_normalise(F.col("vec")).alias("vec"))
     unit = unit.withColumn("key", F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>")), 256))
     ids = cut_lineage(unit.select("id", "key", "vec"))
+    block = max(block, min(ids.select("key").distinct().count() // COPIES, MOST_BLOCK))
     first = ids.groupBy("key").agg(F.first("vec").alias("vec"), F.min("id").alias("tie"), F.count("*").alias("copies"))
     members = top_rows(ids.select(F.col("key").alias("other_key"), F.col("id").alias("other")), ["other_key"], [F.col("other")], k + 1).drop("position")
     kind = dict(vectors.dtypes)["id"]
@@ -182,17 +189,25 @@ def nearest_vectors(vectors: DataFrame, k: int, min_sim: float = -1.0, block: in
     def search(q: np.ndarray, t: np.ndarray, limit: np.ndarray, asked: pa.StructArray, held: pa.StructArray) -> dict[str, pa.Array]:
         # Columns in the order of their smallest ids, so that equal similarities are told apart by place.
         order = pc.sort_indices(held.field("tie")).to_numpy()
-        sims = q @ t[order].T
-        least = np.maximum(np.cos(limit), min_sim)[:, None] - 2e-9
-        graded = np.rint(sims * 1e9).astype(np.int64) * len(order) - np.arange(len(order))
-        if len(order) > k + 1:
-            top = np.argpartition(-graded, k, axis=1)[:, : k + 1]
-        else:
-            top = np.broadcast_to(np.arange(len(order)), sims.shape)
-        kept = np.take_along_axis(sims, top, axis=1)
-        i, j = np.nonzero((kept >= least) & (kept >= min_sim))
-        other = held.take(pa.array(order[top[i, j]]))
-        return {"key": asked.field("key").take(pa.array(i)), "other_key": other.field("key"), "tie": other.field("tie"), "sim": pa.array(kept[i, j])}
+        sorted_t = t[order].T
+        rows, places, kept = [], [], []
+        for s in range(0, len(q), SEARCH_ROWS):
+            sims = q[s : s + SEARCH_ROWS] @ sorted_t
+            least = np.maximum(np.maximum(np.cos(limit[s : s + SEARCH_ROWS]), min_sim) - 2e-9, min_sim)
+            hit = sims >= least[:, None]
+            if len(order) > k + 1 and np.count_nonzero(hit) > 8 * (k + 1) * len(sims):
+                hit &= sims >= -np.partition(-sims, k, axis=1)[:, k : k + 1] - 2e-9
+            i, j = np.nonzero(hit)
+            best = np.lexsort((j, -np.rint(sims[i, j] * 1e9), i))
+            i, j = i[best], j[best]
+            listed = np.arange(len(i)) - np.searchsorted(i, i) <= k
+            i, j = i[listed], j[listed]
+            rows.append(i + s)
+            places.append(j)
+            kept.append(sims[i, j])
+        i, j = np.concatenate(rows), np.concatenate(places)
+        other = held.take(pa.array(order[j]))
+        return {"key": asked.field("key").take(pa.array(i)), "other_key": other.field("key"), "tie": other.field("tie"), "sim": pa.array(np.concatenate(kept))}
 
     def limits(found: DataFrame) -> DataFrame:
         # With its own key a vector has k + 1 rows; the smallest of them bounds what else can be listed.

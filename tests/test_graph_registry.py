@@ -68,6 +68,25 @@ def test_only_visited_leaves_are_shipped(spark, monkeypatch):
     assert leaves > 10 and shipped < chunks * leaves / 3
 
 
+def test_shipped_copies_of_a_vector_do_not_grow_with_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(1500, 24))
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    seen = []
+    plain = MT._searched
+
+    def counted(pairs, search, schema):
+        seen.append(pairs.select(F.sum(F.size("asked"))).first()[0])
+        return plain(pairs, search, schema)
+
+    monkeypatch.setattr(MT, "_searched", counted)
+    got = {}
+    for r in G.nearest_vectors(d, 4, block=16).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["other"]
+    assert {i: [p[k] for k in sorted(p)] for i, p in got.items()} == brute_neighbours(vecs, 4, -1.0)
+    assert len(seen) == 2 and sum(seen) <= 4 * G.COPIES * len(vecs)
+
+
 def test_similarity_edges_skip_unkeyed_nodes(spark):
     n = spark.createDataFrame([(1, 2, 0.9, 1), (2, 1, 0.9, 1), (1, 3, 0.8, 2), (3, 4, 0.7, 1)], "id long, other long, sim double, place int")
     keys = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d"), (3, "a")], "id long, key string")
