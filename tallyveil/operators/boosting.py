@@ -5,7 +5,8 @@ most about ``fit_rows`` of its rows: all of them up to that bound, beyond it tho
 that keeps the bound. Models are rows of plain arrays. Prediction covers all rows: a key's rows are dealt out in
 parts of ``PART_ROWS``, and each part meets one copy of its model.
 
-Trees grow leaf by leaf on histograms of binned features (least squares, best gain first) and shrink by ``step``.
+Trees grow leaf by leaf on histograms of binned features (least squares, best gain first) and shrink by ``step``. Rows of equal
+bins are summed once, before the first tree; prediction reads a row's leaf off the bits that its bins leave open.
 """
 
 from __future__ import annotations
@@ -52,6 +53,18 @@ def _binned(x: np.ndarray, bins: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1), edges
 
 
+def _cells(codes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of bin numbers, how many rows have them and the sum of their targets.
+
+    No cut can part rows of equal bins, so these sums are all that trees are grown on.
+    """
+    place = np.zeros(len(codes), np.int64)
+    for column in codes.T:
+        place = np.unique(place * (int(column.max(initial=0)) + 1) + column, return_inverse=True)[1]
+    _, first, which = np.unique(place, return_index=True, return_inverse=True)
+    return codes[first], np.bincount(which, minlength=len(first)).astype(float), np.bincount(which, y, len(first))
+
+
 def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.ndarray]:
     """A boosted model as arrays; missing features take the medians of these rows, a feature without any value zero."""
     known = ~np.isnan(x)
@@ -59,16 +72,16 @@ def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.nd
     codes, edges = _binned(np.where(known, x, medians), settings.bins)
     count = codes.shape[1]
     width = max(len(e) for e in edges) + 1 if count else 1
-    flat = codes + np.arange(count) * width
     real = np.arange(width - 1) < np.array([[len(e)] for e in edges]) if count else np.zeros((0, width - 1), bool)
     base = float(y.mean())
-    left_over = y - base
+    codes, number, left_over = _cells(codes, y - base)
+    flat = codes + np.arange(count) * width
+    columns = np.ascontiguousarray(codes.T)
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
 
     def sums(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = flat[rows].ravel()
-        weights = np.repeat(left_over[rows], count)
-        return tuple(np.bincount(places, w, count * width).reshape(count, width) for w in (weights, None))
+        return tuple(np.bincount(places, np.repeat(w[rows], count), count * width).reshape(count, width) for w in (left_over, number))
 
     def best(total: np.ndarray, n: np.ndarray) -> tuple[float, int, int]:
         """(gain, feature, bin) of the best cut; no gain without one."""
@@ -91,15 +104,15 @@ def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.nd
     for _ in range(settings.rounds):
         root = node()
         roots.append(root)
-        everything = np.arange(len(y))
+        everything = np.arange(len(number))
         hist = sums(everything)
         gain, f, b = best(*hist)
-        grown, leaves = [(root, everything, hist, 0)], 1
-        queue = [(-gain, 0, f, b)] if gain > 1e-12 else []
+        grown, leaves = [(root, everything, 0)], 1
+        queue = [(-gain, 0, f, b, hist)] if gain > 1e-12 else []
         while queue and leaves < settings.leaves:
-            _, at, f, b = heapq.heappop(queue)
-            parent, rows, hist, level = grown[at]
-            low = codes[rows, f] <= b
+            _, at, f, b, hist = heapq.heappop(queue)
+            parent, rows, level = grown[at]
+            low = columns[f][rows] <= b
             parts = [rows[low], rows[~low]]
             small = int(len(parts[1]) < len(parts[0]))
             hists: list = [None, None]
@@ -109,43 +122,97 @@ def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.nd
             left[parent], right[parent] = node(), node()
             grown[at] = None
             for child, part, own in zip((left[parent], right[parent]), parts, hists):
-                grown.append((child, part, own, level + 1))
+                grown.append((child, part, level + 1))
                 if settings.depth is None or level + 1 < settings.depth:
                     gain, f, b = best(*own)
                     if gain > 1e-12:
-                        heapq.heappush(queue, (-gain, len(grown) - 1, f, b))
+                        heapq.heappush(queue, (-gain, len(grown) - 1, f, b, own))
             leaves += 1
-        for leaf in filter(None, grown):
-            value[leaf[0]] = settings.step * float(left_over[leaf[1]].mean())
-        for leaf in filter(None, grown):
-            left_over[leaf[1]] -= value[leaf[0]]
+        for leaf, rows, _ in filter(None, grown):
+            value[leaf] = settings.step * float(left_over[rows].sum() / number[rows].sum())
+            left_over[rows] -= value[leaf] * number[rows]
     arrays = {"feature": np.int32, "threshold": np.float64, "below": np.int32, "above": np.int32, "value": np.float64, "roots": np.int32}
     made = dict(zip(arrays, (feature, threshold, left, right, value, roots)))
     return {"base": np.array([base]), "medians": medians} | {n: np.array(made[n], k) for n, k in arrays.items()}
 
 
+#: Rows predicted at once, so that their bits stay in the processor's cache, and leaves of a tree that fit the bits.
+MASK_ROWS, MASK_LEAVES, SHORT_LEAVES = 16_384, 63, 16
+
+
+def _masks(model: dict[str, np.ndarray], root: int, cuts: list[np.ndarray]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Per feature and bin the leaves (bits, left to right) that a tree's cuts leave open, and the leaves' values."""
+    feature, threshold, below, above = (model[n] for n in ("feature", "threshold", "below", "above"))
+    leaves: list[int] = []
+    open_leaves: dict[int, np.ndarray] = {}
+
+    def visit(at: int) -> None:
+        f = int(feature[at])
+        if f < 0:
+            leaves.append(at)
+            return
+        start = len(leaves)
+        visit(below[at])
+        shut = (1 << len(leaves)) - (1 << start)
+        visit(above[at])
+        mask = open_leaves.setdefault(f, np.full(len(cuts[f]) + 1, -1, np.int64))
+        mask[np.searchsorted(cuts[f], threshold[at]) + 1 :] &= ~shut
+
+    visit(root)
+    kind = np.uint16 if len(leaves) <= SHORT_LEAVES else np.int64
+    return [(f, mask.astype(kind)) for f, mask in open_leaves.items()], model["value"][leaves]
+
+
+def _walk(model: dict[str, np.ndarray], root: int, x: np.ndarray) -> np.ndarray:
+    """Values of a tree, node by node."""
+    at, every = np.full(len(x), root), np.arange(len(x))
+    while True:
+        f = model["feature"][at]
+        inner = f >= 0
+        if not inner.any():
+            return model["value"][at]
+        low = x[every, np.maximum(f, 0)] <= model["threshold"][at]
+        at = np.where(inner, np.where(low, model["below"][at], model["above"][at]), at)
+
+
 def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Sum of all trees: a row's leaf is the first one that none of its bins has shut; very large trees are walked down."""
     x = np.where(np.isnan(x), model["medians"], x)
     out = np.full(len(x), model["base"][0])
-    every = np.arange(len(x))
-    for root in model["roots"]:
-        at = np.full(len(x), root)
-        while True:
-            f = model["feature"][at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            low = x[every, np.maximum(f, 0)] <= model["threshold"][at]
-            at = np.where(inner, np.where(low, model["below"][at], model["above"][at]), at)
-        out += model["value"][at]
+    feature, threshold, roots = model["feature"], model["threshold"], model["roots"]
+    cuts = [np.unique(threshold[feature == f]) for f in range(x.shape[1])]
+    sizes = (np.diff(np.append(roots, len(feature))) + 1) // 2
+    trees = [_masks(model, root, cuts) if n <= MASK_LEAVES else None for root, n in zip(roots, sizes)]
+    table = np.zeros((1 << (SHORT_LEAVES - 1)) + 1)
+    for s in range(0, len(x), MASK_ROWS):
+        part = x[s : s + MASK_ROWS]
+        bins = [np.searchsorted(c, column) for c, column in zip(cuts, part.T)]
+        total = out[s : s + MASK_ROWS]
+        for root, tree in zip(roots, trees):
+            if tree is None:
+                total += _walk(model, root, part)
+                continue
+            masks, values = tree
+            if not masks:
+                total += values[0]
+                continue
+            bits = masks[0][1][bins[masks[0][0]]]
+            for f, mask in masks[1:]:
+                bits &= mask[bins[f]]
+            bits &= -bits
+            if bits.dtype == np.uint16:
+                table[1 << np.arange(len(values))] = values
+                total += table[bits]
+            else:
+                total += values[np.frexp(bits.astype(float))[1] - 1]
     return out
 
 
-_PARTS = {"base": pa.float64(), "medians": pa.float64(), "feature": pa.int32(), "threshold": pa.float64(), "below": pa.int32(), "above": pa.int32(), "value": pa.float64(), "roots": pa.int32()}
-_SPARK = {n: T.ArrayType(T.IntegerType() if k == pa.int32() else T.DoubleType()) for n, k in _PARTS.items()}
+MODEL_PARTS = {"base": pa.float64(), "medians": pa.float64(), "feature": pa.int32(), "threshold": pa.float64(), "below": pa.int32(), "above": pa.int32(), "value": pa.float64(), "roots": pa.int32()}
+_SPARK = {n: T.ArrayType(T.IntegerType() if k == pa.int32() else T.DoubleType()) for n, k in MODEL_PARTS.items()}
 
 
-def _features(column: pa.ChunkedArray) -> np.ndarray:
+def feature_matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
@@ -168,9 +235,9 @@ def fit_models(rows: DataFrame, keys: Sequence[str], settings: Sequence[TreeSett
 
     def train(key, group):
         own = settings[key[which].as_py() if which is not None else 0]
-        found = fit(_features(group[x]), group[y].to_numpy().astype(float), own)
+        found = fit(feature_matrix(group[x]), group[y].to_numpy().astype(float), own)
         columns = [pa.array([k.as_py()], group.schema.field(n).type) for k, n in zip(key, keys)]
-        lists = [pa.array([found[n].tolist()], pa.list_(k)) for n, k in _PARTS.items()]
+        lists = [pa.array([found[n].tolist()], pa.list_(k)) for n, k in MODEL_PARTS.items()]
         return pa.Table.from_arrays(columns + lists, names=schema.names)
 
     return kept.select(*keys, x, y).groupBy(*keys).applyInArrow(train, schema)
@@ -183,15 +250,15 @@ def predict_models(models: DataFrame, rows: DataFrame, keys: Sequence[str], x: s
     parts = F.ceil(F.col("_n") / PART_ROWS).cast("int")
     dealt = _counted(rows, keys).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_n")
     copies = models.join(counts, keys).withColumn("_copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
-    copies = copies.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "_copy", *_PARTS)
+    copies = copies.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "_copy", *MODEL_PARTS)
     kept = [c for c in rows.columns if c != x]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
 
     def apply(group, given):
         if not group.num_rows or not given.num_rows:
             return pa.Table.from_arrays([pa.array([], group.schema.field(c).type) for c in kept] + [pa.array([], pa.float64())], names=schema.names)
-        model = {n: given[n].combine_chunks()[0].values.to_numpy(zero_copy_only=False) for n in _PARTS}
-        return group.select(kept).append_column(name, pa.array(predict(model, _features(group[x]))))
+        model = {n: given[n].combine_chunks()[0].values.to_numpy(zero_copy_only=False) for n in MODEL_PARTS}
+        return group.select(kept).append_column(name, pa.array(predict(model, feature_matrix(group[x]))))
 
     by = [f"_m{i}" for i in range(len(keys))]
     return dealt.groupBy(*keys, "_part").cogroup(copies.groupBy(*by, "_copy")).applyInArrow(apply, schema)

@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyveil.functions.codes import back_transform, log_target
 from tallyveil.functions.vectors import l2_normalise
-from tallyveil.operators.boosting import TreeSettings, fit_models, predict_models
-from tallyveil.operators.panel import seeded_folds, thin_counts
-from tallyveil.operators.ranking import macro, metric_pack, top_share, within_district
+from tallyveil.operators.boosting import MODEL_PARTS, PART_ROWS, TreeSettings, feature_matrix, fit_models, predict, predict_models
+from tallyveil.operators.panel import seeded_folds, thinned_count
+from tallyveil.operators.ranking import MIN_CELLS, grouped_rho, macro, metric_pack, top_share, within_district
 from tallyveil.operators.resample import bootstrap_by_category, bootstrap_delta, pair_models, replication, significance
 from tallyveil.session import cut_lineage
 
+#: Districts of up to so many rows are ranked for all models in one task.
+LARGE_DISTRICT = 250_000
+
 
 def impute_from_train(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> tuple[DataFrame, list[DataFrame]]:
     """ML-01: medians of the train rows fill every part."""
@@ -56,6 +64,85 @@ def fit_categories(train: DataFrame, test: DataFrame, categories: Sequence[str],
     return fit_keyed(train.filter(here), test.filter(here), ["category"], features, [settings], target, name)
 
 
+def model_rho(models: DataFrame, rows: DataFrame, shared: Sequence[str], scores: Mapping[str, tuple[str, str]], district: str = "district",
+              part_rows: int = PART_ROWS, large_rows: int = LARGE_DISTRICT, min_rows: int = MIN_CELLS) -> DataFrame:
+    """M-04 for several models on the same rows: (shared, slot, district, score, rho, n), without a row per model and prediction.
+
+    ``models``: shared keys, ``slot`` (bigint, the model's own number) and the model; ``rows``: shared keys, district, ``x`` and columns
+    that ``scores`` names as pairs (prediction, target), where ``pred`` is the model's prediction; an array column holds a value per slot.
+    Whole districts are dealt out in parts of about ``part_rows`` rows, each part meets its models once. Districts of more than
+    ``large_rows`` rows are spelled out per model and ranked over slices.
+    """
+    shared = list(shared)
+    for k in [*shared, district]:
+        rows = rows.filter(F.col(k).isNotNull())
+    rows = cut_lineage(rows)
+    sizes = cut_lineage(rows.groupBy(*shared, district).agg(F.count("*").alias("_n")))
+    large = cut_lineage(sizes.filter(F.col("_n") > large_rows).select(*shared, district))
+    many = not large.isEmpty()
+    usual = rows.join(large, [*shared, district], "left_anti") if many else rows
+    # One row per list of models.
+    parts = sizes.filter(F.col("_n") <= large_rows).groupBy(*shared).agg(F.ceil(F.sum("_n") / part_rows).cast("int").alias("_parts"))
+    dealt = usual.join(F.broadcast(parts), shared).withColumn("_part", F.pmod(F.xxhash64(district), F.col("_parts")).cast("int")).drop("_parts")
+    copies = models.join(F.broadcast(parts), shared).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    copies = copies.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(shared)], "_copy", "slot", *MODEL_PARTS)
+    kinds = [rows.schema[k] for k in [*shared, district]]
+    schema = T.StructType([*kinds[:-1], T.StructField("slot", T.LongType()), kinds[-1], T.StructField("score", T.StringType()), T.StructField("rho", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def values(column: pa.ChunkedArray, slot: int) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            column = pc.list_element(column, slot)
+        return column.combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+
+    def rate(key, group, given):
+        found: list[list] = []
+        if group.num_rows and given.num_rows:
+            x, names = feature_matrix(group["x"]), pc.dictionary_encode(group[district].combine_chunks())
+            place = names.indices.to_numpy(zero_copy_only=False)
+            plain = {c: values(group[c], 0) for c in {c for pair in scores.values() for c in pair} - {"pred"} if not pa.types.is_list(group[c].type)}
+            for m in range(given.num_rows):
+                slot = given["slot"][m].as_py()
+                pred = np.expm1(np.maximum(predict({n: given[n][m].values.to_numpy(zero_copy_only=False) for n in MODEL_PARTS}, x), 0.0))
+                for score, pair in scores.items():
+                    a, b = (pred if c == "pred" else plain[c] if c in plain else values(group[c], slot) for c in pair)
+                    for d, rho, n in grouped_rho(place, a, b, min_rows):
+                        found.append([*[k.as_py() for k in key[:-1]], slot, names.dictionary[d].as_py(), score, rho, n])
+        return pa.Table.from_pylist([dict(zip(schema.names, f)) for f in found], to_arrow_schema(schema))
+
+    by = [f"_m{i}" for i in range(len(shared))]
+    out = dealt.groupBy(*shared, "_part").cogroup(copies.groupBy(*by, "_copy")).applyInArrow(rate, schema)
+    if not many:
+        return out
+    lists = {f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType) and f.name != "x"}
+    spelled = rows.join(large, [*shared, district], "left_semi").join(F.broadcast(models.select(*shared, "slot")), shared)
+    spelled = spelled.withColumns({c: F.element_at(c, (F.col("slot") + 1).cast("int")) for c in lists}) if lists else spelled
+    scored = cut_lineage(predict_models(models, spelled, [*shared, "slot"], "x", "_p").withColumn("pred", back_transform("_p")))
+    for score, pair in scores.items():
+        rho = within_district(scored, *pair, (*shared, "slot", district), min_rows)
+        out = out.unionByName(rho.select(*shared, "slot", district, F.lit(score).alias("score"), "rho", "n"))
+    return out
+
+
+def _features(features: Sequence[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def _scored_columns(features: Sequence[str]) -> list[str]:
+    """What a fit and ``metric_pack`` need of the panel; nothing else is moved."""
+    return list(dict.fromkeys(["category", "district", "cell", "target", *features]))
+
+
+def _tested(rows: DataFrame, categories: Sequence[str], features: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """What ``model_rho`` needs of test rows."""
+    here = rows.filter(F.col("category").isin(list(categories)))
+    return here.select("category", "district", _features(features).alias("x"), F.col("target").cast("double").alias("target"), *columns)
+
+
+def _slots(models: DataFrame, own: str) -> DataFrame:
+    """Fitted models, written once, with their own key as ``slot``."""
+    return cut_lineage(models.withColumn("slot", F.col(own).cast("bigint")).drop(own))
+
+
 def _for_each(df: DataFrame, name: str, values: Sequence) -> DataFrame:
     """Every row once for each value of a short list."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
@@ -66,7 +153,7 @@ def ladder(train: DataFrame, test: DataFrame, categories: Sequence[str], steps:
     """ML-04: nested feature sets, metric pack per step and category."""
     every = list(dict.fromkeys(f for features in steps.values() for f in features))
     x = F.array(*[F.when(F.col("model").isin([m for m, own in steps.items() if f in own]), F.col(f).cast("double")) for f in every])
-    train, test = (_for_each(d.filter(F.col("category").isin(list(categories))), "model", list(steps)) for d in (train, test))
+    train, test = (_for_each(d.filter(F.col("category").isin(list(categories))).select(*_scored_columns(every)), "model", list(steps)) for d in (train, test))
     return metric_pack(cut_lineage(fit_keyed(train, test, ["model", "category"], x, [settings])), "pred", by=["model"])
 
 
@@ -113,7 +200,7 @@ def evaluate_folds(members: DataFrame, categories: Sequence[str], features: Sequ
     All models of all splits and folds are fitted together. ``members``: panel rows with split, fold and part.
     """
     keys = ["split", "fold", "category"]
-    members = members.filter(F.col("category").isin(list(categories)))
+    members = members.filter(F.col("category").isin(list(categories))).select(*dict.fromkeys([*keys, "part", *_scored_columns(features)]))
     scored = cut_lineage(fit_keyed(members.filter("part = 'train'"), members.filter("part = 'test'"), keys, features, [settings]))
     pack = cut_lineage(metric_pack(scored, "pred", by=["split", "fold"]))
     values = [c for c in pack.columns if c not in keys]
@@ -126,6 +213,7 @@ def evaluate_folds(members: DataFrame, categories: Sequence[str], features: Sequ
 def transfer(source: DataFrame, local_train: DataFrame, test: DataFrame, categories: Sequence[str], features: Sequence[str],
              settings: TreeSettings = TreeSettings()) -> DataFrame:
     """ML-13: model of another region and of the own region, persistence and population on one test set."""
+    test = test.select(*dict.fromkeys([*_scored_columns(features), "persist", "population"]))
     a = fit_categories(source, test, categories, features, settings, name="transfer")
     b = fit_categories(local_train, a, categories, features, settings, name="local")
     return cut_lineage(b)
@@ -160,8 +248,8 @@ def learning_curve(source: DataFrame, local: DataFrame, test: DataFrame, years:
     sizes = list(range(1, len(years) + 1))
     own = _for_each(local.filter(F.col("category").isin(list(categories))), "years", sizes)
     window = reduce(lambda a, n: a | ((F.col("years") == n) & F.col("year").isin(list(years)[-n:])), sizes, F.lit(False))
-    fitted = cut_lineage(fit_keyed(own.filter(window), _for_each(test.filter(F.col("category").isin(list(categories))), "years", sizes), ["years", "category"], features, [settings], name="local"))
-    stats = cut_lineage(within_district(fitted, "local", keys=("years", "category", "district")))
+    models = fit_models(own.filter(window).select("years", "category", _features(features).alias("x"), log_target("target").alias("y")), ["years", "category"], [settings])
+    stats = cut_lineage(model_rho(_slots(models, "years"), _tested(test, categories, features), ["category"], {"rho": ("pred", "target")}).withColumnRenamed("slot", "years"))
     rows = []
     for n in sizes:
         delta = bootstrap_delta(pair_models(moved, stats.filter(F.col("years") == n), "rho"), "rho", replicates=replicates)
@@ -177,8 +265,10 @@ def year_replication(panel: DataFrame, test_years: Sequence[int], first_year: in
     every = list(dict.fromkeys([*small, *large]))
     x = F.array(*[F.when(F.col("size").isin([i for i, own in enumerate((small, large)) if f in own]), F.col(f).cast("double")) for f in every])
     train = each.filter((F.col("year") >= first_year) & (F.col("year") < F.col("test_year")))
-    scored = fit_keyed(train, each.filter("year = test_year"), ["test_year", "size", "category"], x, [settings])
-    stats = cut_lineage(within_district(scored, "pred", keys=("test_year", "size", "category", "district")))
+    models = fit_models(train.select("test_year", "size", "category", x.alias("x"), log_target("target").alias("y")), ["test_year", "size", "category"], [settings])
+    # A model never cuts by a feature that it has not seen, so both sizes predict from the same rows.
+    tested = each.filter("year = test_year AND size = 0").select("test_year", "category", "district", _features(every).alias("x"), F.col("target").cast("double").alias("target"))
+    stats = cut_lineage(model_rho(_slots(models, "size"), tested, ["test_year", "category"], {"rho": ("pred", "target")}).withColumnRenamed("slot", "size"))
     rows = []
     for year in test_years:
         pair = [stats.filter((F.col("test_year") == year) & (F.col("size") == i)) for i in (0, 1)]
@@ -200,8 +290,10 @@ def tune(panel: DataFrame, train_years: Sequence[int], validation_year: int, tes
     panel = panel.filter(F.col("category").isin(list(categories)))
     each = _for_each(panel, "setting", list(range(len(grid))))
     keys = ["setting", "category"]
-    tried = fit_keyed(each.filter(F.col("year").isin(list(train_years))), each.filter(F.col("year") == validation_year), keys, features, grid)
-    rho = within_district(tried, "pred", keys=(*keys, "district")).groupBy(*keys).agg(F.avg("rho").alias("rho"))
+    train = each.filter(F.col("year").isin(list(train_years))).select(*keys, _features(features).alias("x"), log_target("target").alias("y"))
+    tested = _tested(panel.filter(F.col("year") == validation_year), categories, features)
+    stats = model_rho(_slots(fit_models(train, keys, grid), "setting"), tested, ["category"], {"rho": ("pred", "target")})
+    rho = stats.groupBy(F.col("slot").cast("int").alias("setting"), "category").agg(F.avg("rho").alias("rho"))
     chosen = cut_lineage(rho.groupBy("category").agg(F.max_by("setting", F.struct("rho", -F.col("setting"))).alias("setting")))
     # A category without a score keeps the first setting; one row per category.
     final = panel.join(F.broadcast(chosen), "category", "left").fillna({"setting": 0})
@@ -213,25 +305,28 @@ def degradation(panel: DataFrame, rates: Sequence[float], base: float, seeds: Se
                 test_year: int, categories: Sequence[str], features: Sequence[str], key: Callable,
                 settings: TreeSettings = TreeSettings()) -> DataFrame:
     """ML-18: refit on thinned counts; skill against thinned and full targets, and persistence: one row per rate and seed."""
-    panel = panel.filter(F.col("category").isin(list(categories)) & F.col("year").isin([*train_years, test_year]))
-    copies = []
-    for rate in rates:
-        for seed in seeds:
-            d = thin_counts(panel, key(panel), "target", "thin_target", rate, base, seed)
-            d = thin_counts(d, key(panel), "persist", "thin_persist", rate, base, seed + 7)
-            copies.append(d.withColumns({"rate": F.lit(float(rate)), "seed": F.lit(seed)}))
-    each = cut_lineage(reduce(DataFrame.unionByName, copies))
+    panel = cut_lineage(panel.filter(F.col("category").isin(list(categories)) & F.col("year").isin([*train_years, test_year])))
+    drawn = [(float(rate), seed) for rate in rates for seed in seeds]
+
+    def thinned(value: str, shift: int) -> Column:
+        """A row's counts under all rates and seeds."""
+        return F.array(*[thinned_count(key(panel), value, rate, base, seed + shift).cast("double") for rate, seed in drawn])
+
+    # A row's copies are made when they are read: only those that a fit keeps are moved, and test rows carry their counts as arrays.
+    train = panel.filter(F.col("year").isin(list(train_years))).select("category", _features(features).alias("x"), F.posexplode(thinned("target", 0)).alias("slot", "_thin"))
+    listed = F.array(*[F.struct(F.lit(rate).alias("rate"), F.lit(seed).alias("seed")) for rate, seed in drawn])
+    own = train.withColumn("_own", F.element_at(listed, F.col("slot") + 1))
     by = ["rate", "seed"]
-    scored = cut_lineage(fit_keyed(each.filter(F.col("year").isin(list(train_years))), each.filter(F.col("year") == test_year), [*by, "category"], features, [settings], "thin_target"))
-    keys = (*by, "category", "district")
-    parts = {
-        "measurable": within_district(scored, "pred", "thin_target", keys), "actual": within_district(scored, "pred", "target", keys),
-        "persist": within_district(scored, "thin_persist", "thin_target", keys),
-    }
-    out = each.select(*by).distinct()
-    for name, stats in parts.items():
-        out = out.join(macro(stats, "rho", by=by).select(*by, F.col("macro_rho").alias(name)), by, "left")
-    return out.withColumn("features_win", F.col("measurable") > F.col("persist"))
+    models = fit_models(own.select("_own.rate", "_own.seed", "category", "x", log_target("_thin").alias("y")), [*by, "category"], [settings])
+    number = F.array_position(listed, F.struct("rate", "seed")) - 1
+    models = _slots(models.withColumn("_slot", number).drop(*by), "_slot")
+    tested = _tested(panel.filter(F.col("year") == test_year), categories, features, [thinned("target", 0).alias("thin_target"), thinned("persist", 7).alias("thin_persist")])
+    scores = {"measurable": ("pred", "thin_target"), "actual": ("pred", "target"), "persist": ("thin_persist", "thin_target")}
+    stats = cut_lineage(model_rho(models, tested, ["category"], scores))
+    out = panel.limit(1).select(F.posexplode(listed).alias("slot", "_own")).select("slot", "_own.rate", "_own.seed")
+    for name in scores:
+        out = out.join(macro(stats.filter(F.col("score") == name), "rho", by=["slot"]).select("slot", F.col("macro_rho").alias(name)), "slot", "left")
+    return out.drop("slot").withColumn("features_win", F.col("measurable") > F.col("persist"))
 
 
 def cluster_vectors(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -248,8 +248,8 @@ def district_hold_out(units: DataFrame, key: str, seed: int, share: float = 0.25
     return placed.select(key, F.when(F.col("position") <= size, "test").otherwise("train").alias("part"))
 
 
-def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> DataFrame:
-    """ML-17: keep every counted event with probability min(1, rate / base).
+def thinned_count(key: Column, value: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> Column:
+    """ML-17: how many of a row's counted events are kept with probability min(1, rate / base).
 
     Each event draws from its row's key and its own number, so the result does not depend on
     partitioning. The events of a row are drawn ``chunk`` at a time inside one expression:
@@ -258,7 +258,7 @@ def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float,
     p = min(1.0, rate / base)
     draw_seed = 1000 * seed + int(round(100 * rate))
     if p >= 1.0:
-        return df.withColumn(name, F.col(value))
+        return F.col(value)
     n = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
     none = F.lit(0).cast("bigint")
 
@@ -268,7 +268,12 @@ def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float,
 
     chunks = F.sequence(none, F.floor((n - 1) / chunk).cast("bigint"))
     drawn = F.aggregate(chunks, none, lambda total, c: total + kept(c))
-    return df.withColumn(name, F.when(n > 0, drawn).otherwise(none).cast("double"))
+    return F.when(n > 0, drawn).otherwise(none).cast("double")
+
+
+def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> DataFrame:
+    """ML-17: ``thinned_count`` as a column."""
+    return df.withColumn(name, thinned_count(key, value, rate, base, seed, chunk))
 
 
 def fold_summary(scores: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,26 +15,37 @@ from tallyveil.operators.ordering import average_ranks, positions
 from tallyveil.session import cut_lineage
 
 MIN_CELLS = 5  # fixed value: smallest district that is scored
+#: Groups of up to so many distinct pairs are ranked in one task.
+RANK_PAIRS = 500_000
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
     """M-01 / M-02: Spearman correlation with average ranks per group: (keys, rho, n).
 
     NULL with fewer than ``min_rows`` finite pairs or a constant side. Pairs are counted
-    before anything is ranked; AQE splits a rank value shared by very many pairs.
+    before anything is ranked; groups of very many pairs are spread over slices, where AQE splits a rank value shared by very many.
     """
     keys = list(keys)
     kept = df.filter(finite_pair(F.col(x), F.col(y)))
-    # Written once: the pairs feed both rankings and the final join.
+    # Written once: the pairs are counted, and feed both rankings.
     pairs = cut_lineage(kept.groupBy(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     ).agg(F.count("*").alias("_n")))
-    rank_x = average_ranks(pairs, keys, "_x", "_n").select(*keys, "_x", F.col("rank").alias("_rx"), "group_rows")
-    rank_y = average_ranks(pairs, keys, "_y", "_n").select(*keys, "_y", F.col("rank").alias("_ry"))
+    if not keys:
+        return _sliced_spearman(pairs, keys, min_rows)
+    large = cut_lineage(pairs.groupBy(*keys).agg(F.count("*").alias("_pairs")).filter(F.col("_pairs") > RANK_PAIRS).select(*keys))
+    if large.isEmpty():
+        return _grouped_spearman(pairs, keys, min_rows)
+    # At most one row per RANK_PAIRS pairs.
+    rest = _grouped_spearman(pairs.join(large, keys, "left_anti"), keys, min_rows)
+    return rest.unionByName(_sliced_spearman(pairs.join(large, keys, "left_semi"), keys, min_rows))
+
+
+def _correlated(ranked: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """(keys, rho, n) of distinct pairs with their number, ranks and the group's rows."""
     centre = (F.col("group_rows") + 1) / 2.0
-    joined = pairs.join(rank_x, [*keys, "_x"]).join(rank_y, [*keys, "_y"])
     dx, dy, n = F.col("_rx") - centre, F.col("_ry") - centre, F.col("_n")
-    sums = joined.groupBy(*keys).agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum(n).alias("n"),
         F.sum(n * dx * dy).alias("_xy"),
         F.sum(n * dx * dx).alias("_xx"),
@@ -44,6 +56,51 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_rows: int =
     return sums.select(*keys, rho.alias("rho"), "n")
 
 
+def _grouped_spearman(pairs: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """Groups of at most ``RANK_PAIRS`` pairs are placed by their keys once and ranked by plain windows."""
+    known = pairs
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    place = W.partitionBy(*keys)
+
+    def rank(c: str) -> Column:
+        upto = F.sum("_n").over(place.orderBy(c).rangeBetween(W.unboundedPreceding, W.currentRow))
+        return upto - (F.sum("_n").over(W.partitionBy(*keys, c)) - 1) / 2.0
+
+    ranked = known.repartition(*keys).select(*keys, "_n", rank("_x").alias("_rx"), rank("_y").alias("_ry"), F.sum("_n").over(place).alias("group_rows"))
+    return _correlated(ranked, keys, min_rows)
+
+
+def _sliced_spearman(pairs: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """Groups of any size, each spread over many slices."""
+    rank_x = average_ranks(pairs, keys, "_x", "_n").select(*keys, "_x", F.col("rank").alias("_rx"), "group_rows")
+    rank_y = average_ranks(pairs, keys, "_y", "_n").select(*keys, "_y", F.col("rank").alias("_ry"))
+    return _correlated(pairs.join(rank_x, [*keys, "_x"]).join(rank_y, [*keys, "_y"]), keys, min_rows)
+
+
+def grouped_rho(place: np.ndarray, x: np.ndarray, y: np.ndarray, min_rows: int = 3) -> Iterator[tuple[int, float, int]]:
+    """``spearman`` of rows inside a task: (group, rho, n) of the groups, numbered by ``place``, that have one."""
+    with np.errstate(invalid="ignore"):
+        known = np.isfinite(x) & np.isfinite(y)
+    place, x, y = place[known], x[known], y[known]
+    rows = np.bincount(place)
+    start = np.cumsum(rows) - rows
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        order = np.lexsort((v, place))
+        first = np.append(True, (np.diff(v[order]) != 0) | (np.diff(place[order]) != 0))[: len(v)]
+        begins = np.flatnonzero(first)
+        ends = np.append(begins[1:], len(v))
+        out = np.empty(len(v))
+        out[order] = np.repeat((begins + 1 + ends) / 2.0, ends - begins)
+        return out - start[place] - (rows[place] + 1) / 2.0
+
+    dx, dy = centred(x), centred(y)
+    xy, xx, yy = (np.bincount(place, v) for v in (dx * dy, dx * dx, dy * dy))
+    for g in np.flatnonzero((rows >= min_rows) & (xx > 0) & (yy > 0)):
+        yield int(g), float(xy[g] / np.sqrt(xx[g] * yy[g])), int(rows[g])
+
+
 def area_correlations(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]], min_rows: int = 3) -> DataFrame:
     """Several Spearman correlations at once for tables with one row per area: (keys, names, n).
 

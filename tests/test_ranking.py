@@ -130,3 +130,19 @@ def test_contrasts_drop_missing_pairs(spark):
     d = spark.createDataFrame(rows, "cell string, seed int, v double")
     assert [tuple(r) for r in RS.paired_contrast(d, "cell", "seed", "v", "a", "b").collect()] == [(1, pytest.approx(0.3))]
     assert {r["cell"]: r["n"] for r in RS.cell_summary(d, ["cell"], "v").collect()} == {"a": 2, "b": 2}
+
+
+def test_bounded_and_sliced_groups_rank_alike(spark, monkeypatch):
+    d = spark.range(900).select(
+        F.when(F.col("id") % 90 != 0, F.concat(F.lit("g"), F.least(F.lit(4), F.col("id") % 10).cast("string"))).alias("g"),
+        (F.col("id") * 7919 % 31).cast("double").alias("x"), (F.col("id") * 104729 % 97 + F.col("id") % 31).cast("double").alias("y"))
+
+    def found():
+        return {r["g"]: (round(r["rho"], 12), r["n"]) for r in RK.spearman(d, ["g"], "x", "y").collect()}
+
+    plain = found()
+    sliced = []
+    kernel = RK._sliced_spearman
+    monkeypatch.setattr(RK, "_sliced_spearman", lambda pairs, keys, n: sliced.append(pairs.select("g").distinct().count()) or kernel(pairs, keys, n))
+    monkeypatch.setattr(RK, "RANK_PAIRS", 100)
+    assert found() == plain and len(plain) == 5 and sliced == [1]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import boosting as B
 from tallyveil.operators import models as M
+from tallyveil.operators import panel as P
 from tallyveil.sources import readers as RD
 from tallyveil.sources import writers as WR
 from tallyveil.streaming import cells as ST
@@ -174,6 +175,61 @@ def test_histogram_trees_match_exhaustive_search():
     assert np.allclose(B.predict(again, gaps), B.predict(B.fit(filled, y.copy(), settings), filled))
 
 
+@pytest.mark.parametrize("leaves", [2, 16, 40, 90])
+def test_leaves_by_bits_are_those_of_the_walk(leaves):
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((3000, 3)) < 0.1, np.nan, np.round(rng.normal(size=(3000, 3)), 2))
+    model = B.fit(x, rng.normal(size=3000) + np.nan_to_num(x[:, 0]), B.TreeSettings(rounds=6, leaves=leaves))
+    filled = np.where(np.isnan(x), model["medians"], x)
+    want = np.full(len(x), model["base"][0])
+    for root in model["roots"]:
+        want += B._walk(model, root, filled)
+    assert (B.predict(model, x) == want).all()
+
+
+def test_trees_grow_on_sums_of_equal_rows():
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 4, (5000, 3))
+    y = rng.normal(size=5000)
+    cells, number, total = B._cells(codes, y)
+    assert len(cells) == 64 and number.sum() == 5000
+    for c, n, t in zip(cells, number, total):
+        same = (codes == c).all(axis=1)
+        assert same.sum() == n and np.isclose(y[same].sum(), t)
+
+
+def test_many_models_are_ranked_without_a_row_per_prediction(spark, toy, monkeypatch):
+    rows = toy.filter("NOT isnan(target)").withColumns({"x": F.array("a", "b"), "district": F.concat(F.lit("d"), (F.col("cell") % 7).cast("string"))})
+    rows = rows.withColumn("other", F.array(F.col("target") % 3, F.col("target") % 5)).select("category", "district", "cell", "x", "target", "other")
+    each = rows.withColumn("slot", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))).withColumn("y", F.log1p(F.abs(F.col("target"))) * (F.col("slot") + 1))
+    models = B.fit_models(each.select("category", "slot", "x", "y"), ["category", "slot"], [B.TreeSettings(rounds=5, leaves=4)] )
+    models = models.localCheckpoint()
+    scored = B.predict_models(models, each.withColumn("other", F.element_at("other", (F.col("slot") + 1).cast("int"))), ["category", "slot"], "x", "_p").withColumn("pred", F.expm1(F.greatest("_p", F.lit(0.0))))
+    want = {}
+    for name, pair in (("a", ("pred", "target")), ("b", ("other", "pred"))):
+        for r in M.within_district(scored, *pair, ("category", "slot", "district")).collect():
+            want[r["category"], r["slot"], r["district"], name] = (pytest.approx(r["rho"], abs=1e-12), r["n"])
+    for large in (250_000, 10):
+        got = M.model_rho(models, rows, ["category"], {"a": ("pred", "target"), "b": ("other", "pred")}, part_rows=40, large_rows=large).collect()
+        assert {(r["category"], r["slot"], r["district"], r["score"]): (r["rho"], r["n"]) for r in got} == want and want
+        assert len(got) == len(want)
+
+
+def test_degradation_agrees_with_separate_fits(toy):
+    panel = toy.filter("NOT isnan(target)").withColumns({"district": F.concat(F.lit("d"), (F.col("cell") % 6).cast("string")), "persist": F.floor(F.abs(F.col("a")) * 5), "target": F.floor(F.abs(F.col("target")) * 3).cast("double"), "category": F.lit("k")})
+    panel = panel.withColumn("persist", F.col("persist").cast("double"))
+    years = [r[0] for r in panel.select("year").distinct().orderBy("year").collect()]
+    key, settings = (lambda d: F.concat_ws(":", "cell", "year")), B.TreeSettings(rounds=6, leaves=4)
+    out = {(r["rate"], r["seed"]): r for r in M.degradation(panel, [0.8, 0.3], 0.8, [0, 3], years[:-1], years[-1], ["k"], ["a", "b"], key, settings).collect()}
+    assert len(out) == 4
+    for (rate, seed), r in out.items():
+        d = P.thin_counts(P.thin_counts(panel, key(panel), "target", "thin", rate, 0.8, seed), key(panel), "persist", "thin_p", rate, 0.8, seed + 7)
+        scored = M.fit_categories(d.filter(F.col("year").isin(years[:-1])), d.filter(F.col("year") == years[-1]), ["k"], ["a", "b"], settings, "thin").localCheckpoint()
+        for name, pair in (("measurable", ("pred", "thin")), ("actual", ("pred", "target")), ("persist", ("thin_p", "thin"))):
+            want = M.macro(M.within_district(scored, *pair), "rho").first()["macro_rho"]
+            assert r[name] == pytest.approx(want, abs=1e-9)
+
+
 def test_models_of_all_keys_are_fitted_alike(toy):
     rows = toy.filter("NOT isnan(target)").withColumn("setting", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("x", F.array("a", "b"))
     grid = [B.TreeSettings(rounds=4), B.TreeSettings(rounds=7, leaves=4)]
