@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.functions.text import is_term, raw_tokens
 from tallyveil.operators.ordering import top_rows
+from tallyveil.session import cut_lineage
 
 
 def first_filled(df: DataFrame, sources: Sequence[tuple[str, str]], name: str, last_label: str = "title_only") -> DataFrame:
@@ -37,21 +39,42 @@ def mark_members(df: DataFrame, accepted: DataFrame, key: str, name: str = "sele
     return df.drop(name).join(flag, key, "left").withColumn(name, F.coalesce("_m", F.lit(False))).drop("_m")
 
 
+def _row_terms(found: Column) -> Column:
+    """Distinct tokens of one text with their counts, from a sorted copy of its tokens."""
+
+    def runs(words: Column) -> Column:
+        last = F.size(words)
+        places = F.sequence(F.lit(0), last - 1)
+        starts = F.when(last > 0, F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array(starts), lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), last) - i).cast("bigint").alias("tf"))))[0]
+
+    # A lambda over a single element names the sorted array, so that it is made once.
+    return F.transform(F.array(F.sort_array(found)), runs)[0]
+
+
 def document_terms(docs: DataFrame, doc: str, text: str, keep: Sequence[str] = (), markup: bool = True) -> DataFrame:
     """One row per distinct token of a document with its count.
 
-    The tokens of a text come from one row, so the partial aggregation before the shuffle
-    already collapses repetitions.
+    The tokens of a text are counted inside its row, so nothing is shuffled for documents of one row. Documents of
+    several rows are counted across them.
     """
-    found = docs.select(doc, *keep, F.explode(raw_tokens(F.col(text), markup)).alias("term"))
-    return found.filter(is_term(F.col("term"), markup)).groupBy(doc, *keep, "term").agg(F.count("*").alias("tf"))
+    keys = [doc, *keep]
+    several = cut_lineage(docs.groupBy(*keys).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    terms = lambda d: d.select(*keys, F.inline(_row_terms(raw_tokens(F.col(text), markup)))).filter(is_term(F.col("term"), markup))
+    if several.isEmpty():
+        return terms(docs)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    split = terms(docs.join(several, same, "left_semi")).groupBy(*keys, "term").agg(F.sum("tf").alias("tf"))
+    return terms(docs.join(several, same, "left_anti")).unionByName(split)
 
 
 def cluster_terms(docs: DataFrame, doc: str, text: str, cluster: str, n: int, markup: bool = True) -> DataFrame:
     """G-01: frequency in the cluster times ln(N / (1 + df)), terms of two documents or more."""
     total = docs.agg(F.count("*").alias("_docs"))
     pairs = document_terms(docs, doc, text, [cluster], markup)
-    by_term = pairs.groupBy(cluster, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("_df"))
+    # Written once, a row per term of a cluster: texts are not read again for the document frequencies.
+    by_term = cut_lineage(pairs.groupBy(cluster, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("_df")))
     df = by_term.groupBy("term").agg(F.sum("_df").alias("df")).filter("df > 1")
     scored = by_term.drop("_df").join(df, "term").crossJoin(total).select(
         cluster, "term", "tf", "df", (F.col("tf") * F.ln(F.col("_docs") / (1 + F.col("df")))).alias("score")

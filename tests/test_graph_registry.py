@@ -336,3 +336,12 @@ def test_policy_without_official_value_blocks(spark):
     entries = spark.createDataFrame([("a", "x", 1.123456785, True, False), ("b", "x", 1.25, True, False)], "family string, variant string, value double, canonical boolean, needs_policy boolean")
     broken = {r["line"]: (r["violation"], r["blocking"]) for r in RG.check(lines, entries, policy, entries.limit(0)).collect()}
     assert broken == {1: ("value differs", True), 2: ("no official value", True)}
+
+
+def test_terms_of_a_text_are_counted_in_its_row(spark):
+    rows = [(1, "x", "grid cell grid Grid <b>cell</b> the"), (2, "x", "cell-formula tree"), (3, "y", None), (2, "x", "tree tree bird"), (None, "x", "bird bird"), (2, "y", "tree")]
+    d = spark.createDataFrame(rows, "doc long, g string, text string")
+    got = sorted(map(tuple, C.document_terms(d, "doc", "text", ["g"]).select(F.coalesce("doc", F.lit(0)), "g", "term", "tf").collect()))
+    assert got == [(0, "x", "bird", 2), (1, "x", "cell", 2), (1, "x", "grid", 3), (2, "x", "bird", 1), (2, "x", "tree", 3), (2, "y", "tree", 1)]
+    single = C.document_terms(d.filter("doc = 1 OR g = 'y'"), "doc", "text", ["g"])
+    assert single.count() == 3 and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
