@@ -1,5 +1,6 @@
 """Column functions against plain Python."""
 
+import time
 import math
 import unicodedata
 from decimal import ROUND_FLOOR, ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
@@ -152,3 +153,12 @@ def test_rounding_beyond_six_decimals(spark):
     d = spark.sql("SELECT CAST(1.123456785 AS DOUBLE) AS v")
     assert str(d.select(K.canonical_round("v", 8)).first()[0]) == "1.12345679"
     assert str(d.select(K.canonical_round("v", 7, "floor")).first()[0]) == "1.1234567"
+
+
+def test_marker_parts_are_made_once_per_text(spark):
+    words = [f"word{i}" for i in range(20_000)]
+    text = "\n".join(["y" * 30 + " abstract: z"] + [" " * 40 + w for w in words])
+    d = spark.createDataFrame([(text,)], "v string")
+    began = time.monotonic()
+    assert d.select(X.between_markers(F.col("v"), "abstract", "keywords")).first()[0] == " ".join(words)
+    assert time.monotonic() - began < 30
