@@ -69,25 +69,31 @@ def document_terms(docs: DataFrame, doc: str, text: str, keep: Sequence[str] = (
     return terms(docs.join(several, same, "left_anti")).unionByName(split)
 
 
-def cluster_terms(docs: DataFrame, doc: str, text: str, cluster: str, n: int, markup: bool = True) -> DataFrame:
-    """G-01: frequency in the cluster times ln(N / (1 + df)), terms of two documents or more."""
-    total = docs.agg(F.count("*").alias("_docs"))
-    pairs = document_terms(docs, doc, text, [cluster], markup)
+def cluster_terms(docs: DataFrame, doc: str, text: str, cluster: str, n: int, markup: bool = True, by: Sequence[str] = (), groups: str | None = None) -> DataFrame:
+    """G-01: frequency in the cluster times ln(N / (1 + df)), terms of two documents or more.
+
+    ``by`` keeps several clusterings apart; then ``groups`` is an array of structs (by, cluster), so that a text is read once for all of them.
+    """
+    by = list(by)
+    spread = (lambda d, *rest: d.select(*rest, F.inline(groups))) if groups else (lambda d, *rest: d)
+    total = spread(docs).groupBy(*by).agg(F.count("*").alias("_docs"))
+    pairs = spread(document_terms(docs, doc, text, [groups or cluster], markup), "term", "tf")
     # Written once, a row per term of a cluster: texts are not read again for the document frequencies.
-    by_term = cut_lineage(pairs.groupBy(cluster, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("_df")))
-    df = by_term.groupBy("term").agg(F.sum("_df").alias("df")).filter("df > 1")
-    scored = by_term.drop("_df").join(df, "term").crossJoin(total).select(
-        cluster, "term", "tf", "df", (F.col("tf") * F.ln(F.col("_docs") / (1 + F.col("df")))).alias("score")
+    by_term = cut_lineage(pairs.groupBy(*by, cluster, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("_df")))
+    df = by_term.groupBy(*by, "term").agg(F.sum("_df").alias("df")).filter("df > 1")
+    known = by_term.drop("_df").join(df, [*by, "term"])
+    scored = (known.join(total, by) if by else known.crossJoin(total)).select(
+        *by, cluster, "term", "tf", "df", (F.col("tf") * F.ln(F.col("_docs") / (1 + F.col("df")))).alias("score")
     )
     # Scores are rounded before ranking so that ties fall to the term, not to float noise.
-    return top_rows(scored.withColumn("_s", F.round("score", 9)), [cluster], [F.col("_s").desc(), F.col("term")], n).drop("_s")
+    return top_rows(scored.withColumn("_s", F.round("score", 9)), [*by, cluster], [F.col("_s").desc(), F.col("term")], n).drop("_s")
 
 
-def flag_clusters(terms: DataFrame, cluster: str, keywords: Sequence[str]) -> DataFrame:
+def flag_clusters(terms: DataFrame, cluster: str, keywords: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """G-02: does any top term belong to the keyword set?"""
     listed = F.array(*[F.lit(k) for k in keywords])
     # At most n terms per cluster were kept by the term ranking.
-    return terms.groupBy(cluster).agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn(
+    return terms.groupBy(*by, cluster).agg(F.array_sort(F.collect_set("term")).alias("terms")).withColumn(
         "flagged", F.arrays_overlap("terms", listed)
     )
 

@@ -22,7 +22,7 @@ from tallyveil.operators.boosting import MODEL_PARTS, PART_ROWS, TreeSettings, f
 from tallyveil.operators.panel import seeded_folds, thinned_count
 from tallyveil.operators.ranking import MIN_CELLS, grouped_rho, macro, metric_pack, top_share, within_district
 from tallyveil.operators.resample import bootstrap_by_category, bootstrap_delta, pair_models, replication, significance
-from tallyveil.session import cut_lineage
+from tallyveil.session import cut_lineage, literal_rows
 
 #: Districts of up to so many rows are ranked for all models in one task.
 LARGE_DISTRICT = 250_000
@@ -340,20 +340,19 @@ def sweep_clusters(vectors: DataFrame, ks: Sequence[int], describe: Callable[[Da
                    seed: int = 42) -> DataFrame:
     """ML-23: per k, flagged clusters and the share of marked members inside them.
 
-    ``describe`` maps (id, cluster) to (cluster, flagged).
+    ``describe`` maps (id, k, cluster) of all k to (k, cluster, flagged).
     """
-    rows = []
-    for k in ks:
-        members = cut_lineage(cluster_vectors(vectors, k, seed))
-        flags = describe(members)
-        inside = members.join(flags, "cluster").join(marked.select("id", F.lit(True).alias("_m")), "id", "left")
-        m = F.coalesce("_m", F.lit(False))
-        rows.append(inside.agg(
-            F.count_distinct(F.when(F.col("flagged"), F.col("cluster"))).alias("flagged_clusters"),
-            F.count_if(m & F.col("flagged")).alias("marked_inside"), F.count_if(m).alias("marked"),
-            (F.count_if(F.col("flagged")) / F.count("*")).alias("share_inside"),
-        ).withColumn("k", F.lit(k)))
-    return reduce(DataFrame.unionByName, rows)
+    members = cut_lineage(reduce(DataFrame.unionByName, [cluster_vectors(vectors, k, seed).withColumn("k", F.lit(k)) for k in ks]))
+    inside = members.join(describe(members), ["k", "cluster"]).join(marked.select("id", F.lit(True).alias("_m")), "id", "left")
+    m = F.coalesce("_m", F.lit(False))
+    found = inside.groupBy("k").agg(
+        F.count_distinct(F.when(F.col("flagged"), F.col("cluster"))).alias("flagged_clusters"),
+        F.count_if(m & F.col("flagged")).alias("marked_inside"), F.count_if(m).alias("marked"),
+        (F.count_if(F.col("flagged")) / F.count("*")).alias("share_inside"),
+    )
+    listed = literal_rows(vectors.sparkSession, [(k,) for k in ks], "k int")
+    counts = ["flagged_clusters", "marked_inside", "marked"]
+    return listed.join(found, "k", "left").fillna(0, counts).select(*counts, "share_inside", "k")
 
 
 def plane_coordinates(vectors: DataFrame) -> DataFrame:

@@ -116,8 +116,9 @@ def _(t):
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
 
     def describe(members):
-        docs = members.join(texts, "id").select("id", "text", "cluster")
-        return C.flag_clusters(C.cluster_terms(docs, "id", "text", "cluster", 8), "cluster", ["ouen", "aux", "ung"]).select("cluster", "flagged")
+        docs = members.groupBy("id").agg(F.collect_list(F.struct("k", "cluster")).alias("groups")).join(texts, "id")
+        terms = C.cluster_terms(docs, "id", "text", "cluster", 8, by=["k"], groups="groups")
+        return C.flag_clusters(terms, "cluster", ["ouen", "aux", "ung"], ["k"]).select("k", "cluster", "flagged")
 
     return M.sweep_clusters(t.vectors(), [7, 10, 12, 15], describe, t.labels.filter("quality = 1").select(F.col("doc_id").alias("id")))
 

@@ -345,3 +345,15 @@ def test_terms_of_a_text_are_counted_in_its_row(spark):
     assert got == [(0, "x", "bird", 2), (1, "x", "cell", 2), (1, "x", "grid", 3), (2, "x", "bird", 1), (2, "x", "tree", 3), (2, "y", "tree", 1)]
     single = C.document_terms(d.filter("doc = 1 OR g = 'y'"), "doc", "text", ["g"])
     assert single.count() == 3 and "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusterings_share_one_reading_of_the_texts(spark):
+    rng = np.random.default_rng(6)
+    words = ["oak", "elm", "ash", "fir", "yew", "box"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 7))) for i in range(40)], "id long, text string")
+    members = docs.select("id", F.explode(F.array(F.lit(2), F.lit(3))).alias("k")).withColumn("cluster", (F.col("id") % F.col("k")).cast("int"))
+    lists = members.groupBy("id").agg(F.collect_list(F.struct("k", "cluster")).alias("groups")).join(docs, "id")
+    got = C.cluster_terms(lists, "id", "text", "cluster", 3, by=["k"], groups="groups")
+    for k in (2, 3):
+        want = C.cluster_terms(members.filter(F.col("k") == k).join(docs, "id"), "id", "text", "cluster", 3)
+        assert sorted(map(tuple, got.filter(F.col("k") == k).drop("k").collect())) == sorted(map(tuple, want.collect()))
