@@ -100,24 +100,22 @@ def attach_category(records: DataFrame, crosswalk: DataFrame, codes: str) -> Dat
 def weighted_cells(records: DataFrame) -> DataFrame:
     """A-01: sums per (year, category, area) plus a total row per (year, category).
 
-    One scan and one shuffle: grouping sets expand each row twice and partial sums are
-    combined before the exchange. Rows without an area feed the total only.
+    One scan: records are summed per area first, and each of these few sums is then counted for its area and for
+    the total. Rows without an area feed the total only.
     """
     w, wt = F.col("weight"), F.col("weight") * F.col("times")
-    level = F.grouping_id()
-    sums = records.groupingSets(
-        [["year", "category", "area"], ["year", "category"]], "year", "category", "area"
-    ).agg(
+    sums = records.groupBy("year", "category", "area").agg(
         F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"), F.sum(w * F.col("pnp")).alias("swd"),
         F.sum(wt).alias("w_times"), F.sum(wt * wt).alias("w_times2"),
         F.sum(w * F.col("pnp_count")).alias("w_pnp"), F.sum(w * F.col("any_count")).alias("w_any"),
-        F.count("*").alias("n"), level.alias("_level"),
-    )
-    return (
-        sums.filter((F.col("_level") > 0) | F.col("area").isNotNull())
-        .withColumn("area", F.when(F.col("_level") > 0, F.lit(ALL_AREAS)).otherwise(F.col("area")))
-        .drop("_level")
+        F.count("*").alias("n"),
     )
+    # The level keeps an area that bears the total row's label apart from it.
+    levels = F.array(F.struct(F.lit(0).alias("level"), F.col("area").alias("area")), F.struct(F.lit(1).alias("level"), F.lit(ALL_AREAS).alias("area")))
+    spread = sums.withColumn("_to", F.explode(levels)).filter("_to.area IS NOT NULL")
+    return spread.groupBy("year", "category", F.col("_to.area").alias("area"), F.col("_to.level").alias("_level")).agg(
+        *[F.sum(c).alias(c) for c in SUMS]
+    ).drop("_level")
 
 
 def pool_cells(cells: DataFrame, by: Sequence[str], years: Sequence[int] | None = None) -> DataFrame:
@@ -153,9 +151,9 @@ def wilson(p: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
 
 def direct_rates(cells: DataFrame, prefix: str, scope: str = "LIMA") -> DataFrame:
     """A-05: category x year x {all areas, areas with the prefix} with interval and event rate."""
-    national = cells.filter(F.col("area") == ALL_AREAS).withColumn("scope", F.lit("NAC"))
-    local = cells.filter(F.col("area").startswith(prefix)).withColumn("scope", F.lit(scope))
-    grouped = pool_cells(national.unionByName(local), ["category", "year", "scope"])
+    # Each cell is dealt to the scopes it belongs to, so the cells are computed once.
+    scopes = F.array(F.when(F.col("area") == ALL_AREAS, "NAC"), F.when(F.col("area").startswith(prefix), scope))
+    grouped = pool_cells(cells.withColumn("scope", F.explode(scopes)).filter("scope IS NOT NULL"), ["category", "year", "scope"])
     rates = effective(grouped)
     low, high = wilson(F.col("p"), F.col("n_eff"))
     return rates.select(

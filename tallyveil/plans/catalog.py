@@ -219,10 +219,12 @@ class Tables:
         )
 
     def records(self) -> DataFrame:
-        place = self.supplier.join(self.areas(), F.col("s_nationkey") == F.col("area_key")).select("s_suppkey", "area")
         times = F.col("l_linenumber").cast("bigint")
         pnp = (F.col("l_linestatus") == "F").cast("int")
-        return self.lineitem.join(place, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        # Suppliers are joined by themselves: the planner knows their size and need not shuffle the line items while they are few.
+        place = self.supplier.select("s_suppkey", "s_nationkey")
+        placed = self.lineitem.join(place, F.col("l_suppkey") == F.col("s_suppkey")).join(self.areas(), F.col("s_nationkey") == F.col("area_key"))
+        return placed.select(
             F.col("l_orderkey").alias("person"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("category"),
             F.when(F.col("l_tax") > 0, F.col("area")).alias("area"), F.col("l_quantity").alias("weight"),
             codes.event_multiplicity(times).alias("times"), pnp.alias("pnp"),

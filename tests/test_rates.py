@@ -177,3 +177,22 @@ def test_registered_interval_draws_the_published_number(spark, monkeypatch):
     monkeypatch.setattr(S, "monte_carlo_interval", noted)
     all_queries()["a22_monte_carlo_interval"](spark, "/root/testdata/sf0.001")
     assert seen == [200_000]
+
+
+def test_direct_rates_compute_the_cells_once(spark, capsys):
+    from tallyveil.plans import all_queries
+
+    all_queries()["a05_direct_rates"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan parquet [l_") == 1
+    # The line items meet few suppliers where they are read, they are not shuffled for them.
+    assert "SortMergeJoin" not in plan
+
+
+def test_direct_rates_count_a_cell_in_every_scope_it_fits(spark):
+    rows = [(2020, "x", a, w, 1, 1, 1, 1) for a, w in (("010101", 2.0), ("020101", 3.0), (None, 4.0))]
+    d = spark.createDataFrame(rows, "year int, category string, area string, weight double, times int, pnp int, pnp_count int, any_count int")
+    rated = {r["scope"]: r["n"] for r in R.direct_rates(R.weighted_cells(d), "01").collect()}
+    assert rated == {"NAC": 3, "LIMA": 1}
+    # An empty prefix fits the total row too.
+    assert {r["scope"]: r["n"] for r in R.direct_rates(R.weighted_cells(d), "").collect()} == {"NAC": 3, "LIMA": 5}
