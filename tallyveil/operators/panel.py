@@ -54,6 +54,32 @@ def lag_features(panel: DataFrame, counts: DataFrame, keys: Sequence[str], value
     return panel.join(wide, list(keys), "left").fillna(0.0, list(lags))
 
 
+def dense_lags(units: DataFrame, counts: DataFrame, years: Sequence[int], categories: Sequence[str], value: str, lags: Mapping[str, int],
+               unit: str = "cell", widest: int = 300) -> DataFrame:
+    """J-08, J-04 and J-05 together: the dense panel of the units with several lags (0 is the target itself).
+
+    Counts are summed into one row per unit, with a column for each year and category that the panel looks at. Units meet
+    that row before they are spread over years and categories, so grid rows are neither shuffled nor sorted. ``counts`` may
+    hold several rows per key. Grids of more than ``widest`` columns take the join of ``lag_features``.
+    """
+    spots = list(dict.fromkeys((y - k, c) for y in years for k in lags.values() for c in categories))
+    if not lags or not 0 < len(spots) <= widest:
+        return lag_features(dense_panel(units, years, categories), counts, [unit, "year", "category"], value, lags)
+    number = {spot: i for i, spot in enumerate(spots)}
+    seen = counts.filter(F.col("year").isin(sorted({y for y, _ in spots})) & F.col("category").isin(list(categories)))
+    spot = F.coalesce(*[F.when((F.col("year") == y) & (F.col("category") == c), i) for (y, c), i in number.items()])
+    # Counts go to their unit's task before they are summed: sums before the shuffle would hold a wide row for every unit of a file's part.
+    placed = seen.select(unit, spot.alias("_spot"), F.col(value).cast("double").alias("_v")).repartition(unit)
+    wide = placed.groupBy(unit).agg(*[F.sum(F.when(F.col("_spot") == i, F.col("_v"))).alias(f"_s{i}") for i in number.values()])
+
+    def found(y: int, c: str) -> Column:
+        return F.coalesce(F.nanvl(f"_s{number[y, c]}", F.lit(None).cast("double")), F.lit(0.0))
+
+    rows = [F.struct(F.lit(y).alias("year"), F.lit(c).alias("category"), *[found(y - k, c).alias(n) for n, k in lags.items()]) for y in years for c in categories]
+    rest = [F.col(n) for n in units.columns if n != unit]
+    return units.join(wide, unit, "left").select(unit, *rest, F.inline(F.array(*rows))).select(unit, "year", "category", *rest, *lags)
+
+
 def neighbour_mean(panel: DataFrame, edges: DataFrame, value: str, name: str, by: Sequence[str] = ("year", "category"),
                    cell: str = "cell") -> DataFrame:
     """J-06: mean over existing neighbours (cell degree is at most six)."""
@@ -102,11 +128,8 @@ def with_known_district(df: DataFrame, fallback: str, district: str = "district"
 def city_panel(points: DataFrame, units: DataFrame, years: Sequence[int], categories: Sequence[str], fallback: str) -> DataFrame:
     """ML-21: grid x years x categories with dominant district, target and persistence."""
     district = dominant_label(points, "cell", "district", "count")
-    # A border cell has several districts; its counts are summed per cell before joining.
-    counts = points.groupBy("cell", "year", "category").agg(F.sum("count").alias("count"))
-    keys = ["cell", "year", "category"]
-    base = dense_panel(units.drop("district").join(district, "cell", "left"), years, categories)
-    full = lag_features(base, counts, keys, "count", {"target": 0, "persist": 1})
+    # A border cell has several districts; its counts are summed per cell.
+    full = dense_lags(units.drop("district").join(district, "cell", "left"), points, years, categories, "count", {"target": 0, "persist": 1})
     return with_known_district(full, fallback)
 
 

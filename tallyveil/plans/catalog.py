@@ -6,7 +6,7 @@ orders are registered events, parts are grid cells, documents are papers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,15 +285,16 @@ class Tables:
             F.col("l_partkey").alias("cell"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("category")
         ).agg(F.count("*").cast("double").alias("count"))
 
-    def panel(self) -> DataFrame:
-        keys = ["cell", "year", "category"]
-        counts = self.counts()
-        d = P.lag_features(P.dense_panel(self.units(), YEARS, CATEGORIES), counts, keys, "count", {"target": 0, "persist": 1, "lag2": 2})
+    def panel(self, years: Sequence[int] = YEARS) -> DataFrame:
+        points = self.lineitem.select(
+            F.col("l_partkey").alias("cell"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("category"), F.lit(1.0).alias("count")
+        )
+        d = P.dense_lags(self.units(), points, years, CATEGORIES, "count", {"target": 0, "persist": 1, "lag2": 2})
         blend = 0.6 * F.col("persist") + 0.3 * F.col("lag2") + F.col("price") / 100000.0
         return d.withColumn("blend", F.round(blend, 6))
 
     def scored(self) -> DataFrame:
-        return self.panel().filter(F.col("year") == TEST_YEAR)
+        return self.panel([TEST_YEAR])
 
     def points(self) -> DataFrame:
         return self.customer.select(

@@ -357,3 +357,27 @@ def test_clusterings_share_one_reading_of_the_texts(spark):
     for k in (2, 3):
         want = C.cluster_terms(members.filter(F.col("k") == k).join(docs, "id"), "id", "text", "cluster", 3)
         assert sorted(map(tuple, got.filter(F.col("k") == k).drop("k").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_lags_sum_what_the_joined_panel_finds(spark):
+    units = spark.createDataFrame([(1, "a"), (2, "b"), (2, "twin"), (3, "c"), (None, "d")], "cell bigint, district string")
+    rows = [(1, 1999, "x", 2.0), (1, 2000, "x", 3.0), (1, 2000, "x", 4.0), (1, 2000, "y", None), (2, 1998, "y", 5.0), (2, 2003, "y", 9.0),
+            (2, 2000, "z", 9.0), (9, 2000, "x", 9.0), (3, None, "x", 9.0), (3, 2000, None, 9.0), (3, 2000, "x", float("nan")), (None, 2000, "x", 9.0)]
+    counts = spark.createDataFrame(rows, "cell bigint, year int, category string, n double")
+    years, categories, lags = [2000, 2001], ["x", "y"], {"target": 0, "persist": 1, "lag2": 2}
+    joined = P.lag_features(P.dense_panel(units, years, categories), counts, ["cell", "year", "category"], "n", lags)
+    dense = P.dense_lags(units, counts, years, categories, "n", lags)
+    assert dense.columns == joined.columns and [f.dataType for f in dense.schema] == [f.dataType for f in joined.schema]
+    assert sorted(map(str, dense.collect())) == sorted(map(str, joined.collect()))
+    assert sorted(map(str, P.dense_lags(units, counts, years, categories, "n", lags, widest=3).collect())) == sorted(map(str, joined.collect()))
+
+
+def test_panel_rows_are_not_shuffled(spark, capsys):
+    from tallyveil.plans import all_queries
+
+    for name in ("j05_lag_features", "ml17_binomial_thinning", "ml21_city_panel"):
+        all_queries()[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        # Grid rows come into being above every shuffle: units and their counts meet by cell alone.
+        assert "Exchange" not in plan[: plan.index("Generate inline")], name
+        assert "Generate explode([1995" not in plan, name
