@@ -12,7 +12,7 @@ token lies without expanding what stands before it (``Shard.document``, ``Shard.
 name of their attempt and then moved, and the table of shards stays in the shared folder: a task that runs again
 puts the same files in the same places.
 
-Reading. One task per shard, which expands its symbols once; a document's start is the number of ids in earlier shards, a running
+Reading. A task reads some shards, one after the other, and expands the symbols of each once; a document's start is the number of ids in earlier shards, a running
 total over the table of shards, and in the shard before it.
 
 Defined results: null and empty texts are a single end id; special strings inside texts get their ids; rows with
@@ -44,6 +44,8 @@ MAGIC = b"RPG1"
 #: Symbols are numbers of 16 bits.
 SYMBOLS = 1 << 16
 NO_ID = -(1 << 63)
+#: Token ids that a reading task expands, one shard after the other.
+READ_TOKENS = 4 << 20
 
 
 def _pairs_of_round(symbols: np.ndarray, end: int, least: int, most: int) -> np.ndarray:
@@ -149,9 +151,9 @@ class Shard:
         """Token ids of the i-th document of the shard, with its end id."""
         return self.expand(self.symbols[self.first_symbol[i] : self.first_symbol[i + 1]])
 
-    def documents(self) -> list[np.ndarray]:
+    def documents(self, kind: str = "<u2") -> list[np.ndarray]:
         """Token ids of all documents, the symbols expanded once."""
-        whole = self.expand(self.symbols)
+        whole = self.expand(self.symbols).astype(kind, copy=False)
         return [whole[a:b] for a, b in zip(self.first_token.tolist(), self.first_token[1:].tolist())]
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
@@ -271,16 +273,18 @@ def read_shards(shards: DataFrame, ids: bool = False) -> DataFrame:
                     shard = Shard.load(source.read())
                 if len(shard.doc_ids) != docs:
                     raise ValueError(f"{path}: {len(shard.doc_ids)} documents, {docs} were written")
-                found = [x.astype("<u4") for x in shard.documents()]
+                found = shard.documents("<u4")
                 columns = [
                     pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID), pa.array(start + shard.first_token[:-1].astype(np.int64)),
-                    pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),
+                    pa.array(np.diff(shard.first_token.astype(np.int64))), pa.array([zlib.crc32(x) for x in found], pa.int64()),
                 ]
                 if ids:
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return plan.repartition(max(1, min(shards.count(), 10_000)), "path").mapInArrow(read, schema)
+    files, tokens = shards.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    tasks = max(-(-tokens // READ_TOKENS), int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return plan.repartition(max(1, min(files, tasks, 10_000)), "path").mapInArrow(read, schema)
 
 
 def op3_pair_grammar_shards(spark, folder: str) -> DataFrame:

@@ -68,19 +68,34 @@ class Cutter:
 
 
 class PieceMemory:
-    """Texts to token ids; ids of new pieces come from ``learn``, many pieces at a time."""
+    """Texts to token ids; ids of new pieces come from ``learn``, many pieces at a time: all ids behind each other, and how many each piece has.
 
-    def __init__(self, cut: Cutter, learn: Callable[[list[str]], list[np.ndarray]]):
+    A full memory keeps the pieces that were met again since it last was full, at most half of what it holds.
+    """
+
+    def __init__(self, cut: Cutter, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.cut, self.learn = cut, learn
-        self.forget()
+        special = list(cut.special.values())
+        self._hold(list(cut.special), np.array(special, np.int64), np.ones(len(special), np.int64))
+
+    def _hold(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.index = defaultdict(count(len(words)).__next__, zip(words, range(len(words))))
+        self.flat, self.sizes, self.uses = flat, sizes, np.zeros(len(words), np.int64)
 
     def forget(self) -> None:
-        self.index = defaultdict(count().__next__)
-        for word in self.cut.special:
-            self.index[word]
-        parts = [np.array([i], np.int64) for i in self.cut.special.values()]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.flat = np.concatenate([np.zeros(0, np.int64), *parts])
+        special = len(self.cut.special)
+        again = special + np.flatnonzero(self.uses[special:] > 1)
+        best = again[np.argsort(-self.uses[again], kind="stable")[: REMEMBERED // 2]]
+        kept = np.concatenate([np.arange(special), np.sort(best)])
+        words = list(self.index)
+        self._hold([words[i] for i in kept.tolist()], self._ids(kept), self.sizes[kept])
+
+    def _ids(self, found: np.ndarray) -> np.ndarray:
+        """Token ids of the numbered pieces behind each other."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[found]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts[found] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
@@ -91,25 +106,26 @@ class PieceMemory:
         # New pieces are numbered in the order of their first place.
         found = np.fromiter(map(index.__getitem__, chain.from_iterable(rows)), np.int64, sum(map(len, rows)))
         if len(index) > before:
-            parts = self.learn(list(islice(index, before, None)))
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, parts), np.int64, len(parts))])
-            self.flat = np.concatenate([self.flat, *parts])
-        starts = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[found]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(starts[found] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, rows)])]
+            flat, sizes = self.learn(list(islice(index, before, None)))
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.uses += np.bincount(found, minlength=len(self.uses))
+        ids = self._ids(found)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[found])])
+        cuts = ends[np.cumsum([0, *map(len, rows)])]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def library_ids(cut: Cutter) -> Callable[[list[str]], list[np.ndarray]]:
+def library_ids(cut: Cutter) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """Ids of pieces by the tokenizers library: its model alone, since pieces are cut already."""
     tokenize = cut.library.model.tokenize
     letters = {b: c for c, b in cut.bytes_of.items()}
 
-    def learn(words: list[str]) -> list[np.ndarray]:
-        # Each byte of a piece as the letter that stands for it in the vocabulary.
-        spelled = (w.encode().decode("latin-1").translate(letters) for w in words)
-        return [np.array([t.id for t in tokenize(w)], np.int64) for w in spelled]
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Each byte of a piece as the letter that stands for it in the vocabulary; no text holds the byte between the pieces.
+        spelled = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(letters).split(letters[0xFF])
+        found = [[t.id for t in tokenize(w)] for w in spelled]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
     return learn

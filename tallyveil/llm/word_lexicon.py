@@ -258,7 +258,8 @@ class WordCodec:
         self.merges, self.lexicon = Merges(path), lexicon
         self.encode = PieceMemory(Cutter(path), self.ids_of_words).encode
 
-    def ids_of_words(self, words: list[str]) -> list[np.ndarray]:
+    def ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words behind each other, and how many each has."""
         numbers = self.lexicon(words) if self.lexicon else np.full(len(words), -1)
         parts: list = [None] * len(words)
         for i in np.flatnonzero(numbers >= 0):
@@ -266,7 +267,7 @@ class WordCodec:
         unseen = np.flatnonzero(numbers < 0)
         for i, ids in zip(unseen, self.merges([words[i] for i in unseen])):
             parts[i] = ids
-        return parts
+        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.merges.tokens.__getitem__, ids.tolist()))

@@ -185,3 +185,18 @@ def test_ids_beyond_the_symbols_are_refused():
     for ids in ([70_000, 5], [-1, 5], [300, 5]):
         with pytest.raises(ValueError):
             pair_grammar.build_grammar(np.array(ids), 300, 2)
+
+
+def test_full_memory_keeps_pieces_met_again(monkeypatch):
+    from tallyveil.llm import pieces
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    cut = pieces.Cutter(BYTE)
+    learn, asked = pieces.library_ids(cut), []
+    memory = pieces.PieceMemory(cut, lambda words: asked.extend(words) or learn(words))
+    for i in range(60):
+        texts = [f"the cat sat {'abcdefgh'[i % 8]}{'xyzuvw'[i % 6]}{i} ÿ \x00 the cat </s>", ""]
+        assert [x.tolist() for x in memory.encode(texts)] == library_ids(BYTE, texts)
+    assert len(memory.index) <= 40 + 12
+    # Rare pieces were forgotten and asked for again; the words of every text were asked for once.
+    assert len(asked) > 60 and asked.count(" cat") == 1 and asked.count(" sat") == 1
