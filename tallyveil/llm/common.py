@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +59,29 @@ def by_bytes(sizes, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def texts_of(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """(first row, end row, texts) of neighbouring rows of about ``limit`` bytes; what a piece has freed goes back to the system after it."""
+    for a, b in by_bytes(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield a, b, column.slice(a, b - a).to_pylist()
+        give_back()
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system, where its C library offers that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(batches: Iterator) -> Iterator:
+    """The batches one by one. Workers live on between tasks, so what a batch has freed goes back to the system after it."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def worker_kept(kind: str, key: object, make: Callable[[], object]) -> object:
     """An object that a Python worker makes once and keeps for its later tasks; one of each kind, the last."""
     store = sys.modules.setdefault("tallyveil_worker_store", types.ModuleType("tallyveil_worker_store")).__dict__

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import PIECE_BYTES, fresh_name, table, written
+from tallyveil.llm.common import PIECE_BYTES, fresh_name, table, tidied, written
 from tallyveil.llm.shingles import draws, mix, shingle_hashes, shingle_sets, text_pieces
 from tallyveil.operators.graph import components
 
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, width: int, permutations: int, band: int, text: st
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = 2 * permutations // band
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b, data, offsets in text_pieces(batch.column(2), PIECE_BYTES):
                 hashes, at = shingle_hashes(data, offsets, width)
                 sizes, first, second = np.zeros(b - a, np.int64), np.zeros(b - a, _U), np.zeros(b - a, _U)
@@ -115,7 +115,7 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_set = None, None
-        for batch in batches:
+        for batch in tidied(batches):
             leaders, found = batch.column(1).to_pylist(), np.zeros(batch.num_rows, bool)
             for a, b, data, offsets in text_pieces(batch.column(2), PIECE_BYTES):
                 for i, own in enumerate(shingle_sets(data, offsets, width), a):
@@ -173,7 +173,7 @@ def matched(members: DataFrame, width: int, percent: int, floor: float) -> DataF
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in _with_end(batches):
+        for batch in _with_end(tidied(batches)):
             if batch is not None:
                 whole = pa.Table.from_batches([rest, batch] if rest is not None else [batch]).combine_chunks().to_batches()[0]
             else:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import by_bytes, table, worker_kept, written
+from tallyveil.llm.common import table, texts_of, worker_kept, written
 from tallyveil.llm.pieces import REMEMBERED, Cutter, PieceMemory, byte_alphabet
 
 NO_RANK = np.iinfo(np.int32).max
@@ -251,12 +251,17 @@ class Lexicon:
         return self.ids[self.starts[number] : self.starts[number + 1]]
 
 
+def word_cutter(path: str) -> Cutter:
+    """The one cutter of a worker, for counting words and for encoding."""
+    return worker_kept("word cutter", path, lambda: Cutter(path))
+
+
 class WordCodec:
     """Texts to token ids and back: a memory of words seen, the lexicon for new ones, and exact merges for the rest."""
 
     def __init__(self, path: str, lexicon: Lexicon | None):
         self.merges, self.lexicon = Merges(path), lexicon
-        self.encode = PieceMemory(Cutter(path), self.ids_of_words).encode
+        self.encode = PieceMemory(word_cutter(path), self.ids_of_words).encode
 
     def ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words behind each other, and how many each has."""
@@ -280,15 +285,14 @@ def frequent_words(docs: DataFrame, path: str, size: int, text: str = "text") ->
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, found = worker_kept("word cutter", path, lambda: Cutter(path)), Counter()
+        cut, found = word_cutter(path), Counter()
 
         def passed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in by_bytes([len(t) if t else 0 for t in texts]):
-                for t in texts[a:b]:
+            for _, _, texts in texts_of(batch.column(0)):
+                for t in texts:
                     if t:
                         found.update(cut(t))
                 if len(found) > REMEMBERED:
@@ -325,9 +329,8 @@ def coded(docs: DataFrame, path: str, lexicon: str, *, keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_kept("word codec", (path, lexicon), lambda: WordCodec(path, Lexicon(SparkFiles.get(lexicon))))
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in by_bytes(list(map(len, texts))):
-                found = codec.encode(texts[a:b])
+            for a, b, texts in texts_of(batch.column(0)):
+                found = codec.encode([t or "" for t in texts])
                 texts_again = [codec.decode(x) for x in found]
                 columns = [
                     *(c.slice(a, b - a) for c in batch.columns[1:]), pa.array([len(x) for x in found], pa.int64()),
