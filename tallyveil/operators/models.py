@@ -158,9 +158,14 @@ def ladder(train: DataFrame, test: DataFrame, categories: Sequence[str], steps:
 
 
 def baselines(test: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """ML-05: existing columns scored as if they were predictions."""
-    rows = [metric_pack(test.withColumn("_pred", F.col(c)), "_pred").withColumn("model", F.lit(name)) for name, c in columns.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """ML-05: existing columns scored as if they were predictions.
+
+    The rows are read once for all columns, and ranked together.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("_pred")) for name, c in columns.items()])).alias("_m")
+    rows = test.select("category", "district", "cell", "target", each).select("*", "_m.model", "_m._pred").drop("_m")
+    pack = metric_pack(rows, "_pred", by=["model"])
+    return pack.select(*[c for c in pack.columns if c != "model"], "model")
 
 
 SPLITS = ("temporal_holdout", "random_cell_cv", "spatial_grouped_cv", "buffered_spatial_cv")

@@ -236,8 +236,10 @@ def metric_pack(df: DataFrame, pred: str, target: str = "target", category: str
     Categories without events are skipped (P-11).
     """
     keys = [*by, category]
-    live = df.groupBy(*keys).agg(F.sum(target).alias("_s")).filter("_s > 0").select(*keys)
-    d = cut_lineage(df.join(live, keys, "left_semi").select(*keys, district, tie, pred, target))
+    # Written before they are summed, so that what they come from is computed once.
+    rows = cut_lineage(df.select(*keys, district, tie, pred, target))
+    live = cut_lineage(rows.groupBy(*keys).agg(F.sum(target).alias("_s")).filter("_s > 0").select(*keys))
+    d = rows.join(F.broadcast(live), keys, "left_semi")
     base = nmae(d, keys, pred, target)
     overall = spearman(d, keys, pred, target).select(*keys, F.col("rho").alias("spearman_global"))
     # One ranking by prediction serves the global recall and the discounted gain.

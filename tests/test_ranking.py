@@ -146,3 +146,25 @@ def test_bounded_and_sliced_groups_rank_alike(spark, monkeypatch):
     monkeypatch.setattr(RK, "_sliced_spearman", lambda pairs, keys, n: sliced.append(pairs.select("g").distinct().count()) or kernel(pairs, keys, n))
     monkeypatch.setattr(RK, "RANK_PAIRS", 100)
     assert found() == plain and len(plain) == 5 and sliced == [1]
+
+
+def test_baselines_compute_their_rows_once_for_all_columns(spark):
+    from tallyveil.operators.models import baselines
+
+    rows = [(c, d, 10 * d + i, float((7 * i + d) % 5) if c == "a" else 0.0, float((3 * i) % 7), float((i * i + d) % 11)) for c in ("a", "b") for d in range(3) for i in range(8)]
+    source = spark.createDataFrame(rows, "category string, district int, cell int, target double, old double, blend double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = baselines(source.mapInArrow(counted, source.schema), {"history": "old", "blend": "blend"})
+    got = {r["model"]: r.asDict() for r in found.collect()}
+    assert seen.value == len(rows)
+    assert found.columns == [*RK.metric_pack(source, "old").columns, "model"]
+    assert set(got) == {"history", "blend"}
+    for name, c in (("history", "old"), ("blend", "blend")):
+        (one,) = RK.metric_pack(source, c).collect()  # nothing happens in category b
+        assert got[name] == pytest.approx(one.asDict() | {"model": name})
