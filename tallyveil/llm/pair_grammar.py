@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyveil.llm.common import by_bytes, open_store, table, worker_kept, written
-from tallyveil.llm.pieces import Cutter, PieceMemory, library_ids
+from tallyveil.llm.pieces import Cutter, LatinMemory, library_ids
 from tallyveil.llm.ranges import range_numbers
 from tallyveil.operators.ordering import running_totals
 from tallyveil.session import scratch_path
@@ -50,15 +50,18 @@ READ_TOKENS = 4 << 20
 
 def _pairs_of_round(symbols: np.ndarray, end: int, least: int, most: int) -> np.ndarray:
     """Frequent pairs as left << 16 | right, most frequent first, without a symbol on both sides."""
-    pair = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
-    pair = np.sort(pair[(symbols[:-1] != end) & (symbols[1:] != end)])
-    if not len(pair):
-        return pair
-    firsts = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1])
-    counts = np.diff(np.append(firsts, len(pair)))
-    often = np.flatnonzero(counts >= least)
-    order = often[np.argsort(-counts[often], kind="stable")[:most]]
-    pairs = pair[firsts]
+    pair = symbols[:-1].astype(np.uint32)
+    pair <<= np.uint32(16)
+    pair |= symbols[1:]
+    pair.sort()
+    # A pair that occurs n times equals the one ``least`` - 1 places on at n - ``least`` + 1 places.
+    last = max(len(pair) - least + 1, 0)
+    pair = pair[:last][pair[len(pair) - last :] == pair[:last]]
+    firsts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)])
+    counts, pairs = np.diff(np.append(firsts, len(pair))), pair[firsts]
+    inside = (pairs >> 16 != end) & (pairs & 0xFFFF != end)
+    counts, pairs = counts[inside], pairs[inside]
+    order = np.argsort(-counts, kind="stable")[:most]
     lefts, rights, chosen = set(), set(), []
     for p in pairs[order].tolist():
         a, b = p >> 16, p & 0xFFFF
@@ -87,7 +90,8 @@ def build_grammar(ids: np.ndarray, base: int, end: int, rounds: int = 10, least:
             break
         left, right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
         left[chosen >> 16], right[chosen & 0xFFFF] = True, True
-        at = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
+        sides = (left + 2 * right.view(np.uint8))[symbols]
+        at = np.flatnonzero(sides[:-1] & 1 & sides[1:] >> 1)
         # A table of the round's left and right symbols tells which pair stands at a place.
         lefts, rights = np.cumsum(left, dtype=np.int32), np.cumsum(right, dtype=np.int32)
         grid = np.full((int(lefts[-1]) + 1, int(rights[-1]) + 1), -1, np.int16)
@@ -205,9 +209,9 @@ def make_shard(doc_ids: list, ids: list[np.ndarray], base: int, end: int, **sett
     )
 
 
-def _encoder(path: str) -> PieceMemory:
+def _encoder(path: str) -> LatinMemory:
     cut = Cutter(path)
-    return PieceMemory(cut, library_ids(cut))
+    return LatinMemory(cut, library_ids(cut))
 
 
 def write_shards(

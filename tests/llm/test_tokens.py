@@ -1,6 +1,7 @@
 """Token counts, word BPE and shards against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import time
 import zlib
@@ -200,3 +201,51 @@ def test_full_memory_keeps_pieces_met_again(monkeypatch):
     assert len(memory.index) <= 40 + 12
     # Rare pieces were forgotten and asked for again; the words of every text were asked for once.
     assert len(asked) > 60 and asked.count(" cat") == 1 and asked.count(" sat") == 1
+
+
+LATIN = [" ", "  ", "\n", "\t", "'", "''", "'s", "'re", "'ll", "'v", "'t", "l", "ve", "re", "s", "d", "m", "1", "23", "!", "é", "ß", "ª", "\xa0", "\x85", "\x00", "\x1c", "ÿ", "²", "word", "antidisestablish", "_"]
+
+
+def test_latin_texts_are_cut_as_by_the_pattern():
+    rng = random.Random(5)
+    for _ in range(2000):
+        texts = ["".join(rng.choices(LATIN, k=rng.randint(1, 14))) for _ in range(rng.randint(1, 6))]
+        letters = np.frombuffer("".join(texts).encode("latin-1"), np.uint8)
+        places = pieces.latin_pieces(letters, np.cumsum([0, *map(len, texts)])[:-1])
+        expected = [w for t in texts for w in pieces.PLAIN_BYTE_LEVEL.findall(t)]
+        assert places.tolist() == np.cumsum([0, *map(len, expected)])[:-1].tolist(), texts
+
+
+@pytest.mark.parametrize("remembered", [40, 1000, 250_000])
+def test_latin_memory_equals_the_library(monkeypatch, remembered):
+    monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+    rng, memory = random.Random(6), pair_grammar._encoder(BYTE)
+    parts = [*LATIN, "œuf", "語", "<|endoftext|>", "x" * 20, " abcdefghijklmn", " abcdefghijklmno", "漢字"]
+    for _ in range(100):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) + " " + str(rng.randint(0, 3000)) for _ in range(rng.randint(1, 12))] + [""]
+        assert [x.tolist() for x in memory.encode(texts)] == library_ids(BYTE, texts)
+    held = np.flatnonzero(memory.keys[1])
+    assert len(held) and (memory._find(memory.keys[:, held]) == held).all()
+
+
+def test_known_latin_pieces_are_not_handled_one_by_one(monkeypatch):
+    memory, asked = pair_grammar._encoder(BYTE), []
+    texts = ["the cat's 12 naïve cats", "the  cat\n"]
+    expected = library_ids(BYTE, texts)
+    assert [x.tolist() for x in memory.encode(texts)] == expected
+    monkeypatch.setattr(pieces.Cutter, "__call__", lambda self, text: asked.append(text))
+    memory.index = type("Index", (dict,), {"__getitem__": lambda self, word: asked.append(word)})(memory.index)
+    assert [x.tolist() for x in memory.encode(texts)] == expected and not asked
+
+
+def test_pieces_are_learned_apart_where_a_merge_could_join_them(tmp_path):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["model"]["vocab"]["ÿa"] = 50_300
+    spec["model"]["merges"].insert(0, ["ÿ", "a"])
+    path = str(tmp_path / "t.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    words = ["b", "a", "at", " cat", "a"] * 40
+    for p in (path, BYTE):
+        flat, sizes = pieces.library_ids(pieces.Cutter(p))(words)
+        expected = library_ids(p, words)
+        assert flat.tolist() == [i for ids in expected for i in ids] and sizes.tolist() == list(map(len, expected))
