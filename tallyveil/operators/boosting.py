@@ -1,30 +1,34 @@
 """Boosted trees for many models at once, one model per key.
 
-Rows carry keys (category, fold, setting, seed, ...), features as an array and a target. Every key's model is fitted in one task on at
-most about ``fit_rows`` of its rows: all of them up to that bound, beyond it those with the smallest hashes, at a rate
-that keeps the bound. Models are rows of plain arrays. Prediction covers all rows: a key's rows are dealt out in
-parts of ``PART_ROWS``, and each part meets one copy of its model.
-
-Trees grow leaf by leaf on histograms of binned features (least squares, best gain first) and shrink by ``step``. Rows of equal
-bins are summed once, before the first tree; prediction reads a row's leaf off the bits that its bins leave open.
+Rows carry keys (category, fold, setting, seed, ...), features and a target, or several targets. Every key's model is fitted on all of its
+rows: equal rows are counted and their targets summed, exact bin edges come from the counts of a feature's values, and rows of equal bins are
+summed into cells, all in Spark. One task grows a key's trees on its cells, which lie in files of the task's folder and are read ``fit_rows``
+at a time. Models are rows of plain arrays. Prediction covers all rows: a key's rows are dealt out in parts of ``PART_ROWS``, and each part
+meets one copy of its model.
+
+Trees grow leaf by leaf on histograms of binned features (least squares, best gain first) and shrink by ``step``. Prediction reads a row's
+leaf off the bits that its bins leave open.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+import tempfile
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyveil.operators.ordering import running_totals
 from tallyveil.session import cut_lineage
 
 FIT_ROWS, PART_ROWS = 500_000, 100_000
-#: Lists of models up to this length are broadcast to count and sample their rows.
+#: Lists of models up to this length are broadcast to count their rows.
 FEW_MODELS = 10_000
 
 
@@ -53,87 +57,122 @@ def _binned(x: np.ndarray, bins: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], axis=1), edges
 
 
+def _alike(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each distinct row of bin numbers, and which of them every row is like."""
+    place = np.zeros(len(codes), np.int64)
+    for column in codes.T:
+        place = np.unique(place * (int(column.max(initial=0)) + 1) + column, return_inverse=True)[1]
+    return np.unique(place, return_index=True, return_inverse=True)[1:]
+
+
 def _cells(codes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows of bin numbers, how many rows have them and the sum of their targets.
 
     No cut can part rows of equal bins, so these sums are all that trees are grown on.
     """
-    place = np.zeros(len(codes), np.int64)
-    for column in codes.T:
-        place = np.unique(place * (int(column.max(initial=0)) + 1) + column, return_inverse=True)[1]
-    _, first, which = np.unique(place, return_index=True, return_inverse=True)
+    first, which = _alike(codes)
     return codes[first], np.bincount(which, minlength=len(first)).astype(float), np.bincount(which, y, len(first))
 
 
-def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.ndarray]:
-    """A boosted model as arrays; missing features take the medians of these rows, a feature without any value zero."""
-    known = ~np.isnan(x)
-    medians = np.array([np.median(c[k]) if k.any() else 0.0 for c, k in zip(x.T, known.T)])
-    codes, edges = _binned(np.where(known, x, medians), settings.bins)
+def grow(codes: np.ndarray, number: np.ndarray, total: np.ndarray, settings: TreeSettings, block: int = FIT_ROWS) -> dict[str, np.ndarray]:
+    """Trees on cells (bin numbers, rows, sums of targets), ``block`` of them at a time; ``threshold`` holds numbers of bins.
+
+    ``total`` is used up. Of cuts that gain the same up to rounding the first one is made.
+    """
+    parts = [slice(s, s + block) for s in range(0, len(number), block)]
     count = codes.shape[1]
-    width = max(len(e) for e in edges) + 1 if count else 1
-    real = np.arange(width - 1) < np.array([[len(e)] for e in edges]) if count else np.zeros((0, width - 1), bool)
-    base = float(y.mean())
-    codes, number, left_over = _cells(codes, y - base)
-    flat = codes + np.arange(count) * width
-    columns = np.ascontiguousarray(codes.T)
+    width = 1 + max(int(codes[p].max(initial=0)) for p in parts)
+    base = float(total.sum() / number.sum())
+    for p in parts:
+        total[p] -= base * number[p]
+    leaf = np.empty(len(number), np.int32) if len(parts) < 2 else np.asarray(np.memmap(tempfile.TemporaryFile(), np.int32, "w+", shape=len(number)))
+    starts = np.arange(count) * width
+    flat = codes + starts if len(parts) < 2 else None
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
 
-    def sums(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        places = flat[rows].ravel()
-        return tuple(np.bincount(places, np.repeat(w[rows], count), count * width).reshape(count, width) for w in (left_over, number))
-
-    def best(total: np.ndarray, n: np.ndarray) -> tuple[float, int, int]:
+    def sums(of: Sequence[np.ndarray], at: int | None = None) -> np.ndarray:
+        """Sums per feature and bin in a leaf, or in all of them."""
+        out = np.zeros((len(of), count, width))
+        for p in parts:
+            rows = slice(None) if at is None else np.flatnonzero(leaf[p] == at)
+            places = (codes[p][rows] + starts if flat is None else flat[rows]).ravel()
+            for w, o in zip(of, out):
+                o += np.bincount(places, np.repeat(w[p][rows], count), count * width).reshape(count, width)
+        return out
+
+    def best(hist: np.ndarray) -> tuple[float, int, int]:
         """(gain, feature, bin) of the best cut; no gain without one."""
         if width < 2 or not count:
             return 0.0, 0, 0
-        g, k = np.cumsum(total, axis=1), np.cumsum(n, axis=1)
+        g, k = np.cumsum(hist, axis=2)
         all_g, all_k = g[:, -1:], k[:, -1:]
         g, k = g[:, :-1], k[:, :-1]
-        fits = real & (k >= settings.min_leaf) & (all_k - k >= settings.min_leaf)
+        fits = (k >= max(settings.min_leaf, 1)) & (all_k - k >= max(settings.min_leaf, 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(fits, g * g / k + (all_g - g) ** 2 / (all_k - k) - all_g * all_g / all_k, 0.0)
-        at = int(gain.argmax())
+        top = gain.max()
+        at = int((gain >= top - 1e-9 * abs(top)).argmax())
         return float(gain.flat[at]), at // (width - 1), at % (width - 1)
 
     def node() -> int:
-        for column, start in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, 0.0)):
+        for column, start in ((feature, -1), (threshold, 0), (left, -1), (right, -1), (value, 0.0)):
             column.append(start)
         return len(feature) - 1
 
+    def cut(at: int, f: int, b: int, low: int, high: int) -> int:
+        """Deals a leaf's cells to two new ones; the one with fewer cells."""
+        fewer = 0
+        for p in parts:
+            own = leaf[p]
+            rows = np.flatnonzero(own == at)
+            above = codes[p][rows, f] > b
+            own[rows] = np.where(above, high, low)
+            fewer += len(rows) - 2 * int(np.count_nonzero(above))
+        return high if fewer > 0 else low
+
+    whole = sums([total, number])
     for _ in range(settings.rounds):
         root = node()
         roots.append(root)
-        everything = np.arange(len(number))
-        hist = sums(everything)
-        gain, f, b = best(*hist)
-        grown, leaves = [(root, everything, 0)], 1
-        queue = [(-gain, 0, f, b, hist)] if gain > 1e-12 else []
+        leaf[:] = 0
+        # Rows per bin are the same for every tree.
+        whole[:1] = sums([total])
+        gain, f, b = best(whole)
+        leaves = 1
+        queue = [(-gain, root, 0, f, b, whole)] if gain > 1e-12 else []
         while queue and leaves < settings.leaves:
-            _, at, f, b, hist = heapq.heappop(queue)
-            parent, rows, level = grown[at]
-            low = columns[f][rows] <= b
-            parts = [rows[low], rows[~low]]
-            small = int(len(parts[1]) < len(parts[0]))
-            hists: list = [None, None]
-            hists[small] = sums(parts[small])
-            hists[1 - small] = tuple(h - s for h, s in zip(hist, hists[small]))
-            feature[parent], threshold[parent] = f, float(edges[f][b])
-            left[parent], right[parent] = node(), node()
-            grown[at] = None
-            for child, part, own in zip((left[parent], right[parent]), parts, hists):
-                grown.append((child, part, level + 1))
+            _, parent, level, f, b, hist = heapq.heappop(queue)
+            pair = node(), node()
+            feature[parent], threshold[parent] = f, b
+            left[parent], right[parent] = pair
+            small = cut(parent - root, f, b, *(n - root for n in pair)) + root
+            hists = {small: sums([total, number], small - root)}
+            hists[sum(pair) - small] = hist - hists[small]
+            for child in pair:
                 if settings.depth is None or level + 1 < settings.depth:
-                    gain, f, b = best(*own)
+                    gain, f, b = best(hists[child])
                     if gain > 1e-12:
-                        heapq.heappush(queue, (-gain, len(grown) - 1, f, b, own))
+                        heapq.heappush(queue, (-gain, child, level + 1, f, b, hists[child]))
             leaves += 1
-        for leaf, rows, _ in filter(None, grown):
-            value[leaf] = settings.step * float(left_over[rows].sum() / number[rows].sum())
-            left_over[rows] -= value[leaf] * number[rows]
+        nodes = len(feature) - root
+        rest, rows = (sum(np.bincount(leaf[p], w[p], nodes) for p in parts) for w in (total, number))
+        change = settings.step * np.divide(rest, rows, out=np.zeros(nodes), where=rows > 0)
+        value[root:] = change.tolist()
+        for p in parts:
+            total[p] -= change[leaf[p]] * number[p]
     arrays = {"feature": np.int32, "threshold": np.float64, "below": np.int32, "above": np.int32, "value": np.float64, "roots": np.int32}
     made = dict(zip(arrays, (feature, threshold, left, right, value, roots)))
-    return {"base": np.array([base]), "medians": medians} | {n: np.array(made[n], k) for n, k in arrays.items()}
+    return {"base": np.array([base])} | {n: np.array(made[n], k) for n, k in arrays.items()}
+
+
+def fit(x: np.ndarray, y: np.ndarray, settings: TreeSettings) -> dict[str, np.ndarray]:
+    """A boosted model as arrays; missing features take the medians of these rows, a feature without any value zero."""
+    known = ~np.isnan(x)
+    medians = np.array([np.median(c[k]) if k.any() else 0.0 for c, k in zip(x.T, known.T)])
+    codes, edges = _binned(np.where(known, x, medians), settings.bins)
+    model = grow(*_cells(codes, y), settings)
+    cuts = [float(edges[f][int(b)]) if f >= 0 else 0.0 for f, b in zip(model["feature"], model["threshold"])]
+    return model | {"medians": medians, "threshold": np.array(cuts, float)}
 
 
 #: Rows predicted at once, so that their bits stay in the processor's cache, and leaves of a tree that fit the bits.
@@ -223,34 +262,165 @@ def _counted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(F.broadcast(counts) if counts.count() <= FEW_MODELS else counts, list(keys))
 
 
-def fit_models(rows: DataFrame, keys: Sequence[str], settings: Sequence[TreeSettings] = (TreeSettings(),), x: str = "x", y: str = "y", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per key with its model. With several settings, ``setting`` (their index) is one of the keys."""
+def _met(rows: DataFrame, keys: Sequence[str], given: DataFrame, columns: Sequence[str]):
+    """Every key's rows in parts of ``PART_ROWS``, each beside a copy of what is given for the key (``columns``)."""
     keys = list(keys)
-    which = keys.index("setting") if len(settings) > 1 else None
-    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(n, k) for n, k in _SPARK.items()])
-    names = rows.columns
-    counted = _counted(rows, keys)
-    share = F.pmod(F.xxhash64(*names), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = counted.filter((F.col("_n") <= fit_rows) | (share * F.col("_n") < fit_rows))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    parts = F.ceil(F.col("_n") / PART_ROWS).cast("int")
+    dealt = _counted(rows, keys).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_n")
+    copies = given.join(counts, keys).withColumn("_copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
+    copies = copies.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "_copy", *columns)
+    by = [f"_m{i}" for i in range(len(keys))]
+    return dealt.groupBy(*keys, "_part").cogroup(copies.groupBy(*by, "_copy"))
 
-    def train(key, group):
-        own = settings[key[which].as_py() if which is not None else 0]
-        found = fit(feature_matrix(group[x]), group[y].to_numpy().astype(float), own)
-        columns = [pa.array([k.as_py()], group.schema.field(n).type) for k, n in zip(key, keys)]
-        lists = [pa.array([found[n].tolist()], pa.list_(k)) for n, k in MODEL_PARTS.items()]
-        return pa.Table.from_arrays(columns + lists, names=schema.names)
 
-    return kept.select(*keys, x, y).groupBy(*keys).applyInArrow(train, schema)
+def _edges(values: np.ndarray, ends: np.ndarray, known: int, missing: int, distinct: int, bins: int) -> tuple[float, np.ndarray]:
+    """A feature's median and edges, as ``fit`` finds them, from its values and how many rows are up to each of them.
+
+    Of more than ``bins`` distinct values only those around the median and those at the quantiles need be given.
+    """
+    if not known:
+        return 0.0, np.empty(0)
+    order = np.argsort(values)
+    values, ends = values[order], ends[order]
+    median = float(values[np.searchsorted(ends, [(known - 1) // 2, known // 2], side="right")].sum() / 2)
+    if missing:
+        place = int(np.searchsorted(values, median, side="right"))
+        if values[place - 1] != median:
+            values, ends, distinct = np.insert(values, place, median), np.insert(ends, place, ends[place - 1]), distinct + 1
+            place += 1
+        ends = ends + np.where(np.arange(len(ends)) >= place - 1, missing, 0)
+    if distinct <= bins:
+        return median, (values[:-1] + values[1:]) / 2
+    at = np.floor((known + missing - 1) * (np.arange(1, bins) / bins)).astype(np.int64)
+    return median, np.unique(values[np.searchsorted(ends, at, side="right")])
+
+
+def _bounds(distinct: DataFrame, keys: list[str], features: list[str], bins: int) -> DataFrame:
+    """Medians and edges per key, exact: values are counted and ranked over slices, and only those that make an edge are brought together."""
+    spread = distinct.select(*keys, "_rows", F.posexplode(F.array(*features)).alias("_f", "_v"))
+    counts = spread.groupBy(*keys, "_f", "_v").agg(F.sum("_rows").alias("_c"))
+    has, none = F.col("_v").isNotNull(), F.lit(0).cast("bigint")
+    measures = {"n": F.when(has, F.col("_c")).otherwise(none), "m": F.when(has, none).otherwise(F.col("_c")), "d": has.cast("bigint")}
+    ranked = running_totals(counts, [*keys, "_f"], [F.col("_v")], measures)
+    known, missing = F.col("all_n"), F.col("all_m")
+    start = F.col("run_n") - F.when(has, F.col("_c")).otherwise(none)
+    low, high = F.floor((known - 1) / 2), F.floor(known / 2)
+    middle = ((start <= low) & (low < F.col("run_n"))) | ((start <= high) & (high < F.col("run_n")))
+    # Rows without a value count as rows of the median: values above it move up.
+    first = start + F.when(start > low, missing).otherwise(none)
+    last, total = first + F.col("_c"), known + missing - 1
+    near = F.floor(first * bins / F.greatest(total, F.lit(1)))
+
+    def meets(i: Column) -> Column:
+        at = F.floor(total * (i.cast("double") / F.lit(float(bins))))
+        return i.between(1, bins - 1) & (first <= at) & (at < last)
+
+    quantile = reduce(Column.__or__, [meets(near + k) for k in (-1, 0, 1, 2)])
+    kept = ranked.filter((F.col("all_d") <= bins) | (known == 0) | (has & (middle | quantile)))
+    schema = T.StructType([distinct.schema[k] for k in keys] + [T.StructField("medians", T.ArrayType(T.DoubleType())), T.StructField("edges", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def gather(key, group):
+        columns = {c: group[c].to_numpy() for c in ("_f", "_v", "run_n", "all_n", "all_m", "all_d")}
+        found = []
+        for f in range(len(features)):
+            own = {c: v[columns["_f"] == f] for c, v in columns.items()}
+            valued = ~np.isnan(own["_v"].astype(float))
+            found.append(_edges(own["_v"][valued].astype(float), own["run_n"][valued], *(int(own[c][0]) for c in ("all_n", "all_m", "all_d")), bins))
+        lists = [pa.array([[m for m, _ in found]], pa.list_(pa.float64())), pa.array([[e.tolist() for _, e in found]], pa.list_(pa.list_(pa.float64())))]
+        return pa.Table.from_arrays([pa.array([k.as_py()], group.schema.field(n).type) for k, n in zip(key, keys)] + lists, names=schema.names)
+
+    return cut_lineage(kept.select(*keys, "_f", "_v", "run_n", "all_n", "all_m", "all_d").groupBy(*keys).applyInArrow(gather, schema))
+
+
+def _summed(distinct: DataFrame, bounds: DataFrame, keys: list[str], features: list[str], targets: list[str]) -> DataFrame:
+    """Cells: rows and sums of targets per key and bin numbers (``_codes``, two bytes a feature)."""
+    given = [*keys, "_codes", "_rows", *targets]
+    schema = T.StructType([distinct.schema[k] for k in keys] + [T.StructField("_codes", T.BinaryType()), T.StructField("_rows", T.DoubleType())] + [T.StructField(t, T.DoubleType()) for t in targets])
+
+    def sum_part(group, found):
+        if not group.num_rows or not found.num_rows:
+            return pa.Table.from_arrays([pa.array([], group.schema.field(k).type) for k in keys] + [pa.array([], pa.binary())] + [pa.array([], pa.float64())] * (1 + len(targets)), names=given)
+        medians, edges = found["medians"][0].as_py(), found["edges"][0].as_py()
+        columns = []
+        for f, median, cuts in zip(features, medians, edges):
+            v = group[f].to_numpy().astype(float)
+            columns.append(np.searchsorted(np.array(cuts, float), np.where(np.isnan(v), median, v), side="left"))
+        codes = np.stack(columns, axis=1)
+        first, which = _alike(codes)
+        packed = pa.Array.from_buffers(pa.binary(2 * len(features)), len(first), [None, pa.py_buffer(codes[first].astype("<u2").tobytes())]).cast(pa.binary())
+        sums = [pa.array(np.bincount(which, group[c].to_numpy().astype(float), len(first))) for c in ("_rows", *targets)]
+        return pa.Table.from_arrays([group[k].take(pa.array(first)) for k in keys] + [packed] + sums, names=given)
+
+    parts = _met(distinct, keys, bounds, ["medians", "edges"]).applyInArrow(sum_part, schema)
+    return parts.groupBy(*keys, "_codes").agg(*[F.sum(c).alias(c) for c in ("_rows", *targets)])
+
+
+def fit_models(rows: DataFrame, keys: Sequence[str], settings: Sequence[TreeSettings] | Mapping[int, TreeSettings] = (TreeSettings(),), x: str = "x",
+               y: str | Sequence[str] = "y", fit_rows: int = FIT_ROWS, width: int | None = None) -> DataFrame:
+    """One row per key with its model, fitted on all of the key's rows.
+
+    ``x``: an array of ``width`` features (by default as many as in the first row). With several targets ``y`` every one has its model, and ``slot`` (bigint, its
+    place in the list) is one more key. With several settings, ``setting`` (their index) is one of the keys; if rows do not have it, every
+    key is fitted under all settings and ``setting`` is one more key. ``fit_rows``: cells that a task reads at once.
+    """
+    keys, several = list(keys), not isinstance(y, str)
+    chosen = dict(settings if isinstance(settings, Mapping) else enumerate(settings))
+    own = isinstance(settings, Mapping) or len(chosen) > 1
+    widths = sorted({s.bins for s in chosen.values()})
+    if len(widths) > 1:
+        groups = [{i: s for i, s in chosen.items() if s.bins == w} for w in widths]
+        each = [rows.filter(F.col("setting").isin(list(g))) if "setting" in keys else rows for g in groups]
+        return reduce(DataFrame.unionByName, [fit_models(d, keys, g, x, y, fit_rows, width) for d, g in zip(each, groups)])
+    if width is None:
+        row = rows.select(F.size(x)).first()
+        width = row[0] if row else 1
+    features, targets = [f"_x{i}" for i in range(width)], [f"_y{i}" for i in range(len(y) if several else 1)]
+    plain = rows.select(
+        *keys,
+        *[F.nanvl(F.col(x)[i].cast("double"), F.lit(None).cast("double")).alias(f) for i, f in enumerate(features)],
+        *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(t) for c, t in zip(y if several else [y], targets)],
+    )
+    distinct = cut_lineage(plain.groupBy(*keys, *features).agg(F.count("*").alias("_rows"), *[F.sum(t).alias(t) for t in targets]))
+    bounds = _bounds(distinct, keys, features, widths[0])
+    cells = _summed(distinct, bounds, keys, features, targets)
+    by = list(keys)
+    if several:
+        cells = cells.select(*keys, "_codes", "_rows", F.posexplode(F.array(*targets)).alias("slot", "_y0")).withColumn("slot", F.col("slot").cast("bigint"))
+        by.append("slot")
+    if own and "setting" not in keys:
+        cells = cells.withColumn("setting", F.explode(F.array(*[F.lit(i) for i in chosen])))
+        by.append("setting")
+    which = by.index("setting") if own else None
+    kinds, grown = [cells.schema[k] for k in by], {n: k for n, k in _SPARK.items() if n != "medians"}
+    schema = T.StructType(kinds + [T.StructField(n, k) for n, k in grown.items()])
+    packed = np.dtype("<u2")
+
+    def train(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as a, tempfile.TemporaryFile() as b, tempfile.TemporaryFile() as c:
+            rows = 0
+            for batch in batches:
+                rows += batch.num_rows
+                a.write(b"".join(batch["_codes"].to_pylist()))
+                b.write(batch["_rows"].to_numpy().astype(float).tobytes())
+                c.write(batch["_y0"].to_numpy().astype(float).tobytes())
+                types = [batch.schema.field(n).type for n in by]
+            for f in (a, b, c):
+                f.flush()
+            shapes = ((a, packed, (rows, len(features))), (b, float, rows), (c, float, rows))
+            held = [np.asarray(np.memmap(f, kind, "r+", shape=shape)) for f, kind, shape in shapes]
+            found = grow(*held, chosen[key[which].as_py() if which is not None else 0], fit_rows)
+        columns = [pa.array([k.as_py()], t) for k, t in zip(key, types)]
+        lists = [pa.array([found[n].tolist()], pa.list_(MODEL_PARTS[n])) for n in grown]
+        yield pa.RecordBatch.from_arrays(columns + lists, names=schema.names)
+
+    models = cells.select(*by, "_codes", "_rows", "_y0").groupBy(*by).applyInArrow(train, schema)
+    value = F.zip_with("feature", "threshold", lambda f, b: F.when(f >= 0, F.get(F.get("edges", f), b.cast("int"))).otherwise(0.0))
+    return models.join(bounds, keys).withColumn("threshold", value).select(*by, *MODEL_PARTS)
 
 
 def predict_models(models: DataFrame, rows: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """Rows of every key that has a model, with ``name`` in place of ``x``."""
-    keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / PART_ROWS).cast("int")
-    dealt = _counted(rows, keys).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_n")
-    copies = models.join(counts, keys).withColumn("_copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_n")
-    copies = copies.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], "_copy", *MODEL_PARTS)
     kept = [c for c in rows.columns if c != x]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
 
@@ -260,5 +430,4 @@ def predict_models(models: DataFrame, rows: DataFrame, keys: Sequence[str], x: s
         model = {n: given[n].combine_chunks()[0].values.to_numpy(zero_copy_only=False) for n in MODEL_PARTS}
         return group.select(kept).append_column(name, pa.array(predict(model, feature_matrix(group[x]))))
 
-    by = [f"_m{i}" for i in range(len(keys))]
-    return dealt.groupBy(*keys, "_part").cogroup(copies.groupBy(*by, "_copy")).applyInArrow(apply, schema)
+    return _met(rows, keys, models, list(MODEL_PARTS)).applyInArrow(apply, schema)

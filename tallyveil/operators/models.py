@@ -44,15 +44,15 @@ def impute_all(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return Imputer(strategy="median", relativeError=1e-4, inputCols=filled, outputCols=filled).fit(out).transform(out)
 
 
-def fit_keyed(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str] | Column, settings: Sequence[TreeSettings] = (TreeSettings(),),
+def fit_keyed(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str | Column], settings: Sequence[TreeSettings] = (TreeSettings(),),
               target: str = "target", name: str = "pred") -> DataFrame:
     """ML-03: boosted trees on log1p of the target, one model per key; predictions back on the count scale.
 
     Missing features take the medians of the model's own train rows. Test rows of keys without train rows are left out.
-    ``features`` may be an array column, where a feature that a key's model must not see is null.
+    ``features`` may be columns; a feature that a key's model must not see is null there.
     """
-    x = features if isinstance(features, Column) else F.array(*[F.col(f).cast("double") for f in features])
-    models = cut_lineage(fit_models(train.select(*keys, x.alias("x"), log_target(target).alias("y")), keys, settings))
+    x = _features(features)
+    models = cut_lineage(fit_models(train.select(*keys, x.alias("x"), log_target(target).alias("y")), keys, settings, width=len(features)))
     scored = predict_models(models, test.withColumn("_x", x), keys, "_x", "_p")
     return scored.withColumn(name, back_transform("_p")).drop("_p")
 
@@ -123,8 +123,8 @@ def model_rho(models: DataFrame, rows: DataFrame, shared: Sequence[str], scores:
     return out
 
 
-def _features(features: Sequence[str]) -> Column:
-    return F.array(*[F.col(f).cast("double") for f in features])
+def _features(features: Sequence[str | Column]) -> Column:
+    return F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
 
 
 def _scored_columns(features: Sequence[str]) -> list[str]:
@@ -152,7 +152,7 @@ def ladder(train: DataFrame, test: DataFrame, categories: Sequence[str], steps:
            settings: TreeSettings = TreeSettings()) -> DataFrame:
     """ML-04: nested feature sets, metric pack per step and category."""
     every = list(dict.fromkeys(f for features in steps.values() for f in features))
-    x = F.array(*[F.when(F.col("model").isin([m for m, own in steps.items() if f in own]), F.col(f).cast("double")) for f in every])
+    x = [F.when(F.col("model").isin([m for m, own in steps.items() if f in own]), F.col(f)) for f in every]
     train, test = (_for_each(d.filter(F.col("category").isin(list(categories))).select(*_scored_columns(every)), "model", list(steps)) for d in (train, test))
     return metric_pack(cut_lineage(fit_keyed(train, test, ["model", "category"], x, [settings])), "pred", by=["model"])
 
@@ -253,7 +253,7 @@ def learning_curve(source: DataFrame, local: DataFrame, test: DataFrame, years:
     sizes = list(range(1, len(years) + 1))
     own = _for_each(local.filter(F.col("category").isin(list(categories))), "years", sizes)
     window = reduce(lambda a, n: a | ((F.col("years") == n) & F.col("year").isin(list(years)[-n:])), sizes, F.lit(False))
-    models = fit_models(own.filter(window).select("years", "category", _features(features).alias("x"), log_target("target").alias("y")), ["years", "category"], [settings])
+    models = fit_models(own.filter(window).select("years", "category", _features(features).alias("x"), log_target("target").alias("y")), ["years", "category"], [settings], width=len(features))
     stats = cut_lineage(model_rho(_slots(models, "years"), _tested(test, categories, features), ["category"], {"rho": ("pred", "target")}).withColumnRenamed("slot", "years"))
     rows = []
     for n in sizes:
@@ -270,7 +270,7 @@ def year_replication(panel: DataFrame, test_years: Sequence[int], first_year: in
     every = list(dict.fromkeys([*small, *large]))
     x = F.array(*[F.when(F.col("size").isin([i for i, own in enumerate((small, large)) if f in own]), F.col(f).cast("double")) for f in every])
     train = each.filter((F.col("year") >= first_year) & (F.col("year") < F.col("test_year")))
-    models = fit_models(train.select("test_year", "size", "category", x.alias("x"), log_target("target").alias("y")), ["test_year", "size", "category"], [settings])
+    models = fit_models(train.select("test_year", "size", "category", x.alias("x"), log_target("target").alias("y")), ["test_year", "size", "category"], [settings], width=len(every))
     # A model never cuts by a feature that it has not seen, so both sizes predict from the same rows.
     tested = each.filter("year = test_year AND size = 0").select("test_year", "category", "district", _features(every).alias("x"), F.col("target").cast("double").alias("target"))
     stats = cut_lineage(model_rho(_slots(models, "size"), tested, ["test_year", "category"], {"rho": ("pred", "target")}).withColumnRenamed("slot", "size"))
@@ -293,11 +293,11 @@ def tune(panel: DataFrame, train_years: Sequence[int], validation_year: int, tes
     Ties go to the setting named first. All settings are fitted together.
     """
     panel = panel.filter(F.col("category").isin(list(categories)))
-    each = _for_each(panel, "setting", list(range(len(grid))))
     keys = ["setting", "category"]
-    train = each.filter(F.col("year").isin(list(train_years))).select(*keys, _features(features).alias("x"), log_target("target").alias("y"))
+    train = panel.filter(F.col("year").isin(list(train_years))).select("category", _features(features).alias("x"), log_target("target").alias("y"))
     tested = _tested(panel.filter(F.col("year") == validation_year), categories, features)
-    stats = model_rho(_slots(fit_models(train, keys, grid), "setting"), tested, ["category"], {"rho": ("pred", "target")})
+    models = fit_models(train, ["category"], dict(enumerate(grid)), width=len(features))
+    stats = model_rho(_slots(models, "setting"), tested, ["category"], {"rho": ("pred", "target")})
     rho = stats.groupBy(F.col("slot").cast("int").alias("setting"), "category").agg(F.avg("rho").alias("rho"))
     chosen = cut_lineage(rho.groupBy("category").agg(F.max_by("setting", F.struct("rho", -F.col("setting"))).alias("setting")))
     # A category without a score keeps the first setting; one row per category.

@@ -245,6 +245,40 @@ def test_models_of_all_keys_are_fitted_alike(toy):
     assert B.predict_models(few, rows.filter("setting = 0"), ["category"], "x", "p").count() == 600
 
 
+def test_every_row_is_fitted_whatever_the_bound(spark):
+    rng = np.random.default_rng(5)
+    n = 900
+    x = np.stack([rng.poisson(2.0, n), np.round(rng.normal(size=n), 3), rng.integers(0, 40, n), np.full(n, np.nan)], axis=1).astype(float)
+    x[:, :2][rng.random((n, 2)) < 0.05] = np.nan
+    y = np.stack([np.nan_to_num(x[:, 0]) + rng.normal(size=n), x[:, 2] * np.nan_to_num(x[:, 1])], axis=1)
+    key = rng.integers(0, 2, n)
+    data = [(int(k), [float(v) for v in r], float(a), float(b)) for k, r, (a, b) in zip(key, x, y)]
+    rows = spark.createDataFrame(data, "k int, x array<double>, a double, b double").repartition(3)
+    grid = [B.TreeSettings(rounds=5), B.TreeSettings(rounds=4, leaves=6, step=0.3, bins=20)]
+    models = B.fit_models(rows, ["k"], grid, y=["a", "b"], fit_rows=50, width=4)
+    assert set(models.columns) == {"k", "slot", "setting", *B.MODEL_PARTS}
+    got = {(r["k"], r["slot"], r["setting"]): {m: np.array(r[m]) for m in B.MODEL_PARTS} for r in models.collect()}
+    assert len(got) == 8
+    for (k, slot, setting), model in got.items():
+        own = key == k
+        want = B.fit(x[own], y[own, slot].copy(), grid[setting])
+        assert (model["medians"] == want["medians"]).all()
+        assert np.allclose(B.predict(model, x), B.predict(want, x))
+
+
+@pytest.mark.parametrize("n", [30, 256, 4001])
+def test_edges_come_from_counted_values(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.where(rng.random((n, 2)) < [0.0, 0.3], np.nan, np.round(rng.normal(size=(n, 2)), 3))
+    distinct = spark.createDataFrame([(1, *(None if np.isnan(v) else float(v) for v in r)) for r in x], "k int, _x0 double, _x1 double").groupBy("k", "_x0", "_x1").agg(F.count("*").alias("_rows"))
+    for bins in (255, 7):
+        row = B._bounds(distinct, ["k"], ["_x0", "_x1"], bins).first()
+        medians = np.nanmedian(x, axis=0)
+        assert row["medians"] == list(medians)
+        for own, want in zip(row["edges"], B._binned(np.where(np.isnan(x), medians, x), bins)[1]):
+            assert own == want.tolist()
+
+
 def test_split_members(spark):
     panel = spark.range(40).select(F.col("id").alias("cell"), F.concat(F.lit("d"), (F.col("id") % 8).cast("string")).alias("district"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("year"))
     near = spark.createDataFrame([(f"d{i}", f"d{j}") for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], "a string, b string")
