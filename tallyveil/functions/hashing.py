@@ -6,10 +6,22 @@ again. These draws depend on the key and the seed only.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = 1 << 32
+#: MD5's constants, shifts, order of words and start.
+MD5_ADD = [int(abs(math.sin(i + 1)) * SPAN) for i in range(64)]
+MD5_TURN = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+MD5_WORD = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+HASHED_ROWS = 16_384
 
 
 def mixed_hash(key: Column, seed: int | Column = 0, *words: Column) -> Column:
@@ -51,3 +63,58 @@ def string_code_sql(c: str) -> str:
         f"list_reduce(list_prepend(7::BIGINT, list_transform(string_split({c}, ''), "
         f"lambda ch: ascii(ch)::BIGINT)), lambda a, x: (a * 31 + x) % 1000003)"
     )
+
+
+def _first_words(text: np.ndarray, ending: bytes) -> np.ndarray:
+    """``mixed_hash`` of rows of equally many bytes (text) with one ending, of at most 55 bytes together, by array operations."""
+    rows, size = text.shape
+    tail = np.zeros(64, np.uint8)
+    tail[size : size + len(ending) + 1] = np.frombuffer(ending + b"\x80", np.uint8)
+    tail[56:] = np.frombuffer((8 * (size + len(ending))).to_bytes(8, "little"), np.uint8)
+    fixed = tail.view("<u4")
+    block = np.zeros((rows, -(-size // 4) * 4), np.uint8)
+    block[:, :size] = text
+    words = [np.ascontiguousarray(w) | fixed[j] for j, w in enumerate(block.view("<u4").T)]
+    a, b, c, d = (np.full(rows, v, np.uint32) for v in MD5_START)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(61):
+        # The first word of the digest is complete after the 61st of 64 steps.
+        if i < 16:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        j = MD5_WORD[i]
+        f += a
+        if j < len(words):
+            f += words[j]
+            f += np.uint32(MD5_ADD[i])
+        else:
+            f += np.uint32((MD5_ADD[i] + int(fixed[j])) % SPAN)
+        np.left_shift(f, MD5_TURN[i], out=g)
+        np.right_shift(f, 32 - MD5_TURN[i], out=f)
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (b + np.uint32(MD5_START[0])).byteswap()
+
+
+def mixed_hashes(texts: pa.Array, endings: list[str]) -> list[np.ndarray]:
+    """``mixed_hash`` inside a task: of every text with each of the endings, which is key, words and seed with ``|`` between."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    out = [np.empty(len(texts), np.uint32) for _ in endings]
+    for length in np.unique(size):
+        rows = np.flatnonzero(size == length)
+        own = texts.take(pa.array(rows)).cast(pa.binary())
+        for o, ending in zip(out, (e.encode() for e in endings)):
+            if length + len(ending) > 55:
+                o[rows] = [int.from_bytes(hashlib.md5(t + ending).digest()[:4], "big") for t in own.to_pylist()]
+                continue
+            start = np.frombuffer(own.buffers()[1], np.int32, 1, 4 * own.offset)[0]
+            text = np.frombuffer(own.buffers()[2], np.uint8, len(rows) * length, start).reshape(len(rows), length) if length else np.empty((len(rows), 0), np.uint8)
+            for s in range(0, len(rows), HASHED_ROWS):
+                o[rows[s : s + HASHED_ROWS]] = _first_words(text[s : s + HASHED_ROWS], ending)
+    return out

@@ -65,6 +65,11 @@ def _alike(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(place, return_index=True, return_inverse=True)[1:]
 
 
+def alike_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rows of features; missing ones are alike."""
+    return _alike(np.stack([np.unique(column, return_inverse=True)[1] for column in x.T], axis=1))
+
+
 def _cells(codes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows of bin numbers, how many rows have them and the sum of their targets.
 
@@ -414,7 +419,9 @@ def fit_models(rows: DataFrame, keys: Sequence[str], settings: Sequence[TreeSett
         lists = [pa.array([found[n].tolist()], pa.list_(MODEL_PARTS[n])) for n in grown]
         yield pa.RecordBatch.from_arrays(columns + lists, names=schema.names)
 
-    models = cells.select(*by, "_codes", "_rows", "_y0").groupBy(*by).applyInArrow(train, schema)
+    # Cells are few bytes for the work they make, so their partitions must not be put together by size.
+    apart = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    models = cells.select(*by, "_codes", "_rows", "_y0").repartition(apart, *by).groupBy(*by).applyInArrow(train, schema)
     value = F.zip_with("feature", "threshold", lambda f, b: F.when(f >= 0, F.get(F.get("edges", f), b.cast("int"))).otherwise(0.0))
     return models.join(bounds, keys).withColumn("threshold", value).select(*by, *MODEL_PARTS)
 

@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyveil.functions.codes import back_transform, log_target
 from tallyveil.functions.vectors import l2_normalise
-from tallyveil.operators.boosting import MODEL_PARTS, PART_ROWS, TreeSettings, feature_matrix, fit_models, predict, predict_models
-from tallyveil.operators.panel import seeded_folds, thinned_count
+from tallyveil.operators.boosting import MODEL_PARTS, PART_ROWS, TreeSettings, alike_rows, feature_matrix, fit_models, predict, predict_models
+from tallyveil.operators.panel import seeded_folds, thin_draws, thinned_counts
 from tallyveil.operators.ranking import MIN_CELLS, grouped_rho, macro, metric_pack, top_share, within_district
 from tallyveil.operators.resample import bootstrap_by_category, bootstrap_delta, pair_models, replication, significance
 from tallyveil.session import cut_lineage, literal_rows
@@ -65,15 +65,17 @@ def fit_categories(train: DataFrame, test: DataFrame, categories: Sequence[str],
 
 
 def model_rho(models: DataFrame, rows: DataFrame, shared: Sequence[str], scores: Mapping[str, tuple[str, str]], district: str = "district",
-              part_rows: int = PART_ROWS, large_rows: int = LARGE_DISTRICT, min_rows: int = MIN_CELLS) -> DataFrame:
+              part_rows: int = PART_ROWS, large_rows: int = LARGE_DISTRICT, min_rows: int = MIN_CELLS,
+              thinned: Mapping[str, tuple[str, str, Sequence[tuple[float, float, int]]]] | None = None) -> DataFrame:
     """M-04 for several models on the same rows: (shared, slot, district, score, rho, n), without a row per model and prediction.
 
     ``models``: shared keys, ``slot`` (bigint, the model's own number) and the model; ``rows``: shared keys, district, ``x`` and columns
     that ``scores`` names as pairs (prediction, target), where ``pred`` is the model's prediction; an array column holds a value per slot.
+    ``thinned`` names columns of counts thinned for each slot (key column, value column, rate, base and seed per slot), drawn where they are used.
     Whole districts are dealt out in parts of about ``part_rows`` rows, each part meets its models once. Districts of more than
     ``large_rows`` rows are spelled out per model and ranked over slices.
     """
-    shared = list(shared)
+    shared, thinned = list(shared), dict(thinned or {})
     for k in [*shared, district]:
         rows = rows.filter(F.col(k).isNotNull())
     rows = cut_lineage(rows)
@@ -89,22 +91,28 @@ def model_rho(models: DataFrame, rows: DataFrame, shared: Sequence[str], scores:
     kinds = [rows.schema[k] for k in [*shared, district]]
     schema = T.StructType([*kinds[:-1], T.StructField("slot", T.LongType()), kinds[-1], T.StructField("score", T.StringType()), T.StructField("rho", T.DoubleType()), T.StructField("n", T.LongType())])
 
-    def values(column: pa.ChunkedArray, slot: int) -> np.ndarray:
+    def values(column: pa.ChunkedArray, slot: int = 0) -> np.ndarray:
         if pa.types.is_list(column.type):
             column = pc.list_element(column, slot)
         return column.combine_chunks().to_numpy(zero_copy_only=False).astype(float)
 
+    named = {c for pair in scores.values() for c in pair} - {"pred"} - set(thinned)
+
     def rate(key, group, given):
         found: list[list] = []
         if group.num_rows and given.num_rows:
             x, names = feature_matrix(group["x"]), pc.dictionary_encode(group[district].combine_chunks())
             place = names.indices.to_numpy(zero_copy_only=False)
-            plain = {c: values(group[c], 0) for c in {c for pair in scores.values() for c in pair} - {"pred"} if not pa.types.is_list(group[c].type)}
+            plain = {c: values(group[c]) for c in named if not pa.types.is_list(group[c].type)}
+            drawn = {c: thin_draws(group[k].combine_chunks(), values(group[v]), draws) for c, (k, v, draws) in thinned.items()}
+            first, which = alike_rows(x)
             for m in range(given.num_rows):
                 slot = given["slot"][m].as_py()
-                pred = np.expm1(np.maximum(predict({n: given[n][m].values.to_numpy(zero_copy_only=False) for n in MODEL_PARTS}, x), 0.0))
+                pred = np.expm1(np.maximum(predict({n: given[n][m].values.to_numpy(zero_copy_only=False) for n in MODEL_PARTS}, x[first]), 0.0))
+                # Only the order of predictions matters: numbers of their values stand for them.
+                pred = np.where(np.isfinite(pred), np.unique(pred, return_inverse=True)[1], np.nan)[which]
                 for score, pair in scores.items():
-                    a, b = (pred if c == "pred" else plain[c] if c in plain else values(group[c], slot) for c in pair)
+                    a, b = (pred if c == "pred" else drawn[c][slot] if c in drawn else plain[c] if c in plain else values(group[c], slot) for c in pair)
                     for d, rho, n in grouped_rho(place, a, b, min_rows):
                         found.append([*[k.as_py() for k in key[:-1]], slot, names.dictionary[d].as_py(), score, rho, n])
         return pa.Table.from_pylist([dict(zip(schema.names, f)) for f in found], to_arrow_schema(schema))
@@ -113,8 +121,11 @@ def model_rho(models: DataFrame, rows: DataFrame, shared: Sequence[str], scores:
     out = dealt.groupBy(*shared, "_part").cogroup(copies.groupBy(*by, "_copy")).applyInArrow(rate, schema)
     if not many:
         return out
-    lists = {f.name for f in rows.schema if isinstance(f.dataType, T.ArrayType) and f.name != "x"}
-    spelled = rows.join(large, [*shared, district], "left_semi").join(F.broadcast(models.select(*shared, "slot")), shared)
+    spelled = rows.join(large, [*shared, district], "left_semi")
+    for c, (k, v, draws) in thinned.items():
+        spelled = thinned_counts(spelled, F.col(k), v, c, draws)
+    lists = {f.name for f in spelled.schema if isinstance(f.dataType, T.ArrayType) and f.name != "x"}
+    spelled = spelled.join(F.broadcast(models.select(*shared, "slot")), shared)
     spelled = spelled.withColumns({c: F.element_at(c, (F.col("slot") + 1).cast("int")) for c in lists}) if lists else spelled
     scored = cut_lineage(predict_models(models, spelled, [*shared, "slot"], "x", "_p").withColumn("pred", back_transform("_p")))
     for score, pair in scores.items():
@@ -313,21 +324,22 @@ def degradation(panel: DataFrame, rates: Sequence[float], base: float, seeds: Se
     panel = cut_lineage(panel.filter(F.col("category").isin(list(categories)) & F.col("year").isin([*train_years, test_year])))
     drawn = [(float(rate), seed) for rate in rates for seed in seeds]
 
-    def thinned(value: str, shift: int) -> Column:
-        """A row's counts under all rates and seeds."""
-        return F.array(*[thinned_count(key(panel), value, rate, base, seed + shift).cast("double") for rate, seed in drawn])
-
-    # A row's copies are made when they are read: only those that a fit keeps are moved, and test rows carry their counts as arrays.
-    train = panel.filter(F.col("year").isin(list(train_years))).select("category", _features(features).alias("x"), F.posexplode(thinned("target", 0)).alias("slot", "_thin"))
-    listed = F.array(*[F.struct(F.lit(rate).alias("rate"), F.lit(seed).alias("seed")) for rate, seed in drawn])
-    own = train.withColumn("_own", F.element_at(listed, F.col("slot") + 1))
-    by = ["rate", "seed"]
-    models = fit_models(own.select("_own.rate", "_own.seed", "category", "x", log_target("_thin").alias("y")), [*by, "category"], [settings])
-    number = F.array_position(listed, F.struct("rate", "seed")) - 1
-    models = _slots(models.withColumn("_slot", number).drop(*by), "_slot")
-    tested = _tested(panel.filter(F.col("year") == test_year), categories, features, [thinned("target", 0).alias("thin_target"), thinned("persist", 7).alias("thin_persist")])
+    def draws(shift: int) -> list[tuple[float, float, int]]:
+        return [(rate, base, seed + shift) for rate, seed in drawn]
+
+    # A row's thinned counts are drawn where they are used: a train row is summed with equal ones for all rates and seeds at once,
+    # a test row travels as it is.
+    own = panel.withColumn("_name", key(panel))
+    train = own.filter(F.col("year").isin(list(train_years))).select("category", _features(features).alias("x"), F.col("target").cast("double").alias("target"), "_name")
+    train = thinned_counts(train, F.col("_name"), "target", "_thin", draws(0))
+    targets = [f"_t{i}" for i in range(len(drawn))]
+    train = train.select("category", "x", *[log_target(F.col("_thin")[i]).alias(t) for i, t in enumerate(targets)])
+    models = cut_lineage(fit_models(train, ["category"], [settings], y=targets, width=len(features)))
+    tested = _tested(own.filter(F.col("year") == test_year), categories, features, ["_name", F.col("persist").cast("double").alias("persist")])
     scores = {"measurable": ("pred", "thin_target"), "actual": ("pred", "target"), "persist": ("thin_persist", "thin_target")}
-    stats = cut_lineage(model_rho(models, tested, ["category"], scores))
+    thinned = {"thin_target": ("_name", "target", draws(0)), "thin_persist": ("_name", "persist", draws(7))}
+    stats = cut_lineage(model_rho(models, tested, ["category"], scores, thinned=thinned))
+    listed = F.array(*[F.struct(F.lit(rate).alias("rate"), F.lit(seed).alias("seed")) for rate, seed in drawn])
     out = panel.limit(1).select(F.posexplode(listed).alias("slot", "_own")).select("slot", "_own.rate", "_own.seed")
     for name in scores:
         out = out.join(macro(stats.filter(F.col("score") == name), "rho", by=["slot"]).select("slot", F.col("macro_rho").alias(name)), "slot", "left")

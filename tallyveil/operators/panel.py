@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyveil.functions import geo
 from tallyveil.functions.geo import EARTH_RADIUS_KM
-from tallyveil.functions.hashing import mixed_hash, uniform
+from tallyveil.functions.hashing import SPAN, mixed_hash, mixed_hashes, uniform
 from tallyveil.operators.metric_tree import nearest
 from tallyveil.operators.ordering import positions
 
@@ -278,8 +280,7 @@ def thinned_count(key: Column, value: str, rate: float, base: float, seed: int,
     partitioning. The events of a row are drawn ``chunk`` at a time inside one expression:
     rows of any size take the same way, and repeated rows stay apart.
     """
-    p = min(1.0, rate / base)
-    draw_seed = 1000 * seed + int(round(100 * rate))
+    p, draw_seed = _drawing(rate, base, seed)
     if p >= 1.0:
         return F.col(value)
     n = F.coalesce(F.col(value), F.lit(0)).cast("bigint")
@@ -294,6 +295,55 @@ def thinned_count(key: Column, value: str, rate: float, base: float, seed: int,
     return F.when(n > 0, drawn).otherwise(none).cast("double")
 
 
+#: Events drawn at once.
+DRAWN = 65_536
+
+
+def _drawing(rate: float, base: float, seed: int) -> tuple[float, int]:
+    return min(1.0, rate / base), 1000 * seed + int(round(100 * rate))
+
+
+def thin_draws(keys: pa.Array, values: np.ndarray, draws: Sequence[tuple[float, float, int]]) -> list[np.ndarray]:
+    """``thinned_count`` of a task's rows for several (rate, base, seed): one array each.
+
+    The same draws, hashed for many events at a time; ``DRAWN`` events are held, whatever a row counts.
+    """
+    made = [_drawing(*d) for d in draws]
+    out = [values if p >= 1.0 else np.zeros(len(values)) for p, _ in made]
+    some = [(o, p * SPAN, f"{seed}") for o, (p, seed) in zip(out, made) if p < 1.0]
+    events = np.maximum(np.nan_to_num(values, nan=0.0), 0.0).astype(np.int64)
+    ends = np.cumsum(events)
+    texts = pc.fill_null(pc.cast(keys, pa.string()), "")
+    for s in range(0, int(ends[-1]) if len(ends) and some else 0, DRAWN):
+        event = np.arange(s, min(s + DRAWN, int(ends[-1])))
+        row = np.searchsorted(ends, event, side="right")
+        number = pa.array(event - (ends[row] - events[row]) + 1).cast(pa.string())
+        drawn = mixed_hashes(pc.binary_join_element_wise(texts.take(pa.array(row)), number, "", "|"), [seed for _, _, seed in some])
+        first, last = int(row[0]), int(row[-1]) + 1
+        for (o, below, _), h in zip(some, drawn):
+            o[first:last] += np.bincount(row[h < below] - first, minlength=last - first)
+    return out
+
+
+def thinned_counts(df: DataFrame, key: Column, value: str, name: str, draws: Sequence[tuple[float, float, int]]) -> DataFrame:
+    """ML-17 for several (rate, base, seed) at once: ``thinned_count`` of each as an array."""
+    rows = df.withColumn("_key", key.cast("string"))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    whole = np.array([_drawing(*d)[0] >= 1.0 for d in draws])
+
+    def draw(batches):
+        for b in batches:
+            # Where all events are kept, a count that is missing stays so.
+            unknown = np.outer(b[value].is_null().to_numpy(zero_copy_only=False), whole).ravel()
+            found = thin_draws(b["_key"], b[value].to_numpy(zero_copy_only=False).astype(float), draws)
+            flat = np.stack(found, axis=1).ravel() if found else np.empty(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(found)), pa.array(flat, mask=unknown))
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in schema.names[:-1]], lists], names=schema.names)
+
+    return rows.mapInArrow(draw, schema)
+
+
 def thin_counts(df: DataFrame, key: Column, value: str, name: str, rate: float, base: float, seed: int, chunk: int = 10_000) -> DataFrame:
     """ML-17: ``thinned_count`` as a column."""
     return df.withColumn(name, thinned_count(key, value, rate, base, seed, chunk))

@@ -279,6 +279,18 @@ def test_edges_come_from_counted_values(spark, n):
             assert own == want.tolist()
 
 
+def test_draws_by_arrays_are_those_of_the_expression(spark, monkeypatch):
+    monkeypatch.setattr(P, "DRAWN", 37)
+    names = ["a", "é:1", None, "", "x" * 60, *(f"{i}:1999:A" for i in range(95))]
+    counts = [3.0, 12.0, 2.0, None, 4.0, *(float(i % 5) for i in range(95))]
+    draws = [(0.5, 0.83, 3), (0.05, 0.83, 0), (0.83, 0.83, 1), (0.9, 1.0, 12)]
+    d = spark.createDataFrame(list(zip(range(100), names, counts)), "i int, name string, n double").repartition(3)
+    want = d.select("i", F.array(*[P.thinned_count(F.col("name"), "n", *w) for w in draws]).alias("w")).collect()
+    got = {r["i"]: r["w"] for r in P.thinned_counts(d, F.col("name"), "n", "w", draws).collect()}
+    assert {r["i"]: r["w"] for r in want} == got
+    assert P.thinned_counts(d.limit(0), F.col("name"), "n", "w", draws).count() == 0
+
+
 def test_split_members(spark):
     panel = spark.range(40).select(F.col("id").alias("cell"), F.concat(F.lit("d"), (F.col("id") % 8).cast("string")).alias("district"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("year"))
     near = spark.createDataFrame([(f"d{i}", f"d{j}") for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], "a string, b string")
