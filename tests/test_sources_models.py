@@ -279,6 +279,16 @@ def test_edges_come_from_counted_values(spark, n):
             assert own == want.tolist()
 
 
+def test_degradation_does_not_depend_on_the_bound(toy, monkeypatch):
+    panel = toy.filter("NOT isnan(target)").withColumns({"district": F.concat(F.lit("d"), (F.col("cell") % 6).cast("string")), "persist": F.floor(F.abs(F.col("a")) * 5).cast("double"), "target": F.floor(F.abs(F.col("target")) * 3).cast("double")})
+    given, found, whole = (lambda d: F.concat_ws(":", "cell", "year")), [], M.fit_models
+    for bound in (500_000, 40):
+        monkeypatch.setattr(M, "fit_models", lambda *a, **k: whole(*a, **k, fit_rows=bound))
+        rows = M.degradation(panel, [0.4], 0.8, [1], [2000, 2001], 2002, ["k"], ["a", "b"], given, B.TreeSettings(rounds=4, leaves=6)).collect()
+        found.append([pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for v in rows[0]])
+    assert len(rows) == 1 and list(rows[0]) == found[0]
+
+
 def test_draws_by_arrays_are_those_of_the_expression(spark, monkeypatch):
     monkeypatch.setattr(P, "DRAWN", 37)
     names = ["a", "é:1", None, "", "x" * 60, *(f"{i}:1999:A" for i in range(95))]
